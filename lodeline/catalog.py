@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lodeline.plans import knowledge, learning, reporting, routing, search, texts, web  # noqa: F401 - they register their queries
+from lodeline.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
