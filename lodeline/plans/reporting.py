@@ -21,7 +21,7 @@ def latest_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.latest_snapshot(events(spark, sf_dir), "day", "1999-01-01").select("event_id", "event_type", "value")
 
 
-@query("SELECT event_id, user_id FROM (SELECT *, max((value > 400)::INT) OVER (PARTITION BY user_id) AS some FROM events) WHERE value > 400 OR some = 0")
+@query("SELECT event_id, user_id FROM (SELECT *, max((value > 400)::INT) OVER (PARTITION BY user_id) AS has FROM events) WHERE value > 400 OR has = 0")
 def filter_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.filter_or_all(table(spark, sf_dir, "events"), F.col("value") > 400, ["user_id"]).select("event_id", "user_id")
 
@@ -78,8 +78,8 @@ def topic_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_watermark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeline.streaming import updates
 
-    path = f"{sf_dir}/events.parquet"
-    stream = updates.event_time(updates.files(spark, path, spark.read.parquet(path).schema))
+    schema = table(spark, sf_dir, "events").schema
+    stream = updates.event_time(updates.files(spark, sf_dir, schema, names="events.parquet"))
     counted = updates.windowed_counts(stream, "ts", ["event_type"], late="60 days")
     held = updates.run_available(counted, f"counts_{abs(hash(sf_dir)) % 10**8}")
     return held.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
@@ -94,9 +94,8 @@ def stream_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeline.streaming import updates
 
     root = f"{(spark.conf.get('spark.checkpoint.dir', None) or os.path.join(os.getcwd(), 'spark-warehouse')).rstrip('/')}/upsert-{uuid.uuid4().hex}"
-    path = f"{sf_dir}/events.parquet"
     store = Versions(spark, f"{root}/store")
-    stream = updates.files(spark, path, spark.read.parquet(path).schema).select("user_id", "event_id", "event_type", "value")
+    stream = updates.files(spark, sf_dir, table(spark, sf_dir, "events").schema, names="events.parquet").select("user_id", "event_id", "event_type", "value")
     updates.upserts(stream, store, "user_id", "event_id", f"{root}/progress").awaitTermination()
     return store.current()
 

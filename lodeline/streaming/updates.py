@@ -12,9 +12,9 @@ from lodeline.functions.text import chunks
 from lodeline.sources.documents import Versions
 
 
-def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 100, format: str = "parquet") -> DataFrame:
-    """A stream of the files that land in a folder."""
-    return spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", per_trigger).load(path)
+def files(spark: SparkSession, path: str, schema: StructType, per_trigger: int = 100, format: str = "parquet", names: str = "*") -> DataFrame:
+    """A stream of the files that land in a folder, those alone whose names fit a pattern."""
+    return spark.readStream.schema(schema).format(format).option("maxFilesPerTrigger", per_trigger).option("pathGlobFilter", names).load(path)
 
 
 def event_time(stream: DataFrame, column: str = "ts") -> DataFrame:
