@@ -166,5 +166,5 @@ def calendar_lines(pages: DataFrame, id_col: str, html: str) -> DataFrame:
     w = Window.partitionBy(id_col).orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     some = lambda x: F.when(x != "", x)
     dated = rows.withColumn("year", F.last(some(F.regexp_extract("line", r"^(20[0-9]{2})\s*년?", 1)), ignorenulls=True).over(w)).withColumn("month", F.last(some(F.regexp_extract("line", r"(?:^|\s)([0-9]{1,2})월$", 1)), ignorenulls=True).over(w))
-    event = r"^([0-9]{1,2}(?:[.\s~-]+[0-9(). 월화수목금토일~-]*)?)\s+(\D.*)$"
+    event = r"^([0-9]{1,2}(?:\([^)]*\))?(?:\s*[~-]\s*[0-9]{1,2}(?:\([^)]*\))?)?)\s+(.+)$"
     return dated.where(F.col("line").rlike(event)).select(id_col, "ord", "year", "month", F.trim(F.regexp_extract("line", event, 1)).alias("day"), F.regexp_extract("line", event, 2).alias("event"))
