@@ -18,12 +18,15 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.llm.arrow import bound_batches, by_text, materialise
 from lodeline.llm.kernels import SPACE, Block, combine, fold, hash_runs
+from lodeline.llm.sampling import least_by_hash
 
 #: Buckets of n-gram hashes, as a power of two; the two models are arrays of this size.
 BITS = 16
 SEED = 4
 #: Added to every bucket's count.
 SMOOTH = 1.0
+#: Rows from which the target's model is learned, at most; the raw model counts all rows.
+TARGET_ROWS = 20_000
 #: Width of the bins by which the k-th largest key is found.
 BIN_BITS = 16
 
@@ -94,7 +97,7 @@ def weigh(docs: DataFrame, target_col: str, id_col: str = "doc_id", text_col: st
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
         bucket, owner = buckets(texts)
         n = len(texts)
-        return [columns[0], pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, shared.value[bucket], n))]
+        return [columns[0], pa.array(np.bincount(owner, minlength=n)), pa.array(np.bincount(owner, shared.value[bucket], n).astype(float))]
 
     kind = docs.schema[id_col].dataType.simpleString()
     scored = by_text(docs, [id_col], text_col, f"{id_col} {kind}, n_grams bigint, log_weight double", run)
@@ -151,15 +154,19 @@ def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """(id_col, n_grams, log_weight, key, kept): a draw of ``share`` of the documents towards the rows labelled 1.
 
     Without ``share`` it is the share of 1 among all labels, so that as much is
-    drawn as the labels say is of target quality; without labels, all. Counts
-    are taken over all documents. Empty tables give empty results; rows that
+    drawn as the labels say is of target quality; without labels, all. The raw
+    model counts all documents, the target's at most TARGET_ROWS rows labelled
+    1, drawn by the hash of their ids, which are few enough to be broadcast: no
+    text is shuffled. Empty tables give empty results; rows that
     repeat are weighed and drawn one by one; further columns are ignored.
     """
     judged = labels.where(F.col(label_col).isin(0, 1)).groupBy(id_col).agg(F.max(label_col).alias("__label"))
     total, good = judged.agg(F.count(F.lit(1)), F.sum("__label")).first()
     share = share if share is not None else (good / total if total else 1.0)
-    wanted = judged.where("__label = 1").select(F.col(id_col).alias("__id"))
+    wanted = [i for i, _ in least_by_hash(judged.where("__label = 1"), "__label", id_col, TARGET_ROWS, seed)]
+    kind = docs.schema[id_col].dataType.simpleString()
+    targets = docs.sparkSession.createDataFrame([(i, True) for i in wanted], f"__id {kind}, __target boolean")
     rows = docs.select(id_col, text_col)
-    marked = rows.join(wanted.withColumn("__target", F.lit(True)), rows[id_col] == F.col("__id"), "left")
+    marked = rows.join(F.broadcast(targets), rows[id_col] == F.col("__id"), "left")
     scored = materialise(weigh(marked, "__target", id_col, text_col, seed))
     return resample(scored, math.ceil(share * scored.count()), id_col)
