@@ -86,12 +86,13 @@ def build(ids: list, texts: list[bytes | None]) -> Table:
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
-    """The best stretch of an alignment: first and last-plus-one document token, and matches. Document token i lies on item token i - diagonal."""
+    """The best stretch of an alignment, of equally good ones the longest: first and last-plus-one document token, and matches. Document token i lies on item token i - diagonal."""
     low, high = max(0, diagonal), min(len(doc), diagonal + len(item))
     same = doc[low:high] == item[low - diagonal : high - diagonal]
     total = np.concatenate(([0], np.cumsum(np.where(same, 1, -COST))))
     least = np.minimum.accumulate(total)
-    end = int(np.argmax(total - least))
+    gain = (total - least)[::-1]
+    end = len(gain) - 1 - int(np.argmax(gain))
     start = int(np.argmin(total[: end + 1]))
     return low + start, low + end, int(same[start:end].sum())
 
@@ -154,7 +155,7 @@ def _tables(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tup
     for k in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toArrow()
         order = sorted(range(rows.num_rows), key=lambda j: (str(rows.column(0)[j].as_py()), rows.column(1)[j].as_py() or b""))
-        rows = rows.take(order)
+        rows = rows.take(pa.array(order, pa.int64()))
         yield build(rows.column(0).to_pylist(), rows.column(1).to_pylist()), rows.column(0).combine_chunks()
 
 

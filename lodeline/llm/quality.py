@@ -55,6 +55,8 @@ def repeated_words(hashes: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
     window = combine([hashes[i : i + size] for i in range(WINDOW)] + [mix(owner[:size].astype(np.uint64) + np.uint64(1))])
     whole = owner[:size] == owner[WINDOW - 1 :]
     window, place = window[whole], np.flatnonzero(whole)
+    if not len(window):
+        return np.zeros(n, np.int64)
     order = np.argsort(window, kind="stable")
     ranked = window[order]
     equal = np.concatenate(([False], ranked[1:] == ranked[:-1], [False]))
