@@ -29,7 +29,7 @@ from lodeline.llm.components import smallest_reachable
 SEED = 42
 #: Segments as (lowest bit, bits).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Keys with up to so many fingerprints are joined pair by pair; others are linked through common words.
+#: Keys with up to so many fingerprints are joined pair by pair; how others are linked, components() and near() say.
 PAIRWISE = 8
 
 
@@ -139,8 +139,6 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 #: For near() alone: fingerprints of each text, and how many of their bits may differ together. At 32 of 256 the sets of five-word shingles of
 #: two texts have a similarity of about 0.75 to 0.8; the estimate's standard deviation is about five bits.
 FINGERPRINTS, MOST_BITS = 4, 32
-#: With how many texts before it a text is compared in each of its keys, besides the first.
-BACK = 7
 
 
 def wide_fingerprint(text: bytes, words: int = 3) -> np.ndarray:
@@ -182,36 +180,39 @@ def _emit_wide_keys(batches):
 
 
 def _pair_neighbours(batches):
-    """Pairs (a, b) of the nodes of each key, rows sorted by key: each with the first and with up to BACK rows before it. Only those are held between batches."""
-    key, first, before = None, 0, []
+    """Pairs (a, b) of the nodes of each key, rows sorted by key: the first PAIRWISE with each other, any further one with the first and the one before it.
+
+    Between batches the first rows of the last key, its last and their number are held.
+    """
+    key, early, last, count = None, np.zeros(0, np.int64), None, 0
     for batch in batches:
         keys, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
         if not len(keys):
             continue
-        if len(before) and keys[0] == key:
-            lead = len(before) + 1
-            keys = np.concatenate((np.full(lead, key), keys))
-            nodes = np.concatenate(([first], before, nodes))
-        else:
-            lead = 0
+        held = count if keys[0] == key else 0
+        ahead = np.append(early, last)[: held if held <= PAIRWISE else None] if held else early[:0]
+        lead = len(ahead)
+        keys, nodes = np.concatenate((np.full(lead, keys[0]), keys)), np.concatenate((ahead, nodes))
         n = len(keys)
         start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         group = np.repeat(start, np.diff(np.append(start, n)))
-        place = np.arange(n)
+        at = np.arange(n)
+        place = at - group + np.where((group == 0) & (at >= lead), held - lead, 0)
+        fresh = at >= lead
         a, b = [], []
-        for back in range(1, BACK + 1):
-            own = place[(place - back >= group) & (place >= lead)]
+        for back in range(1, PAIRWISE):
+            own = at[fresh & (place < PAIRWISE) & (place >= back)]
             a.append(nodes[own - back])
             b.append(nodes[own])
-        far = place[(place - group > BACK) & (place >= lead)]
-        a.append(nodes[group[far]])
-        b.append(nodes[far])
+        far = at[fresh & (place >= PAIRWISE)]
+        a += [nodes[group[far]], nodes[far - 1]]
+        b += [nodes[far], nodes[far]]
         a, b = np.concatenate(a), np.concatenate(b)
         low, high = np.minimum(a, b), np.maximum(a, b)
         two = np.unique(np.stack((low, high), axis=1)[low < high], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1]))], ["a", "b"])
-        key, first = keys[-1], nodes[start[-1]]
-        before = nodes[max(start[-1], n - BACK) :]
+        key, last, count = keys[-1], nodes[-1], int(place[-1]) + 1
+        early = nodes[start[-1] : start[-1] + min(PAIRWISE, count)]
 
 
 def near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -220,10 +221,10 @@ def near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
     Similarity is estimated by FINGERPRINTS fingerprints together, which link at
     MOST_BITS differing bits or fewer. A key joins a segment of a fingerprint,
     exact, with a Golay codeword near one of the other two; a text has about 130
-    keys, and a pair is met if it shares one. In a key, each text is compared
-    with the first and with up to BACK texts before it, which in small keys are
-    all: the work grows with a group's size, not its square, and a text of a
-    large group has as many chances to be linked as it has keys. Exact copies
+    keys, and a pair is met if it shares one. In a key, the first PAIRWISE texts
+    are compared with each other and any further one with the first and the one
+    before it: the work grows with a group's size, not its square, and a text of
+    a large group has twice as many chances to be linked as it has keys. Exact copies
     always share a component. Null, empty and blank texts are one group; a null
     id never names a component with other ids; an empty table gives an empty
     result.

@@ -175,5 +175,5 @@ def test_pairs_of_a_key_across_batches():
         batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(nodes[i : i + size])], ["key", "node"]) for i in range(0, len(keys), size)]
         found = {p for b in simhash._pair_neighbours(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
         first = {k: keys.index(k) for k in keys}
-        truth = {(j, i) for i in nodes for j in nodes if j < i and keys[i] == keys[j] and (i - j <= simhash.BACK or j == first[keys[i]])}
+        truth = {(j, i) for i in nodes for j in nodes if j < i and keys[i] == keys[j] and (i - first[keys[i]] < simhash.PAIRWISE or j in (first[keys[i]], i - 1))}
         assert found == truth
