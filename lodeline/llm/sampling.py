@@ -10,16 +10,28 @@ def in_training(id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 5 != 0
 
 
+#: How many times the rows asked for are ranked, so that the draw doesn't come out short.
+SPARE = 4
+
+
 def least_by_hash(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int) -> list[tuple]:
     """(id, label) of at most ``per_label`` distinct ids for each label: those with the smallest hashes.
 
-    Only ids and labels reach the driver, so the bound is per_label times the
-    number of labels; Spark keeps no more than that of each partition either.
+    Rows are counted by label first, and only those whose hash is below about
+    SPARE * per_label / rows are ranked: neither a task nor the driver gets more
+    than some multiple of what is asked for, whatever the number of rows and
+    partitions. Labels are few.
     """
-    order = Window.partitionBy(label).orderBy(F.xxhash64(F.lit(seed), F.col(id_col)), F.col(id_col))
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") * F.lit(2.0**-53)
     picked = rows.select(id_col, label).where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
-    ranked = picked.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_label)
-    return sorted({(r[0], r[1]) for r in ranked.select(id_col, label).collect()})
+    bound = F.lit(1.0)
+    for name, n in picked.groupBy(label).count().collect():
+        if n > SPARE * per_label:
+            bound = F.when(F.col(label) == F.lit(name), SPARE * per_label / n).otherwise(bound)
+    ranked = picked.withColumn("__u", u).where(F.col("__u") < bound)
+    order = Window.partitionBy(label).orderBy("__u", id_col)
+    first = ranked.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_label)
+    return sorted({(r[0], r[1]) for r in first.select(id_col, label).collect()})
 
 
 def only_ids(docs: DataFrame, id_col: str, ids: list) -> DataFrame:
