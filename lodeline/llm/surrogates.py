@@ -15,7 +15,7 @@ none collides. Attempts above zero are the exception; only they are joined back.
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -47,14 +47,14 @@ BROADCAST_ROWS = 20_000
 ROUNDS = 40
 
 
-def _union() -> str:
-    """One pattern for all kinds; the card's group number is the only back reference and stays the first group."""
-    ordered = dict(PATTERNS)
-    return "|".join(p if k != "card" else p for k, p in ordered.items())
+#: All kinds in one pattern; the card's group is the only one, so that its back reference holds.
+PATTERN = "|".join(p for _, p in PATTERNS)
+_DIGITS, _NOT_DIGITS = "[0-9]", "[^0-9]"
 
 
-PATTERN = _union()
-_DIGITS, _NOT_DIGITS = "[0-9]", "[^0-9]"
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is written and computed once, however often ``body`` names it."""
+    return F.transform(F.array(value), body).getItem(0)
 
 
 def kind_of(mention: Column) -> Column:
@@ -70,9 +70,9 @@ def kind_of(mention: Column) -> Column:
     )
 
 
-def canonical(mention: Column) -> Column:
+def canonical(mention: Column, kind: Column | None = None) -> Column:
     """What mentions of one entity have in common: lower case for e-mail, digits alone for numbers, gender and name without the title for persons."""
-    kind = kind_of(mention)
+    kind = kind_of(mention) if kind is None else kind
     name = F.regexp_replace(mention, r"^\S+ ", "")
     gender = F.when(mention.rlike(FEMALE), "f ").otherwise("m ")
     return (
@@ -104,9 +104,8 @@ def _draw(h: Column, digits: int) -> Column:
 
 def _luhn(digits: Column) -> Column:
     """The Luhn sum modulo 10 of a string of digits of even length."""
-    at = F.sequence(F.lit(1), F.length(digits))
-    one = lambda i: F.substr(digits, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
-    return F.aggregate(at, F.lit(0), lambda total, i: total + one(i) - F.when(one(i) > 9, 9).otherwise(0)) % 10
+    one = lambda held, i: F.substr(held, i, F.lit(1)).cast("int") * F.when(i % 2 == 1, 2).otherwise(1)
+    return let(digits, lambda held: F.aggregate(F.sequence(F.lit(1), F.length(held)), F.lit(0), lambda total, i: total + one(held, i) - F.when(one(held, i) > 9, 9).otherwise(0)) % 10)
 
 
 def _pick(h: Column, i: int, gender: Column, script: Column) -> Column:
@@ -128,7 +127,12 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     Phone: the digits before the last ten, or the first if there are no more,
     stay. Person: given and family name by gender and script, as many as there were.
     """
-    h = _hash(kind, canon, attempt, key)
+    held = F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))
+    hashed = lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon"), e["attempt"].alias("attempt"), _hash(e["kind"], e["canon"], e["attempt"], key).alias("h"))
+    return let(held, lambda e: let(hashed(e), lambda x: _surrogate(x["kind"], x["canon"], x["attempt"], x["h"])))
+
+
+def _surrogate(kind: Column, canon: Column, attempt: Column, h: Column) -> Column:
     local = F.substring_index(canon, "@", 1)
     letter = lambda i, alphabet, span: F.substr(F.lit(alphabet), (F.conv(F.substr(h, (i * 3) % 61 + 1, F.lit(4)), 16, 10).cast("int") + i * 7) % span + 1, F.lit(1))
     changed = F.array_join(
@@ -162,9 +166,9 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     )
 
 
-def render(mention: Column, replaced: Column) -> Column:
+def render(mention: Column, replaced: Column, kind: Column | None = None) -> Column:
     """A surrogate's canonical form in the format of a mention: its separators, title, and upper case if the mention is."""
-    kind = kind_of(mention)
+    kind = kind_of(mention) if kind is None else kind
     at = F.sequence(F.lit(1), F.length(mention))
     place = lambda i: F.length(F.regexp_replace(F.substr(mention, F.lit(1), i), _NOT_DIGITS, ""))
     numbers = F.array_join(
@@ -216,10 +220,14 @@ def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
 def _replace(text: Column, found: Column, overrides: Column | None, key: str) -> Column:
     """The text with its mentions replaced; ``overrides`` maps kind|canon to an attempt."""
 
+    def attempt(e: Column) -> Column:
+        return F.lit(0) if overrides is None else F.coalesce(F.element_at(overrides, F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
+
     def one(m: Column) -> Column:
-        kind, canon = kind_of(m), canonical(m)
-        attempt = F.lit(0) if overrides is None else F.coalesce(F.element_at(overrides, F.concat_ws("|", kind, canon)), F.lit(0))
-        return render(m, surrogate(kind, canon, attempt, key))
+        kinds = F.struct(m.alias("m"), kind_of(m).alias("kind"))
+        entity = lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["m"], e["kind"]).alias("canon"))
+        made = lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], attempt(e), key).alias("s"))
+        return let(kinds, lambda e: let(entity(e), lambda f: let(made(f), lambda g: render(g["m"], g["s"], g["kind"]))))
 
     between = F.split(text, PATTERN, -1)
     joined = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.transform(found, one).alias("s")), lambda x: F.concat(x["b"], F.coalesce(x["s"], F.lit("")))), "")
