@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.functions.text import WORD, features, ngrams
@@ -82,6 +85,28 @@ def _grams(rows: DataFrame, text_col: str) -> DataFrame:
     return rows.withColumn("grams", held)
 
 
+def grid_search(rows: DataFrame, label: str, id_col: str, text_col: str, choices: Sequence[float], held_out: float = 0.1, seed: int = 42, **fit) -> tuple[float, dict[float, float]]:
+    """The penalty parameter with the best macro F1 on rows held out by hash, and the F1 of each."""
+    rows = rows.withColumn("__u", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) * F.lit(2.0**-53))
+    told, asked = rows.where(F.col("__u") >= held_out), rows.where(F.col("__u") < held_out)
+    found = {}
+    for c in choices:
+        said = text_predict(text_pipeline(told, label, text_col, c=c, **fit), asked, text_col)
+        found[c] = macro_f1(said, label, "prediction").agg(F.avg("f1")).first()[0] or 0.0
+    return max(found, key=lambda c: (found[c], -choices.index(c))), found
+
+
+def ensemble(rows: DataFrame, asked: DataFrame, label: str, id_col: str, text_col: str, seeds: Sequence[int] = (42, 43, 44), share: float = 0.9, **fit) -> DataFrame:
+    """(id_col, label, probability) by the mean of models trained on as many hashed samples of the rows."""
+    votes = None
+    for seed in seeds:
+        u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) * F.lit(2.0**-53)
+        said = text_predict(text_pipeline(rows.where(u < share), label, text_col, **fit), asked, text_col)
+        part = said.select(id_col, vector_to_array("probability").alias("p"))
+        votes = part if votes is None else votes.unionByName(part)
+    return soft_vote(votes, id_col, "p")
+
+
 def augment(rows: DataFrame, label: str, id_col: str, text_col: str, seed: int = 42) -> DataFrame:
     """Rows of the smaller classes again, with two words swapped or one dropped, until each class is as large as the largest.
 

@@ -104,3 +104,8 @@ def test_untrusted(spark):
     assert not ask(good)
     assert ask("짧다") and ask(good + " 축하합니다") and ask(good + " 딴대학교") and ask(good + " alpha1 quarterly lantern meadows")
     assert not ask(good + " 딴대학교 우리대학교")
+
+
+def test_short_override_rules(spark):
+    ask = lambda q: one(spark, q, lambda t: rules.cascade(F.lower(t), rules.short_override_rules()))
+    assert ask("밥 몇시") == 3 and ask("식당 운영") is None and ask("기숙사 신청") == 1

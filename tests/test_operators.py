@@ -171,3 +171,32 @@ def test_write_json_to_any_folder(spark, tmp_path):
     (tmp_path / "file").write_text("x")
     with pytest.raises(OSError):
         sources.write_json(spark.range(2), [str(tmp_path / "file" / "o")])
+
+
+def test_external_sources(spark, tmp_path):
+    from lodeline.sources import external
+
+    (tmp_path / "a.pdf").write_bytes(b"hello")
+    (tmp_path / "b.pdf").write_bytes(b"\xff")
+    (tmp_path / "c.txt").write_bytes(b"no")
+    found = external.extracted_files(spark, str(tmp_path), lambda b: b.decode()).collect()
+    assert sorted((r.path[-5:], r.text) for r in found) == [("a.pdf", "hello"), ("b.pdf", "")]
+    urls = spark.createDataFrame([("http://a/1",), ("http://a/1",), ("http://b/2",)], "url string")
+    pages = external.fetched(urls, "url", lambda u: None if u.endswith("2") else f"<p>{u}")
+    assert sorted((r.url, r.html) for r in pages.collect()) == [("http://a/1", "<p>http://a/1"), ("http://b/2", None)]
+
+
+def test_registered_functions(spark):
+    from lodeline.functions.register import register
+
+    assert "lodeline_host" in register(spark)
+    row = spark.sql("select lodeline_normalise('  A　B ') a, lodeline_tokens('Ab c de') b, lodeline_host('https://h.org/x') c, lodeline_safe_id('공지: 1!') d, lodeline_chunks('abcdefg') e").first()
+    assert tuple(row) == ("a b", ["ab", "de"], "h.org", "공지1", ["abcde", "fg"])
+
+
+def test_grid_search_and_ensemble(spark):
+    rows = spark.createDataFrame([(i, "aa bb" if i % 2 else "cc dd", float(i % 2)) for i in range(40)], "id int, t string, label double")
+    best, scores = classify.grid_search(rows, "label", "id", "t", [1.0, 4.0], held_out=0.4, buckets=256, rounds=5)
+    assert best in scores and max(scores.values()) == 1.0
+    said = {r.id: r.label for r in classify.ensemble(rows, rows.select("id", "t"), "label", "id", "t", (1, 2), buckets=256, rounds=5).collect()}
+    assert all(said[i] == i % 2 for i in range(40))
