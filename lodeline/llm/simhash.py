@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from lodeline.llm import golay
+from lodeline.llm import alike, golay
 from lodeline.llm.arrow import bound_batches, by_text, materialise
 from lodeline.llm.components import smallest_reachable
 
@@ -252,13 +252,13 @@ def near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents without near-copies: of each group that near() finds the row with the smallest id.
+    """The documents without near-copies: of each group that alike.groups() finds the row with the smallest id.
 
     All columns stay. Of rows that repeat the kept id one stays. Rows with a null
     id can't be told apart: they stay if one of them is in a component without
     ids. An empty table stays empty.
     """
-    found = materialise(near(docs, id_col, text_col))
+    found = materialise(alike.groups(docs, id_col, text_col))
     kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
     kept = materialise(kept.select(F.col(id_col).alias("kept_id"), "rows"))
     stay = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
