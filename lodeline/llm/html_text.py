@@ -30,8 +30,12 @@ BLOCK = MARGIN | frozenset("html body div section article aside header footer ma
 CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th", "caption"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "thead": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tbody": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}), "tfoot": ({"thead", "tbody", "tfoot", "tr", "td", "th", "caption"}, {"table"}),
-    "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
+    "colgroup": ({"caption"}, {"table"}), "col": ({"caption"}, {"table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, set()),
 }
+#: What a table is made of, and the rows and cells that an opening tag implies between a table and itself.
+ROWS = frozenset("tr thead tbody tfoot".split())
+IMPLIES = {"tr": {"table": ["tbody"]}, "td": {"table": ["tbody", "tr"], "thead": ["tr"], "tbody": ["tr"], "tfoot": ["tr"]}}
+IMPLIES["th"] = IMPLIES["td"]
 #: What ends an open paragraph.
 ENDS_P = BLOCK - {"html", "body", "tr", "td", "th", "caption", "thead", "tbody", "tfoot"}
 #: An end tag doesn't reach beyond these.
@@ -68,6 +72,8 @@ def parse(source: str) -> Node:
 
     def add(text: str) -> None:
         if text:
+            if stack[-1].tag == "colgroup" and not text.isspace():
+                del stack[-1]
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     while m := _TAG.search(source, at):
@@ -89,6 +95,8 @@ def parse(source: str) -> Node:
             continue
         if tag in ("html", "body") and any(n.tag == tag for n in stack):
             continue
+        if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
+            del stack[-1]
         if tag in CLOSES:
             closed, until = CLOSES[tag]
             for i in range(len(stack) - 1, 0, -1):
@@ -105,6 +113,9 @@ def parse(source: str) -> Node:
                     break
         if stack[-1].tag == "head" and tag not in ("meta", "title", "link", "style", "script", "base", "template", "noscript"):
             del stack[-1]
+        for implied in IMPLIES.get(tag, {}).get(stack[-1].tag, ()):
+            stack[-1].children.append(Node(implied))
+            stack.append(stack[-1].children[-1])
         attributes = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
         node = Node(tag, attributes)
         node.seen = tag not in UNSEEN and not ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDES.search(attributes.get("style", "")) or (tag == "input"))
@@ -190,10 +201,24 @@ def _cells(node: Node) -> list[list[Node]]:
         if now.tag == "tr":
             rows.append([c for c in now.children if isinstance(c, Node) and c.tag in ("td", "th") and c.seen])
         else:
-            stack.extend(c for c in reversed(now.children) if isinstance(c, Node) and c.seen and (c.tag in ("tr", "thead", "tbody", "tfoot")))
+            stack.extend(c for c in reversed(now.children) if isinstance(c, Node) and c.seen and c.tag in ROWS)
     return rows
 
 
+def _loose(table: Node) -> list[list]:
+    """What a table, its sections and its rows hold beside cells, captions and columns, by its parent; a browser shows it before the table."""
+    out: list[list] = []
+    stack = [table]
+    while stack:
+        now = stack.pop()
+        own = ("td", "th") if now.tag == "tr" else ("caption", "colgroup") if now is table else ()
+        part = [c for c in now.children if (c.strip() if isinstance(c, str) else c.seen and c.tag not in own and c.tag not in ROWS)]
+        if part:
+            out.append(part)
+        stack.extend(c for c in reversed(now.children) if isinstance(c, Node) and c.seen and c.tag in ROWS)
+    return out
+
+
 def _number(value: str, least: int, most: int) -> int:
     return min(max(int(value), least), most) if value.isdigit() else least
 
@@ -272,10 +297,9 @@ def _render(node: Node, out: Writer, depth: int, pre: bool, lists: int) -> None:
         if tag in BLOCK:
             out.block(margin)
         if tag == "table":
-            captions = [c for c in child.children if isinstance(c, Node) and c.tag == "caption" and c.seen]
-            loose = [c for c in child.children if isinstance(c, str) and c.strip() or isinstance(c, Node) and c.seen and c.tag not in ("tr", "thead", "tbody", "tfoot", "caption", "colgroup")]
-            for part in captions + loose:
-                for line in render(Node("#part", {}, [part]), depth + 1):
+            captions = [[c] for c in child.children if isinstance(c, Node) and c.tag == "caption" and c.seen]
+            for part in _loose(child) + captions:
+                for line in render(Node("#part", {}, part), depth + 1):
                     out.block(0)
                     out._put(line)
             for line in table_lines(child, depth):
