@@ -45,6 +45,8 @@ KEY = "lodeline"
 #: Overrides that are broadcast; more are joined by a shuffle on the hash of the text.
 BROADCAST_ROWS = 20_000
 ROUNDS = 40
+#: From this attempt on each adds to names and hosts.
+GROWS = 14
 
 
 #: All kinds in one pattern; the card's group is the only one, so that its back reference holds.
@@ -126,6 +128,8 @@ def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> C
     the first digit stays, and the check digit is right exactly if it was.
     Phone: the digits before the last ten, or the first if there are no more,
     stay. Person: given and family name by gender and script, as many as there were.
+    Beyond GROWS attempts every further one adds a family name, or a digit of the
+    host, so names and addresses don't run out.
     """
     held = F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))
     hashed = lambda e: F.struct(e["kind"].alias("kind"), e["canon"].alias("canon"), e["attempt"].alias("attempt"), _hash(e["kind"], e["canon"], e["attempt"], key).alias("h"))
@@ -142,7 +146,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, h: Column) -> Colum
         ),
         "",
     )
-    host = F.concat(F.lit("@mail"), _number(h, 8, 1000).cast("string"), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _number(h, 7, 3) + 1))
+    host = F.concat(F.lit("@mail"), _number(h, 8, 1000).cast("string"), F.when(attempt > GROWS, F.substr(F.sha2(h, 256), F.lit(1), F.least(attempt - GROWS, F.lit(48)))).otherwise(""), F.lit(".example."), F.element_at(F.array(F.lit("com"), F.lit("net"), F.lit("org")), _number(h, 7, 3) + 1))
     ip = F.concat_ws(".", *[(_number(h, i, 254) + 1).cast("string") for i in range(4)])
     body = F.concat(F.substring(canon, 1, 1), _draw(h, 14))
     right = (10 - _luhn(F.concat(body, F.lit("0")))) % 10
@@ -155,6 +159,8 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, h: Column) -> Colum
     # later attempts compound two family names, so the supply doesn't run out
     family = F.when(attempt > 3, F.concat(family, F.lit("-"), _pick(h, 2, F.lit("n"), script))).otherwise(family)
     family = F.when(attempt > 12, F.concat(family, F.lit("-"), _pick(h, 4, F.lit("n"), script))).otherwise(family)
+    more = lambda i: F.concat(F.lit("-"), _pick(F.sha2(F.concat(h, i.cast("string")), 256), 0, F.lit("n"), script))
+    family = F.when(attempt > GROWS, F.concat(family, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROWS, F.lit(1))), more), ""))).otherwise(family)
     person = F.concat_ws(" ", gender, F.when(canon.rlike(r"^. \S+ \S"), _pick(h, 3, gender, script)), family)
     return (
         F.when(kind == "email", F.concat(changed, host))
@@ -199,8 +205,9 @@ def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
 def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
     """(kind, canon, attempt) of the entities that can't have their first surrogate, so that all surrogates differ and none is an entity.
 
-    RuntimeError if ROUNDS rounds don't settle it, as when a kind has more
-    entities than surrogates.
+    Names and addresses always settle, since their surrogates grow with the
+    attempts. RuntimeError if ROUNDS rounds don't settle numbers, whose surrogates
+    have their length: when a corpus has nearly all numbers of one form.
     """
     placed = materialise(found.withColumn("attempt", F.lit(0)))
     for _ in range(ROUNDS):
