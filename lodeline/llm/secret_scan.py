@@ -37,6 +37,8 @@ DOCS = 1500
 SEED = 7
 #: Tokens in a training window.
 STEPS = 40
+#: Training windows of a sampled text, at most: around its secrets, and from anywhere in it. More are drawn by a fixed seed.
+AROUND, ANYWHERE = 20, 3
 
 _MEMBER = np.zeros(256, bool)
 _MEMBER[[*range(48, 58), *range(65, 91), *range(97, 123), *b"+/_-", *range(128, 256)]] = True
@@ -225,6 +227,21 @@ def windows(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[np.ndarray,
     return [(tokens.features[:, a : a + STEPS], tag[a : a + STEPS]) for a in sorted(at)]
 
 
+def drawn_windows(text: bytes, spans: list[tuple[int, int]]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Training windows of a text drawn over the whole of it: at most AROUND around its secrets and ANYWHERE of all."""
+    r = random.Random(SEED)
+    tokens = read(Block([text]))
+    n = len(tokens.starts)
+    tag = np.zeros(n, np.int64)
+    for a, b in spans:
+        own = np.flatnonzero((tokens.starts >= a) & (tokens.ends <= b))
+        tag[own], tag[own[:1]] = IN, BEGIN
+    around = sorted({max(0, int(i) - STEPS // 2) for i in np.flatnonzero(tag == BEGIN)})
+    tiles = range(0, n, STEPS)
+    at = set(r.sample(around, min(AROUND, len(around)))) | set(r.sample(tiles, min(ANYWHERE, len(tiles))))
+    return [(tokens.features[:, a : a + STEPS], tag[a : a + STEPS]) for a in sorted(at)]
+
+
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: float = 0.1, decay: float = 1e-4) -> Model:
     """Maximise the likelihood of the windows' tags by Adam; forward-backward runs over all windows in step."""
     n = len(rows)
@@ -287,15 +304,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], rounds: int = 120, rate: floa
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = DOCS) -> Model:
     """Learn from the patterns' spans in at most ``most`` documents, drawn by the hash of their ids, and from made-up lines.
 
-    Of each sampled text the driver gets the windows around its spans and its
-    beginning, as feature numbers.
+    Of each sampled text the driver gets the windows of drawn_windows(), as
+    feature numbers.
     """
     picked = least_by_hash(docs.select(id_col).withColumn("__one", F.lit(1)), "__one", id_col, most, SEED)
 
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
         ids, features, tags = [], [], []
         for i, t in enumerate(texts):
-            for f, tag in windows(t or b"", [(a, b) for _, _, _, a, b in base(t or b"")])[:20]:
+            for f, tag in drawn_windows(t or b"", [(a, b) for _, _, _, a, b in base(t or b"")]):
                 ids.append(i)
                 features.append(f.astype(np.int16).tobytes())
                 tags.append(tag.astype(np.int8).tobytes())
@@ -310,16 +327,28 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     return fit(rows)
 
 
+def uncovered(tokens: tuple[list[int], list[int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a run of tokens (starts, ends) between spans, from the first to the last byte of tokens that no span covers."""
+    first, last = tokens[0][0], tokens[1][-1]
+    out, at = [], first
+    for a, b in sorted(s for s in spans if s[0] < last and first < s[1]) + [(last, last)]:
+        pieces = [(max(x, at), min(y, a)) for x, y in zip(*tokens, strict=True) if x < a and at < y] if at < a else []
+        if pieces:
+            out.append((pieces[0][0], pieces[-1][1]))
+        at = max(at, b)
+    return out
+
+
 def find(texts: list[bytes | None], model: Model) -> list[list[tuple[str, int, int, int, int]]]:
-    """For each text all spans (kind, start, end, value start, value end) in bytes, by start and then kind: the patterns', and the field's where they touch none of those."""
+    """For each text all spans (kind, start, end, value start, value end) in bytes, by start and then kind: the patterns', and of the field's what those don't cover."""
     block = Block(texts)
     found = [base(t or b"") for t in texts]
     tokens = read(block)
+    fields: list[list[tuple[str, int, int, int, int]]] = [[] for _ in texts]
     for a, b in model.decode(tokens):
         i = tokens.owner[a]
-        first, last = int(tokens.starts[a] - block.starts[i]), int(tokens.ends[b - 1] - block.starts[i])
-        if not any(first < y and x < last for _, x, y, _, _ in found[i]):
-            found[i].append(("crf", first, last, first, last))
+        fields[i] += [("crf", x, y, x, y) for x, y in uncovered(((tokens.starts[a:b] - block.starts[i]).tolist(), (tokens.ends[a:b] - block.starts[i]).tolist()), [(x, y) for _, x, y, _, _ in found[i]])]
+    found = [f + g for f, g in zip(found, fields, strict=True)]
     return [sorted(f, key=lambda x: (x[1], KINDS.index(x[0]))) for f in found]
 
 
