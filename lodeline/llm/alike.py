@@ -1,38 +1,51 @@
-"""Near-copies by the exact similarity of their sets of five-word shingles, without a cap on candidates.
-
-Shingles have one order for all texts, the commoner of a sample last. Two sets
-whose similarity (Jaccard) is at least 0.8 share one of the first shingles of
-both, a fifth of each set, so these are a text's keys and every such pair shares
-one; that holds for any order, the sample only spares work. Candidates are
-dropped by size and by place only where no such pair can be lost, and all others
-are verified on the whole sets.
-
-Groups are found in two steps, so that a large group costs no square. First the
-texts of a few keys are compared with the key's first and with the one before
-them. Then in every key all pairs of texts that aren't in one group yet are
-compared; a crowded key is dealt in blocks over tasks.
+"""Near-copies by the exact similarity of their sets of five-word shingles, found through fingerprints first.
+
+Two texts are linked if the Jaccard similarity of their sets is at least 0.8;
+groups are the components. Links are verified on the whole sets and found in
+three steps, each of which treats what the ones before it left apart:
+
+1. Texts whose fingerprints share a Golay key (simhash.keys_of) are compared
+   with the leaders of the most and of the least crowded of these keys.
+2. Shingles have one order for all texts, the commoner of a sample last. Two
+   sets at the least similarity share one of the first shingles of both, a fifth
+   of each set, whatever the order: these are a text's keys. Again a text is
+   compared with the leaders of the most and of the least crowded of them.
+3. In every key that still holds more than one group, all pairs of texts of
+   different groups are compared that size, place and a parity map don't rule
+   out; none of these bounds can lose a link. A crowded key is dealt in blocks.
+
+Steps 1 and 2 only spare work: step 3 meets every pair that they have left
+apart. Comparisons are made where the texts of a block meet, and only links that
+join two trees of a task are returned, so that no step returns more rows than it
+reads, whatever the size of a group.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.llm.arrow import bound_batches, by_text, materialise
 from lodeline.llm.components import smallest_reachable
 
-#: Words of a shingle, and the least similarity as a fraction.
-WORDS, OVER, UNDER = 5, 4, 5
-#: For the first step: so many keys of a text.
-FIRST_KEYS = 4
-#: Keys with more texts are dealt in blocks of about so many.
-BLOCK = 1000
-#: Bits of the map of texts to be verified.
+#: Words of a shingle, the seed of its hash, and the least similarity as a fraction.
+WORDS, SEED, OVER, UNDER = 5, 42, 4, 5
+#: Shingles and texts that meet in one task at a time: a text weighs its shingles and so many more.
+BLOCK, EXTRA = 1 << 21, 500
+#: Leaders that a text is compared with in steps 1 and 2; step 3 treats what further ones would have linked.
+LEADERS = 32
+#: Bits of the map that leaves most other texts out of a shuffle.
 BITS = 1 << 25
 #: For the order of the shingles: texts counted, how often a common shingle occurs there at least, and how many are told apart.
 COUNTED, COMMON, MOST_COMMON = 10_000, 4, 200_000
+#: Texts that a task remembers in order not to repeat their keys, and tasks over which a common key is dealt.
+SEEN, SALTS = 200_000, 256
+#: The least and the most bits of a text's parity map; a shorter map only rules out less.
+PARITY = 256, 8192
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -41,7 +54,37 @@ def shingles(text: bytes) -> np.ndarray:
     if not found:
         return np.zeros(0, np.int64)
     parts = [b" ".join(found)] if len(found) < WORDS else map(b" ".join, zip(*[found[i:] for i in range(WORDS)], strict=False))
-    return np.unique(np.array([xxhash.xxh64_intdigest(s) for s in parts], np.uint64).view(np.int64))
+    digest = xxhash.xxh64_intdigest
+    held = np.fromiter([digest(s, SEED) for s in parts], np.uint64).view(np.int64)
+    held.sort()
+    return held[np.concatenate(([True], held[1:] != held[:-1]))]
+
+
+def fingerprint(held: np.ndarray) -> int:
+    """The signed 64-bit fingerprint of a set: a bit is 1 if it is 1 in over half of the hashes."""
+    counts = np.zeros(64, np.int64)
+    for at in range(0, len(held), 8192):
+        counts += np.unpackbits(held[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(counts * 2 > len(held), bitorder="little").view(np.int64)[0])
+
+
+def parity(held: np.ndarray) -> np.ndarray:
+    """A bit for each number that shingles have modulo the bits: whether they are odd in count, as 64-bit words.
+
+    There are about as many bits as shingles, a power of two within PARITY. Two
+    maps of one length differ in at most as many bits as the sets have shingles
+    that only one of them holds; a map's halves joined by XOR are the map of half the length.
+    """
+    bits = min(max(1 << int(np.ceil(np.log2(max(0.7 * len(held), 1)))), PARITY[0]), PARITY[1])
+    odd = np.bincount((held.view(np.uint64) >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view(np.uint64)
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    """Maps (along the last axis) at a length that isn't greater."""
+    while bits.shape[-1] > words:
+        bits = bits[..., : bits.shape[-1] // 2] ^ bits[..., bits.shape[-1] // 2 :]
+    return bits
 
 
 def node_of(text: Column) -> Column:
@@ -49,87 +92,179 @@ def node_of(text: Column) -> Column:
     return F.when(text.rlike(r"[^ \t\n\x0B\f\r]"), F.xxhash64(text)).otherwise(F.lit(0))
 
 
+def level(held: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """How often the sample has each shingle, 0 if it isn't common there."""
+    known, counts = common
+    if not len(known):
+        return np.zeros(len(held), np.int64)
+    at = np.minimum(np.searchsorted(known, held), len(known) - 1)
+    return np.where(known[at] == held, counts[at], 0)
+
+
 def keys(held: np.ndarray, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The first shingles of a set in the order by how common and by hash: any set at the least similarity has one of them among its own."""
-    known, counts = common
-    level = np.zeros(len(held), np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, held), len(known) - 1)
-        level = np.where(known[at] == held, counts[at], 0)
     n = len(held)
-    return held[np.lexsort((held, level))][: n - -(-OVER * n // UNDER) + 1] if n else held
+    if not n:
+        return held
+    often = level(held, common)
+    if often.any():
+        held = held[np.argsort(often, kind="stable")]
+    return held[: n - -(-OVER * n // UNDER) + 1]
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets have the least similarity."""
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    """Whether two sorted sets have the least similarity."""
+    if len(a) > len(b):
+        a, b = b, a
+    if not len(a):
+        return not len(b)
+    at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+    both = int(np.count_nonzero(b[at] == a))
     return both * (OVER + UNDER) >= OVER * (len(a) + len(b))
 
 
+def near_size(n, other_n):
+    """Whether sets of these sizes can be alike; for columns and arrays."""
+    return (other_n * UNDER >= n * OVER) & (n * UNDER >= other_n * OVER)
+
+
 def possible(n, place, other_n, other_place):
-    """Whether sets of these sizes whose first common shingle has these places can be alike; for columns and arrays."""
+    """Whether sets of these sizes whose first common shingle has these places can be alike."""
     return ((other_n - other_place) * (OVER + UNDER) >= OVER * (n + other_n)) & ((n - place) * (OVER + UNDER) >= OVER * (n + other_n))
 
 
-def _common(docs: DataFrame, id_col: str, text_col: str) -> tuple[np.ndarray, np.ndarray]:
-    total = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64(text_col), F.lit(max(total // COUNTED, 1))) == 0)
+def few_odd(n, other_n, differ):
+    """Whether maps that differ in so many bits leave it possible that sets of these sizes are alike."""
+    return differ * (OVER + UNDER) <= (n + other_n) * (UNDER - OVER)
+
+
+class Maps:
+    """The parity maps of a part's rows, by length; each map is also held at half its length, since alike sets may need it there."""
+
+    def __init__(self, maps: list[bytes]):
+        self.words = np.array([len(m) // 8 for m in maps])
+        self.held = {}
+        for words in np.unique(self.words).tolist():
+            own, longer = np.flatnonzero(self.words == words), np.flatnonzero(self.words == 2 * words)
+            place = np.full(len(maps), -1)
+            place[own], place[longer] = np.arange(len(own)), len(own) + np.arange(len(longer))
+            table = np.frombuffer(b"".join([maps[i] for i in own]), np.uint64).reshape(-1, words)
+            if len(longer):
+                more = np.frombuffer(b"".join([maps[i] for i in longer]), np.uint64).reshape(-1, 2 * words)
+                table = np.concatenate((table, _folded(more, words)))
+            self.held[words] = table, place
+
+    def differ(self, i: int, at: np.ndarray) -> np.ndarray:
+        """The bits in which row i's map differs from those of the rows ``at``; their lengths are equal or one is twice the other."""
+        least, out = np.minimum(self.words[i], self.words[at]), np.zeros(len(at), np.int64)
+        for words in np.unique(least).tolist():
+            table, place = self.held[words]
+            some = least == words
+            out[some] = np.bitwise_count(table[place[at[some]]] ^ table[place[i]]).sum(axis=1, dtype=np.int64)
+        return out
+
+
+class Trees:
+    """Union-find over numbers."""
+
+    def __init__(self):
+        self.up: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        held = self.up
+        while (y := held.get(x, x)) != x:
+            held[x] = held.get(y, y)
+            x = y
+        return x
+
+    def join(self, a: int, b: int) -> bool:
+        """Join two trees; False if they are one already."""
+        a, b = self.root(a), self.root(b)
+        if a != b:
+            self.up[max(a, b)] = min(a, b)
+        return a != b
+
+
+def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
+    """The common shingles of about COUNTED distinct texts, sorted, and their counts."""
+    texts = docs.select(F.col(text_col).alias("t"))
+    total = texts.agg(F.approx_count_distinct("t")).first()[0]
+    picked = texts.where(F.pmod(F.xxhash64("t"), F.lit(max(total // COUNTED, 1))) == 0)
 
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
-        return [pa.array(np.concatenate([shingles(t or b"") for t in texts]))]
-
-    counted = by_text(picked, [], text_col, "s bigint", run).groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
-    found = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
-    s, n = (found.column(i).to_numpy() for i in (0, 1))
+        held = [shingles(t or b"") for t in texts]
+        nodes = [np.full(len(h), i, np.int64) for h, i in zip(held, columns[0].to_pylist(), strict=True)]
+        return [pa.array(np.concatenate(held)), pa.array(np.concatenate(nodes))]
+
+    # copies of one text count once, or a copied text would make all its shingles common
+    found = by_text(picked.withColumn("node", node_of(F.col("t"))), ["node"], "t", "s bigint, node bigint", run).distinct()
+    counted = found.groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= COMMON)
+    table = counted.orderBy(F.desc("n"), "s").limit(MOST_COMMON).toArrow()
+    s, n = (table.column(i).to_numpy() for i in (0, 1))
     order = np.argsort(s)
     return s[order], n[order]
 
 
-def _cross(batches):
-    """Pairs (a, b) of rows (part, side, comp, node, n, place), sorted by part: of one part, of different comps and, if it has two sides, of different sides."""
-    held = None
-
-    def pairs(rows):
-        side, comp, node, n, place = rows
-        two = side.min() != side.max()
-        for i in range(1, len(node)):
-            ok = (comp[:i] != comp[i]) & possible(n[i], place[i], n[:i], place[:i])
-            if two:
-                ok &= side[:i] != side[i]
-            at = np.flatnonzero(ok)
-            if len(at):
-                yield np.minimum(node[at], node[i]), np.maximum(node[at], node[i])
-
-    def out(groups):
-        a, b, held = [], [], 0
-        for rows in groups:
-            for x, y in pairs(rows):
-                a.append(x)
-                b.append(y)
-                held += len(x)
-                if held > 100_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-                    a, b, held = [], [], 0
-        if a:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
+def _groups_of(batches, width: int) -> Iterator[list[pa.Array]]:
+    """The columns after the first, as Arrow arrays, of each run of rows with one value in the first column; rows are sorted by it."""
+    last, held = None, []
     for batch in batches:
-        columns = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        if held is not None:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        if not len(columns[0]):
+        if not batch.num_rows:
             continue
-        start = np.flatnonzero(np.concatenate(([True], columns[0][1:] != columns[0][:-1])))
-        yield from out([c[i:j] for c in columns[1:]] for i, j in zip(start[:-1], start[1:], strict=True))
-        held = [c[start[-1] :] for c in columns]
-    if held is not None:
-        yield from out([held[1:]])
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """The pairs (a, b) of texts' numbers whose sets are alike."""
-    pairs = materialise(pairs.where("a <> b").distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        part = batch.column(0).to_numpy(zero_copy_only=False)
+        start = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
+        for i, j in zip(start[:-1], start[1:], strict=True):
+            if part[i] != last and held:
+                yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(1, width)]
+                held = []
+            last = part[i]
+            held.append(batch.slice(i, j - i))
+    if held:
+        yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(1, width)]
+
+
+def _pairs_out(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    a, b = [], []
+    make = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+    for x, y in found:
+        a.append(x)
+        b.append(y)
+        if len(a) == 10_000:
+            yield make()
+            a, b = [], []
+    if a:
+        yield make()
+
+
+def _leaders(batches):
+    """Links (a, b) between the texts of each part and its leaders; rows (part, follows, node, t) are sorted by part, none is held but the leaders."""
+
+    def found():
+        last, lead, trees = None, [], Trees()
+        for batch in batches:
+            part, nodes, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            for i, node in enumerate(nodes):
+                if part[i] != last:
+                    last, lead, trees = part[i], [], Trees()
+                held = shingles(texts[i].as_py())
+                bits, n, linked = parity(held), len(held), False
+                for other_node, other, other_bits in lead:
+                    if not near_size(n, len(other)):
+                        continue
+                    words = min(len(bits), len(other_bits))
+                    differ = int(np.bitwise_count(_folded(bits, words) ^ _folded(other_bits, words)).sum())
+                    if few_odd(n, len(other), differ) and trees.root(node) != trees.root(other_node) and alike(held, other):
+                        linked = True
+                        trees.join(node, other_node)
+                        yield node, other_node
+                if not linked and len(lead) < LEADERS:
+                    lead.append((node, held, bits))
+
+    yield from _pairs_out(found())
+
+
+def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(node, t): the text of each wanted node, once, as UTF-8."""
     # most other texts are left out before the shuffle, by a bitmap of bounded size
     bit = F.pmod(F.col("node"), F.lit(BITS)) + 1
     parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("held")).collect()
@@ -145,78 +280,213 @@ def _verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
             yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
 
     bound_batches(docs.sparkSession)
-    told = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "node bigint, t binary").join(wanted, "node", "left_semi")
-    told = materialise(told.groupBy("node").agg(F.first("t").alias("t")))
+    told = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "node bigint, t binary")
+    return told.groupBy("node").agg(F.first("t").alias("t"))
 
-    def check(batches):
-        last, known = None, None
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ok = []
-            for i, x in enumerate(a):
-                if x != last:
-                    last, known = x, shingles(batch.column(2)[i].as_py())
-                ok.append(alike(known, shingles(batch.column(3)[i].as_py())))
-            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
 
-    side = lambda name: told.select(F.col("node").alias(name), F.col("t").alias(f"{name}_t"))
-    return pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "a_t", "b_t").mapInArrow(check, "a bigint, b bigint")
+def _with_leaders(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+    """Links (a, b) between texts of one group, for rows (g, node, n): each is compared with the leaders of its block of the group.
+
+    The least and the greatest node of a group are in all its blocks, and first.
+    """
+    sizes = rows.groupBy("g").agg(F.sum(F.col("n") + EXTRA).alias("w"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    joined = rows.join(sizes, "g")
+    blocks = F.ceil(F.col("w") / BLOCK).cast("int")
+    first = F.col("node").isin(F.col("low"), F.col("high"))
+    own = F.when(first, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("g", "node"), blocks).cast("int")))
+    dealt = materialise(joined.select("g", "node", (~first).alias("follows"), F.explode(own).alias("own")).select(F.xxhash64("g", "own").alias("part"), "follows", "node"))
+    told = _texts(docs, text_col, dealt.select("node"))
+    met = dealt.join(told, "node").select("part", "follows", "node", "t")
+    return met.repartition("part").sortWithinPartitions("part", "follows", "node").mapInArrow(_leaders, "a bigint, b bigint")
+
+
+def _picked(rows: DataFrame) -> DataFrame:
+    """(g, node, n): the most and the least crowded key of each node, for rows (key, node, n, m) with m texts in a key."""
+    crowd = F.shiftleft(F.least("m", F.lit((1 << 22) - 1)).cast("bigint"), 40).bitwiseOR(F.col("key").bitwiseAND(F.lit((1 << 40) - 1)))
+    picked = rows.groupBy("node", "n").agg(F.max(crowd).alias("x"), F.min(crowd).alias("y"))
+    return picked.select("node", "n", F.explode(F.array_distinct(F.array("x", "y"))).alias("g"))
+
+
+#: Columns of a row of step 3.
+ROW = ["side", "comp", "node", "n", "place", "map", "key"]
+ROW_TYPES = "part bigint, side int, comp bigint, node bigint, n int, place int, map binary, key bigint"
+
+
+def _candidates(columns: list[pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
+    """For each row, the rows before it that it may be alike: of another group, on the other side if there are two, and not ruled out."""
+    side, comp, n, place = (columns[i].to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 4))
+    maps = None
+    two = side.min() != side.max()
+    for i in range(1, len(n)):
+        ok = (comp[:i] != comp[i]) & possible(n[i], place[i], n[:i], place[:i])
+        if two:
+            ok &= side[:i] != side[i]
+        at = np.flatnonzero(ok)
+        if len(at):
+            maps = maps or Maps(columns[5].to_pylist())
+            at = at[few_odd(n[i], n[at], maps.differ(i, at))]
+            if len(at):
+                yield i, at
+
+
+def _parts(batches, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The rows of each part as one batch; the first column has the part, and rows are sorted by it."""
+    for columns in _groups_of((pa.RecordBatch.from_arrays([b.column(0), *b.columns], ["p", *names]) for b in batches), len(names) + 1):
+        yield pa.RecordBatch.from_arrays(columns, names)
+
+
+def _hopeful(batches):
+    """The rows of each part that have a candidate there."""
+    for batch in _parts(batches, ["part", *ROW]):
+        stay = np.zeros(batch.num_rows, bool)
+        for i, at in _candidates(batch.columns[1:]):
+            stay[i] = True
+            stay[at] = True
+        if stay.any():
+            yield batch.filter(pa.array(stay))
+
+
+def _firsts(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
+    """The candidates (i, j) of a part that have no key in common before its own; the last column has each row's keys before it."""
+    before = None
+    for i, at in _candidates(columns):
+        before = before or [np.array(k, np.int64) for k in columns[len(ROW)].to_pylist()]
+        for j in at.tolist():
+            if not len(np.intersect1d(before[i], before[j], assume_unique=True)):
+                yield i, j
+
+
+def _first_met(batches):
+    """The rows of each part that have a candidate not met in an earlier key of both."""
+    for batch in _parts(batches, ["part", *ROW, "before"]):
+        stay = np.zeros(batch.num_rows, bool)
+        for i, j in _firsts(batch.columns[1:]):
+            stay[i] = stay[j] = True
+        if stay.any():
+            yield batch.filter(pa.array(stay))
+
+
+def _compared(batches):
+    """Links between the rows (part, *ROW, before, t) of each part, by comparing the whole sets; a pair is compared in the first of its common keys only."""
+
+    def found():
+        for columns in _groups_of(batches, len(ROW) + 3):
+            comp, node = columns[1].to_pylist(), columns[2].to_pylist()
+            held = [shingles(t) for t in columns[-1].to_pylist()]
+            trees = Trees()
+            for i, j in _firsts(columns):
+                if trees.root(comp[i]) != trees.root(comp[j]) and alike(held[i], held[j]):
+                    trees.join(comp[i], comp[j])
+                    yield node[i], node[j]
+
+    yield from _pairs_out(found())
 
 
-def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows (key, comp, node, n, place) of keys with several groups, in parts that hold every pair of different groups once or more.
+
+    Texts of a key's largest group are met by the others only, not by one another.
+    """
+    weight = F.col("n") + EXTRA
+    by_comp = rows.groupBy("key", "comp").agg(F.sum(weight).alias("w"))
+    mixed = by_comp.groupBy("key").agg(F.count(F.lit(1)).alias("c"), F.max_by("comp", "w").alias("big"), F.sum("w").alias("all"), F.max("w").alias("most")).where("c > 1")
+    joined = rows.join(mixed, "key")
+    joined = joined.withColumn("bl", F.ceil((F.col("all") - F.col("most")) / BLOCK).cast("int")).withColumn("bb", F.ceil(F.col("most") / BLOCK).cast("int"))
+    joined = joined.withColumn("large", F.col("comp") == F.col("big"))
+    own = F.pmod(F.xxhash64("node"), F.when(F.col("large"), F.col("bb")).otherwise(F.col("bl"))).cast("int")
+    joined = joined.withColumn("own", own)
+    place = lambda kind, i, j, side: F.struct(kind.alias("kind"), i.cast("int").alias("i"), j.cast("int").alias("j"), side.cast("int").alias("side"))
+    zero, one = F.lit(0), F.lit(1)
+    among = F.transform(F.sequence(zero, F.col("bl") - 1), lambda x: place(zero, F.least(F.col("own"), x), F.greatest(F.col("own"), x), F.when(F.col("own") > x, 1).otherwise(0)))
+    to_large = F.transform(F.sequence(zero, F.col("bb") - 1), lambda x: place(one, F.col("own"), x, zero))
+    to_small = F.transform(F.sequence(zero, F.col("bl") - 1), lambda x: place(one, x, F.col("own"), one))
+    single = F.array(place(zero, zero, zero, zero))
+    parts = F.when((F.col("bl") == 1) & (F.col("bb") == 1), single).when(F.col("large"), to_small).otherwise(F.concat(among, to_large))
+    return joined.select("key", "comp", "node", "n", "place", F.explode(parts).alias("p")).select(
+        F.xxhash64("key", "p.kind", "p.i", "p.j").alias("part"), F.col("p.side").alias("side"), "comp", "node", "n", "place", "key"
+    )
+
+
+def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame:
     """(a, b): the number of each text that isn't the smallest of its group, and that smallest one.
 
-    Groups are the components of all pairs with a similarity of 0.8 or more.
+    ``fuzzy`` gives the Arrow batches (key, node) of the Golay keys for batches
+    (node, fp). Groups are the components of all pairs with a similarity of 0.8 or more.
     """
     spark = docs.sparkSession
-    common = spark.sparkContext.broadcast(_common(docs, id_col, text_col))
+    common = spark.sparkContext.broadcast(_common(docs, text_col))
+    numbered = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("t"))
 
-    def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
-        out = []
+    def sketch(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
+        held = [shingles(t or b"") for t in texts]
+        return [columns[0], pa.array([len(h) for h in held], pa.int32()), pa.array([fingerprint(h) for h in held], pa.int64()), pa.array([parity(h).tobytes() for h in held], pa.binary())]
+
+    drawn = by_text(numbered, ["node"], "t", "node bigint, n int, fp bigint, map binary", sketch)
+    drawn = materialise(drawn.groupBy("node").agg(*[F.first(x).alias(x) for x in ("n", "fp", "map")]))
+
+    # 1. fingerprints
+    near = drawn.select("node", "fp").mapInArrow(fuzzy, "key bigint, node bigint")
+    crowds = near.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    near = near.join(crowds, "key").join(drawn.select("node", "n"), "node")
+    early = materialise(_with_leaders(_picked(near), docs, text_col))
+    grouped = smallest_reachable(early)
+
+    # 2. the most and the least crowded of a text's keys
+    seen: set[int] = set()
+
+    def keyed(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
+        out = [(np.zeros(0, np.int64),) * 4]
         for t, node in zip(texts, columns[0].to_pylist(), strict=True):
+            # a text's copies have equal rows: within a task one will do
+            if node in seen:
+                continue
+            if len(seen) >= SEEN:
+                seen.clear()
+            seen.add(node)
             held = shingles(t or b"")
             own = keys(held, common.value)
-            out.append((own, np.full(len(own), node), np.full(len(own), len(held)), np.arange(len(own))))
+            out.append((own, np.full(len(own), node), np.int64(len(held)) << 32 | np.arange(len(own)), level(own, common.value)))
         return [pa.array(np.concatenate(x).astype(np.int64)) for x in zip(*out, strict=True)]
 
-    numbered = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("t"))
-    keyed = by_text(numbered, ["node"], "t", "key bigint, node bigint, n bigint, place bigint", run)
-    # equal texts have equal rows
-    keyed = keyed.groupBy("key", "node").agg(F.first("n").cast("int").alias("n"), F.first("place").cast("int").alias("place"))
-    sizes = F.count(F.lit(1)).over(Window.partitionBy("key"))
-    shared = materialise(keyed.withColumn("m", sizes).where("m > 1"))
-
-    few = shared.withColumn("k", F.row_number().over(Window.partitionBy("node").orderBy(F.desc("m"), "key"))).where(F.col("k") <= FIRST_KEYS)
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
-    # the row with the least hash comes first, so first() is the same for all and lag() is the one before
-    beside = few.select("node", "n", *[f("node").over(by_key).alias(x) for f, x in ((F.first, "x"), (F.lag, "y"))], *[f("n").over(by_key).alias(x) for f, x in ((F.first, "xn"), (F.lag, "yn"))])
-    tried = beside.select("node", "n", F.explode(F.array(F.struct(F.col("x").alias("o"), F.col("xn").alias("on")), F.struct(F.col("y").alias("o"), F.col("yn").alias("on")))).alias("e"))
-    tried = tried.where((F.col("e.on") * UNDER >= F.col("n") * OVER) & (F.col("n") * UNDER >= F.col("e.on") * OVER))
-    early = materialise(_verified(tried.select(F.least("node", "e.o").alias("a"), F.greatest("node", "e.o").alias("b")), docs, text_col))
+    each = by_text(numbered, ["node"], "t", "key bigint, node bigint, at bigint, hot bigint", keyed)
+    # a common key, known by the sample to be in several texts, is dealt over many tasks; any other one is counted in one
+    each = each.withColumn("salt", F.when(F.col("hot") > 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).repartition("key", "salt")
+    each = each.groupBy("key", "salt", "node").agg(F.first("at").alias("at"), F.first("hot").alias("hot"))
+    sizes = each.groupBy("key", "salt").agg(F.when(F.max("hot") > 0, F.max("hot") * 1000).otherwise(F.count(F.lit(1))).alias("m")).where("m > 1")
+    shared = each.join(sizes, ["key", "salt"])
+    shared = materialise(shared.select("key", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "m"))
+
+    def apart(rows: DataFrame, grouped: DataFrame) -> DataFrame:
+        rows = rows.join(grouped.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
+        return rows.join(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "key", "left_semi")
+
+    left = materialise(apart(shared, grouped))
+    early = materialise(early.unionByName(_with_leaders(_picked(left), docs, text_col)))
     grouped = smallest_reachable(early)
 
-    rows = shared.join(grouped.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node"))
-    mixed = rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key")
-    rows = rows.join(mixed, "key", "left_semi")
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    part = F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other"))
-    dealt = rows.select(part.alias("part"), F.when(F.col("own") > F.col("other"), 1).otherwise(0).alias("side"), "comp", "node", "n", "place")
-    pairs = dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_cross, "a bigint, b bigint")
-    late = _verified(pairs, docs, text_col)
+    # 3. all pairs that are left
+    left = apart(left.drop("comp"), grouped)
+    dealt = _dealt(materialise(left)).join(drawn.select("node", "map"), "node").select("part", *ROW)
+    hopeful = materialise(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_hopeful, ROW_TYPES))
+    held = hopeful.groupBy("node").agg(F.collect_set(F.struct("place", "key")).alias("held"))
+    before = F.transform(F.filter("held", lambda x: x["place"] < F.col("place")), lambda x: x["key"]).alias("before")
+    told_apart = hopeful.join(held, "node").select("part", *ROW, before).repartition("part").sortWithinPartitions("part")
+    few = materialise(told_apart.mapInArrow(_first_met, ROW_TYPES + ", before array<bigint>"))
+    met = few.join(_texts(docs, text_col, few.select("node")), "node").select("part", *ROW, "before", "t")
+    late = met.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_compared, "a bigint, b bigint")
     return smallest_reachable(early.unionByName(late))
 
 
-def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def groups(docs: DataFrame, fuzzy: Callable, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, component_id) of groups of near-copies: the smallest id of all texts that links() connects.
 
     Null, empty and blank texts are one group; a null id never names a group with
     other ids; rows that repeat an id stay; an empty table gives an empty result.
     """
-    marked = materialise(docs.select(id_col, node_of(F.col(text_col)).alias("node")))
-    nodes = marked.groupBy("node").agg(F.min(id_col).alias("low"))
-    joined = links(docs, id_col, text_col)
+    marked = materialise(docs.select(F.col(id_col).alias("id"), node_of(F.col(text_col)).alias("node")))
+    nodes = marked.groupBy("node").agg(F.min("id").alias("low"))
+    joined = links(docs, fuzzy, text_col)
     member = materialise(nodes.join(joined, nodes["node"] == joined["a"], "left").select("node", "low", F.coalesce("b", "node").alias("root")))
     least = member.groupBy("root").agg(F.min("low").alias("component_id"))
     named = member.join(least, "root").select("node", "component_id")
-    return marked.join(named, "node").select(id_col, "component_id")
+    return marked.join(named, "node").select(F.col("id").alias(id_col), "component_id")

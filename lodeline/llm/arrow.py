@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import zipfile
 from collections.abc import Callable, Iterator
@@ -11,8 +13,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: Rows in an Arrow batch of whole texts. Texts may be long, so Spark's default of 10,000 rows could need gigabytes.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch of whole texts; a longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 1000, 1 << 26
 #: Bytes of text that numpy kernels treat at once; a longer text is treated alone.
 BLOCK_BYTES = 1 << 19
 
@@ -27,7 +29,10 @@ def ship(spark: SparkSession) -> None:
         return
     _shipped.add(context.applicationId)
     root = Path(__file__).resolve().parents[1]
-    packed = Path(tempfile.mkdtemp()) / f"{root.name}.zip"
+    # the driver serves the file from here to the executors, so it goes when the driver ends
+    folder = Path(tempfile.mkdtemp())
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    packed = folder / f"{root.name}.zip"
     with zipfile.ZipFile(packed, "w") as out:
         for source in sorted(root.rglob("*.py")):
             out.write(source, source.relative_to(root.parent))
@@ -35,27 +40,46 @@ def ship(spark: SparkSession) -> None:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to BATCH_ROWS where it is higher, and see that workers have this package."""
+    """Lower the session's rows and bytes per Arrow batch where they are higher, and see that workers have this package."""
     ship(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    held = int(spark.conf.get(key))
-    if held <= 0 or held > BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        held = spark.conf.get(key).lower()
+        if not held.rstrip("b").isdigit() or not 0 < int(held.rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where it is unset a local one will do if the session is local, as in tests; on a cluster ValueError."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the folder that spark.checkpoint.dir names.
+    """Cut the lineage with checkpoint() in the shared folder.
 
-    Executors may be lost later: the copy is in shared storage. A folder is set
-    here only where the session has none, as in tests.
+    Executors may be lost later: the copy is in shared storage. Copies go when
+    the session's garbage collection finds them unused, if
+    spark.cleaner.referenceTracking.cleanCheckpoints is on, as
+    lodeline.session.SETTINGS has it.
     """
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint()
 
 
+def free(name: str, df: DataFrame) -> str:
+    """The name, or with underscores before it if ``df`` has such a column in whatever case."""
+    held = {c.lower() for c in df.columns}
+    while name.lower() in held:
+        name = f"_{name}"
+    return name
+
+
 def by_text(
     df: DataFrame,
     columns: list[str],

@@ -22,14 +22,14 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from lodeline.llm import alike, golay
-from lodeline.llm.arrow import bound_batches, by_text, materialise
+from lodeline.llm.arrow import bound_batches, by_text, free, materialise
 from lodeline.llm.components import smallest_reachable
 
 #: The XXH64 seed of a shingle.
 SEED = 42
 #: Segments as (lowest bit, bits).
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
-#: Keys with up to so many fingerprints are joined pair by pair; how others are linked, components() and near() say.
+#: Keys with up to so many fingerprints are joined pair by pair; the fingerprints of others are linked through their balls, as exactly.
 PAIRWISE = 8
 
 
@@ -73,14 +73,16 @@ def keys_of(fps: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _emit_keys(batches):
+def emit_keys(batches):
+    """The distinct keys of rows (node, fp) as rows (key, node)."""
     for batch in batches:
-        fps = batch.column(0).to_numpy(zero_copy_only=False)
-        keys = np.sort(np.concatenate(keys_of(fps), axis=1), axis=1) if len(fps) else np.zeros((0, 1), np.int64)
-        fresh = np.ones(keys.shape, bool)
-        fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
-        rows = np.nonzero(fresh)
-        yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), pa.array(fps[rows[0]])], ["key", "fp"])
+        for at in range(0, batch.num_rows, 10_000):
+            part = batch.slice(at, 10_000)
+            keys = np.sort(np.concatenate(keys_of(part.column(1).to_numpy(zero_copy_only=False)), axis=1), axis=1)
+            fresh = np.ones(keys.shape, bool)
+            fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
+            rows = np.nonzero(fresh)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), part.column(0).take(pa.array(rows[0]))], ["key", "node"])
 
 
 def _emit_ball(batches):
@@ -94,7 +96,7 @@ def _emit_ball(batches):
 def links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) of distinct fingerprints (column fp) whose components are those of all pairs at two or fewer differing bits."""
     bound_batches(distinct.sparkSession)
-    keyed = materialise(distinct.mapInArrow(_emit_keys, "key bigint, fp bigint"))
+    keyed = materialise(distinct.select("fp", F.col("fp").alias("same")).mapInArrow(emit_keys, "key bigint, node bigint").withColumnRenamed("node", "fp"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = materialise(keyed.join(sizes, "key"))
     few = shared.where(F.col("n") <= PAIRWISE)
@@ -136,134 +138,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return marked.join(named, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: For near() alone: fingerprints of each text, and how many of their bits may differ together. At 32 of 256 the sets of five-word shingles of
-#: two texts have a similarity of about 0.75 to 0.8; the estimate's standard deviation is about five bits.
-FINGERPRINTS, MOST_BITS = 4, 32
-
-
-def wide_fingerprint(text: bytes, words: int = 3) -> np.ndarray:
-    """FINGERPRINTS fingerprints of 64 bits from as many independent hashes of the shingles; zeros for a text without words."""
-    found = text.lower().split()
-    if not found:
-        return np.zeros(FINGERPRINTS, np.uint64)
-    shingles = [b" ".join(found)] if len(found) < words else list(map(b" ".join, zip(*[found[i:] for i in range(words)], strict=False)))
-    size = 8 * FINGERPRINTS
-    raw = np.empty((len(shingles), size), np.uint8)
-    for at in range(0, size, 16):
-        digests = b"".join([xxhash.xxh3_128_digest(s, SEED + at) for s in shingles])
-        raw[:, at : at + 16] = np.frombuffer(digests, np.uint8).reshape(-1, 16)
-    counts = np.zeros(8 * size, np.int64)
-    for at in range(0, len(raw), 8192):
-        counts += np.unpackbits(raw[at : at + 8192], axis=1, bitorder="little").sum(axis=0, dtype=np.int32)
-    return np.packbits(counts * 2 > len(raw), bitorder="little").view(np.uint64)
-
-
-def wide_keys(fps: np.ndarray, number: int) -> np.ndarray:
-    """The sorted keys of each of the fingerprints with this number: every segment exact, joined with each of its neighbours decoded; one row a fingerprint."""
-    raw = fps.view(np.uint64)
-    part = [((raw >> np.uint64(low)) & np.uint64((1 << bits) - 1)).astype(np.int64) for low, bits in SEGMENTS]
-    near_by = [golay.nearby(p, bits) for p, (_, bits) in zip(part, SEGMENTS, strict=True)]
-    out = [np.int64(number << 3 | i << 1 | back) << 40 | part[i][:, None] << 12 | near_by[(i + 1 + back) % 3] for i in range(3) for back in (0, 1)]
-    return np.sort(np.concatenate(out, axis=1), axis=1)
-
-
-def _emit_wide_keys(batches):
-    for batch in batches:
-        for at in range(0, batch.num_rows, 2000):
-            part = batch.slice(at, 2000)
-            for f in range(FINGERPRINTS):
-                keys = wide_keys(part.column(1 + f).to_numpy(zero_copy_only=False), f)
-                fresh = np.ones(keys.shape, bool)
-                fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
-                rows = np.nonzero(fresh)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[rows]), part.column(0).take(pa.array(rows[0]))], ["key", "node"])
-
-
-def _pair_neighbours(batches):
-    """Pairs (a, b) of the nodes of each key, rows sorted by key: the first PAIRWISE with each other, any further one with the first and the one before it.
-
-    Between batches the first rows of the last key, its last and their number are held.
-    """
-    key, early, last, count = None, np.zeros(0, np.int64), None, 0
-    for batch in batches:
-        keys, nodes = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        if not len(keys):
-            continue
-        held = count if keys[0] == key else 0
-        ahead = np.append(early, last)[: held if held <= PAIRWISE else None] if held else early[:0]
-        lead = len(ahead)
-        keys, nodes = np.concatenate((np.full(lead, keys[0]), keys)), np.concatenate((ahead, nodes))
-        n = len(keys)
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        group = np.repeat(start, np.diff(np.append(start, n)))
-        at = np.arange(n)
-        place = at - group + np.where((group == 0) & (at >= lead), held - lead, 0)
-        fresh = at >= lead
-        a, b = [], []
-        for back in range(1, PAIRWISE):
-            own = at[fresh & (place < PAIRWISE) & (place >= back)]
-            a.append(nodes[own - back])
-            b.append(nodes[own])
-        far = at[fresh & (place >= PAIRWISE)]
-        a += [nodes[group[far]], nodes[far - 1]]
-        b += [nodes[far], nodes[far]]
-        a, b = np.concatenate(a), np.concatenate(b)
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        two = np.unique(np.stack((low, high), axis=1)[low < high], axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(two[:, 0])), pa.array(np.ascontiguousarray(two[:, 1]))], ["a", "b"])
-        key, last, count = keys[-1], nodes[-1], int(place[-1]) + 1
-        early = nodes[start[-1] : start[-1] + min(PAIRWISE, count)]
-
-
-def near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id_col, component_id) of groups of near-copies: texts whose sets of five-word shingles are about 0.8 similar or more.
-
-    Similarity is estimated by FINGERPRINTS fingerprints together, which link at
-    MOST_BITS differing bits or fewer. A key joins a segment of a fingerprint,
-    exact, with a Golay codeword near one of the other two; a text has about 130
-    keys, and a pair is met if it shares one. In a key, the first PAIRWISE texts
-    are compared with each other and any further one with the first and the one
-    before it: the work grows with a group's size, not its square, and a text of
-    a large group has twice as many chances to be linked as it has keys. Exact copies
-    always share a component. Null, empty and blank texts are one group; a null
-    id never names a component with other ids; an empty table gives an empty
-    result.
-    """
-    kind = docs.schema[id_col].dataType.simpleString()
-    fs = [f"f{i}" for i in range(FINGERPRINTS)]
-
-    def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
-        found = np.array([wide_fingerprint(t or b"", words) for t in texts], np.uint64).reshape(-1, FINGERPRINTS).view(np.int64)
-        return [columns[0], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(FINGERPRINTS))]
-
-    marked = materialise(by_text(docs, [id_col], text_col, f"{id_col} {kind}, " + ", ".join(f"{f} bigint" for f in fs), run))
-    # texts with equal fingerprints are one node, numbered by a hash, since ids may be null or repeated
-    nodes = materialise(marked.groupBy(*fs).agg(F.min(id_col).alias("low")).withColumn("node", F.xxhash64(*fs)))
-    keyed = nodes.select("node", *fs).mapInArrow(_emit_wide_keys, "key bigint, node bigint")
-    met = keyed.repartition("key").sortWithinPartitions("key", "node").mapInArrow(_pair_neighbours, "a bigint, b bigint").distinct()
-    side = lambda name: nodes.select(F.col("node").alias(name), F.array(*fs).alias(f"{name}_f"))
-    bits = sum((F.bit_count(F.col("a_f")[i].bitwiseXOR(F.col("b_f")[i])) for i in range(1, FINGERPRINTS)), F.bit_count(F.col("a_f")[0].bitwiseXOR(F.col("b_f")[0])))
-    edges = met.join(side("a"), "a").join(side("b"), "b").where(bits <= MOST_BITS).select("a", "b")
-    joined = smallest_reachable(edges)
-    member = materialise(nodes.join(joined, nodes["node"] == joined["a"], "left").select("node", "low", F.coalesce("b", "node").alias("root")))
-    least = member.groupBy("root").agg(F.min("low").alias("component_id"))
-    named = member.where("node <> root").select("node", "root").join(least, "root").select("node", "component_id").unionByName(least.select(F.col("root").alias("node"), "component_id"))
-    return marked.select(id_col, F.xxhash64(*fs).alias("node")).join(named, "node").select(id_col, "component_id")
-
-
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without near-copies: of each group that alike.groups() finds the row with the smallest id.
 
-    All columns stay. Of rows that repeat the kept id one stays. Rows with a null
-    id can't be told apart: they stay if one of them is in a component without
-    ids. An empty table stays empty.
+    Groups are the components of all pairs whose sets of five-word shingles have
+    a similarity of 0.8 or more; the Golay keys of the sets' fingerprints lead to
+    most of them, and no other pair is left out. All columns stay. Null, empty
+    and blank texts are one group. Of rows that repeat the kept id one stays.
+    Rows with a null id can't be told apart: they stay if one of them is in a
+    component without ids. An empty table stays empty.
     """
-    found = materialise(alike.groups(docs, id_col, text_col))
-    kept = found.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(id_col).agg(F.count(F.lit(1)).alias("rows"))
-    kept = materialise(kept.select(F.col(id_col).alias("kept_id"), "rows"))
-    stay = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id"]), "left_semi")
-    twice = kept.where("rows > 1 and kept_id is not null")
+    kind = docs.schema[id_col].dataType
+    found = materialise(alike.groups(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), emit_keys, "id", "text"))
+    kept = found.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("id").agg(F.count(F.lit(1)).alias("rows"))
+    kept = materialise(kept.select(F.col("id").cast(kind).alias(free("kept_id", docs)), F.col("rows").alias(free("rows", docs))))
+    at, rows = kept.columns
+    stay = docs.join(kept, docs[id_col].eqNullSafe(kept[at]), "left_semi")
+    twice = kept.where((F.col(rows) > 1) & F.col(at).isNotNull())
     if twice.isEmpty():
         return stay
-    repeated = stay.join(twice, stay[id_col] == twice["kept_id"], "left_semi").dropDuplicates([id_col])
-    return stay.join(twice, stay[id_col] == twice["kept_id"], "left_anti").unionByName(repeated)
+    repeated = stay.join(twice, stay[id_col] == twice[at], "left_semi").dropDuplicates([id_col])
+    return stay.join(twice, stay[id_col] == twice[at], "left_anti").unionByName(repeated)

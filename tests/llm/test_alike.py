@@ -1,6 +1,8 @@
 """Near-copies against brute force over all pairs."""
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from lodeline.llm import alike, simhash
 
@@ -45,13 +47,54 @@ def crowd(seed, templates=60):
     return dict(enumerate(texts))
 
 
-def test_all_pairs_of_crowded_keys_are_met(spark, monkeypatch):
-    monkeypatch.setattr(alike, "BLOCK", 20)
+@pytest.mark.parametrize(("block", "leaders", "common"), [(1 << 21, 32, 4), (12_000, 1, 4), (12_000, 32, 1 << 30), (1 << 21, 0, 1 << 30)])
+def test_all_pairs_of_crowded_keys_are_met(spark, monkeypatch, block, leaders, common):
+    """Whatever the early steps leave apart, and in however many blocks a key is dealt, the last step meets all pairs."""
+    monkeypatch.setattr(alike, "BLOCK", block)
+    monkeypatch.setattr(alike, "LEADERS", leaders)
+    monkeypatch.setattr(alike, "COMMON", common)
     texts = crowd(3)
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     truth = plain_groups(texts)
     assert 20 < len(set(truth.values())) < len(texts)
-    assert {r.doc_id: r.component_id for r in alike.groups(docs).collect()} == truth
+    assert {r.doc_id: r.component_id for r in alike.groups(docs, simhash.emit_keys).collect()} == truth
+
+
+def test_bounds_lose_no_alike_pair():
+    r = np.random.default_rng(11)
+    seen = 0
+    for n in (1, 2, 7, 60, 400, 3000, 30_000):
+        for _ in range(40):
+            a = r.integers(-(2**63), 2**63 - 1, n)
+            b = np.concatenate((a[: n - int(n * r.uniform(0, 0.25))], r.integers(-(2**63), 2**63 - 1, int(n * r.uniform(0, 0.25)))))
+            a, b = np.unique(a), np.unique(b)
+            truth = 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+            assert alike.alike(a, b) == truth
+            seen += truth
+            if not truth or not len(b):
+                continue
+            maps = alike.Maps([alike.parity(a).tobytes(), alike.parity(b).tobytes()])
+            assert alike.near_size(len(a), len(b)) and alike.few_odd(len(a), len(b), maps.differ(0, np.array([1]))[0])
+            own, other = (alike.keys(x, (np.zeros(0, np.int64), np.zeros(0, np.int64))).tolist() for x in (a, b))
+            first = next(k for k in own if k in set(other))
+            assert alike.possible(len(a), own.index(first), len(b), other.index(first))
+    assert seen > 50
+
+
+def test_a_large_group_returns_no_more_rows_than_it_has(spark):
+    """600 near-copies of one text and 40 strangers that share half of it."""
+    r = np.random.default_rng(2)
+    base = [f"w{i}" for i in range(200)]
+    texts = {}
+    for i in range(640):
+        copy = list(base) if i < 600 else base[:100] + [f"s{i}x{k}" for k in range(100)]
+        copy[int(r.integers(0, len(copy)))] = f"e{i}"
+        texts[i] = " ".join(copy)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    found = {x.doc_id: x.component_id for x in alike.groups(docs, simhash.emit_keys).collect()}
+    assert found == {i: 0 if i < 600 else i for i in texts}
+    rows = [pa.RecordBatch.from_arrays([pa.array([7] * 600), pa.array([True] * 600), pa.array(list(range(600))), pa.array([texts[i].encode() for i in range(600)])], ["part", "follows", "node", "t"])]
+    assert sum(b.num_rows for b in alike._leaders(iter(rows))) < 600
 
 
 def test_five_words_at_the_threshold(spark):
@@ -61,9 +104,9 @@ def test_five_words_at_the_threshold(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     truth = plain_groups(texts) | {6: 6, 7: 6}
     assert truth[2] == 1 and truth[3] == 3 and truth[4] == 1 and truth[5] == 5
-    assert {r.doc_id: r.component_id for r in alike.groups(docs).collect()} == truth
+    assert {r.doc_id: r.component_id for r in alike.groups(docs, simhash.emit_keys).collect()} == truth
     assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == [1, 3, 5, 6, 8]
-    assert alike.groups(docs.limit(0)).count() == 0
+    assert alike.groups(docs.limit(0), simhash.emit_keys).count() == 0
 
 
 def test_groups_of_the_table(spark, sf_dir):
@@ -71,4 +114,4 @@ def test_groups_of_the_table(spark, sf_dir):
     texts = {r.doc_id: r.text for r in docs.collect()}
     truth = plain_groups(texts)
     blank = [i for i, t in texts.items() if not plain_set(t)]
-    assert {r.doc_id: r.component_id for r in alike.groups(docs).collect()} == truth | {i: min(blank) for i in blank}
+    assert {r.doc_id: r.component_id for r in alike.groups(docs, simhash.emit_keys).collect()} == truth | {i: min(blank) for i in blank}

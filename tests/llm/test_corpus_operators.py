@@ -159,11 +159,11 @@ def test_stages(spark, sf_dir):
 
 def test_pipeline_against_plain_versions(spark, sf_dir):
     """Language and secrets by their own operators, near-copies and passages by brute force, then the SQL of mixing."""
-    from test_simhash import plain_near
+    from test_alike import plain_groups
     from test_text_operators import plain_tokens
 
     docs = {r.doc_id: r for r in corpus_pipeline.language(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir).collect()}
-    parts = plain_near({i: r.text for i, r in docs.items()})
+    parts = plain_groups({i: r.text for i, r in docs.items()})
     docs = {i: r for i, r in docs.items() if parts[i] == i}
     items = [" ".join(plain_tokens(r.text)) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
     clean = {i: r for i, r in docs.items() if not any(f" {x} " in f" {' '.join(plain_tokens(r.text))} " for x in items)}

@@ -6,7 +6,7 @@ import xxhash
 from hypothesis import given, settings, strategies as st
 
 from lodeline.llm import golay, simhash
-from lodeline.llm.components import smallest_reachable
+from lodeline.llm.components import settled, smallest_reachable
 
 
 def plain_fingerprint(text, n=3):
@@ -42,26 +42,6 @@ def plain_components(pairs):
     return {i: find(i) for i in ids}
 
 
-def plain_near(texts):
-    """Smallest id of each group of texts that share a key and differ in at most MOST_BITS bits; keys are small enough that all their pairs are compared."""
-    fps = {i: simhash.wide_fingerprint((t or "").encode()) for i, t in texts.items()}
-    keys = {i: {k for f in range(simhash.FINGERPRINTS) for k in simhash.wide_keys(x[f : f + 1].view(np.int64), f)[0].tolist()} for i, x in fps.items()}
-    root = {i: i for i in texts}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    order = sorted(texts)
-    for n, i in enumerate(order):
-        for j in order[n + 1 :]:
-            if int(np.bitwise_count(fps[i] ^ fps[j]).sum()) <= simhash.MOST_BITS and keys[i] & keys[j]:
-                a, b = sorted((find(i), find(j)))
-                root[b] = a
-    return {i: find(i) for i in order}
-
-
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB é\n\t x", max_size=60))
 def test_fingerprint(text):
@@ -142,38 +122,10 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in op1_simhash(spark, sf_dir).collect()} == {i: (f"{truth[i]:016x}", parts[i]) for i in truth}
 
 
-def test_near_against_brute_force(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    truth = plain_near({r.doc_id: r.text for r in docs.collect()})
-    assert {r.doc_id: r.component_id for r in simhash.near(docs).collect()} == truth
-
-
-def test_near_finds_edited_copies_and_crowds(spark):
-    r = np.random.default_rng(5)
-    word = lambda: "".join(r.choice(list("abcdefghij"), 5))
-    rows, group = [], {}
-    for g in range(20):
-        words = [word() for _ in range(300)]
-        for k in range(60 if g == 0 else 4):
-            copy = list(words)
-            for at in r.choice(300, 2, replace=False):
-                copy[at] = word()
-            group[len(rows)] = g
-            rows.append((len(rows), " ".join(copy)))
-    found = {x.doc_id: x.component_id for x in simhash.near(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert all(group[i] == group[c] for i, c in found.items())
-    alone = [i for i in found if sum(c == found[i] for c in found.values()) == 1]
-    assert len(alone) <= 4 and sum(c == 0 for c in found.values()) >= 58
-
-
-def test_pairs_of_a_key_across_batches():
-    import pyarrow as pa
-
-    keys = [1] * 3 + [2] * 20 + [3] + [4] * 9
-    nodes = list(range(len(keys)))
-    for size in (1, 2, 5, 40):
-        batches = [pa.RecordBatch.from_arrays([pa.array(keys[i : i + size]), pa.array(nodes[i : i + size])], ["key", "node"]) for i in range(0, len(keys), size)]
-        found = {p for b in simhash._pair_neighbours(iter(batches)) for p in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)}
-        first = {k: keys.index(k) for k in keys}
-        truth = {(j, i) for i in nodes for j in nodes if j < i and keys[i] == keys[j] and (i - first[keys[i]] < simhash.PAIRWISE or j in (first[keys[i]], i - 1))}
-        assert found == truth
+def test_edges_settle_only_as_stars(spark):
+    edges = lambda *rows: spark.createDataFrame(rows, "a long, b long")
+    assert settled(edges((5, 1), (6, 1), (9, 2)))
+    assert not settled(edges((5, 1), (6, 5)))
+    assert not settled(edges((5, 1), (5, 2)))
+    # edges whose hashes have one sum modulo a million are told apart all the same
+    assert {tuple(r) for r in smallest_reachable(edges(*[(i + 1, i) for i in range(0, 90)], *[(1000 - i, 999 - i) for i in range(90)])).collect()} == {(i, 0) for i in range(1, 91)} | {(i, 910) for i in range(911, 1001)}
