@@ -31,8 +31,8 @@ MARK = "▁"
 #: Documents of each language from which the probabilities are learned, at most.
 DOCS_PER_LANGUAGE = 400
 SEED = 5
-#: A run of letters longer than this is scored in parts of this many letters.
-LONGEST = 32
+#: A longer run of letters teaches nothing (learning is from a sample anyway); it is scored whole, but apart from the others.
+LONGEST = 40
 #: Words whose scores a worker keeps; the memory is cleared beyond it.
 MEMORY = 400_000
 #: Probability of a letter that no piece covers.
@@ -42,11 +42,12 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
 def words_of(text: str) -> list[str]:
-    """Lower-cased runs of letters, long ones in parts."""
+    """Lower-cased maximal runs of letters, which are the characters of Unicode's category L."""
     found = _WORD.findall(text.lower())
-    if found and len(max(found, key=len)) > LONGEST:
-        found = [w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)]
-    return found
+    if all(map(str.isalpha, found)):
+        return found
+    # the pattern also takes number signs such as fractions and Roman numerals
+    return [run for w in found for run in (w if w.isalpha() else "".join(c if c.isalpha() else " " for c in w)).split(" ") if run]
 
 
 class Lattice:
@@ -147,8 +148,39 @@ class Model:
             self._lattice = Lattice(self.pieces)
         return self._lattice
 
+    def score_long(self, word: str) -> np.ndarray:
+        """score() of one word of any length, letter by letter, with a running factor instead of ever smaller numbers."""
+        lattice = self.lattice()
+        _, _, groups = lattice.arcs([word])
+        start, end, piece = (np.concatenate(x) for x in zip(*groups, strict=True))
+        order = np.argsort(start, kind="stable")
+        end, piece = end[order], piece[order]
+        n = len(word) + 1
+        cut = np.searchsorted(start[order], np.arange(n + 1)).tolist()
+        reach = lattice.longest + 1
+        alpha, factor = np.zeros((n + 1 + reach, len(self.languages))), np.zeros(len(self.languages))
+        alpha[0] = 1
+        for i in range(n):
+            arcs = slice(cut[i], cut[i + 1])
+            alpha[end[arcs]] += alpha[i] * self.table[piece[arcs]]  # the arcs out of a node have different ends
+            if i % 16 == 15:
+                ahead = alpha[i + 1 : i + 1 + reach]
+                most = ahead.max(axis=0)
+                ahead /= most
+                factor += np.log(most)
+        return np.log(np.maximum(alpha[n], 1e-300)) + factor
+
     def score(self, words: list[str]) -> np.ndarray:
         """The logarithm of each word's probability in each language, over all its segmentations."""
+        far = [i for i, w in enumerate(words) if len(w) > LONGEST]
+        if far:
+            out = np.zeros((len(words), len(self.languages)))
+            near = np.ones(len(words), bool)
+            near[far] = False
+            out[near] = self.score([w for w in words if len(w) <= LONGEST])
+            for i in far:
+                out[i] = self.score_long(words[i])
+            return out
         if not words:
             return np.zeros((0, len(self.languages)))
         nodes, ends, groups = self.lattice().arcs(words)
@@ -218,7 +250,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         held: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(words_of(text or ""))
+                held.setdefault(lang, Counter()).update(w for w in words_of(text or "") if len(w) <= LONGEST)
         out = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -243,10 +275,16 @@ class Scorer:
         found = [words_of(t.decode("utf-8", "replace")) if t else [] for t in texts]
         if not self.model.languages:
             return [("und", 0.0, 0.0)] * len(found)
-        fresh = list(set().union(*found).difference(self.known))
+        long = {w: self.model.score_long(w) for words in found for w in words if len(w) > LONGEST}
+        if long:
+            rest = [[w for w in words if len(w) <= LONGEST] for words in found]
+            more = [sum((long[w] for w in words if len(w) > LONGEST), np.zeros(len(self.model.languages))) for words in found]
+        else:
+            rest, more = found, [0.0] * len(found)
+        fresh = list(set().union(*rest).difference(self.known))
         if len(self.known) + len(fresh) > MEMORY:
             self.known, self.scores = {}, np.zeros((0, len(self.model.languages)))
-            fresh = list(set().union(*found))
+            fresh = list(set().union(*rest))
         if fresh:
             fresh.sort(key=len)
             base = len(self.known)
@@ -254,12 +292,12 @@ class Scorer:
             parts = [self.model.score(fresh[i : i + 20_000]) for i in range(0, len(fresh), 20_000)]
             self._put(base, np.concatenate(parts))
         out = []
-        for words in found:
+        for words, short, extra in zip(found, rest, more, strict=True):
             if not words:
                 out.append(("und", 0.0, 0.0))
                 continue
-            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-            total = self.scores[at].sum(axis=0)
+            at = np.fromiter(map(self.known.__getitem__, short), np.int64, len(short))
+            total = self.scores[at].sum(axis=0) + extra
             best = int(total.argmax())
             share = float(1 / np.exp(total - total[best]).sum())
             out.append((self.model.languages[best], share, float(total[best]) / sum(map(len, words))))
@@ -296,7 +334,11 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
 
 
 def keep_known(docs: DataFrame, model: Model, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The documents whose language is recognised with a posterior of at least ``least``, all columns kept; null and letterless texts go."""
+    """The documents whose language is recognised with a posterior of at least ``least``, all columns kept; null and letterless texts go.
+
+    Rows are judged one by one: repeated rows and null ids share their text's
+    fate, and an empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     held: list[Scorer] = []
 
