@@ -94,11 +94,14 @@ def read(block: Block) -> Tokens:
     kind = _CLASS[data]
 
     def total(flags: np.ndarray) -> np.ndarray:
-        before = np.concatenate(([0], np.cumsum(flags)))
-        return before[ends] - before[starts]
+        return np.add.reduceat(flags.astype(np.uint8), bounds, dtype=np.int32)[::2]
+
+    bounds = np.stack((starts, ends), axis=1).ravel()
+    if bounds[-1] == len(data):
+        bounds = bounds[:-1]
 
     digits = total(kind == 4)
-    classes = sum((total(kind == 1 << b) > 0).astype(np.int64) << b for b in range(5))
+    classes = np.bitwise_or.reduceat(kind, bounds)[::2].astype(np.int64)
     switch = np.concatenate(([False], (kind[1:] == 4) != (kind[:-1] == 4)))
     switches = total(switch) - switch[starts]
     hexed = (total(_HEX[data]) == length) & (digits > 0) & (digits < length) & (length >= 8)
@@ -134,6 +137,21 @@ def read(block: Block) -> Tokens:
 
 OUT, BEGIN, IN = 0, 1, 2
 _NEVER = -1e4
+#: The longest stretches of a block are decoded one by one.
+APART = 12
+#: The features of Tokens.features in two groups; a token's values of a group are one row of a table of summed weights.
+HALVES = (slice(0, 5), slice(5, len(SIZES)))
+
+
+def _tables(weights: np.ndarray) -> list[np.ndarray]:
+    """For each group of features the summed weights of every combination of their values."""
+    out = []
+    for half in HALVES:
+        table = np.zeros((1, weights.shape[1]))
+        for size, first in zip(list(SIZES.values())[half], OFFSETS[half], strict=True):
+            table = (table[:, None, :] + weights[None, first : first + size, :]).reshape(-1, weights.shape[1])
+        out.append(table)
+    return out
 
 
 @dataclass
@@ -143,19 +161,51 @@ class Model:
     weights: np.ndarray
     moves: np.ndarray
 
+    def emissions(self, features: np.ndarray) -> np.ndarray:
+        """The score of each tag for each token."""
+        if not hasattr(self, "_summed"):
+            self._summed = _tables(self.weights)
+        e = np.zeros((features.shape[1], 3))
+        for half, table in zip(HALVES, self._summed, strict=True):
+            code = np.zeros(features.shape[1], np.int64)
+            for row, size, first in zip(features[half], list(SIZES.values())[half], OFFSETS[half], strict=True):
+                code = code * size + (row - first)
+            e += table[code]
+        return e
+
+    def _alone(self, e: np.ndarray) -> list[int]:
+        """The tags of one stretch between outside tokens by the best path."""
+        (a, b, c), (d, f, g), (h, i, j) = self.moves.tolist()
+        x, y, z = 0.0, _NEVER, _NEVER
+        back = []
+        for p, q, r in e.tolist():
+            x0, y0, z0 = x + a, y + d, z + h
+            x1, y1, z1 = x + b, y + f, z + i
+            x2, y2, z2 = x + c, y + g, z + j
+            k0, x = (0, x0) if x0 >= y0 and x0 >= z0 else (1, y0) if y0 >= z0 else (2, z0)
+            k1, y = (0, x1) if x1 >= y1 and x1 >= z1 else (1, y1) if y1 >= z1 else (2, z1)
+            k2, z = (0, x2) if x2 >= y2 and x2 >= z2 else (1, y2) if y2 >= z2 else (2, z2)
+            x, y, z = x + p, y + q, z + r
+            back.append((k0, k1, k2))
+        x, y, z = x + a, y + d, z + h
+        now = 0 if x >= y and x >= z else 1 if y >= z else 2
+        out = []
+        for held in reversed(back):
+            out.append(now)
+            now = held[now]
+        return out[::-1]
+
     def decode(self, tokens: Tokens) -> list[tuple[int, int]]:
         """Spans of tokens (first, last plus one) tagged as secrets by the best path.
 
         A token whose outside score leads by more than any two moves could make
         good is outside on every best path, so the stretches between such tokens
-        are decoded apart, all in step.
+        are decoded apart, most of them in step.
         """
         n = tokens.features.shape[1]
-        e = np.zeros((n, 3))
-        for row in tokens.features:
-            e += self.weights[row]
         if not n:
             return []
+        e = self.emissions(tokens.features)
         t = self.moves
         gain = max(t[a, y] + t[y, b] - t[a, OUT] - t[OUT, b] for y in (BEGIN, IN) for a in range(3) for b in range(3))
         open_ = e[:, OUT] - np.maximum(e[:, BEGIN], e[:, IN]) <= gain
@@ -167,17 +217,22 @@ class Model:
         size = stop - first + 1
         order = np.argsort(-size, kind="stable")
         first, size = first[order], size[order]
+        tag = np.zeros(n, np.int64)
+        # in step only where many stretches go on; the few longest are decoded one by one
+        for a, k in zip(first[:APART].tolist(), size[:APART].tolist(), strict=True):
+            tag[a : a + k] = self._alone(e[a : a + k])
+        first, size = first[APART:], size[APART:]
         score = np.full((len(first), 3), _NEVER)
         score[:, OUT] = 0
         back = []
-        for step in range(int(size[0])):
+        steps = int(size[0]) if len(size) else 0
+        for step in range(steps):
             live = int(np.searchsorted(-size, -step, "left"))
             options = score[:live, :, None] + t[None]
             back.append(options.argmax(axis=1))
             score[:live] = options.max(axis=1) + e[first[:live] + step]
-        tag = np.zeros(n, np.int64)
         now = (score + t[:, OUT]).argmax(axis=1)
-        for step in range(int(size[0]) - 1, -1, -1):
+        for step in range(steps - 1, -1, -1):
             live = len(back[step])
             tag[first[:live] + step] = now[:live]
             now[:live] = back[step][np.arange(live), now[:live]]
@@ -327,33 +382,46 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", most:
     return fit(rows)
 
 
-def uncovered(tokens: tuple[list[int], list[int]], spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """The stretches of a run of tokens (starts, ends) between spans, from the first to the last byte of tokens that no span covers."""
-    first, last = tokens[0][0], tokens[1][-1]
-    out, at = [], first
-    for a, b in sorted(s for s in spans if s[0] < last and first < s[1]) + [(last, last)]:
-        pieces = [(max(x, at), min(y, a)) for x, y in zip(*tokens, strict=True) if x < a and at < y] if at < a else []
-        if pieces:
-            out.append((pieces[0][0], pieces[-1][1]))
+def uncovered(starts: np.ndarray, ends: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The stretches of a run of tokens between spans (sorted by start), from the first to the last byte of tokens that no span covers."""
+    last = int(ends[-1])
+    out, at = [], int(starts[0])
+    for a, b in [*spans, (last, last)]:
+        if a > at:
+            # the tokens that reach into the stretch from at to a
+            i, j = int(np.searchsorted(ends, at, "right")), int(np.searchsorted(starts, a, "left"))
+            if i < j:
+                out.append((max(int(starts[i]), at), min(int(ends[j - 1]), a)))
         at = max(at, b)
     return out
 
 
-def find(texts: list[bytes | None], model: Model) -> list[list[tuple[str, int, int, int, int]]]:
-    """For each text all spans (kind, start, end, value start, value end) in bytes, by start and then kind: the patterns', and of the field's what those don't cover."""
+def _found(texts: list[bytes | None], model: Model) -> tuple[Block, list[list[tuple[str, int, int, int, int]]]]:
+    """The texts' block and what find() returns; each text's spans are passed once."""
     block = Block(texts)
     found = [base(t or b"") for t in texts]
+    # the end of the furthest span so far: once it lies before a token, so do all spans up to here
+    reaches = [np.maximum.accumulate([x[2] for x in f]).tolist() if f else [] for f in found]
     tokens = read(block)
     fields: list[list[tuple[str, int, int, int, int]]] = [[] for _ in texts]
+    last, passed = -1, 0
     for a, b in model.decode(tokens):
-        i = tokens.owner[a]
-        fields[i] += [("crf", x, y, x, y) for x, y in uncovered(((tokens.starts[a:b] - block.starts[i]).tolist(), (tokens.ends[a:b] - block.starts[i]).tolist()), [(x, y) for _, x, y, _, _ in found[i]])]
-    found = [f + g for f, g in zip(found, fields, strict=True)]
-    return [sorted(f, key=lambda x: (x[1], KINDS.index(x[0]))) for f in found]
+        i = int(tokens.owner[a])
+        if i != last:
+            last, passed = i, 0
+        own, starts, ends = found[i], tokens.starts[a:b] - block.starts[i], tokens.ends[a:b] - block.starts[i]
+        while passed < len(own) and reaches[i][passed] <= starts[0]:
+            passed += 1
+        reach = passed
+        while reach < len(own) and own[reach][1] < ends[-1]:
+            reach += 1
+        fields[i] += [("crf", x, y, x, y) for x, y in uncovered(starts, ends, [(x, y) for _, x, y, _, _ in own[passed:reach]])]
+    return block, [sorted(f + g, key=lambda x: (x[1], KINDS.index(x[0]))) if g else f for f, g in zip(found, fields, strict=True)]
 
 
-def _points(text: bytes, at: int) -> int:
-    return len(text[:at].decode("utf-8", "replace"))
+def find(texts: list[bytes | None], model: Model) -> list[list[tuple[str, int, int, int, int]]]:
+    """For each text all spans (kind, start, end, value start, value end) in bytes, by start and then kind: the patterns', and of the field's what those don't cover."""
+    return _found(texts, model)[1]
 
 
 def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -367,8 +435,12 @@ def scan(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
-        found = find(texts, shared.value)
-        said = [[(k, f"{k}:{_points(t, a)}:{_points(t, b)}") for k, a, b, _, _ in f] for t, f in zip(texts, found, strict=True)]
+        block, found = _found(texts, shared.value)
+        said: list[list[tuple[str, str]]] = [[] for _ in texts]
+        points = block.code_points()
+        for i, f in enumerate(found):
+            first = block.starts[i] if f else 0
+            said[i] = [(k, f"{k}:{points[first + a] - points[first]}:{points[first + b] - points[first]}") for k, a, b, _, _ in f]
         counts = [pa.array([sum(k == kind for k, *_ in f) for f in found], pa.int64()) for kind in KINDS]
         plain = pa.array([",".join(s for k, s in x if k != "crf") for x in said], pa.string())
         return [columns[0], *counts, plain, pa.array([",".join(s for _, s in x) for x in said], pa.string())]
@@ -384,7 +456,11 @@ def digest(spans: str) -> str:
 
 
 def redact(docs: DataFrame, model: Model, text_col: str = "text", mark: bytes = b"[SECRET]") -> DataFrame:
-    """The documents with the value of every secret replaced by ``mark``, all columns and rows kept; null stays null."""
+    """The documents with the value of every secret replaced by ``mark``, all columns and rows kept.
+
+    Null stays null and empty texts empty; rows that repeat are treated alike, an
+    empty table stays empty.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(texts: list[bytes | None]) -> tuple[None, list[bytes | None]]:
