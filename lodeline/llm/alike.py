@@ -30,6 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.llm.arrow import bound_batches, by_text, materialise
+from lodeline.llm.bitmaps import bitmap, in_bitmap, modulo
 from lodeline.llm.components import smallest_reachable
 
 #: Words of a shingle, the seed of its hash, and the least similarity as a fraction.
@@ -263,28 +264,21 @@ def _leaders(batches):
     yield from _pairs_out(found())
 
 
-def _texts(docs: DataFrame, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(node, t): the text of each wanted node, once, as UTF-8."""
-    # most other texts are left out before the shuffle, by a bitmap of bounded size
-    bit = F.pmod(F.col("node"), F.lit(BITS)) + 1
-    parts = wanted.groupBy(F.bitmap_bucket_number(bit).alias("i")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("held")).collect()
-    held = np.zeros(BITS // 8, np.uint8)
-    for row in parts:
-        size = len(row.held)
-        held[(row.i - 1) * size : row.i * size] = np.frombuffer(row.held, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(held)
+def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(node, t): the text of each wanted node (column node) once, as UTF-8, from rows (node, t)."""
+    # most other texts are left out before the shuffle
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(wanted.select(modulo(F.col("node"), BITS)), BITS))
 
     def run(batches):
         for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False) % BITS
-            yield batch.filter(pa.array((shared.value[at >> 3] >> (at & 7) & 1).astype(bool)))
+            yield batch.filter(pa.array(in_bitmap(shared.value, batch.column(0).to_numpy(zero_copy_only=False) % BITS)))
 
-    bound_batches(docs.sparkSession)
-    told = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).cast("binary").alias("t")).mapInArrow(run, "node bigint, t binary")
-    return told.groupBy("node").agg(F.first("t").alias("t"))
+    bound_batches(rows.sparkSession)
+    told = rows.select("node", F.col("t").cast("binary").alias("t")).mapInArrow(run, "node bigint, t binary")
+    return told.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
 
 
-def _with_leaders(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
+def _with_leaders(rows: DataFrame, texts: DataFrame) -> DataFrame:
     """Links (a, b) between texts of one group, for rows (g, node, n): each is compared with the leaders of its block of the group.
 
     The least and the greatest node of a group are in all its blocks, and first.
@@ -295,7 +289,7 @@ def _with_leaders(rows: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
     first = F.col("node").isin(F.col("low"), F.col("high"))
     own = F.when(first, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("g", "node"), blocks).cast("int")))
     dealt = materialise(joined.select("g", "node", (~first).alias("follows"), F.explode(own).alias("own")).select(F.xxhash64("g", "own").alias("part"), "follows", "node"))
-    told = _texts(docs, text_col, dealt.select("node"))
+    told = texts_of(texts, dealt.select("node"))
     met = dealt.join(told, "node").select("part", "follows", "node", "t")
     return met.repartition("part").sortWithinPartitions("part", "follows", "node").mapInArrow(_leaders, "a bigint, b bigint")
 
@@ -428,7 +422,7 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
     near = drawn.select("node", "fp").mapInArrow(fuzzy, "key bigint, node bigint")
     crowds = near.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     near = near.join(crowds, "key").join(drawn.select("node", "n"), "node")
-    early = materialise(_with_leaders(_picked(near), docs, text_col))
+    early = materialise(_with_leaders(_picked(near), numbered))
     grouped = smallest_reachable(early)
 
     # 2. the most and the least crowded of a text's keys
@@ -461,7 +455,7 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
         return rows.join(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "key", "left_semi")
 
     left = materialise(apart(shared, grouped))
-    early = materialise(early.unionByName(_with_leaders(_picked(left), docs, text_col)))
+    early = materialise(early.unionByName(_with_leaders(_picked(left), numbered)))
     grouped = smallest_reachable(early)
 
     # 3. all pairs that are left
@@ -472,7 +466,7 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
     before = F.transform(F.filter("held", lambda x: x["place"] < F.col("place")), lambda x: x["key"]).alias("before")
     told_apart = hopeful.join(held, "node").select("part", *ROW, before).repartition("part").sortWithinPartitions("part")
     few = materialise(told_apart.mapInArrow(_first_met, ROW_TYPES + ", before array<bigint>"))
-    met = few.join(_texts(docs, text_col, few.select("node")), "node").select("part", *ROW, "before", "t")
+    met = few.join(texts_of(numbered, few.select("node")), "node").select("part", *ROW, "before", "t")
     late = met.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_compared, "a bigint, b bigint")
     return smallest_reachable(early.unionByName(late))
 

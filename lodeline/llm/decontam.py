@@ -1,88 +1,91 @@
 """Benchmark decontamination by spaced-seed hashing.
 
 A mask names the positions of a window of tokens that count; the others may
-differ. Windows of benchmark items are hashed once for every mask and held in a
-table; every window of every document is hashed in the same way and looked up. A
-hit fixes how the document and the item lie against each other, and the tokens
-of that alignment are compared around it: an overlap is the stretch in which
-matches outweigh substitutions four to one, and it counts from MATCHED matching
-tokens on, or from all tokens of a shorter item.
+differ. Windows of benchmark items and of documents are hashed under every mask
+and joined by hash; document windows that can't have a partner are left out
+before the join by a bitmap of bounded size. A hit fixes how the document and
+the item lie against each other, and the tokens of that alignment are compared
+around it: an overlap is the stretch in which matches outweigh substitutions
+four to one, and it counts from MATCHED matching tokens on.
+
+Items of SHORT tokens or fewer must lie in the text whole; from TOLERANT tokens
+on one of them may differ. One of the item's halves then agrees, so halves (or
+the whole of items without tolerance) are what is hashed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, functions as F
 
-from lodeline.llm.arrow import by_text, map_rows
+from lodeline.llm.alike import texts_of
+from lodeline.llm.arrow import bound_batches, by_text, free, materialise
+from lodeline.llm.bitmaps import bitmap, in_bitmap
 from lodeline.llm.kernels import TOKEN, Block, combine, fold, hash_runs
 
-#: The masks; 1 is a position that counts.
+#: The masks; 1 is a position that counts. Any stretch with MATCHED or more matches, four a substitution, has a window that agrees under one of them.
 MASKS = ("111011010011", "110101110011", "111100101011", "101110011101")
 #: Matching tokens that make an overlap.
 MATCHED = 13
-#: Items with fewer tokens say too little to be looked for.
-LEAST_TOKENS = 8
 #: A substitution costs as much as so many matches bring.
 COST = 4
-#: Bytes of benchmark text whose table is sent to the executors at once; larger benchmarks go in blocks of this size.
-BLOCK = 32 << 20
+#: Items with at most so many tokens must lie in the text whole, and from how many on one token may differ.
+SHORT, TOLERANT = 13, 8
+#: Bits of the bitmap as powers of two: the least, the most (64 MB), and how many for each benchmark window between them.
+LEAST_BITS, MOST_BITS, SPARSE = 25, 29, 6
+#: Texts that a task remembers in order not to look up their copies, and found rows that are broadcast; more are joined by a shuffle.
+SEEN, BROADCAST_ROWS = 200_000, 200_000
 
 
-def tokens(texts: list[bytes | None]) -> tuple[Block, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The block, starts, ends and hashes of its tokens, and for each text the number of tokens before it (one more entry at the end)."""
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all tokens of a block, and for each text the number of tokens before it (one more entry at the end)."""
     block = Block(texts)
     starts, ends = block.runs(TOKEN)
     before = np.append(np.searchsorted(starts, block.starts), len(starts))
-    return block, starts, ends, hash_runs(fold(block.data), starts, ends), before
+    return hash_runs(fold(block.data), starts, ends), before
 
 
 def window_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of the counting tokens of each window of the mask's span."""
+    """The hash of the counting tokens of each window of the mask's span, told apart by mask."""
     n = len(hashes) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    return combine([hashes[i : i + n] for i, c in enumerate(mask) if c == "1"])
+    salt = np.full(n, int(mask, 2) << 8 | len(mask), np.uint64)
+    return combine([salt, *(hashes[i : i + n] for i, c in enumerate(mask) if c == "1")])
 
 
-@dataclass
-class Table:
-    """Benchmark windows: for every mask the sorted hashes with item and position, and the items' tokens."""
+def item_masks(n: int) -> list[tuple[str, int | None]]:
+    """The masks under which an item of n tokens is hashed, each at one place or (None) at all."""
+    if n > SHORT:
+        return [(mask, None) for mask in MASKS]
+    if n >= TOLERANT:
+        half = n // 2
+        return [("1" * half, 0), ("1" * half, n - half)]
+    return [("1" * n, 0)]
 
-    ids: list
-    items: list[np.ndarray]
-    masks: list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]
-    marks: list[np.ndarray]
 
-
-MARK_BITS = 22
+def edges_of_runs(h: np.ndarray) -> np.ndarray:
+    """Which windows begin or end a run of equal hashes: a repeated token has one hash at every place, and an alignment of two runs inside them matches no more than those at their ends."""
+    out = np.ones(len(h), bool)
+    if len(h) > 2:
+        out[1:-1] = (h[1:-1] != h[:-2]) | (h[1:-1] != h[2:])
+    return out
 
 
-def build(ids: list, texts: list[bytes | None]) -> Table:
-    """The table of a benchmark, or of a block of it; items shorter than the masks get a mask of their own length in which all counts."""
-    _, _, _, hashes, before = tokens(texts)
-    items = [hashes[before[i] : before[i + 1]] for i in range(len(ids))]
-    span = len(MASKS[0])
-    short = sorted({len(x) for x in items if LEAST_TOKENS <= len(x) < span})
-    masks, marks = [], []
-    for mask in [*MASKS, *("1" * n for n in short)]:
-        own = [i for i, x in enumerate(items) if (len(x) >= span if mask in MASKS else len(x) == len(mask))]
-        parts = [window_hashes(items[i], mask) for i in own]
-        if not any(map(len, parts)):
-            continue
-        h = np.concatenate(parts)
-        item = np.repeat(own, [len(x) for x in parts])
-        place = np.concatenate([np.arange(len(x)) for x in parts])
-        order = np.argsort(h, kind="stable")
-        seen = np.zeros(1 << MARK_BITS, bool)
-        seen[(h >> np.uint64(64 - MARK_BITS)).astype(np.int64)] = True
-        masks.append((mask, h[order], item[order], place[order]))
-        marks.append(seen)
-    return Table(ids, items, masks, marks)
+def item_windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of an item's windows under its masks, and their places."""
+    hashes, _ = tokens([text])
+    h, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for mask, place in item_masks(len(hashes)) if len(hashes) else []:
+        own = window_hashes(hashes, mask)
+        keep = np.flatnonzero(edges_of_runs(own)) if place is None else np.array([place])
+        h.append(own[keep])
+        at.append(keep)
+    return np.concatenate(h), np.concatenate(at)
 
 
 def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
@@ -97,96 +100,147 @@ def overlap(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return low + start, low + end, int(same[start:end].sum())
 
 
-def search(table: Table, texts: list[bytes | None]) -> list[tuple[int, int, int, int, int, int]]:
-    """Overlaps as (text, item, first token, tokens, matches, distinct alignments): of each text and item the best one."""
-    _, _, _, hashes, before = tokens(texts)
-    if not len(hashes):
-        return []
-    lines: set[tuple[int, int, int]] = set()
-    for (mask, keys, item, place), marks in zip(table.masks, table.marks, strict=True):
-        h = window_hashes(hashes, mask)
-        at = np.flatnonzero(marks[(h >> np.uint64(64 - MARK_BITS)).astype(np.int64)])
-        low, high = np.searchsorted(keys, h[at], "left"), np.searchsorted(keys, h[at], "right")
-        hit = high > low
-        at, low, high = at[hit], low[hit], high[hit]
-        text = np.searchsorted(before, at, "right") - 1
-        inside = at + len(mask) <= before[text + 1]
-        at, low, high, text = at[inside], low[inside], high[inside], text[inside]
-        n = high - low
-        rows = np.repeat(low, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        diagonal = np.repeat(at - before[text], n) - place[rows]
-        if len(rows):
-            found = np.unique(np.stack([np.repeat(text, n), item[rows], diagonal], axis=1), axis=0)
-            lines.update(map(tuple, found.tolist()))
-    best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
-    for t, i, d in sorted(lines):
-        first, end, matches = overlap(hashes[before[t] : before[t + 1]], table.items[i], d)
-        if matches >= min(MATCHED, len(table.items[i])):
-            old = best.get((t, i), (0, 0, 0, 0))
-            best[t, i] = (*max((old[0], -old[1], old[2]), (matches, -first, end - first)), old[3] + 1)
-    return [(t, i, -first, n, matches, times) for (t, i), (matches, first, n, times) in sorted(best.items())]
-
-
-def overlaps(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Pairs of a document and a benchmark item that overlap: (id_col, item_id, first_token, n_tokens, n_matched, n_alignments).
+def counts_as(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int] | None:
+    """The overlap of an alignment if it counts: of an item up to SHORT tokens the whole, of others the best stretch with MATCHED matches."""
+    n = len(item)
+    if n > SHORT:
+        found = overlap(doc, item, diagonal)
+        return found if found[2] >= MATCHED else None
+    if diagonal < 0 or diagonal + n > len(doc):
+        return None
+    matches = int((doc[diagonal : diagonal + n] == item).sum())
+    return (diagonal, diagonal + n, matches) if matches >= n - (n >= TOLERANT) else None
 
-    One row for each such pair with the longest overlap, the first in the text
-    among equally long ones; tokens count from 0. Null and empty texts on either
-    side overlap with nothing; items of fewer than LEAST_TOKENS tokens are left
-    out. Rows that repeat give repeated results, an empty table an empty one, and
-    further columns are ignored. Benchmark text beyond BLOCK bytes is searched
-    for in several passes over the documents, so that the table in an executor
-    stays bounded.
-    """
-    kinds = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"{id_col} {kinds[0]}, item_id {kinds[1]}, first_token bigint, n_tokens bigint, n_matched bigint, n_alignments bigint"
-    out = None
-    for table, ids in _tables(benchmark, item_col, item_text):
-        part = _pass(docs, table, ids, id_col, text_col, schema)
-        out = part if out is None else out.unionByName(part)
-    return out
 
+def best(doc: np.ndarray, item: np.ndarray, diagonals: list[int]) -> tuple[int, int, int, int] | None:
+    """Of all alignments that count: first token, tokens and matches of that with the most matches, the first in the text among equals, and how many there are."""
+    found = [x for d in sorted(diagonals) if (x := counts_as(doc, item, d))]
+    if not found:
+        return None
+    first, end, matches = max(found, key=lambda x: (x[2], -x[0], x[1]))
+    return first, end - first, matches, len(found)
 
-def _tables(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[tuple[Table, pa.Array]]:
-    """The tables of the benchmark's blocks, each with its item ids as an array; one block at a time is in the driver."""
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("binary").alias("t"))
-    held = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-int(held) // BLOCK))
-    for k in range(blocks):
-        rows = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).toArrow()
-        order = sorted(range(rows.num_rows), key=lambda j: (str(rows.column(0)[j].as_py()), rows.column(1)[j].as_py() or b""))
-        rows = rows.take(pa.array(order, pa.int64()))
-        yield build(rows.column(0).to_pylist(), rows.column(1).to_pylist()), rows.column(0).combine_chunks()
 
-
-def _pass(docs: DataFrame, table: Table, ids: pa.Array, id_col: str, text_col: str, schema: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((table, ids))
+def _items(benchmark: DataFrame, item_text: str, least_tokens: int) -> DataFrame:
+    """(ikey, it): the distinct texts of the benchmark with at least so many tokens."""
+    bound_batches(benchmark.sparkSession)
 
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
-        table, ids = shared.value
-        found = np.array(search(table, texts), np.int64).reshape(-1, 6)
-        return [columns[0].take(pa.array(found[:, 0])), ids.take(pa.array(found[:, 1])), *(pa.array(found[:, k]) for k in range(2, 6))]
+        _, before = tokens(texts)
+        keep = pa.array(np.flatnonzero(np.diff(before) >= max(least_tokens, 1)))
+        return [columns[0].take(keep), pa.array(texts, pa.binary()).take(keep)]
+
+    text = F.col(item_text)
+    rows = benchmark.where(text.isNotNull()).select(F.xxhash64(text.cast("binary")).alias("k"), text.alias("t"))
+    return by_text(rows, ["k"], "t", "ikey bigint, it binary", run).groupBy("ikey").agg(F.first("it").alias("it"))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text: str, least_tokens: int) -> DataFrame:
+    """(node, ikey, first_token, n_tokens, n_matched, n_alignments) for the distinct texts of documents and items that overlap."""
+    spark = docs.sparkSession
+    items = materialise(_items(benchmark, item_text, least_tokens))
+
+    def item_rows(batches):
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                h, at = item_windows(text)
+                n = len(tokens([text])[0])
+                spans = [m for m, _ in item_masks(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), key)), pa.array(at), pa.array([",".join(spans)] * len(h), pa.string())], ["h", "ikey", "place", "masks"])
+
+    windows = materialise(items.mapInArrow(item_rows, "h bigint, ikey bigint, place bigint, masks string"))
+    # the masks in use: the four and at most one for each length up to SHORT
+    masks = sorted({m for row in windows.select("masks").distinct().collect() for m in row.masks.split(",")})
+    total = windows.count()
+    bits = min(max(LEAST_BITS, total.bit_length() + SPARSE), MOST_BITS)
+    places = windows.select(F.explode(F.array(F.shiftrightunsigned("h", 64 - bits), F.col("h").bitwiseAND(F.lit((1 << bits) - 1)))).alias("p"))
+    marks: Broadcast = spark.sparkContext.broadcast(bitmap(places, 1 << bits))
+    seen: set[int] = set()
+
+    def lookups(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
+        nodes = columns[0].to_numpy(zero_copy_only=False)
+        fresh = []
+        for i, node in enumerate(nodes.tolist()):
+            if node not in seen:
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(node)
+                fresh.append(i)
+        nodes = nodes[fresh]
+        hashes, before = tokens([texts[i] for i in fresh])
+        out: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64),) * 3]
+        for mask in masks if len(hashes) else []:
+            h = window_hashes(hashes, mask)
+            at = np.flatnonzero(in_bitmap(marks.value, (h >> np.uint64(64 - bits)).astype(np.int64)))
+            at = at[in_bitmap(marks.value, (h[at] & np.uint64((1 << bits) - 1)).astype(np.int64))]
+            text = np.searchsorted(before, at, "right") - 1
+            inside = at + len(mask) <= before[text + 1]
+            at, text = at[inside], text[inside]
+            if len(at):
+                # runs end where texts do
+                run = np.ones(len(at), bool)
+                if len(at) > 2:
+                    joined = (h[at[1:]] == h[at[:-1]]) & (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1])
+                    run[1:-1] = ~(joined[:-1] & joined[1:])
+                at, text = at[run], text[run]
+                out.append((h[at].view(np.int64), nodes[text], at - before[text]))
+        return [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+
+    text = F.col(text_col)
+    rows = docs.where(text.isNotNull()).select(F.xxhash64(text).alias("node"), text.alias("t"))
+    hits = by_text(rows, ["node"], "t", "h bigint, node bigint, at bigint", lookups)
+    met = hits.join(windows.select("h", "ikey", "place"), "h").select("node", "ikey", (F.col("at") - F.col("place")).alias("d"))
+    pairs = materialise(met.groupBy("node", "ikey").agg(F.collect_set("d").alias("d")))
+    told = texts_of(rows, pairs.select("node")).join(pairs, "node").join(items, "ikey")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            out = []
+            nodes, texts = batch.column(0).to_pylist(), batch.column(3)
+            for i, node in enumerate(nodes):
+                if node != last:
+                    last, own = node, tokens([texts[i].as_py()])[0]
+                if x := best(own, tokens([batch.column(4)[i].as_py()])[0], batch.column(2)[i].as_py()):
+                    out.append((node, batch.column(1)[i].as_py(), *x))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in range(6)], ["node", "ikey", "first_token", "n_tokens", "n_matched", "n_alignments"])
+
+    schema = "node bigint, ikey bigint, first_token bigint, n_tokens bigint, n_matched bigint, n_alignments bigint"
+    return materialise(told.select("node", "ikey", "d", "t", "it").mapInArrow(compare, schema))
+
+
+def _joinable(found: DataFrame) -> DataFrame:
+    """Marked for broadcasting if a count shows that it is small."""
+    return F.broadcast(found) if found.count() <= BROADCAST_ROWS else found
+
+
+def overlaps(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_tokens: int = 1
+) -> DataFrame:
+    """Pairs of a document and a benchmark item that overlap: (id_col, item_id, first_token, n_tokens, n_matched, n_alignments).
 
-    return by_text(docs, [id_col], text_col, schema, run)
+    One row for each such pair with the longest overlap, the first in the text
+    among equally long ones; tokens count from 0. Null and empty texts on either
+    side overlap with nothing; items of fewer than ``least_tokens`` tokens are
+    left out, which by default is none. Rows that repeat give repeated results,
+    an empty table an empty one, and further columns are ignored. The benchmark
+    may have any size: it is never gathered in the driver or in a worker.
+    """
+    found = _joinable(_found(docs, benchmark, text_col, item_text, least_tokens))
+    ids = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("node")).where(F.col(text_col).isNotNull())
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_col).alias("item"), F.xxhash64(F.col(item_text).cast("binary")).alias("ikey"))
+    joined = ids.join(found, "node").join(items, "ikey")
+    return joined.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "first_token", "n_tokens", "n_matched", "n_alignments")
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", least_tokens: int = 1) -> DataFrame:
     """The documents that overlap with no benchmark item, all columns kept.
 
-    Each row is judged by its own text, so nothing is joined or shuffled and
-    null or repeated ids don't matter; null and empty texts stay.
+    Each row is judged by its text, so null or repeated ids don't matter; null
+    and empty texts stay, and empty tables change nothing. Items of fewer than
+    ``least_tokens`` tokens are left out, which by default is none.
     """
-    out = docs
-    for table, _ in _tables(benchmark, item_col, item_text):
-        out = _without(out, table, text_col)
-    return out
-
-
-def _without(docs: DataFrame, table: Table, text_col: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-
-    def run(texts: list[bytes | None]) -> tuple[list[bool], None]:
-        bad = {t for t, *_ in search(shared.value, texts)}
-        return [i not in bad for i in range(len(texts))], None
-
-    return map_rows(docs, text_col, run)
+    name = free("node", docs)
+    bad = materialise(_found(docs, benchmark, text_col, item_text, least_tokens).select(F.col("node").alias(name)).distinct())
+    marked = docs.withColumn(name, F.when(F.col(text_col).isNotNull(), F.xxhash64(F.col(text_col))))
+    return marked.join(_joinable(bad), name, "left_anti").select(*docs.columns)

@@ -254,9 +254,10 @@ def test_overlaps_with_substitutions(spark):
     docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(texts)], "doc_id long, text string, item_id string")
     bench = spark.createDataFrame([(i, t, "z") for i, t in enumerate(items)] + [(9, None, "z"), (10, "", "z")], "item_id long, text string, doc_id string")
     found = {(r.doc_id, r.item_id): (r.first_token, r.n_tokens, r.n_matched) for r in decontam.overlaps(docs, bench).collect()}
-    assert found == {(0, 0): (2, 40, 40), (1, 1): (3, 30, 26), (2, 2): (1, 10, 10), (7, 0): (0, 40, 40)}
+    assert found == {(0, 0): (2, 40, 40), (1, 1): (3, 30, 26), (2, 2): (1, 10, 10), (3, 3): (0, 5, 5), (7, 0): (0, 40, 40)}
     kept = [r.doc_id for r in decontam.clean(docs, bench).orderBy("doc_id").collect()]
-    assert kept == [3, 4, 5, 6]
+    assert kept == [4, 5, 6]
+    assert [r.doc_id for r in decontam.clean(docs, bench, least_tokens=6).orderBy("doc_id").collect()] == [3, 4, 5, 6]
     assert decontam.overlaps(docs.limit(0), bench).count() == 0 and decontam.overlaps(docs, bench.limit(0)).count() == 0
 
 
@@ -281,14 +282,6 @@ def test_overlaps_whole_table_against_alignment(spark, sf_dir):
     assert found == truth
 
 
-def test_blocks_of_a_large_benchmark(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK", 60)
-    items = [" ".join(f"{c}{i}" for i in range(14)) for c in "abcdef"]
-    docs = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "doc_id long, text string")
-    bench = docs.withColumnRenamed("doc_id", "item_id")
-    assert sorted((r.doc_id, r.item_id) for r in decontam.overlaps(docs, bench).collect()) == [(i, i) for i in range(6)]
-
-
 # toxicity
 
 
