@@ -16,9 +16,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodeline.llm.arrow import by_text
+from lodeline.llm.arrow import by_text, materialise
 from lodeline.llm.kernels import TOKEN, Block, fold, hash_runs
-from lodeline.llm.sampling import in_training, least_by_hash, only_ids
+from lodeline.llm.sampling import in_training, least_by_hash
 
 #: Buckets of token hashes, as a power of two.
 BITS = 18
@@ -80,32 +80,34 @@ class Model:
         return -np.expm1(-hazard), np.bincount(owner, minlength=len(texts)), [",".join(x) for x in spans]
 
 
-def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: int = 300, decay: float = 2e-4, rate: float = 0.15) -> Model:
-    """Learn from bags (buckets and sentence of each token, sentences numbered from 0 within the bag) and their labels 0 or 1.
+@dataclass
+class Bags:
+    """Labelled documents: the label and the number of sentences of each, and its sentences' learned features.
+
+    ``features`` and ``sentences`` have one entry for each occurrence of a
+    feature: its number and that of the sentence within its document.
+    """
+
+    labels: np.ndarray
+    sizes: np.ndarray
+    features: list[np.ndarray]
+    sentences: list[np.ndarray]
+
 
-    Full-batch Adam on the balanced noisy-or likelihood; without bags of both
-    labels the model gives everything the score 0.
+def fit(bags: Bags, names: np.ndarray, rounds: int = 300, decay: float = 2e-4, rate: float = 0.15) -> Model:
+    """Learn the weights of the buckets ``names`` by full-batch Adam on the balanced noisy-or likelihood.
+
+    Documents without sentences teach nothing; without documents of both labels
+    the model gives everything the score 0.
     """
-    used = [i for i, (_, sentence) in enumerate(bags) if len(sentence)]
-    y = labels[used].astype(float)
+    used = np.flatnonzero(bags.sizes > 0)
+    y = bags.labels[used].astype(float)
     if not len(used) or y.min() == y.max():
         return Model(np.zeros((1 << BITS) + 1), -40.0)
-    have = np.zeros((2, (1 << BITS) + 1))
-    for i in used:
-        have[int(labels[i]), np.unique(bags[i][0])] += 1
-    odds = [(have[k] + 0.5) / ((y == k).sum() - have[k] + 0.5) for k in (0, 1)]
-    told = (have[1] >= SEEN) & (odds[1] >= ENRICHED * odds[0])
-    told[1 << BITS] = False
-    names = np.flatnonzero(told)
-    number = np.cumsum(told) - 1
-    counts = np.array([int(bags[i][1].max()) + 1 for i in used])
+    counts = bags.sizes[used]
     base = np.concatenate(([0], np.cumsum(counts)[:-1]))
-    at, sentence = [], []
-    for i, first in zip(used, base, strict=True):
-        row, place = np.nonzero(told[bags[i][0]])
-        at.append(number[bags[i][0][row, place]])
-        sentence.append(bags[i][1][place] + first)
-    at, sentence = np.concatenate(at), np.concatenate(sentence)
+    at = np.concatenate([bags.features[i] for i in used]).astype(np.int64)
+    sentence = np.concatenate([bags.sentences[i].astype(np.int64) + first for i, first in zip(used, base, strict=True)])
     bag = np.repeat(np.arange(len(used)), counts)
     balance = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
     theta = np.zeros(len(names) + 1)
@@ -125,26 +127,70 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, rounds: i
     return Model(weights, float(theta[-1]))
 
 
+def enriched(sample: DataFrame) -> np.ndarray:
+    """The sorted buckets that at least SEEN toxic documents of rows (y, t) have, with odds ENRICHED times those elsewhere.
+
+    Documents are counted in the cluster; the driver gets such buckets alone.
+    """
+    none = 1 << BITS
+
+    def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
+        _, bucket, sentence, owner, _, _ = instances(texts)
+        y = columns[0].to_numpy(zero_copy_only=False)
+        text = owner[sentence] if len(sentence) else np.zeros(0, np.int64)
+        held = np.unique(np.tile(text, len(bucket)) * (none + 1) + bucket.ravel())
+        # the number of the absent feature stands for the document itself, which has a sentence
+        held = np.unique(np.concatenate((held, np.unique(owner) * (none + 1) + none)))
+        return [pa.array(held % (none + 1)), pa.array(y[held // (none + 1)].astype(np.int64))]
+
+    held = by_text(sample, ["y"], "t", "bucket bigint, y bigint", run).groupBy("bucket").agg(F.sum("y").alias("toxic"), F.sum(1 - F.col("y")).alias("clean"))
+    held = materialise(held)
+    whole = held.where(F.col("bucket") == none).first()
+    if whole is None or not whole.toxic or not whole.clean:
+        return np.zeros(0, np.int64)
+    odds = lambda n, total: (F.col(n) + 0.5) / (total - F.col(n) + 0.5)
+    told = held.where((F.col("bucket") < none) & (F.col("toxic") >= SEEN) & (odds("toxic", whole.toxic) >= ENRICHED * odds("clean", whole.clean)))
+    return np.array(sorted(r.bucket for r in told.select("bucket").collect()), np.int64)
+
+
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = PER_LABEL) -> Model:
-    """Learn from at most ``per_label`` documents of each label, held-out ids left out; their tokens reach the driver as bucket numbers."""
+    """Learn from at most ``per_label`` documents of each label, held-out ids left out.
+
+    The features to learn are chosen in the cluster; of each sampled document the
+    driver gets the number of its sentences and the places of those features.
+    """
     known = labels.where(in_training(id_col) & F.col(label_col).isin(0, 1)).select(id_col, F.col(label_col).cast("int").alias(label_col))
     picked = dict(least_by_hash(known, label_col, id_col, per_label, SEED))
+    kind = docs.schema[id_col].dataType.simpleString()
+    told = docs.sparkSession.createDataFrame(list(picked.items()), f"i {kind}, y int")
+    rows = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
+    sample = materialise(rows.join(F.broadcast(told), "i").dropDuplicates(["i"]).select("i", "y", "t"))
+    names = enriched(sample)
+    shared = docs.sparkSession.sparkContext.broadcast(names)
 
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
+        number = np.full((1 << BITS) + 1, -1, np.int32)
+        number[shared.value] = np.arange(len(shared.value))
         _, bucket, sentence, owner, _, _ = instances(texts)
-        text = owner[sentence] if len(sentence) else np.zeros(0, np.int64)
+        found = number[bucket]
+        row, token = np.nonzero(found >= 0)
+        order = np.argsort(token, kind="stable")
+        row, token = row[order], token[order]
+        own, where = found[row, token], sentence[token]
+        sizes = np.bincount(owner, minlength=len(texts))
+        first = np.cumsum(sizes) - sizes
+        text = owner[where] if len(where) else np.zeros(0, np.int64)
         cuts = np.searchsorted(text, np.arange(1, len(texts)))
-        tokens = [x.astype(np.int32).tobytes() for x in np.split(bucket, cuts, axis=1)]
-        parts = [(x - x[0] if len(x) else x).astype(np.int32).tobytes() for x in np.split(sentence, cuts)]
-        return [columns[0], pa.array(tokens, pa.binary()), pa.array(parts, pa.binary())]
+        parts = zip(np.split(own, cuts), np.split(where - first[text] if len(text) else where, cuts), strict=True)
+        packed = [(f.astype(np.int32).tobytes(), w.astype(np.int32).tobytes()) for f, w in parts]
+        return [*columns, pa.array(sizes.astype(np.int64)), *(pa.array([x[k] for x in packed], pa.binary()) for k in (0, 1))]
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    rows = by_text(only_ids(docs, id_col, list(picked)), [id_col], text_col, f"{id_col} {kind}, bucket binary, sentence binary", run).dropDuplicates([id_col]).toArrow()
-    ids = rows.column(0).to_pylist()
+    out = by_text(sample, ["i", "y"], "t", f"i {kind}, y int, n bigint, f binary, s binary", run).toArrow()
+    ids, held = out.column("i").to_pylist(), [out.column(k).to_pylist() for k in "ynfs"]
     order = sorted(range(len(ids)), key=lambda i: str(ids[i]))
-    bucket, sentence = ([np.frombuffer(rows.column(c)[i].as_py(), np.int32) for i in order] for c in (1, 2))
-    bags = [(b.reshape(1 + len(PREFIXES), -1), s) for b, s in zip(bucket, sentence, strict=True)]
-    return fit(bags, np.array([picked[ids[i]] for i in order]))
+    y, n, f, s = ([column[i] for i in order] for column in held)
+    unpack = lambda xs: [np.frombuffer(x, np.int32) for x in xs]
+    return fit(Bags(np.array(y, np.int64), np.array(n, np.int64), unpack(f), unpack(s)), names)
 
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

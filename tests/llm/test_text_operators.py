@@ -307,7 +307,7 @@ def test_toxicity_held_out(spark):
 
 
 def test_toxicity_edges(spark, edge):
-    nothing = toxicity.fit([], np.zeros(0))
+    nothing = toxicity.fit(toxicity.Bags(np.zeros(0, int), np.zeros(0, int), [], []), np.zeros(0, int))
     found = toxicity.predict(edge, nothing).collect()
     assert len(found) == len(EDGE) and all(r.predicted == 0 and 0 <= r.score <= 1 for r in found)
     assert toxicity.predict(edge.limit(0), nothing).count() == 0
