@@ -2,7 +2,7 @@
 
 The base rules count words, symbols, repeated lines and repeated windows of
 words. A text that passes them is judged by logistic regression on the relative
-frequencies of its hashed words, word pairs and byte n-grams, trained on
+frequencies of its hashed words, word pairs and character n-grams, trained on
 labelled rows; its score is calibrated on rows kept out of the fit and compared
 with a fixed threshold.
 """
@@ -23,7 +23,7 @@ from lodeline.llm.sampling import least_by_hash, only_ids
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 WINDOW, LEAST_WORDS, MOST_REPEATED = 8, 20, 30
-#: Buckets of n-gram hashes, as a power of two, and the lengths of byte n-grams.
+#: Buckets of n-gram hashes, as a power of two, and the lengths of character n-grams.
 BITS, GRAMS = 16, (3, 4)
 #: Rows of either label from which the classifier is learned, at most.
 PER_LABEL = 1000
@@ -92,23 +92,33 @@ def read(texts: list[bytes | None]) -> tuple[Block, np.ndarray, np.ndarray, np.n
     return block, starts, ends, hash_runs(block.data, starts, ends), block.owner(starts)
 
 
-def features(block: Block, starts: np.ndarray, hashes: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Kinds of features as (bucket, text) of each occurrence."""
-    out = [(hashes, owner)]
-    if len(hashes) > 1:
-        pair = owner[1:] == owner[:-1]
-        out.append((combine([hashes[:-1], hashes[1:]])[pair], owner[1:][pair]))
-    data = block.data.astype(np.uint32)
-    inside = block.owner(np.arange(len(data)))
+#: Odd multipliers of the characters of an n-gram, by length and place.
+_GRAM = {n: np.random.default_rng(n).integers(1, 2**63, n, dtype=np.uint64) | np.uint64(1) for n in GRAMS}
+
+
+def features(block: Block, hashes: np.ndarray, owner: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """KINDS kinds of features as (bucket, text) of each occurrence: words, pairs of neighbouring words, and character n-grams by code point."""
+    pair = owner[1:] == owner[:-1]
+    pairs = combine([hashes[:-1], hashes[1:]])[pair] if len(hashes) > 1 else np.zeros(0, np.uint64)
+    out = [(hashes, owner), (pairs, owner[1:][pair])]
+    letters = np.frombuffer(block.joined.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.uint64)
+    points = block.code_points()
+    if len(letters) == points[-1]:
+        inside = np.searchsorted(points[block.starts], np.arange(len(letters)), "right") - 1
+        inside[points[block.ends[:-1]]] = -1  # what stands between texts
+    else:  # bytes that aren't UTF-8: text by text
+        each = [block.joined[a:b].decode("utf-8", "replace") + "\n" for a, b in zip(block.starts, block.ends, strict=True)]
+        letters = np.frombuffer("".join(each).encode("utf-32-le"), np.uint32).astype(np.uint64)
+        inside = np.repeat(np.arange(len(each)), [len(t) for t in each])
+        inside[np.cumsum([len(t) for t in each]) - 1] = -1
     for n in GRAMS:
-        size = len(data) - n + 1
-        if size > 0:
-            gram = np.zeros(size, np.uint32)
-            for i in range(n):
-                gram = (gram << np.uint32(8)) | data[i : i + size]
-            whole = inside[:size] == inside[n - 1 :]
-            gram = gram[whole] * np.uint32(2654435761 if n == 3 else 2246822519)
-            out.append((gram.astype(np.uint64) << np.uint64(32), inside[:size][whole]))
+        size = max(len(letters) - n + 1, 0)
+        gram = np.zeros(size, np.uint64)
+        with np.errstate(over="ignore"):
+            for i, factor in enumerate(_GRAM[n]):
+                gram += letters[i : i + size] * factor
+        whole = (inside[:size] == inside[n - 1 : n - 1 + size]) & (inside[:size] >= 0)
+        out.append((gram[whole], inside[:size][whole]))
     return [((h >> np.uint64(64 - BITS)).astype(np.int64), t) for h, t in out]
 
 
@@ -125,7 +135,7 @@ class Model:
         """Uncalibrated: the bias and the mean weight of the features of each kind."""
         z = np.full(n, self.bias)
         for k, (bucket, text) in enumerate(kinds):
-            z += np.bincount(text, self.weights[k % len(self.weights)][bucket], n) / np.maximum(np.bincount(text, minlength=n), 1)
+            z += np.bincount(text, self.weights[k][bucket], n) / np.maximum(np.bincount(text, minlength=n), 1)
         return z
 
     def probability(self, kinds: list[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -176,11 +186,9 @@ def rows_of(texts: list[bytes | None]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Each text's features with their relative frequencies within their kind."""
     out = []
     for t in texts:
-        block, starts, _, hashes, owner = read([t])
+        block, _, _, hashes, owner = read([t])
         at, x = [], []
-        kinds = features(block, starts, hashes, owner)
-        for k, (bucket, _) in enumerate(kinds):
-            k = k if len(kinds) == KINDS else k + (k > 0) * (KINDS - len(kinds))
+        for k, (bucket, _) in enumerate(features(block, hashes, owner)):
             names, times = np.unique(bucket, return_counts=True)
             at.append(names + (k << BITS))
             x.append(times / max(len(bucket), 1))
@@ -218,10 +226,7 @@ def judge(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(columns: list[pa.Array], texts: list[bytes | None]) -> list[pa.Array]:
         block, starts, ends, hashes, owner = read(texts)
         c = base(block, starts, ends, hashes, owner)
-        kinds = features(block, starts, hashes, owner)
-        if len(kinds) < KINDS:  # a block without a pair of words or without bytes
-            kinds = [kinds[0], *[(np.zeros(0, np.int64),) * 2] * (KINDS - len(kinds)), *kinds[1:]]
-        p = shared.value.probability(kinds, len(texts))
+        p = shared.value.probability(features(block, hashes, owner), len(texts))
         failed = c.failed()
         counts = (c.n_words, c.word_chars, c.n_symbols, c.n_dup_lines, c.n_repeat_words)
         return [columns[0], *(pa.array(x.astype(np.int64)) for x in counts), pa.array(failed), pa.array(~failed & (p >= keep)), pa.array(p)]
