@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.llm.arrow import bound_batches, by_text, materialise
+from lodeline.llm.arrow import bound_batches, by_text, free, materialise
 from lodeline.llm.kernels import SPACE, Block, combine, fold, hash_runs
 from lodeline.llm.sampling import least_by_hash
 
@@ -107,7 +107,7 @@ def weigh(docs: DataFrame, target_col: str, id_col: str = "doc_id", text_col: st
 def _ordered(key: Column, low: float, high: float) -> Column:
     """Which of 2**BIN_BITS equal bins between low and high a key lies in."""
     bins = 1 << BIN_BITS
-    return F.least(F.greatest(F.floor((key - low) / (high - low) * bins), F.lit(0)), F.lit(bins - 1))
+    return F.least(F.greatest(F.floor((key - F.lit(low)) / F.lit(high - low) * bins), F.lit(0)), F.lit(bins - 1))
 
 
 def threshold(keys: DataFrame, k: int) -> tuple[float, int]:
@@ -120,7 +120,7 @@ def threshold(keys: DataFrame, k: int) -> tuple[float, int]:
     above = 0
     while high > low:
         inside = keys.where(F.col("key").between(low, high))
-        top = math.nextafter(high, math.inf)
+        top = math.nextafter(high, math.inf) if isinstance(high, float) else high + 1
         binned = inside.groupBy(_ordered(F.col("key"), low, top).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("low"), F.max("key").alias("high"))
         for row in sorted(binned.collect(), reverse=True):
             if above + row["n"] >= k:
@@ -133,21 +133,27 @@ def threshold(keys: DataFrame, k: int) -> tuple[float, int]:
 def resample(scored: DataFrame, k: int, id_col: str = "doc_id") -> DataFrame:
     """``scored`` with a column kept: true for the k rows with the largest keys, or all if there are fewer.
 
-    Among equal keys the rows with the smaller ids come first; equal rows with
-    one id are told apart arbitrarily, so that exactly k are true.
+    Among equal keys the rows with the larger hashes of their ids come first.
+    Which of the rows that agree in both are taken, such as those without an id,
+    depends on their places in the checkpoint, so that exactly k are true; no
+    task sorts them.
     """
     if k <= 0:
         return scored.withColumn("kept", F.lit(False))
-    if scored.count() <= k:
-        return scored.withColumn("kept", F.lit(True))
-    least, above = threshold(scored.select("key"), k)
-    ties = scored.where(F.col("key") == least)
-    if ties.count() == k - above:
-        return scored.withColumn("kept", F.col("key") >= least)
-    ranked = ties.sort(id_col).limit(k - above).withColumn("kept", F.lit(True))
-    rest = ties.sort(id_col).offset(k - above).withColumn("kept", F.lit(False))
-    clear = scored.where(F.col("key") != least).withColumn("kept", F.col("key") > least)
-    return clear.unionByName(ranked).unionByName(rest)
+    tie, row = free("tie", scored), free("row", scored)
+    held = materialise(scored.withColumn(tie, F.shiftrightunsigned(F.xxhash64(id_col), 11)).withColumn(row, F.monotonically_increasing_id()))
+    if held.count() <= k:
+        return held.drop(tie, row).withColumn("kept", F.lit(True))
+    kept, equal, left = F.lit(False), F.lit(True), k
+    for column in ("key", tie, row):
+        among = held.where(equal)
+        least, above = threshold(among.select(F.col(column).alias("key")), left)
+        kept = kept | (equal & (F.col(column) > F.lit(least)))
+        equal = equal & (F.col(column) == F.lit(least))
+        left -= above
+        if held.where(equal).count() == left:
+            break
+    return held.withColumn("kept", kept | equal).drop(tie, row)
 
 
 def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", share: float | None = None, seed: int = SEED) -> DataFrame:
@@ -168,5 +174,4 @@ def select(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     targets = docs.sparkSession.createDataFrame([(i, True) for i in wanted], f"__id {kind}, __target boolean")
     rows = docs.select(id_col, text_col)
     marked = rows.join(F.broadcast(targets), rows[id_col] == F.col("__id"), "left")
-    scored = materialise(weigh(marked, "__target", id_col, text_col, seed))
-    return resample(scored, math.ceil(share * scored.count()), id_col)
+    return resample(weigh(marked, "__target", id_col, text_col, seed), math.ceil(share * docs.count()), id_col)

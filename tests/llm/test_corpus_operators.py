@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lodeline.llm import importance, mixing, queries, secret_scan, surrogates
+from lodeline.llm import importance, kernels, mixing, queries, secret_scan, surrogates
 
 # surrogates
 
@@ -76,8 +76,13 @@ def test_threshold_is_exact(spark):
     frame = spark.createDataFrame([(int(i), float(k)) for i, k in enumerate(keys)], "doc_id long, key double")
     for k in (1, 7, 250, 280, 300, 541, 542, 900, 0):
         kept = importance.resample(frame, k).where("kept").collect()
-        best = sorted(enumerate(keys), key=lambda x: (-x[1], x[0]))[:k]
-        assert sorted(x.doc_id for x in kept) == sorted(i for i, _ in best)
+        assert sorted(x.key for x in kept) == sorted(keys.tolist())[max(len(keys) - k, 0) :] and len({x.doc_id for x in kept}) == len(kept)
+    alike = spark.createDataFrame([(None, 1.0, i) for i in range(300)] + [(7, 1.0, i) for i in range(300)], "doc_id long, key double, row int")
+    for k in (1, 299, 300, 301, 599):
+        kept = importance.resample(alike, k).collect()
+        assert len(kept) == 600 and sum(x.kept for x in kept) == k
+        taken = {x.doc_id for x in kept if x.kept}
+        assert len(taken) == (1 if k <= 300 else 2)
 
 
 def test_weights_against_plain_counts(spark):
@@ -95,6 +100,32 @@ def test_weights_against_plain_counts(spark):
     assert rows[4].log_weight == rows[5].log_weight == 0 and sum(r.kept for r in rows.values()) == math.ceil(5 * 2 / 3)
 
 
+def test_draw_of_the_whole_table(spark, sf_dir):
+    """Every weight, key and choice of op4_importance, counted and drawn anew."""
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    quality = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r.quality is not None}
+
+    def grams(text):
+        data = [np.frombuffer(kernels.fold(np.frombuffer(w, np.uint8)).tobytes(), np.uint8) for w in re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())]
+        one = [kernels.hash_runs(w, np.array([0]), np.array([len(w)])) for w in data]
+        two = [kernels.combine([a, b]) for a, b in zip(one, one[1:], strict=False)]
+        return [int(h[0]) >> (64 - importance.BITS) for h in one + two]
+
+    held = {i: grams(t) for i, t in docs.items()}
+    size = 1 << importance.BITS
+    raw, target = (np.bincount([g for i in ids for g in held[i]], minlength=size) + importance.SMOOTH for ids in (held, [i for i in held if quality.get(i) == 1]))
+    ratio = np.log(target / target.sum()) - np.log(raw / raw.sum())
+    found = {r.doc_id: r for r in queries.op4_importance(spark, sf_dir).collect()}
+    noise = {r.doc_id: r.h for r in spark.sql("SELECT * FROM parquet.`" + f"{sf_dir}/documents.parquet" + "`").selectExpr("doc_id", f"xxhash64({importance.SEED}, doc_id) AS h").collect()}
+    keys = {}
+    for i, g in held.items():
+        u = ((noise[i] % 2**64) >> 11) * 2.0**-53 + 2.0**-54
+        keys[i] = sum(ratio[b] for b in g) - math.log(-math.log(u))
+        assert found[i].n_grams == len(g) and found[i].key == pytest.approx(keys[i])
+    k = math.ceil(sum(quality.values()) / len(quality) * len(docs))
+    assert {i for i, r in found.items() if r.kept} == set(sorted(keys, key=keys.get)[-k:])
+
+
 def test_draw_follows_the_weights(spark):
     rows = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, math.log(3)).otherwise(0.0).alias("w"))
     kept = importance.resample(rows.withColumn("key", F.col("w") + importance.gumbel("doc_id")), 100).where("kept")
