@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections.abc import Generator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -40,6 +42,10 @@ IMPLIES["th"] = IMPLIES["td"]
 ENDS_P = BLOCK - {"html", "body", "tr", "td", "th", "caption", "thead", "tbody", "tfoot"}
 #: An end tag doesn't reach beyond these.
 SCOPE = frozenset("table td th caption html template button object".split())
+#: End tags that do.
+UNBOUND = frozenset("table tr tbody thead tfoot html body".split())
+#: Levels by which a list's items are moved in, at most; deeper ones stand as far in as this.
+INDENTED = 50
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
@@ -68,12 +74,31 @@ def parse(source: str) -> Node:
     """The tree of a page; anything parses, and nothing but comments and tags is lost."""
     root = Node("#root")
     stack = [root]
+    places: dict[str, list[int]] = {}  # where in the stack each kind of element is open, so that no tag walks the stack
+    scopes = [0]
     at = 0
 
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        if node.tag in SCOPE:
+            scopes.append(len(stack))
+        stack.append(node)
+
+    def cut(i: int) -> None:
+        while len(stack) > i:
+            gone = stack.pop().tag
+            places[gone].pop()
+            if gone in SCOPE:
+                scopes.pop()
+
+    def innermost(tag: str) -> int:
+        held = places.get(tag)
+        return held[-1] if held else 0
+
     def add(text: str) -> None:
         if text:
             if stack[-1].tag == "colgroup" and not text.isspace():
-                del stack[-1]
+                cut(len(stack) - 1)
             stack[-1].children.append(html.unescape(text) if "&" in text else text)
 
     while m := _TAG.search(source, at):
@@ -86,36 +111,27 @@ def parse(source: str) -> Node:
         if m[1]:
             if tag == "br":
                 stack[-1].children.append(Node("br"))
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE and tag not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+            i = innermost(tag)
+            if i and (i >= scopes[-1] or tag in UNBOUND):
+                cut(i)
             continue
-        if tag in ("html", "body") and any(n.tag == tag for n in stack):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if stack[-1].tag == "colgroup" and tag not in ("col", "template"):
-            del stack[-1]
+            cut(len(stack) - 1)
         if tag in CLOSES:
             closed, until = CLOSES[tag]
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in until:
-                    break
-                if stack[i].tag in closed and not any(n.tag in until for n in stack[i + 1 :]):
-                    del stack[i:]
-        if tag in ENDS_P:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == "p":
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            edge = max(map(innermost, until), default=0)
+            held = [p[j] for c in closed if (p := places.get(c)) and (j := bisect_right(p, edge)) < len(p)]
+            if held:
+                cut(min(held))
+        if tag in ENDS_P and innermost("p") > scopes[-1]:
+            cut(innermost("p"))
         if stack[-1].tag == "head" and tag not in ("meta", "title", "link", "style", "script", "base", "template", "noscript"):
-            del stack[-1]
+            cut(len(stack) - 1)
         for implied in IMPLIES.get(tag, {}).get(stack[-1].tag, ()):
             stack[-1].children.append(Node(implied))
-            stack.append(stack[-1].children[-1])
+            push(stack[-1].children[-1])
         attributes = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
         node = Node(tag, attributes)
         node.seen = tag not in UNSEEN and not ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDES.search(attributes.get("style", "")) or (tag == "input"))
@@ -126,7 +142,7 @@ def parse(source: str) -> Node:
             close = source.find(">", end.end())
             at = len(source) if close < 0 else close + 1
         elif tag not in VOID:
-            stack.append(node)
+            push(node)
     add(source[at:])
     return root
 
@@ -136,7 +152,7 @@ class Writer:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.line = ""
+        self.line: list[str] = []
         self.space = False
         self.margin = 0
         self.lead = ""
@@ -164,16 +180,19 @@ class Writer:
         if not self.line:
             if self.lines:
                 self.lines.extend([""] * self.margin)
-            self.line, self.lead, self.margin = self.lead, "", 0
+            if self.lead:
+                self.line.append(self.lead)
+            self.lead, self.margin = "", 0
         elif self.space:
-            self.line += " "
+            self.line.append(" ")
         self.space = False
-        self.line += value
+        if value:
+            self.line.append(value)
 
     def _end(self) -> None:
         if self.line:
-            self.lines.append(self.line.rstrip())
-        self.line, self.space = "", False
+            self.lines.append("".join(self.line).rstrip())
+        self.line, self.space = [], False
 
     def block(self, margin: int) -> None:
         """Begin a new line, with so many blank lines before it if there is text above."""
@@ -223,7 +242,7 @@ def _number(value: str, least: int, most: int) -> int:
     return min(max(int(value), least), most) if value.isdigit() else least
 
 
-def table_lines(node: Node, depth: int) -> list[str]:
+def _table(node: Node) -> Generator:
     """The rows of a table, every cell padded to the width of its column; cells that span columns take their room."""
     grid: list[list[tuple[list[str], int]]] = []
     held: dict[int, int] = {}
@@ -237,7 +256,7 @@ def table_lines(node: Node, depth: int) -> list[str]:
                 column += 1
             span = _number(cell.attributes.get("colspan", ""), 1, 100)
             down = _number(cell.attributes.get("rowspan", ""), 1, 1000)
-            out.append((render(cell, depth + 1), span))
+            out.append(((yield _rendered(cell)), span))
             for c in range(column, column + span):
                 held[c] = down - 1
             column += span
@@ -251,29 +270,36 @@ def table_lines(node: Node, depth: int) -> list[str]:
             column += span
     result = []
     for out in grid:
-        height = max((len(lines) for lines, _ in out), default=0)
-        for i in range(height):
-            parts, column = [], 0
-            for lines, span in out:
-                width = sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1)
-                parts.append((lines[i] if i < len(lines) else "").ljust(width))
-                column += span
+        room, column = [], 0
+        for _, span in out:
+            room.append(sum(widths.get(c, 0) for c in range(column, column + span)) + 2 * (span - 1))
+            column += span
+        for i in range(max((len(lines) for lines, _ in out), default=0)):
+            parts = [(lines[i] if i < len(lines) else "").ljust(width) for (lines, _), width in zip(out, room, strict=True)]
             result.append("  ".join(parts).rstrip())
     return result
 
 
-#: Elements nested deeper than this are rendered as if they were this deep, so that no page exhausts the stack.
-DEEPEST = 150
+def render(node: Node) -> list[str]:
+    """The lines of a tree or of a part of it, however deep it is: what would call itself yields what it needs instead."""
+    stack, value = [_rendered(node)], None
+    while stack:
+        try:
+            stack.append(stack[-1].send(value))
+            value = None
+        except StopIteration as done:
+            stack.pop()
+            value = done.value
+    return value
 
 
-def render(node: Node, depth: int = 0, pre: bool = False) -> list[str]:
-    """The lines of a tree or of a part of it."""
+def _rendered(node: Node) -> Generator:
     writer = Writer()
-    _render(node, writer, depth, pre, 0)
+    yield _render(node, writer, False, 0)
     return writer.done()
 
 
-def _render(node: Node, out: Writer, depth: int, pre: bool, lists: int) -> None:
+def _render(node: Node, out: Writer, pre: bool, lists: int) -> Generator:
     number = _number(node.attributes.get("start", "1"), 0, 10**9)
     for child in node.children:
         if isinstance(child, str):
@@ -289,56 +315,38 @@ def _render(node: Node, out: Writer, depth: int, pre: bool, lists: int) -> None:
             if child.attributes.get("alt", "").strip():
                 out.text(child.attributes["alt"], False)
             continue
-        if depth >= DEEPEST:
-            for text in _flat(child):
-                out.text(text, pre)
-            continue
         margin = 1 if tag in MARGIN and not (lists and tag in ("ul", "ol")) else 0
         if tag in BLOCK:
             out.block(margin)
         if tag == "table":
             captions = [[c] for c in child.children if isinstance(c, Node) and c.tag == "caption" and c.seen]
             for part in _loose(child) + captions:
-                for line in render(Node("#part", {}, part), depth + 1):
+                for line in (yield _rendered(Node("#part", {}, part))):
                     out.block(0)
                     out._put(line)
-            for line in table_lines(child, depth):
+            for line in (yield _table(child)):
                 out.block(0)
                 out._put(line)
         elif tag == "li":
             bullet = f"{number}. " if node.tag == "ol" else "* "
             number += 1
-            out.lead = "  " * max(lists - 1, 0) + bullet
-            _render(child, out, depth + 1, pre, lists)
+            out.lead = "  " * min(max(lists - 1, 0), INDENTED) + bullet
+            yield _render(child, out, pre, lists)
             out.lead = ""
         elif tag in ("ul", "ol", "menu", "dir"):
-            _render(child, out, depth + 1, pre, lists + 1)
+            yield _render(child, out, pre, lists + 1)
         elif tag in ("td", "th"):
             out.space = True
-            _render(child, out, depth + 1, pre, lists)
+            yield _render(child, out, pre, lists)
             out.space = True
         else:
             if tag == "dd":
                 out.lead = "  "
-            _render(child, out, depth + 1, pre or tag == "pre", lists)
+            yield _render(child, out, pre or tag == "pre", lists)
         if tag in BLOCK:
             out.block(margin)
 
 
-def _flat(node: Node) -> list[str]:
-    out: list[str] = []
-    stack: list = [node]
-    while stack:
-        now = stack.pop()
-        if isinstance(now, str):
-            out.append(now)
-        elif now.seen:
-            stack.extend(reversed(now.children))
-            if now.tag in BLOCK or now.tag == "br":
-                stack.append(" ")
-    return out
-
-
 def extract(source: str) -> str:
     """The visible text of a page."""
     return "\n".join(render(parse(source)))
