@@ -10,6 +10,10 @@ from lodeline.llm.sampling import in_training
 from lodeline.session import table
 
 
+#: The key of surrogates for the synthetic tables; a deployment sets spark.lodeline.surrogates.key to a secret of its own.
+TEST_KEY = "synthetic tables"
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash.components(table(spark, sf_dir, "documents"))
@@ -22,7 +26,7 @@ def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with personal data replaced, and n_replaced."""
-    return surrogates.pseudonymise(table(spark, sf_dir, "documents"))
+    return surrogates.pseudonymise(table(spark, sf_dir, "documents"), spark.conf.get("spark.lodeline.surrogates.key", TEST_KEY))
 
 
 def op4_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

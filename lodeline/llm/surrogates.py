@@ -2,7 +2,9 @@
 
 Mentions are found by patterns: e-mail addresses, IP addresses, payment cards,
 social security and phone numbers, and names after a title. Each entity (a kind
-and the mention in canonical form) gets one surrogate wherever it is mentioned,
+and the mention in canonical form) gets one surrogate wherever it is mentioned;
+a person's given name and family name are entities of their own, so that a full
+name and the family name alone, or two members of a family, go on belonging together. A surrogate is
 made from an HMAC-like hash with the key, and rendered in the form of each
 mention: digits keep their places and separators, letters their case and script,
 names the gender of their title, cards the validity of their check digit.
@@ -19,7 +21,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.llm.arrow import materialise
+from lodeline.llm.arrow import free, materialise
 
 #: The kinds with their patterns, the first that fits at a place wins. Boundaries keep matches out of longer words and numbers.
 PATTERNS = (
@@ -41,7 +43,6 @@ NAMES = {
     ("n", "latin"): "Abel Bauer Blanc Borg Castel Conti Dahl Dorn Duran Egger Falk Ferro Frey Gallo Haas Holm Jansen Keller Lang Leroy Lind Marek Meier Molina Moreau Nagel Novak Olsen Perrin Petit Pohl Rossi Roux Sander Silva Stark Steiner Torres Vidal Wolff",
     ("n", "cyrillic"): "Белов Волков Громов Зимин Котов Лебедев Морозов Орлов Петров Седов Титов Фролов",
 }
-KEY = "lodeline"
 #: Overrides that are broadcast; more are joined by a shuffle on the hash of the text.
 BROADCAST_ROWS = 20_000
 ROUNDS = 40
@@ -73,18 +74,30 @@ def kind_of(mention: Column) -> Column:
 
 
 def canonical(mention: Column, kind: Column | None = None) -> Column:
-    """What mentions of one entity have in common: lower case for e-mail, digits alone for numbers, gender and name without the title for persons."""
+    """What mentions of one entity have in common: lower case for e-mail, digits alone for numbers, the names without the title for persons."""
     kind = kind_of(mention) if kind is None else kind
-    name = F.regexp_replace(mention, r"^\S+ ", "")
-    gender = F.when(mention.rlike(FEMALE), "f ").otherwise("m ")
     return (
         F.when(kind == "email", F.lower(mention))
         .when(kind == "ip", mention)
-        .when(kind == "person", F.concat(gender, F.lower(name)))
+        .when(kind == "person", F.lower(F.regexp_replace(mention, r"^\S+ ", "")))
         .otherwise(F.regexp_replace(mention, _NOT_DIGITS, ""))
     )
 
 
+def parts(mention: Column) -> Column:
+    """The entities (kind, canon) of a mention: of a person the family name and, if there are two names, the gender and the given name; of all else one."""
+    one = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
+    gender = F.when(mention.rlike(FEMALE), "f ").otherwise("m ")
+
+    def of(held: Column) -> Column:
+        kind, canon = held["kind"], held["canon"]
+        family = one(F.lit("family"), F.substring_index(canon, " ", -1))
+        given = one(F.lit("given"), F.concat(gender, F.substring_index(canon, " ", 1)))
+        return F.when(kind != "person", F.array(one(kind, canon))).when(F.contains(canon, F.lit(" ")), F.array(family, given)).otherwise(F.array(family))
+
+    return let(one(kind_of(mention), canonical(mention)), of)
+
+
 def _hash(kind: Column, canon: Column, attempt: Column, key: str, part: str = "") -> Column:
     once = F.sha2(F.concat_ws("|", F.lit(key + part), kind, canon, attempt.cast("string")), 256)
     return F.sha2(F.concat(F.lit(key), once), 256)
@@ -120,15 +133,15 @@ def _pick(h: Column, i: int, gender: Column, script: Column) -> Column:
     return out
 
 
-def surrogate(kind: Column, canon: Column, attempt: Column, key: str = KEY) -> Column:
+def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of an entity's surrogate.
 
     E-mail: letters and digits of the local part replaced one for one, then a
     host of the reserved example domains. IP: four octets from 1 to 254. Card:
     the first digit stays, and the check digit is right exactly if it was.
     Phone: the digits before the last ten, or the first if there are no more,
-    stay. Person: given and family name by gender and script, as many as there were.
-    Beyond GROWS attempts every further one adds a family name, or a digit of the
+    stay. Names: of the lists for the script and, if given names, the gender.
+    Beyond GROWS attempts every further one adds a name, or a digit of the
     host, so names and addresses don't run out.
     """
     held = F.struct(kind.alias("kind"), canon.alias("canon"), attempt.alias("attempt"))
@@ -153,22 +166,22 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, h: Column) -> Colum
     check = F.when(_luhn(canon) == 0, right).otherwise((right + 1 + _number(h, 8, 9)) % 10)
     kept = F.when(F.length(canon) > 10, F.length(canon) - 10).otherwise(F.lit(1))
     phone = F.concat(F.substr(canon, F.lit(1), kept), F.substr(_draw(h, 30), F.lit(1), F.length(canon) - kept))
-    gender = F.substring(canon, 1, 1)
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
-    family = _pick(h, 1, F.lit("n"), script)
-    # later attempts compound two family names, so the supply doesn't run out
-    family = F.when(attempt > 3, F.concat(family, F.lit("-"), _pick(h, 2, F.lit("n"), script))).otherwise(family)
-    family = F.when(attempt > 12, F.concat(family, F.lit("-"), _pick(h, 4, F.lit("n"), script))).otherwise(family)
-    more = lambda i: F.concat(F.lit("-"), _pick(F.sha2(F.concat(h, i.cast("string")), 256), 0, F.lit("n"), script))
-    family = F.when(attempt > GROWS, F.concat(family, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROWS, F.lit(1))), more), ""))).otherwise(family)
-    person = F.concat_ws(" ", gender, F.when(canon.rlike(r"^. \S+ \S"), _pick(h, 3, gender, script)), family)
+    role = F.when(kind == "family", "n").otherwise(F.substring(canon, 1, 1))
+    name = _pick(h, 1, role, script)
+    # later attempts compound names, so the supply doesn't run out
+    name = F.when(attempt > 3, F.concat(name, F.lit("-"), _pick(h, 2, role, script))).otherwise(name)
+    name = F.when(attempt > 12, F.concat(name, F.lit("-"), _pick(h, 4, role, script))).otherwise(name)
+    more = lambda i: F.concat(F.lit("-"), _pick(F.sha2(F.concat(h, i.cast("string")), 256), 0, role, script))
+    name = F.when(attempt > GROWS, F.concat(name, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROWS, F.lit(1))), more), ""))).otherwise(name)
+    name = F.lower(F.when(kind == "given", F.concat(F.substring(canon, 1, 2), name)).otherwise(name))
     return (
         F.when(kind == "email", F.concat(changed, host))
         .when(kind == "ip", ip)
         .when(kind == "card", F.concat(body, check.cast("string")))
         .when(kind == "ssn", _draw(h, 9))
         .when(kind == "phone", phone)
-        .otherwise(F.lower(person))
+        .otherwise(name)
     )
 
 
@@ -180,12 +193,12 @@ def render(mention: Column, replaced: Column, kind: Column | None = None) -> Col
     numbers = F.array_join(
         F.transform(at, lambda i: F.when(F.substr(mention, i, F.lit(1)).rlike(_DIGITS), F.substr(replaced, place(i), F.lit(1))).otherwise(F.substr(mention, i, F.lit(1)))), ""
     )
-    titled = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.initcap(F.regexp_replace(replaced, "^. ", "")))
+    titled = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.initcap(replaced))
     shouted = mention.rlike(r"\p{Lu}") & ~mention.rlike(r"\p{Ll}")
     return (
         F.when(kind == "email", F.when(shouted, F.upper(replaced)).otherwise(replaced))
         .when(kind == "ip", replaced)
-        .when(kind == "person", F.when(F.regexp_replace(mention, r"^\S+ ", "").rlike(r"^[^\p{Ll}]+$"), F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.upper(F.regexp_replace(replaced, "^. ", "")))).otherwise(titled))
+        .when(kind == "person", F.when(F.regexp_replace(mention, r"^\S+ ", "").rlike(r"^[^\p{Ll}]+$"), F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.upper(replaced))).otherwise(titled))
         .otherwise(numbers)
     )
 
@@ -199,10 +212,10 @@ def mentions(text: Column) -> Column:
 def entities(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(kind, canon): the distinct entities of all texts."""
     one = docs.select(F.explode(mentions(F.col(text_col))).alias("m")).groupBy("m").agg(F.lit(1).alias("x"))
-    return one.select(kind_of(F.col("m")).alias("kind"), canonical(F.col("m")).alias("canon")).distinct()
+    return one.select(F.explode(parts(F.col("m"))).alias("e")).select("e.kind", "e.canon").distinct()
 
 
-def attempts(found: DataFrame, key: str = KEY) -> DataFrame:
+def attempts(found: DataFrame, key: str) -> DataFrame:
     """(kind, canon, attempt) of the entities that can't have their first surrogate, so that all surrogates differ and none is an entity.
 
     Names and addresses always settle, since their surrogates grow with the
@@ -231,35 +244,41 @@ def _replace(text: Column, found: Column, overrides: Column | None, key: str) ->
         return F.lit(0) if overrides is None else F.coalesce(F.element_at(overrides, F.concat_ws("|", e["kind"], e["canon"])), F.lit(0))
 
     def one(m: Column) -> Column:
-        kinds = F.struct(m.alias("m"), kind_of(m).alias("kind"))
-        entity = lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), canonical(e["m"], e["kind"]).alias("canon"))
-        made = lambda e: F.struct(e["m"].alias("m"), e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], attempt(e), key).alias("s"))
-        return let(kinds, lambda e: let(entity(e), lambda f: let(made(f), lambda g: render(g["m"], g["s"], g["kind"]))))
+        made = lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], attempt(e), key).alias("s"))
+        # a given name comes with its gender and stands before the family name
+        whole = lambda found: F.when(F.size(found) > 1, F.concat(F.substring(found[1]["s"], 3, 1 << 20), F.lit(" "), found[0]["s"])).otherwise(found[0]["s"])
+        kind = lambda found: F.when(found[0]["kind"] == "family", "person").otherwise(found[0]["kind"])
+        return let(F.transform(parts(m), made), lambda found: render(m, whole(found), kind(found)))
 
     between = F.split(text, PATTERN, -1)
     joined = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.transform(found, one).alias("s")), lambda x: F.concat(x["b"], F.coalesce(x["s"], F.lit("")))), "")
     return F.when(F.size(found) > 0, joined).otherwise(text)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data in ``text_col`` replaced and a column n_replaced, the number of mentions; all else stays.
 
-    Null texts stay null and empty ones empty, with n_replaced 0. Equal rows are
-    treated alike, an empty table stays empty, and a column n_replaced that the
-    input has is replaced. The same key gives the same surrogates for the same
-    corpus.
+    ``key`` is a secret: whoever has it can find the original of a number by
+    trial. Null texts stay null and empty ones empty, with n_replaced 0. Equal
+    rows are treated alike, whatever their number and length, an empty table
+    stays empty, and a column n_replaced that the input has is replaced. The same
+    key gives the same surrogates for the same corpus.
     """
+    if not key:
+        raise ValueError("surrogates need a key")
     moved = attempts(entities(docs, text_col), key)
-    text, found = F.col(text_col), F.col("__found")
-    base = docs.drop("n_replaced").withColumn("__found", mentions(text))
     columns = [c for c in docs.columns if c != "n_replaced"]
+    held, hashed, own_moves = (free(x, docs) for x in ("found", "hash", "moved"))
+    text, found = F.col(text_col), F.col(held)
+    base = docs.drop("n_replaced").withColumn(held, mentions(text))
     final = lambda df, overrides: df.select(*[_replace(text, found, overrides, key).alias(c) if c == text_col else F.col(c) for c in columns], F.size(found).cast("bigint").alias("n_replaced"))
     count = moved.count()
     if not count:
-        return final(base.withColumn("__found", F.coalesce(found, F.array().cast("array<string>"))), None)
+        return final(base.withColumn(held, F.coalesce(found, F.array().cast("array<string>"))), None)
     moved = moved.select(F.concat_ws("|", "kind", "canon").alias("entity"), "attempt")
-    met = docs.select(text, mentions(text).alias("__found")).where(F.size(found) > 0).select(F.xxhash64(text).alias("__h"), F.explode(F.array_distinct(F.transform(found, lambda m: F.concat_ws("|", kind_of(m), canonical(m))))).alias("entity"))
-    own = met.join(F.broadcast(moved) if count <= BROADCAST_ROWS else moved, "entity").groupBy("__h").agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias("__moved"))
+    named = F.array_distinct(F.flatten(F.transform(F.col("f"), lambda m: F.transform(parts(m), lambda e: F.concat_ws("|", e["kind"], e["canon"])))))
+    met = docs.select(text.alias("t"), mentions(text).alias("f")).where(F.size("f") > 0).select(F.xxhash64("t").alias(hashed), F.explode(named).alias("entity"))
+    own = met.join(F.broadcast(moved) if count <= BROADCAST_ROWS else moved, "entity").groupBy(hashed).agg(F.map_from_entries(F.collect_set(F.struct("entity", "attempt"))).alias(own_moves))
     own = materialise(own)
-    joined = base.withColumn("__h", F.xxhash64(text)).join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, "__h", "left")
-    return final(joined, F.col("__moved"))
+    joined = base.withColumn(hashed, F.xxhash64(text)).join(F.broadcast(own) if own.count() <= BROADCAST_ROWS else own, hashed, "left")
+    return final(joined, F.col(own_moves))

@@ -18,7 +18,7 @@ TEXT = "Mail und.34@mail7.example.com and UND.34@MAIL7.EXAMPLE.COM from 97.51.17
 
 def test_forms_and_coreference(spark):
     docs = spark.createDataFrame([(1, TEXT, "k"), (2, "г-жа Мария Иванова ok", "k"), (3, None, "k"), (4, "", "k"), (5, "version 1.2 of 2024, nothing else", "k")], "doc_id long, text string, n_replaced string")
-    rows = {r.doc_id: r for r in surrogates.pseudonymise(docs).collect()}
+    rows = {r.doc_id: r for r in surrogates.pseudonymise(docs, "key").collect()}
     out = rows[1].text
     mails = re.findall(r"\S+@\S+", out)
     assert mails[0].upper() == mails[1] and "und" not in mails[0] and re.fullmatch(r"[a-z]{3}\.\d\d@mail\d+\.example\.(com|net|org)", mails[0])
@@ -32,7 +32,7 @@ def test_forms_and_coreference(spark):
     assert len(out.split()) == len(TEXT.split()) and rows[1].n_replaced == 11
     assert re.fullmatch(r"г-жа [А-я]+ [А-я]+ ok", rows[2].text) and "Мария" not in rows[2].text
     assert (rows[3].text, rows[3].n_replaced, rows[4].text) == (None, 0, "") and rows[5].text == "version 1.2 of 2024, nothing else"
-    assert surrogates.pseudonymise(docs.limit(0)).count() == 0
+    assert surrogates.pseudonymise(docs.limit(0), "key").count() == 0
 
 
 def luhn(digits):
@@ -41,7 +41,7 @@ def luhn(digits):
 
 def test_check_digits_keep_their_validity(spark):
     cards = [("4539148803436467",), ("4539148803436468",), ("1234567812345670",)]
-    rows = spark.createDataFrame(cards, "c string").select("c", surrogates.surrogate(F.lit("card"), F.col("c"), F.lit(0)).alias("s")).collect()
+    rows = spark.createDataFrame(cards, "c string").select("c", surrogates.surrogate(F.lit("card"), F.col("c"), F.lit(0), "key").alias("s")).collect()
     assert all((luhn(r.c) == 0) == (luhn(r.s) == 0) and r.s != r.c for r in rows)
 
 
@@ -49,10 +49,10 @@ def test_collisions_are_resolved(spark):
     # persons have few names, so first surrogates collide; a thousand women have to stay apart
     names = [(f"Mrs {a}{b} {c}{d}",) for a in "ABCDEFGHIJ" for b in "abcde" for c in "KLMNO" for d in "fghi"]
     docs = spark.createDataFrame(names, "text string").withColumn("doc_id", F.monotonically_increasing_id())
-    out = surrogates.pseudonymise(docs).collect()
+    out = surrogates.pseudonymise(docs, "key").collect()
     assert len({r.text for r in out}) == len(names)
     assert not {r.text for r in out} & {n for (n,) in names}
-    again = surrogates.pseudonymise(docs).collect()
+    again = surrogates.pseudonymise(docs, "key").collect()
     assert sorted(r.text for r in again) == sorted(r.text for r in out)
 
 
