@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder of spark.checkpoint.dir, so that a lost executor doesn't cost the walk."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(os.getcwd(), "spark-warehouse", "checkpoints"))
-    return df.checkpoint()
+from lodeline.session import checkpointed
 
 
 def walk(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = None, kept: DataFrame | None = None) -> DataFrame:
@@ -23,7 +15,7 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = Non
     order of addresses. With ``kept`` (url) only those pages and the seeds pass
     on their links.
     """
-    frontier = _cut(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
+    frontier = checkpointed(seeds.select("url").distinct().withColumn("depth", F.lit(0)))
     visited = frontier
     for level in range(1, depth + 1):
         room = None if limit is None else limit - visited.count()
@@ -33,8 +25,8 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = Non
         fresh = from_.join(edges, "url").select(F.col("link").alias("url")).distinct().join(visited.select("url"), "url", "left_anti").withColumn("depth", F.lit(level))
         if room is not None:
             fresh = fresh.orderBy("url").limit(room)
-        frontier = _cut(fresh)
+        frontier = checkpointed(fresh)
         if frontier.isEmpty():
             break
-        visited = _cut(visited.unionByName(frontier))
+        visited = checkpointed(visited.unionByName(frontier))
     return visited.limit(limit) if limit is not None and limit < visited.count() else visited

@@ -87,13 +87,13 @@ def stream_watermark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import os
     import uuid
 
+    from lodeline.session import shared_folder
     from lodeline.sources.documents import Versions
     from lodeline.streaming import updates
 
-    root = f"{(spark.conf.get('spark.checkpoint.dir', None) or os.path.join(os.getcwd(), 'spark-warehouse')).rstrip('/')}/upsert-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
     store = Versions(spark, f"{root}/store")
     stream = updates.files(spark, sf_dir, table(spark, sf_dir, "events").schema, names="events.parquet").select("user_id", "event_id", "event_type", "value")
     updates.upserts(stream, store, "user_id", "event_id", f"{root}/progress").awaitTermination()
