@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import zipfile
@@ -13,6 +12,8 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodeline.session import checkpointed
+
 #: Rows and bytes in an Arrow batch of whole texts; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 26
 #: Bytes of text that numpy kernels treat at once; a longer text is treated alone.
@@ -48,28 +49,7 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names. Where it is unset a local one will do if the session is local, as in tests; on a cluster ValueError."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return os.path.join(os.getcwd(), "spark-warehouse", "checkpoints")
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with checkpoint() in the shared folder.
-
-    Executors may be lost later: the copy is in shared storage. Copies go when
-    the session's garbage collection finds them unused, if
-    spark.cleaner.referenceTracking.cleanCheckpoints is on, as
-    lodeline.session.SETTINGS has it.
-    """
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(shared_folder(spark))
-    return df.checkpoint()
+materialise = checkpointed
 
 
 def free(name: str, df: DataFrame) -> str:

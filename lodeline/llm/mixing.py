@@ -13,6 +13,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodeline.llm.arrow import free
+
 SEED = 10
 #: Sources whose rates are broadcast; with more of them the rates are joined by a shuffle, whose hot keys Spark splits.
 BROADCAST_SOURCES = 20_000
@@ -69,15 +71,16 @@ def replicate(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", source_
     Copies are dealt to partitions by the hash of their shuffle_key and sorted by
     it there, so neither sources nor copies of a row stay together.
     """
+    named, parts, table, drawn = (free(x, docs) for x in ("mixed_source", "parts", "table", "drawn"))
     part = F.greatest(F.lit(1.0), F.ceil(F.col("rate") / PART).cast("double"))
-    tables = found.select(F.col(source_col).alias("__source"), part.cast("int").alias("__parts"), poisson_table(F.col("rate") / part).alias("__table"))
+    tables = found.select(F.col(source_col).alias(named), part.cast("int").alias(parts), poisson_table(F.col("rate") / part).alias(table))
     if found.count() <= BROADCAST_SOURCES:
         tables = F.broadcast(tables)
-    drawn = F.aggregate(
-        F.sequence(F.lit(1), F.col("__parts")), F.lit(0), lambda total, j: total + F.size(F.filter("__table", lambda c: c <= unit(F.lit(f"mix:{seed}"), id_col, j.cast("string"))))
+    times = F.aggregate(
+        F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda total, j: total + F.size(F.filter(table, lambda c: c <= unit(F.lit(f"mix:{seed}"), id_col, j.cast("string"))))
     )
-    joined = docs.join(tables, docs[source_col].eqNullSafe(tables["__source"])).withColumn("__drawn", drawn).where("__drawn > 0")
-    copies = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__drawn").cast("bigint"))).alias("copy"))
+    joined = docs.join(tables, docs[source_col].eqNullSafe(tables[named])).withColumn(drawn, times).where(F.col(drawn) > 0)
+    copies = joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(drawn).cast("bigint"))).alias("copy"))
     key = F.md5(F.concat_ws(":", F.lit(f"order:{seed}"), F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.col("copy").cast("string")))
     return copies.withColumn("shuffle_key", key).repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodeline.llm.arrow import free
+
 
 def in_training(id_col: str = "doc_id") -> Column:
     """False for the held-out fifth: crc32 of the id as text, modulo 5, is 0."""
@@ -18,23 +20,21 @@ def least_by_hash(rows: DataFrame, label: str, id_col: str, per_label: int, seed
     """(id, label) of at most ``per_label`` distinct ids for each label: those with the smallest hashes.
 
     Rows are counted by label first, and only those whose hash is below about
-    SPARE * per_label / rows are ranked: neither a task nor the driver gets more
-    than some multiple of what is asked for, whatever the number of rows and
-    partitions. Labels are few.
+    SPARE * per_label / rows are ranked: no task gets more than some multiple of
+    what is asked for, whatever the number of rows and partitions, and the driver
+    gets what is asked for.
     """
-    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11).cast("double") * F.lit(2.0**-53)
-    picked = rows.select(id_col, label).where(F.col(id_col).isNotNull() & F.col(label).isNotNull())
-    bound = F.lit(1.0)
-    for name, n in picked.groupBy(label).count().collect():
-        if n > SPARE * per_label:
-            bound = F.when(F.col(label) == F.lit(name), SPARE * per_label / n).otherwise(bound)
-    ranked = picked.withColumn("__u", u).where(F.col("__u") < bound)
-    order = Window.partitionBy(label).orderBy("__u", id_col)
-    first = ranked.withColumn("__rank", F.row_number().over(order)).where(F.col("__rank") <= per_label)
-    return sorted({(r[0], r[1]) for r in first.select(id_col, label).collect()})
+    picked = rows.select(F.col(id_col).alias("id"), F.col(label).alias("label")).where("id IS NOT NULL AND label IS NOT NULL")
+    u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("id")), 11).cast("double") * F.lit(2.0**-53)
+    counted = picked.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    ranked = picked.join(counted, "label").withColumn("u", u).where(F.col("u") * F.col("n") < F.lit(float(SPARE * per_label)))
+    order = Window.partitionBy("label").orderBy("u", "id")
+    first = ranked.withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_label)
+    return sorted({(r[0], r[1]) for r in first.select("id", "label").collect()})
 
 
 def only_ids(docs: DataFrame, id_col: str, ids: list) -> DataFrame:
     """The rows whose id is one of a bounded list, sent to the executors as a small table."""
-    small = docs.sparkSession.createDataFrame([(i,) for i in ids], f"__id {docs.schema[id_col].dataType.simpleString()}")
-    return docs.join(F.broadcast(small), docs[id_col] == small["__id"], "left_semi")
+    name = free("id", docs)
+    small = docs.sparkSession.createDataFrame([(i,) for i in ids], f"{name} {docs.schema[id_col].dataType.simpleString()}")
+    return docs.join(F.broadcast(small), docs[id_col] == small[name], "left_semi")
