@@ -5,11 +5,11 @@ groups are the components. Links are verified on the whole sets and found in
 three steps, each of which treats what the ones before it left apart:
 
 1. Texts whose fingerprints share a Golay key (simhash.keys_of) are compared
-   with the leaders of the most and of the least crowded of these keys.
+   with the likeliest leader of the most and of the least crowded of these keys.
 2. Shingles have one order for all texts, the commoner of a sample last. Two
    sets at the least similarity share one of the first shingles of both, a fifth
    of each set, whatever the order: these are a text's keys. Again a text is
-   compared with the leaders of the most and of the least crowded of them.
+   compared with a leader of the most and of the least crowded of them.
 3. In every key that still holds more than one group, all pairs of texts of
    different groups are compared that size, place and a parity map don't rule
    out; none of these bounds can lose a link. A crowded key is dealt in blocks.
@@ -27,7 +27,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeline.llm.arrow import bound_batches, by_text, materialise
 from lodeline.llm.bitmaps import bitmap, in_bitmap, modulo
@@ -43,6 +43,8 @@ LEADERS = 32
 BITS = 1 << 25
 #: For the order of the shingles: texts counted, how often a common shingle occurs there at least, and how many are told apart.
 COUNTED, COMMON, MOST_COMMON = 10_000, 4, 200_000
+#: Parts of step 3 with so many rows are treated together.
+SMALL = 32
 #: Texts that a task remembers in order not to repeat their keys, and tasks over which a common key is dealt.
 SEEN, SALTS = 200_000, 256
 #: The least and the most bits of a text's parity map; a shorter map only rules out less.
@@ -155,13 +157,15 @@ class Maps:
                 table = np.concatenate((table, _folded(more, words)))
             self.held[words] = table, place
 
-    def differ(self, i: int, at: np.ndarray) -> np.ndarray:
-        """The bits in which row i's map differs from those of the rows ``at``; their lengths are equal or one is twice the other."""
-        least, out = np.minimum(self.words[i], self.words[at]), np.zeros(len(at), np.int64)
+    def differ(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The bits in which the maps of rows i and j differ, pair by pair; their lengths are equal or one is twice the other."""
+        least, out = np.minimum(self.words[i], self.words[j]), np.zeros(len(i), np.int64)
         for words in np.unique(least).tolist():
             table, place = self.held[words]
-            some = least == words
-            out[some] = np.bitwise_count(table[place[at[some]]] ^ table[place[i]]).sum(axis=1, dtype=np.int64)
+            some = np.flatnonzero(least == words)
+            for at in range(0, len(some), 1 << 16):
+                own = some[at : at + (1 << 16)]
+                out[own] = np.bitwise_count(table[place[i[own]]] ^ table[place[j[own]]]).sum(axis=1, dtype=np.int64)
         return out
 
 
@@ -206,24 +210,6 @@ def _common(docs: DataFrame, text_col: str) -> tuple[np.ndarray, np.ndarray]:
     return s[order], n[order]
 
 
-def _groups_of(batches, width: int) -> Iterator[list[pa.Array]]:
-    """The columns after the first, as Arrow arrays, of each run of rows with one value in the first column; rows are sorted by it."""
-    last, held = None, []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = batch.column(0).to_numpy(zero_copy_only=False)
-        start = np.concatenate(([0], np.flatnonzero(part[1:] != part[:-1]) + 1, [len(part)]))
-        for i, j in zip(start[:-1], start[1:], strict=True):
-            if part[i] != last and held:
-                yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(1, width)]
-                held = []
-            last = part[i]
-            held.append(batch.slice(i, j - i))
-    if held:
-        yield [pa.concat_arrays([b.column(k) for b in held]) for k in range(1, width)]
-
-
 def _pairs_out(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
     a, b = [], []
     make = lambda: pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -237,29 +223,47 @@ def _pairs_out(found: Iterator[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         yield make()
 
 
-def _leaders(batches):
-    """Links (a, b) between the texts of each part and its leaders; rows (part, follows, node, t) are sorted by part, none is held but the leaders."""
+def _sketched(batches):
+    """For each row (part, follows, node, n, map), sorted by part: the leader of its part whose map is nearest, as (g, node), if alike sets could have such maps.
+
+    Rows without such a leader become leaders, up to LEADERS of them; none is held but these.
+    """
+    last, lead = None, []
+    for batch in batches:
+        out = []
+        columns = [batch.column(i).to_pylist() for i in (0, 2, 3, 4)]
+        for part, node, n, raw in zip(*columns, strict=True):
+            if part != last:
+                last, lead = part, []
+            bits, found = np.frombuffer(raw, np.uint64), None
+            for other_node, other_n, other in lead:
+                if other_node != node and near_size(n, other_n):
+                    words = min(len(bits), len(other))
+                    differ = int(np.bitwise_count(_folded(bits, words) ^ _folded(other, words)).sum())
+                    if few_odd(n, other_n, differ) and (found is None or differ < found[0]):
+                        found = differ, other_node
+            if found:
+                out.append((found[1], node))
+            elif len(lead) < LEADERS:
+                lead.append((node, n, bits))
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], pa.int64()) for k in (0, 1)], ["g", "node"])
+
+
+def _led(batches):
+    """Links (a, b) between the texts of each part and its leader, which comes first; rows (part, follows, node, t) are sorted by part."""
 
     def found():
-        last, lead, trees = None, [], Trees()
+        last, lead, own = None, None, np.zeros(0, np.int64)
         for batch in batches:
-            part, nodes, texts = batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(3)
+            part, follows, nodes, texts = *(batch.column(i).to_pylist() for i in range(3)), batch.column(3)
             for i, node in enumerate(nodes):
-                if part[i] != last:
-                    last, lead, trees = part[i], [], Trees()
                 held = shingles(texts[i].as_py())
-                bits, n, linked = parity(held), len(held), False
-                for other_node, other, other_bits in lead:
-                    if not near_size(n, len(other)):
-                        continue
-                    words = min(len(bits), len(other_bits))
-                    differ = int(np.bitwise_count(_folded(bits, words) ^ _folded(other_bits, words)).sum())
-                    if few_odd(n, len(other), differ) and trees.root(node) != trees.root(other_node) and alike(held, other):
-                        linked = True
-                        trees.join(node, other_node)
-                        yield node, other_node
-                if not linked and len(lead) < LEADERS:
-                    lead.append((node, held, bits))
+                if part[i] != last:
+                    last, lead, own = part[i], None, held
+                if not follows[i]:
+                    lead, own = node, held
+                elif lead is not None and alike(held, own):
+                    yield node, lead
 
     yield from _pairs_out(found())
 
@@ -278,20 +282,30 @@ def texts_of(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     return told.join(wanted.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("t").alias("t"))
 
 
-def _with_leaders(rows: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between texts of one group, for rows (g, node, n): each is compared with the leaders of its block of the group.
-
-    The least and the greatest node of a group are in all its blocks, and first.
-    """
-    sizes = rows.groupBy("g").agg(F.sum(F.col("n") + EXTRA).alias("w"), F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+def _blocks(rows: DataFrame, sizes: DataFrame, first: Column) -> DataFrame:
+    """(part, follows, ...) for rows with a group g and the weights w of groups: a group is dealt in blocks, and its first rows are in all of them."""
     joined = rows.join(sizes, "g")
     blocks = F.ceil(F.col("w") / BLOCK).cast("int")
-    first = F.col("node").isin(F.col("low"), F.col("high"))
     own = F.when(first, F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("g", "node"), blocks).cast("int")))
-    dealt = materialise(joined.select("g", "node", (~first).alias("follows"), F.explode(own).alias("own")).select(F.xxhash64("g", "own").alias("part"), "follows", "node"))
-    told = texts_of(texts, dealt.select("node"))
-    met = dealt.join(told, "node").select("part", "follows", "node", "t")
-    return met.repartition("part").sortWithinPartitions("part", "follows", "node").mapInArrow(_leaders, "a bigint, b bigint")
+    return joined.withColumn("follows", ~first).withColumn("own", F.explode(own)).withColumn("part", F.xxhash64("g", "own")).drop("own", "w")
+
+
+def _with_leaders(rows: DataFrame, drawn: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between texts of one group, for rows (g, node, n): each is compared with the likeliest of its block's leaders.
+
+    Leaders are chosen by the maps of ``drawn`` alone; only texts that have a
+    likely leader are moved, to where the leader's is. The least and the greatest
+    node of a group are in all its blocks, and first.
+    """
+    weight = F.sum(F.col("n") + EXTRA).cast("bigint").alias("w")
+    sizes = rows.groupBy("g").agg(weight, F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    dealt = _blocks(rows, sizes, F.col("node").isin(F.col("low"), F.col("high"))).join(drawn.select("node", "map"), "node")
+    likely = dealt.select("part", "follows", "node", "n", "map").repartition("part").sortWithinPartitions("part", "follows", "node").mapInArrow(_sketched, "g bigint, node bigint")
+    likely = materialise(likely.distinct().join(drawn.select("node", "n"), "node"))
+    led = likely.unionByName(likely.select("g").distinct().select("g", F.col("g").alias("node"), F.lit(0).alias("n")))
+    met = _blocks(led, led.groupBy("g").agg(weight), F.col("g") == F.col("node")).select("part", "follows", "node")
+    told = texts_of(texts, met.select("node"))
+    return met.join(told, "node").select("part", "follows", "node", "t").repartition("part").sortWithinPartitions("part", "follows", "node").mapInArrow(_led, "a bigint, b bigint")
 
 
 def _picked(rows: DataFrame) -> DataFrame:
@@ -306,55 +320,94 @@ ROW = ["side", "comp", "node", "n", "place", "map", "key"]
 ROW_TYPES = "part bigint, side int, comp bigint, node bigint, n int, place int, map binary, key bigint"
 
 
-def _candidates(columns: list[pa.Array]) -> Iterator[tuple[int, np.ndarray]]:
-    """For each row, the rows before it that it may be alike: of another group, on the other side if there are two, and not ruled out."""
+def _pairs(part: np.ndarray, columns: list[pa.Array]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows (i, j), j before i, of one part that may be alike: of different groups, on different sides if the part has two, and not ruled out.
+
+    Rows are sorted by part. Small parts are treated together, one distance
+    between rows after the other; of a large part one row after the other.
+    """
     side, comp, n, place = (columns[i].to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 4))
-    maps = None
-    two = side.min() != side.max()
-    for i in range(1, len(n)):
-        ok = (comp[:i] != comp[i]) & possible(n[i], place[i], n[:i], place[:i])
-        if two:
-            ok &= side[:i] != side[i]
-        at = np.flatnonzero(ok)
-        if len(at):
-            maps = maps or Maps(columns[5].to_pylist())
-            at = at[few_odd(n[i], n[at], maps.differ(i, at))]
-            if len(at):
-                yield i, at
-
-
-def _parts(batches, names: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of each part as one batch; the first column has the part, and rows are sorted by it."""
-    for columns in _groups_of((pa.RecordBatch.from_arrays([b.column(0), *b.columns], ["p", *names]) for b in batches), len(names) + 1):
-        yield pa.RecordBatch.from_arrays(columns, names)
+    start = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
+    size = np.diff(np.append(start, len(part)))
+    sided = np.maximum.reduceat(side, start) != np.minimum.reduceat(side, start)
+    group = np.repeat(np.arange(len(start)), size)
+    within = np.arange(len(part)) - start[group]
+
+    def met(i, j):
+        ok = (comp[i] != comp[j]) & possible(n[i], place[i], n[j], place[j]) & (~sided[group[i]] | (side[i] != side[j]))
+        return i[ok], j[ok]
+
+    small = size[group] <= SMALL
+    found = []
+    for back in range(1, min(int(size.max()), SMALL)):
+        i = np.flatnonzero(small & (within >= back))
+        found.append(met(i, i - back))
+    for k in np.flatnonzero(size > SMALL):
+        for i in range(start[k] + 1, start[k] + size[k]):
+            j = np.arange(start[k], i)
+            found.append(met(np.full(len(j), i), j))
+            if sum(len(x) for x, _ in found) > 1 << 20:
+                yield from _unlike(found, n, columns[5])
+                found = []
+    yield from _unlike(found, n, columns[5])
+
+
+def _unlike(found: list[tuple[np.ndarray, np.ndarray]], n: np.ndarray, maps: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs that their maps don't rule out."""
+    i, j = (np.concatenate([x[k] for x in found] or [np.zeros(0, np.int64)]) for k in (0, 1))
+    if not len(i):
+        return
+    rows = np.unique(np.concatenate((i, j)))
+    held = Maps(maps.take(pa.array(rows)).to_pylist())
+    ok = few_odd(n[i], n[j], held.differ(np.searchsorted(rows, i), np.searchsorted(rows, j)))
+    if ok.any():
+        yield i[ok], j[ok]
+
+
+def _parts(batches, least: int = 1 << 14) -> Iterator[pa.RecordBatch]:
+    """Batches of whole parts, with about ``least`` rows or one part; the first column has the part, and rows are sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+        if sum(b.num_rows for b in held) < least or not batch.num_rows:
+            continue
+        whole = pa.concat_batches(held)
+        part = whole.column(0).to_numpy(zero_copy_only=False)
+        last = int(np.searchsorted(part, part[-1], "left"))
+        if last:
+            yield whole.slice(0, last)
+        held = [whole.slice(last)]
+    if held:
+        yield pa.concat_batches(held)
 
 
 def _hopeful(batches):
     """The rows of each part that have a candidate there."""
-    for batch in _parts(batches, ["part", *ROW]):
+    for batch in _parts(batches):
         stay = np.zeros(batch.num_rows, bool)
-        for i, at in _candidates(batch.columns[1:]):
+        for i, j in _pairs(batch.column(0).to_numpy(zero_copy_only=False), batch.columns[1:]):
             stay[i] = True
-            stay[at] = True
+            stay[j] = True
         if stay.any():
             yield batch.filter(pa.array(stay))
 
 
-def _firsts(columns: list[pa.Array]) -> Iterator[tuple[int, int]]:
-    """The candidates (i, j) of a part that have no key in common before its own; the last column has each row's keys before it."""
+def _firsts(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """The candidates (i, j) of whole parts that have no key in common before their part's; the column after ROW has each row's keys before it."""
     before = None
-    for i, at in _candidates(columns):
-        before = before or [np.array(k, np.int64) for k in columns[len(ROW)].to_pylist()]
-        for j in at.tolist():
-            if not len(np.intersect1d(before[i], before[j], assume_unique=True)):
+    for some, others in _pairs(batch.column(0).to_numpy(zero_copy_only=False), batch.columns[1:]):
+        before = before or [frozenset(k) for k in batch.column(1 + len(ROW)).to_pylist()]
+        for i, j in zip(some.tolist(), others.tolist(), strict=True):
+            if before[i].isdisjoint(before[j]):
                 yield i, j
 
 
 def _first_met(batches):
     """The rows of each part that have a candidate not met in an earlier key of both."""
-    for batch in _parts(batches, ["part", *ROW, "before"]):
+    for batch in _parts(batches):
         stay = np.zeros(batch.num_rows, bool)
-        for i, j in _firsts(batch.columns[1:]):
+        for i, j in _firsts(batch):
             stay[i] = stay[j] = True
         if stay.any():
             yield batch.filter(pa.array(stay))
@@ -364,14 +417,18 @@ def _compared(batches):
     """Links between the rows (part, *ROW, before, t) of each part, by comparing the whole sets; a pair is compared in the first of its common keys only."""
 
     def found():
-        for columns in _groups_of(batches, len(ROW) + 3):
-            comp, node = columns[1].to_pylist(), columns[2].to_pylist()
-            held = [shingles(t) for t in columns[-1].to_pylist()]
-            trees = Trees()
-            for i, j in _firsts(columns):
-                if trees.root(comp[i]) != trees.root(comp[j]) and alike(held[i], held[j]):
-                    trees.join(comp[i], comp[j])
-                    yield node[i], node[j]
+        trees = Trees()
+        for batch in _parts(batches, 1):
+            comp, node = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            held: dict[int, np.ndarray] = {}
+            for i, j in _firsts(batch):
+                if trees.root(comp[i]) != trees.root(comp[j]):
+                    for k in (i, j):
+                        if k not in held:
+                            held[k] = shingles(batch.column(batch.num_columns - 1)[k].as_py())
+                    if alike(held[i], held[j]):
+                        trees.join(comp[i], comp[j])
+                        yield node[i], node[j]
 
     yield from _pairs_out(found())
 
@@ -422,7 +479,7 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
     near = drawn.select("node", "fp").mapInArrow(fuzzy, "key bigint, node bigint")
     crowds = near.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     near = near.join(crowds, "key").join(drawn.select("node", "n"), "node")
-    early = materialise(_with_leaders(_picked(near), numbered))
+    early = materialise(_with_leaders(_picked(near), drawn, numbered))
     grouped = smallest_reachable(early)
 
     # 2. the most and the least crowded of a text's keys
@@ -446,20 +503,20 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
     # a common key, known by the sample to be in several texts, is dealt over many tasks; any other one is counted in one
     each = each.withColumn("salt", F.when(F.col("hot") > 0, F.pmod(F.xxhash64("node"), F.lit(SALTS))).otherwise(F.lit(0)).cast("int")).repartition("key", "salt")
     each = each.groupBy("key", "salt", "node").agg(F.first("at").alias("at"), F.first("hot").alias("hot"))
-    sizes = each.groupBy("key", "salt").agg(F.when(F.max("hot") > 0, F.max("hot") * 1000).otherwise(F.count(F.lit(1))).alias("m")).where("m > 1")
-    shared = each.join(sizes, ["key", "salt"])
+    crowd = F.when(F.col("hot") > 0, F.col("hot") * 1000).otherwise(F.count(F.lit(1)).over(Window.partitionBy("key", "salt")))
+    shared = each.withColumn("m", crowd).where("m > 1")
     shared = materialise(shared.select("key", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "m"))
 
     def apart(rows: DataFrame, grouped: DataFrame) -> DataFrame:
         rows = rows.join(grouped.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         return rows.join(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "key", "left_semi")
 
-    left = materialise(apart(shared, grouped))
-    early = materialise(early.unionByName(_with_leaders(_picked(left), numbered)))
+    left = apart(shared, grouped)
+    early = materialise(early.unionByName(_with_leaders(_picked(left), drawn, numbered)))
     grouped = smallest_reachable(early)
 
     # 3. all pairs that are left
-    left = apart(left.drop("comp"), grouped)
+    left = apart(shared, grouped)
     dealt = _dealt(materialise(left)).join(drawn.select("node", "map"), "node").select("part", *ROW)
     hopeful = materialise(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_hopeful, ROW_TYPES))
     held = hopeful.groupBy("node").agg(F.collect_set(F.struct("place", "key")).alias("held"))

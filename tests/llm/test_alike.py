@@ -74,7 +74,7 @@ def test_bounds_lose_no_alike_pair():
             if not truth or not len(b):
                 continue
             maps = alike.Maps([alike.parity(a).tobytes(), alike.parity(b).tobytes()])
-            assert alike.near_size(len(a), len(b)) and alike.few_odd(len(a), len(b), maps.differ(0, np.array([1]))[0])
+            assert alike.near_size(len(a), len(b)) and alike.few_odd(len(a), len(b), maps.differ(np.array([0]), np.array([1]))[0])
             own, other = (alike.keys(x, (np.zeros(0, np.int64), np.zeros(0, np.int64))).tolist() for x in (a, b))
             first = next(k for k in own if k in set(other))
             assert alike.possible(len(a), own.index(first), len(b), other.index(first))
@@ -93,8 +93,37 @@ def test_a_large_group_returns_no_more_rows_than_it_has(spark):
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     found = {x.doc_id: x.component_id for x in alike.groups(docs, simhash.emit_keys).collect()}
     assert found == {i: 0 if i < 600 else i for i in texts}
-    rows = [pa.RecordBatch.from_arrays([pa.array([7] * 600), pa.array([True] * 600), pa.array(list(range(600))), pa.array([texts[i].encode() for i in range(600)])], ["part", "follows", "node", "t"])]
-    assert sum(b.num_rows for b in alike._leaders(iter(rows))) < 600
+    sets = [alike.shingles(texts[i].encode()) for i in range(600)]
+    rows = pa.RecordBatch.from_arrays([pa.array([7] * 600), pa.array([True] * 600), pa.array(list(range(600))), pa.array([len(x) for x in sets], pa.int32()), pa.array([alike.parity(x).tobytes() for x in sets])], ["part", "follows", "node", "n", "map"])
+    for size in (1, 7, 600):
+        batches = [rows.slice(i, size) for i in range(0, 600, size)]
+        assert sum(b.num_rows for b in alike._sketched(iter(batches))) == 599
+
+
+@pytest.mark.parametrize("small", [1, 3, 32])
+def test_pairs_of_parts(monkeypatch, small):
+    """Small and large parts, whole or cut into batches, give all pairs that a plain loop gives."""
+    monkeypatch.setattr(alike, "SMALL", small)
+    r = np.random.default_rng(6)
+    part = np.sort(r.integers(0, 40, 200))
+    sets = [np.unique(r.choice(60, int(r.integers(20, 60)), replace=False).astype(np.int64) << 20) for _ in part]
+    side, comp, place = r.integers(0, 2, 200) * (part % 2), r.integers(0, 6, 200), r.integers(0, 5, 200)
+    n = np.array([len(x) for x in sets])
+    rows = pa.RecordBatch.from_arrays([pa.array(part), pa.array(side), pa.array(comp), pa.array(np.arange(200)), pa.array(n), pa.array(place), pa.array([alike.parity(x).tobytes() for x in sets]), pa.array(part)], ["part", *alike.ROW])
+    truth = set()
+    for i in range(200):
+        for j in range(i):
+            own = part == part[i]
+            if part[i] == part[j] and comp[i] != comp[j] and alike.possible(n[i], place[i], n[j], place[j]) and (side[i] != side[j] or len(set(side[own])) == 1):
+                if 9 * np.bitwise_count(alike.parity(sets[i]) ^ alike.parity(sets[j])).sum() <= n[i] + n[j]:
+                    truth.add((i, j))
+    for size in (1, 13, 200):
+        found = set()
+        for batch in alike._parts((rows.slice(i, size) for i in range(0, 200, size)), 5):
+            node = batch.column(3).to_pylist()
+            for i, j in alike._pairs(batch.column(0).to_numpy(), batch.columns[1:]):
+                found |= {(node[a], node[b]) for a, b in zip(i.tolist(), j.tolist(), strict=True)}
+        assert found == truth and truth
 
 
 def test_five_words_at_the_threshold(spark):
