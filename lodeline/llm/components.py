@@ -2,9 +2,37 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodeline.llm.arrow import materialise
+from lodeline.llm.arrow import bound_batches, materialise
+
+
+#: So many edges, a few megabytes, are joined in one task.
+FEW = 1 << 16
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) to rows of every node but the smallest of its component, and that smallest one."""
+    up: dict = {}
+
+    def root(x):
+        while (y := up.get(x, x)) != x:
+            up[x] = up.get(y, y)
+            x = y
+        return x
+
+    schema = None
+    for batch in batches:
+        schema = batch.schema
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = root(a), root(b)
+            if a != b:
+                up[max(a, b)] = min(a, b)
+    if up:
+        yield pa.RecordBatch.from_arrays([pa.array(list(up), schema.field(0).type), pa.array([root(x) for x in up], schema.field(1).type)], schema=schema)
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,13 +60,17 @@ def settled(edges: DataFrame) -> bool:
 def smallest_reachable(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """For each node of ``edges`` (columns a, b of one orderable type) that isn't the smallest of its component, that smallest node.
 
-    Returns (a, b): node, smallest reachable node. Rounds end when the edges are
-    stars, after about the logarithm of the largest component's diameter;
+    Returns (a, b): node, smallest reachable node. Up to FEW edges, by count, are
+    joined in one task. More are contracted in rounds, which end when the edges
+    are stars, after about the logarithm of the largest component's diameter;
     RuntimeError beyond ``rounds``. An empty input gives an empty result. Every
     round is written to the shared checkpoint folder.
     """
     pairs = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     pairs = materialise(pairs)
+    if pairs.count() <= FEW:
+        bound_batches(pairs.sparkSession)
+        return materialise(pairs.coalesce(1).mapInArrow(_joined, pairs.schema))
     for _ in range(rounds):
         if settled(pairs):
             return pairs

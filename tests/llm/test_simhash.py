@@ -2,10 +2,11 @@
 
 import numpy as np
 
+import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
 
-from lodeline.llm import golay, simhash
+from lodeline.llm import components, golay, simhash
 from lodeline.llm.components import settled, smallest_reachable
 
 
@@ -107,7 +108,9 @@ def test_null_ids(spark):
     assert simhash.keep_one(docs).where("doc_id = 1").count() == 1
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_components_of_a_long_chain(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
     assert {r.b for r in smallest_reachable(edges).collect()} == {0}
     assert smallest_reachable(edges.limit(0)).count() == 0
@@ -122,7 +125,9 @@ def test_whole_table_against_brute_force(spark, sf_dir):
     assert {r.doc_id: (r.fingerprint, r.component_id) for r in op1_simhash(spark, sf_dir).collect()} == {i: (f"{truth[i]:016x}", parts[i]) for i in truth}
 
 
-def test_edges_settle_only_as_stars(spark):
+@pytest.mark.parametrize("few", [0, 1 << 16])
+def test_edges_settle_only_as_stars(spark, monkeypatch, few):
+    monkeypatch.setattr(components, "FEW", few)
     edges = lambda *rows: spark.createDataFrame(rows, "a long, b long")
     assert settled(edges((5, 1), (6, 1), (9, 2)))
     assert not settled(edges((5, 1), (6, 5)))
