@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodeline.llm.arrow import bound_batches, by_text, materialise
+from lodeline.llm.arrow import Scratch, bound_batches, by_text, materialise
 from lodeline.llm.bitmaps import bitmap, in_bitmap, modulo
 from lodeline.llm.components import smallest_reachable
 
@@ -290,7 +290,7 @@ def _blocks(rows: DataFrame, sizes: DataFrame, first: Column) -> DataFrame:
     return joined.withColumn("follows", ~first).withColumn("own", F.explode(own)).withColumn("part", F.xxhash64("g", "own")).drop("own", "w")
 
 
-def _with_leaders(rows: DataFrame, drawn: DataFrame, texts: DataFrame) -> DataFrame:
+def _with_leaders(rows: DataFrame, drawn: DataFrame, texts: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (a, b) between texts of one group, for rows (g, node, n): each is compared with the likeliest of its block's leaders.
 
     Leaders are chosen by the maps of ``drawn`` alone; only texts that have a
@@ -301,7 +301,7 @@ def _with_leaders(rows: DataFrame, drawn: DataFrame, texts: DataFrame) -> DataFr
     sizes = rows.groupBy("g").agg(weight, F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
     dealt = _blocks(rows, sizes, F.col("node").isin(F.col("low"), F.col("high"))).join(drawn.select("node", "map"), "node")
     likely = dealt.select("part", "follows", "node", "n", "map").repartition("part").sortWithinPartitions("part", "follows", "node").mapInArrow(_sketched, "g bigint, node bigint")
-    likely = materialise(likely.distinct().join(drawn.select("node", "n"), "node"))
+    likely = scratch.keep(likely.distinct().join(drawn.select("node", "n"), "node"))
     led = likely.unionByName(likely.select("g").distinct().select("g", F.col("g").alias("node"), F.lit(0).alias("n")))
     met = _blocks(led, led.groupBy("g").agg(weight), F.col("g") == F.col("node")).select("part", "follows", "node")
     told = texts_of(texts, met.select("node"))
@@ -464,6 +464,11 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
     ``fuzzy`` gives the Arrow batches (key, node) of the Golay keys for batches
     (node, fp). Groups are the components of all pairs with a similarity of 0.8 or more.
     """
+    with Scratch(docs.sparkSession) as scratch:
+        return _links(docs, fuzzy, text_col, scratch)
+
+
+def _links(docs: DataFrame, fuzzy: Callable, text_col: str, scratch: Scratch) -> DataFrame:
     spark = docs.sparkSession
     common = spark.sparkContext.broadcast(_common(docs, text_col))
     numbered = docs.select(node_of(F.col(text_col)).alias("node"), F.col(text_col).alias("t"))
@@ -473,13 +478,13 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
         return [columns[0], pa.array([len(h) for h in held], pa.int32()), pa.array([fingerprint(h) for h in held], pa.int64()), pa.array([parity(h).tobytes() for h in held], pa.binary())]
 
     drawn = by_text(numbered, ["node"], "t", "node bigint, n int, fp bigint, map binary", sketch)
-    drawn = materialise(drawn.groupBy("node").agg(*[F.first(x).alias(x) for x in ("n", "fp", "map")]))
+    drawn = scratch.keep(drawn.groupBy("node").agg(*[F.first(x).alias(x) for x in ("n", "fp", "map")]))
 
     # 1. fingerprints
     near = drawn.select("node", "fp").mapInArrow(fuzzy, "key bigint, node bigint")
     crowds = near.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     near = near.join(crowds, "key").join(drawn.select("node", "n"), "node")
-    early = materialise(_with_leaders(_picked(near), drawn, numbered))
+    early = scratch.keep(_with_leaders(_picked(near), drawn, numbered, scratch))
     grouped = smallest_reachable(early)
 
     # 2. the most and the least crowded of a text's keys
@@ -505,24 +510,24 @@ def links(docs: DataFrame, fuzzy: Callable, text_col: str = "text") -> DataFrame
     each = each.groupBy("key", "salt", "node").agg(F.first("at").alias("at"), F.first("hot").alias("hot"))
     crowd = F.when(F.col("hot") > 0, F.col("hot") * 1000).otherwise(F.count(F.lit(1)).over(Window.partitionBy("key", "salt")))
     shared = each.withColumn("m", crowd).where("m > 1")
-    shared = materialise(shared.select("key", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "m"))
+    shared = scratch.keep(shared.select("key", "node", F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("place"), "m"))
 
     def apart(rows: DataFrame, grouped: DataFrame) -> DataFrame:
         rows = rows.join(grouped.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").withColumn("comp", F.coalesce("root", "node")).drop("root")
         return rows.join(rows.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).where("low <> high").select("key"), "key", "left_semi")
 
     left = apart(shared, grouped)
-    early = materialise(early.unionByName(_with_leaders(_picked(left), drawn, numbered)))
+    early = scratch.keep(early.unionByName(_with_leaders(_picked(left), drawn, numbered, scratch)))
     grouped = smallest_reachable(early)
 
     # 3. all pairs that are left
     left = apart(shared, grouped)
-    dealt = _dealt(materialise(left)).join(drawn.select("node", "map"), "node").select("part", *ROW)
-    hopeful = materialise(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_hopeful, ROW_TYPES))
+    dealt = _dealt(scratch.keep(left)).join(drawn.select("node", "map"), "node").select("part", *ROW)
+    hopeful = scratch.keep(dealt.repartition("part").sortWithinPartitions("part").mapInArrow(_hopeful, ROW_TYPES))
     held = hopeful.groupBy("node").agg(F.collect_set(F.struct("place", "key")).alias("held"))
     before = F.transform(F.filter("held", lambda x: x["place"] < F.col("place")), lambda x: x["key"]).alias("before")
     told_apart = hopeful.join(held, "node").select("part", *ROW, before).repartition("part").sortWithinPartitions("part")
-    few = materialise(told_apart.mapInArrow(_first_met, ROW_TYPES + ", before array<bigint>"))
+    few = scratch.keep(told_apart.mapInArrow(_first_met, ROW_TYPES + ", before array<bigint>"))
     met = few.join(texts_of(numbered, few.select("node")), "node").select("part", *ROW, "before", "t")
     late = met.repartition("part").sortWithinPartitions("part", "node").mapInArrow(_compared, "a bigint, b bigint")
     return smallest_reachable(early.unionByName(late))

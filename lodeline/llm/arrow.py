@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Callable, Iterator
 from pathlib import Path
@@ -12,7 +13,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodeline.session import checkpointed
+from lodeline.session import checkpointed, shared_folder
 
 #: Rows and bytes in an Arrow batch of whole texts; a longer text is a batch of its own.
 BATCH_ROWS, BATCH_BYTES = 1000, 1 << 26
@@ -52,6 +53,38 @@ def bound_batches(spark: SparkSession) -> None:
 materialise = checkpointed
 
 
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+class Scratch:
+    """Tables in a folder of their own in the shared folder, for intermediate results that are read more than once.
+
+    Any executor can read them again, they are compressed, and their sizes are
+    known to the planner. As a context it deletes the folder in the end, when
+    what is kept must have been materialised.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.count = spark, 0
+        self.path = f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        drop_folder(self.spark, self.path)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        """``df`` as a written table."""
+        self.count += 1
+        path = f"{self.path}/{self.count}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def free(name: str, df: DataFrame) -> str:
     """The name, or with underscores before it if ``df`` has such a column in whatever case."""
     held = {c.lower() for c in df.columns}
