@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import WORD, tokens
+from lodeline.session import checkpointed
 
 #: Constants of Okapi BM25 and of rank fusion.
 K1, B, EPSILON = 1.5, 0.75, 0.25
@@ -74,18 +75,26 @@ def bm25(found: Index, queries: DataFrame, query_id: str, query_text: str, most:
     return ranked(scored, ["query_id", "category"], "score", "id", most).where("score > 0")
 
 
+def dot(x: Column, y: Column) -> Column:
+    """The sum of the products of two arrays of doubles."""
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+
+
 def cosine(a: Column, b: Column) -> Column:
     """The cosine of two arrays of numbers, in double precision; null if either is null or zero."""
     double = lambda x: F.transform(x, lambda v: v.cast("double"))
-    dot = lambda x, y: F.aggregate(F.zip_with(double(x), double(y), lambda p, q: p * q), F.lit(0.0), lambda t, v: t + v)
+    a, b = double(a), double(b)
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, category: str, query_id: str, query_vector: str, most: int = 15) -> DataFrame:
     """(query_id, category, id, similarity, rank): exact nearest neighbours of a bounded set of queries within each category, the query itself included."""
-    q = small(queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("__q"), F.col(category).alias("category")))
-    pairs = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("__v"), F.col(category).alias("category")).join(q, "category")
-    scored = pairs.select("query_id", "category", "id", F.round(cosine(F.col("__v"), F.col("__q")), DECIMALS).alias("similarity"))
+    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"), F.col(category).alias("category"))
+    held = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(category).alias("category"))
+    # numbers are read as doubles and lengths taken once a vector, not once a pair
+    as_double = lambda df, c, n: df.withColumn(c, F.transform(c, lambda v: v.cast("double"))).withColumn(n, F.sqrt(dot(F.col(c), F.col(c))))
+    pairs = as_double(held, "v", "vn").join(small(as_double(q, "q", "qn")), "category")
+    scored = pairs.select("query_id", "category", "id", F.round(dot(F.col("v"), F.col("q")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), DECIMALS).alias("similarity"))
     return ranked(scored, ["query_id", "category"], "similarity", "id", most)
 
 
@@ -95,11 +104,17 @@ def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return part(dense, DENSE).unionByName(part(sparse, SPARSE)).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
-def title_hits(docs: DataFrame, queries: DataFrame, id_col: str, title: str, query_id: str, query_text: str, least: int = 2, word: str = WORD) -> DataFrame:
-    """(query_id, id, n): documents whose title holds so many of a query's terms, repeated terms counted each time."""
-    q = small(queries.select(F.col(query_id).alias("query_id"), tokens(F.col(query_text), 2, word).alias("__terms")))
-    n = F.size(F.filter("__terms", lambda t: F.contains(F.col("__title"), t))).cast("bigint")
-    return docs.select(F.col(id_col).alias("id"), F.lower(title).alias("__title")).join(q, F.size("__terms") >= least).select("query_id", "id", n.alias("n")).where(F.col("n") >= least)
+def title_hits(docs: DataFrame, queries: DataFrame, id_col: str, title: str, query_id: str, query_text: str, least: int = 2, word: str = WORD, category: tuple[str, str] | None = None) -> DataFrame:
+    """(query_id, id, n): documents whose title holds so many of a query's terms, repeated terms counted each time.
+
+    Queries are a bounded set; with ``category``, the columns of documents and of
+    queries that must agree, each document meets the queries of its own alone.
+    """
+    own = lambda c: (F.col(c) if c else F.lit(0)).alias("category")
+    mine, asked = category or (None, None)
+    q = queries.select(F.col(query_id).alias("query_id"), tokens(F.col(query_text), 2, word).alias("terms"), own(asked)).where(F.size("terms") >= least)
+    n = F.size(F.filter("terms", lambda t: F.contains(F.col("title"), t))).cast("bigint")
+    return docs.select(F.col(id_col).alias("id"), F.lower(title).alias("title"), own(mine)).join(small(q), "category").select("query_id", "id", n.alias("n")).where(F.col("n") >= least)
 
 
 def priority_hits(queries: DataFrame, priorities: DataFrame, docs: DataFrame, id_col: str, query_id: str, query_text: str) -> DataFrame:
@@ -130,5 +145,7 @@ def guarded(hits: DataFrame, dense: DataFrame, least: float = 0.10) -> DataFrame
 
 def hybrid(dense: DataFrame, sparse: DataFrame, boosts: DataFrame, most: int = 3, least: float = 0.10) -> DataFrame:
     """Fusion, boosts, the best ``most`` of each query and the guard, in this order."""
-    fused = ranked(boosted(fuse(dense, sparse), boosts), "query_id", "score", "id", most)
+    # a few rows a query, each read more than once
+    dense = checkpointed(dense)
+    fused = checkpointed(ranked(boosted(fuse(dense, sparse), boosts), "query_id", "score", "id", most))
     return guarded(fused, dense, least)

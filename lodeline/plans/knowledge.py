@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.functions.text import collapse
@@ -35,7 +37,7 @@ def _admitted(least: int, name: str, rank: int, where: str, suffix_first: bool =
     return f"SELECT ord, {named}, category, title, content, '{name}' AS layer, {rank} AS layer_rank FROM ({inner}) WHERE {tests}"
 
 
-_STATIC = _admitted(150, "static", 0, "ord % 2 = 0", keywords=True, density=True)
+_STATIC = _admitted(150, "static", 0, "TRUE", keywords=True, density=True)
 _LEGACY = _admitted(50, "legacy", 1, "ord % 3 = 0")
 _CURATED = _admitted(20, "curated", 2, "ord % 5 = 0", suffix_first=True)
 _REAL = _admitted(0, "realtime", 3, "ord % 7 = 0", clean=False)
@@ -45,7 +47,7 @@ def _layers(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
     d = documents(spark, sf_dir).drop("source")
     noise = [r"Licensed under[^\n]*"]
     return [
-        kb.admitted(d.where("ord % 2 = 0"), kb.STATIC, noise, DENSITY, KEYWORDS),
+        kb.admitted(d, kb.STATIC, noise, DENSITY, KEYWORDS),
         kb.admitted(d.where("ord % 3 = 0"), kb.LEGACY, noise),
         kb.admitted(d.where("ord % 5 = 0"), kb.CURATED, noise),
         kb.admitted(d.where("ord % 7 = 0"), kb.REALTIME),
@@ -62,10 +64,10 @@ def kb_layered_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.layered(_layers(spark, sf_dir)).select("id", "ord", "layer", "category", F.md5("content").alias("digest"))
 
 
-@query(f"WITH {_DOCS} SELECT layer, count(*)::BIGINT AS n FROM ({_LEGACY} UNION ALL {_CURATED} UNION ALL {_REAL}) GROUP BY layer")
+@query(f"WITH {_DOCS} SELECT layer, count(*)::BIGINT AS n FROM ({_STATIC} UNION ALL {_LEGACY} UNION ALL {_CURATED} UNION ALL {_REAL}) GROUP BY layer")
 def min_length_by_layer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, legacy, curated, realtime = _layers(spark, sf_dir)
-    return legacy.unionByName(curated).unionByName(realtime).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
+    static, *others = _layers(spark, sf_dir)
+    return reduce(DataFrame.unionByName, others, static).groupBy("layer").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT doc_id, round(len(regexp_extract_all(text, '{DENSITY}')) / greatest(length(text) / 1000, 1.0), 6) AS density FROM documents WHERE len(regexp_extract_all(text, '{DENSITY}')) / greatest(length(text) / 1000, 1.0) > 2.5")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.operators import classify
 from lodeline.plans.registry import query
-from lodeline.session import table
+from lodeline.session import spread, table
 
 _FLAT = "replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ', '')"
 
@@ -19,14 +19,14 @@ def _grams(source: str, key: str) -> str:
 
 
 _BENCH = "b AS (SELECT item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm, replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ', '') AS flat FROM benchmark)"
-_EX = "e AS (SELECT lang AS label, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm, replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ', '') AS flat FROM documents WHERE n_chars BETWEEN 100 AND 400)"
+_EX = "e AS (SELECT lang AS label, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS norm, replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ', '') AS flat FROM documents)"
 _COS = f"""WITH {_BENCH}, {_EX}, g AS (SELECT item_id, gram, count(*) AS n FROM ({_grams("b", "item_id")}) GROUP BY ALL), p AS (SELECT label, gram, count(*)::DOUBLE AS weight FROM ({_grams("e", "label")}) GROUP BY ALL),
 gn AS (SELECT item_id, sqrt(sum(n * n)) AS a FROM g GROUP BY item_id), pn AS (SELECT label, sqrt(sum(weight * weight)) AS b FROM p GROUP BY label),
 c AS (SELECT item_id, label, round(sum(n * weight) / (any_value(a) * any_value(b)), 6) AS cosine FROM g JOIN p USING (gram) JOIN gn USING (item_id) JOIN pn USING (label) GROUP BY ALL)"""
 
 
 def _examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").where("n_chars between 100 and 400")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 @query(f"WITH {_BENCH} SELECT item_id, gram, count(*)::BIGINT AS n FROM ({_grams('b', 'item_id')}) GROUP BY ALL")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodeline.functions.text import snippet
 from lodeline.operators import reports
 from lodeline.plans.registry import query
-from lodeline.session import table
+from lodeline.session import checkpointed, spread, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -53,14 +53,14 @@ def stable_partition_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 STOP = ("and", "the", "with")
-_KW = "SELECT item_id, list_filter(regexp_extract_all(text, '[a-zA-Z]{2,}'), lambda w: NOT list_contains(['and', 'the', 'with'], w)) AS kw FROM benchmark WHERE item_id < 10"
+_KW = "SELECT item_id, list_filter(regexp_extract_all(text, '[a-zA-Z]{2,}'), lambda w: NOT list_contains(['and', 'the', 'with'], w)) AS kw FROM benchmark"
 _SC = f"WITH q AS ({_KW}), n AS (SELECT doc_id, string_split(text, chr(10))[1] AS title, text AS content FROM documents), s AS (SELECT item_id, doc_id, 2 * len(list_filter(kw, lambda w: contains(title, w))) + len(list_filter(kw, lambda w: contains(content, w))) AS score FROM q, n), b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS k FROM s WHERE score > 0) WHERE k = 1)"
 
 
 def _topic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    q = table(spark, sf_dir, "benchmark").where("item_id < 10").select("item_id", reports.keywords(F.col("text"), STOP, "[a-zA-Z]").alias("kw"))
-    n = table(spark, sf_dir, "documents").select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
-    return q, n, reports.topic_best(reports.topic_scores(q, n, "item_id", "kw", "doc_id", "title", "content"), "item_id", "doc_id")
+    q = table(spark, sf_dir, "benchmark").select("item_id", reports.keywords(F.col("text"), STOP, "[a-zA-Z]").alias("kw"))
+    n = spread(table(spark, sf_dir, "documents")).select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
+    return q, n, checkpointed(reports.topic_best(reports.topic_scores(q, n, "item_id", "kw", "doc_id", "title", "content"), "item_id", "doc_id"))
 
 
 @query(f"{_SC} SELECT item_id, doc_id, score::BIGINT AS score FROM b")

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodeline.operators import retrieval
 from lodeline.plans.registry import query
-from lodeline.session import table
+from lodeline.session import checkpointed, spread, table
 
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
@@ -31,14 +31,16 @@ def title(text: Column) -> Column:
 
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = retrieval.index(table(spark, sf_dir, "documents"), "doc_id", "text", "lang")
+    found = retrieval.index(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang")
+    # the postings are read for frequencies, lengths and scores, so they are written once
+    found = retrieval.Index(checkpointed(found.stats), checkpointed(found.postings))
     q = questions(spark, sf_dir)
     own = q.select(F.col("item_id").alias("query_id"), "category")
     return retrieval.bm25(found, q, "item_id", "text").join(F.broadcast(own), ["query_id", "category"])
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("lang").alias("category"), letters(F.col("text")).alias("v"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", F.col("lang").alias("category"), letters(F.col("text")).alias("v"))
     q = questions(spark, sf_dir).select("item_id", "category", letters(F.col("text")).alias("qv"))
     return retrieval.nearest(docs, q, "doc_id", "v", "category", "item_id", "qv").where("similarity is not null")
 
@@ -47,12 +49,11 @@ PRIORITIES = [("thinner", 3), ("than", 7), ("then", 7), ("with", 11), ("las", 22
 
 
 def _boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", title(F.col("text")).alias("title"))
+    docs = spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", title(F.col("text")).alias("title"))
     q = questions(spark, sf_dir)
     by_word = retrieval.priority_hits(q, spark.createDataFrame(PRIORITIES, "keyword string, target bigint"), docs, "doc_id", "item_id", "text")
-    by_title = retrieval.title_hits(docs, q, "doc_id", "title", "item_id", "text", least=12).join(docs.select(F.col("doc_id").alias("id"), "lang"), "id")
-    own = q.select(F.col("item_id").alias("query_id"), F.col("category").alias("lang"))
-    return by_word.unionByName(by_title.join(F.broadcast(own), ["query_id", "lang"]).select("query_id", "id"))
+    by_title = retrieval.title_hits(docs, q, "doc_id", "title", "item_id", "text", least=12, category=("lang", "category"))
+    return by_word.unionByName(by_title.select("query_id", "id"))
 
 
 _T = "[\\p{L}\\p{N}]{2,}"
@@ -113,11 +114,11 @@ def bm25_top15_per_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH s AS (SELECT q.vec_id AS query_id, v.label::INT AS category, v.vec_id AS id, round(list_dot_product(v.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(v.embedding::DOUBLE[], v.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[]))), 6) AS similarity
-FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id < 20) q ON v.label = q.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY similarity DESC, id) - 1 AS rank FROM s)
+FROM embeddings v JOIN (SELECT * FROM embeddings WHERE vec_id % 20 = 0) q ON v.label = q.label), r AS (SELECT *, row_number() OVER (PARTITION BY query_id, category ORDER BY similarity DESC, id) - 1 AS rank FROM s)
 SELECT query_id, category, id, similarity, rank::BIGINT AS rank FROM r WHERE rank < 15""")
 def dense_knn_top15(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
-    found = retrieval.nearest(vectors, vectors.where("vec_id < 20"), "vec_id", "embedding", "label", "vec_id", "embedding")
+    found = retrieval.nearest(vectors, vectors.where("vec_id % 20 = 0"), "vec_id", "embedding", "label", "vec_id", "embedding")
     return found.select("query_id", "category", "id", "similarity", F.col("rank").cast("bigint").alias("rank"))
 
 

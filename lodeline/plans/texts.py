@@ -118,10 +118,13 @@ def context_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT conv_id, turn, nullif(CASE WHEN regexp_extract(q, '(20[0-9]{2})', 1) <> '' THEN regexp_extract(q, '(20[0-9]{2})', 1) END, '') AS year,
-CASE WHEN contains(q, 'to') THEN '2024-01-31' WHEN contains(q, 'for') THEN '2024-02-01' END AS day FROM (SELECT *, text || ' 20' || lpad((conv_id % 100)::VARCHAR, 2, '0') AS q FROM conversations)""")
+CASE WHEN contains(q, 'to') THEN '2024-01-31' WHEN contains(q, 'for') THEN '2024-02-01'
+WHEN regexp_extract(q, '(20[0-9]{2})[./년 -]+([0-9]{1,2})[./월 -]+([0-9]{1,2})', 1) <> '' THEN regexp_extract(q, '(20[0-9]{2})[./년 -]+([0-9]{1,2})[./월 -]+([0-9]{1,2})', 1) || '-' || lpad(regexp_extract(q, '(20[0-9]{2})[./년 -]+([0-9]{1,2})[./월 -]+([0-9]{1,2})', 2), 2, '0') || '-' || lpad(regexp_extract(q, '(20[0-9]{2})[./년 -]+([0-9]{1,2})[./월 -]+([0-9]{1,2})', 3), 2, '0') END AS day
+FROM (SELECT *, text || ' 20' || lpad((conv_id % 100)::VARCHAR, 2, '0') || CASE WHEN turn % 2 = 0 THEN '-' || (turn % 12 + 1) || '.' || (conv_id % 28 + 1) ELSE '' END AS q FROM conversations)""")
 def year_date_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.concat("text", F.lit(" 20"), F.lpad((F.col("conv_id") % 100).cast("string"), 2, "0"))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.year_of(q).alias("year"), text.date_of(q, F.lit("2024-01-31").cast("date"), ("to",), "for").alias("day")).withColumn("day", F.when(F.col("day") > "2024-02-02", None).otherwise(F.col("day")))
+    written = F.concat(F.lit("-"), (F.col("turn") % 12 + 1).cast("string"), F.lit("."), (F.col("conv_id") % 28 + 1).cast("string"))
+    q = F.concat("text", F.lit(" 20"), F.lpad((F.col("conv_id") % 100).cast("string"), 2, "0"), F.when(F.col("turn") % 2 == 0, written).otherwise(""))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", text.year_of(q).alias("year"), text.date_of(q, F.lit("2024-01-31").cast("date"), ("to",), "for").alias("day"))
 
 
 @query("""SELECT event_id, array_to_string(list_sort(map_keys(m)), ',') AS keys, m['kind'] AS kind FROM (SELECT event_id, map_from_entries(list_filter(
@@ -135,10 +138,9 @@ def metadata_scalar_map(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT conv_id, turn, CASE WHEN s = '' THEN 'fallback ' || role ELSE s END AS answer FROM (SELECT *, CASE WHEN bad THEN '' ELSE o END AS s FROM (SELECT *,
 regexp_matches(o, '(?i)idiot') OR len(regexp_extract_all(o, '\\b[A-Za-z]{14,}\\b')) >= 3 OR length(regexp_replace(o, '[^a-z]', '', 'g')) < 15 AS bad FROM (
-SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(regexp_replace(text, 'The[,! ]*', '', 'g'), '[À-ÿ]', '', 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10)) AS o FROM conversations
-WHERE NOT contains(text, 'é') AND NOT contains(text, 'ü'))))""")
+SELECT conv_id, turn, role, trim(regexp_replace(regexp_replace(regexp_replace(text, 'The[,! ]*', '', 'g'), '[À-ÿ]', '', 'g'), ' {2,}', ' ', 'g'), ' ' || chr(10)) AS o FROM conversations)))""")
 def answer_post_process(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").where("not contains(text, 'é') and not contains(text, 'ü')")
+    rows = table(spark, sf_dir, "conversations")
     bare = text.sanitised(text.without(F.col("text"), ["The[,! ]*"]), "À-ÿ", 2.0)
     bad = rules.untrusted(bare, ["idiot"], (), "", 14, (), 3, "a-z", 15)
     kept = F.when(bad, "").otherwise(bare)
