@@ -95,7 +95,7 @@ def parts(mention: Column) -> Column:
         given = one(F.lit("given"), F.concat(gender, F.substring_index(canon, " ", 1)))
         return F.when(kind != "person", F.array(one(kind, canon))).when(F.contains(canon, F.lit(" ")), F.array(family, given)).otherwise(F.array(family))
 
-    return let(one(kind_of(mention), canonical(mention)), of)
+    return let(kind_of(mention), lambda kind: let(one(kind, canonical(mention, kind)), of))
 
 
 def _hash(kind: Column, canon: Column, attempt: Column, key: str, part: str = "") -> Column:
@@ -123,16 +123,20 @@ def _luhn(digits: Column) -> Column:
     return let(digits, lambda held: F.aggregate(F.sequence(F.lit(1), F.length(held)), F.lit(0), lambda total, i: total + one(held, i) - F.when(one(held, i) > 9, 9).otherwise(0)) % 10)
 
 
-def _pick(h: Column, i: int, gender: Column, script: Column) -> Column:
-    """A name of the lists for the gender and the script."""
+def _names(gender: Column, script: Column) -> Column:
+    """The list of names for the gender and the script."""
     out = None
     for (g, s), names in NAMES.items():
-        held = names.split(" ")
-        chosen = F.element_at(F.array(*map(F.lit, held)), _number(h, i, len(held)) + 1)
-        out = F.when((gender == g) & (script == s), chosen) if out is None else out.when((gender == g) & (script == s), chosen)
+        here, held = (gender == g) & (script == s), F.split(F.lit(names), " ")
+        out = F.when(here, held) if out is None else out.when(here, held)
     return out
 
 
+def _pick(h: Column, i: int, names: Column) -> Column:
+    """A name of a list, chosen by the i-th part of a hash."""
+    return F.element_at(names, (F.conv(F.substring(h, 1 + 7 * i, 7), 16, 10).cast("bigint") % F.size(names)).cast("int") + 1)
+
+
 def surrogate(kind: Column, canon: Column, attempt: Column, key: str) -> Column:
     """The canonical form of an entity's surrogate.
 
@@ -168,13 +172,20 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, h: Column) -> Colum
     phone = F.concat(F.substr(canon, F.lit(1), kept), F.substr(_draw(h, 30), F.lit(1), F.length(canon) - kept))
     script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     role = F.when(kind == "family", "n").otherwise(F.substring(canon, 1, 1))
-    name = _pick(h, 1, role, script)
-    # later attempts compound names, so the supply doesn't run out
-    name = F.when(attempt > 3, F.concat(name, F.lit("-"), _pick(h, 2, role, script))).otherwise(name)
-    name = F.when(attempt > 12, F.concat(name, F.lit("-"), _pick(h, 4, role, script))).otherwise(name)
-    more = lambda i: F.concat(F.lit("-"), _pick(F.sha2(F.concat(h, i.cast("string")), 256), 0, role, script))
-    name = F.when(attempt > GROWS, F.concat(name, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROWS, F.lit(1))), more), ""))).otherwise(name)
-    name = F.lower(F.when(kind == "given", F.concat(F.substring(canon, 1, 2), name)).otherwise(name))
+    nothing = F.lit("")
+
+    def compound(names: Column) -> Column:
+        # later attempts compound names, so the supply doesn't run out; each part is written once, so that the plan stays small
+        more = lambda i: F.concat(F.lit("-"), _pick(F.sha2(F.concat(h, i.cast("string")), 256), 0, names))
+        return F.concat(
+            F.when(kind == "given", F.substring(canon, 1, 2)).otherwise(nothing),
+            _pick(h, 1, names),
+            F.when(attempt > 3, F.concat(F.lit("-"), _pick(h, 2, names))).otherwise(nothing),
+            F.when(attempt > 12, F.concat(F.lit("-"), _pick(h, 4, names))).otherwise(nothing),
+            F.when(attempt > GROWS, F.array_join(F.transform(F.sequence(F.lit(1), F.greatest(attempt - GROWS, F.lit(1))), more), "")).otherwise(nothing),
+        )
+
+    name = F.lower(let(_names(role, script), compound))
     return (
         F.when(kind == "email", F.concat(changed, host))
         .when(kind == "ip", ip)
@@ -248,7 +259,8 @@ def _replace(text: Column, found: Column, overrides: Column | None, key: str) ->
         # a given name comes with its gender and stands before the family name
         whole = lambda found: F.when(F.size(found) > 1, F.concat(F.substring(found[1]["s"], 3, 1 << 20), F.lit(" "), found[0]["s"])).otherwise(found[0]["s"])
         kind = lambda found: F.when(found[0]["kind"] == "family", "person").otherwise(found[0]["kind"])
-        return let(F.transform(parts(m), made), lambda found: render(m, whole(found), kind(found)))
+        joined = lambda found: F.struct(whole(found).alias("s"), kind(found).alias("kind"))
+        return let(F.transform(parts(m), made), lambda found: let(joined(found), lambda g: render(m, g["s"], g["kind"])))
 
     between = F.split(text, PATTERN, -1)
     joined = F.array_join(F.transform(F.arrays_zip(between.alias("b"), F.transform(found, one).alias("s")), lambda x: F.concat(x["b"], F.coalesce(x["s"], F.lit("")))), "")
