@@ -12,6 +12,7 @@ from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
 from lodeline.session import checkpointed, shared_folder
 
@@ -106,7 +107,7 @@ def by_text(
     their names, are neither scanned nor sent to Python. A null text arrives as None.
     """
     bound_batches(df.sparkSession)
-    names = [part.strip().split(" ")[0] for part in schema.split(",")]
+    names = StructType.fromDDL(schema).fieldNames()
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

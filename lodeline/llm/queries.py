@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lodeline.llm import decontam, html_text, importance, langid, mixing, quality, secret_scan, simhash, surrogates, toxicity
+from lodeline.llm import decontam, html_text, importance, langid, mixing, periodic, quality, secret_scan, simhash, surrogates, toxicity
 from lodeline.llm.sampling import in_training
 from lodeline.session import table
 
@@ -71,6 +71,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs and the collapsed text of every document, of which every tenth by the hash of its id ends in a repeated tail."""
+    number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents")
+    return periodic.digest(periodic.find(docs.select("doc_id", periodic.repeated(F.col("text"), number).alias("text"))))
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_html_text": op2_html_text,
@@ -82,6 +89,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 
