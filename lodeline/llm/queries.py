@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lodeline.llm import decontam, html_text, importance, langid, mixing, periodic, quality, secret_scan, simhash, surrogates, toxicity
+from lodeline.llm import decontam, html_text, importance, langid, mixing, periodic, quality, secret_scan, simhash, surrogates, toxicity, whitening
 from lodeline.llm.sampling import in_training
 from lodeline.session import table
 
@@ -71,6 +71,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exact deviation of every whole vector and its whitened components."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs and the collapsed text of every document, of which every tenth by the hash of its id ends in a repeated tail."""
     number = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -89,6 +94,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
