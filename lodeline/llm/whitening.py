@@ -57,6 +57,8 @@ def _whole(vectors: pa.Array, dimension: int | None = None) -> tuple[np.ndarray,
         with np.errstate(invalid="ignore", over="ignore"):
             finite = np.isfinite(entries).all(axis=1)
             scaled = np.clip(np.floor(SCALE * entries[finite]), -LARGEST, LARGEST)
+        if not finite.any():
+            continue
         places.append(at[finite])
         found.append(scaled.astype(np.int64) + SHIFT)
     return (np.concatenate(places) if places else np.zeros(0, np.int64)), found

@@ -81,7 +81,7 @@ def compare(found, rows, tolerance=1e-7):
     table = np.array([[got[i][c + 1].whitened for c in range(k)] for i, _ in held])
     for (i, _), dev in zip(held, deviation, strict=True):
         assert all((r.n, r.deviation) == (n, dev if dev < 1 << 63 else None) for r in got[i].values()), i
-        assert all(abs(r.explained - explained[c - 1]) <= 1e-10 * explained[c - 1] for c, r in got[i].items())
+        assert all(abs(r.explained - explained[c - 1]) <= 1e-10 * explained[c - 1] + 1e-15 for c, r in got[i].items())
     sign = np.sign((table * white).sum(axis=0))
     assert np.abs(table * sign - white).max() < tolerance
     error = np.abs(table.T @ table / n - np.eye(k)).max()
@@ -99,7 +99,8 @@ def test_offsets_and_many_partitions(spark):
     x = rng.normal(size=(600, 12)) * 10.0 ** np.linspace(4, -2, 12) @ np.linalg.qr(rng.normal(size=(12, 12)))[0] + 1e7
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(23)
-    compare(whitening.whiten(docs).collect(), rows, 1e-5)
+    # numpy's solver, in doubles, knows the smallest of these components to few digits
+    compare(whitening.whiten(docs).collect(), rows, 1e-3)
 
 
 def test_rows_of_every_kind(spark):
