@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from lodeline.llm import decontam, html_text, importance, langid, mixing, periodic, quality, secret_scan, simhash, surrogates, toxicity, whitening
+from lodeline.llm import bottomk, decontam, html_text, importance, langid, mixing, periodic, quality, secret_scan, simhash, surrogates, toxicity, whitening
 from lodeline.llm.sampling import in_training
 from lodeline.session import table
 
@@ -71,6 +71,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document."""
+    return bottomk.groups(table(spark, sf_dir, "documents"))
+
+
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The exact deviation of every whole vector and its whitened components."""
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
@@ -94,6 +99,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_toxicity": op9_toxicity,
     "op10_mixing": op10_mixing,
+    "op11_bottom_k": op11_bottom_k,
     "op12_whitening": op12_whitening,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
