@@ -1,4 +1,4 @@
-"""Hybrid retrieval: BM25, exact nearest vectors, rank fusion, boosts, a similarity guard.
+"""Hybrid retrieval: BM25, rank fusion, boosts, a similarity guard; nearest vectors are in ``vectors``.
 
 Queries are a bounded table; documents are not. Postings are cut to the words of
 the queries before anything is shuffled, and ranks are taken per query with a
@@ -87,17 +87,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.nullif(F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)), F.lit(0.0))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, id_col: str, vector: str, category: str, query_id: str, query_vector: str, most: int = 15) -> DataFrame:
-    """(query_id, category, id, similarity, rank): exact nearest neighbours of a bounded set of queries within each category, the query itself included."""
-    q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("q"), F.col(category).alias("category"))
-    held = vectors.select(F.col(id_col).alias("id"), F.col(vector).alias("v"), F.col(category).alias("category"))
-    # numbers are read as doubles and lengths taken once a vector, not once a pair
-    as_double = lambda df, c, n: df.withColumn(c, F.transform(c, lambda v: v.cast("double"))).withColumn(n, F.sqrt(dot(F.col(c), F.col(c))))
-    pairs = as_double(held, "v", "vn").join(small(as_double(q, "q", "qn")), "category")
-    scored = pairs.select("query_id", "category", "id", F.round(dot(F.col("v"), F.col("q")) / F.nullif(F.col("vn") * F.col("qn"), F.lit(0.0)), DECIMALS).alias("similarity"))
-    return ranked(scored, ["query_id", "category"], "similarity", "id", most)
-
-
 def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     """(query_id, id, score): reciprocal ranks of both lists, from 0, weighed and added; an id in one list alone has its part."""
     part = lambda df, weight: df.select("query_id", "id", (F.lit(weight) / (RANK0 + F.col("rank"))).alias("part"))
