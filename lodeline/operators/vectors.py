@@ -9,6 +9,7 @@ bounded sample; every row gets its cell, and a query looks into the nearest few.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,7 @@ import pyarrow.compute as pc
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import StructType
 
 #: Queries, and vectors, that meet in a task; vectors at a time there.
 ROWS, BATCH = 2048, 4096
@@ -222,13 +224,16 @@ def build(vectors: DataFrame, id_col: str, vector: str, category: str | None, pa
     rows = with_cells(_named(vectors, id_col, vector, category, "id"), centroids)
     rows.repartition("cell", F.pmod(F.xxhash64("id"), F.lit(16))).write.mode("overwrite").partitionBy("cell").parquet(f"{path}/rows")
     spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(centroids)], "cell int, v array<double>").coalesce(1).write.mode("overwrite").parquet(f"{path}/centroids")
+    # without a row there is no file to tell the columns
+    spark.createDataFrame([(rows.schema.json(),)], "schema string").coalesce(1).write.mode("overwrite").parquet(f"{path}/schema")
     return open_index(spark, path)
 
 
 def open_index(spark: SparkSession, path: str) -> Index:
     """An index that build() has written."""
     held = spark.read.parquet(f"{path}/centroids").orderBy("cell").collect()
-    return Index(spark.read.parquet(f"{path}/rows"), np.array([r.v for r in held]) if held else np.zeros((0, 0)))
+    schema = StructType.fromJson(json.loads(spark.read.parquet(f"{path}/schema").first()["schema"]))
+    return Index(spark.read.schema(schema).parquet(f"{path}/rows"), np.array([r.v for r in held]) if held else np.zeros((0, 0)))
 
 
 def search(index: Index, queries: DataFrame, category: str | None, query_id: str, query_vector: str, most: int = 15, probes: int = PROBES) -> DataFrame:
