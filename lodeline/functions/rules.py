@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodeline.functions.text import any_in, normalise
+from lodeline.operators.keywords import with_hits
 
 #: Rows up to which a rule table is broadcast; a larger one is left to the planner.
 BROADCAST_ROWS = 100_000
@@ -27,20 +28,14 @@ def lexicon(spark: SparkSession, words: Mapping[int, Mapping[str, float]]) -> Da
 def lexicon_scores(questions: DataFrame, words: DataFrame, labels: Sequence[int], id_col: str, text_col: str) -> DataFrame:
     """(id_col, label, score): the weights of the keywords that each question holds, 0 for labels without one.
 
-    The lexicon becomes one expression per keyword group, so questions are read
-    once and not joined; every label is present for every question, null texts
-    included.
+    All keywords are found in one pass over a question; every label is present
+    for every question, null texts included. Ids are unique.
     """
-    held: dict[int, list[tuple[str, float]]] = {label: [] for label in labels}
-    for row in words.collect():
-        held.setdefault(row["label"], []).append((row["keyword"], row["weight"]))
-    text = normalise(F.col(text_col))
-    scored = []
-    for label in labels:
-        pairs = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(float(w)).alias("w")) for k, w in sorted(held[label])]) if held[label] else F.array().cast("array<struct<k:string,w:double>>")
-        total = F.aggregate(F.filter(pairs, lambda p: F.coalesce(F.contains(F.col("__text"), p["k"]), F.lit(False))), F.lit(0.0), lambda t, p: t + p["w"])
-        scored.append(F.struct(F.lit(label).alias("label"), total.alias("score")))
-    return questions.select(id_col, text.alias("__text")).select(id_col, F.inline(F.array(*scored)))
+    held = with_hits(questions.select(id_col, normalise(F.col(text_col)).alias("__text")), "__text", words.select("keyword"), "__hits")
+    weights = words.where(F.col("label").isin(*labels)).groupBy("label", "keyword").agg(F.sum("weight").alias("weight"))
+    found = held.select(id_col, F.explode("__hits").alias("keyword")).join(weights, "keyword").select(id_col, "label", "weight")
+    none = questions.select(id_col, F.explode(F.array(*[F.lit(label) for label in labels])).alias("label"), F.lit(0.0).alias("weight"))
+    return found.unionByName(none).groupBy(id_col, "label").agg(F.sum("weight").alias("score"))
 
 
 def argmax_label(scores: DataFrame, id_col: str) -> DataFrame:
@@ -109,14 +104,19 @@ def short_override_rules(places: Sequence[str] = PLACE) -> list[Rule]:
 def first_route(questions: DataFrame, routes: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, priority, answer): of the routes (priority, keywords, answer) whose keywords the text all holds the first.
 
-    Only pairs that share the route's longest keyword are looked at further; a
-    route without keywords fits every text, as an empty conjunction does.
+    Keywords are found in one pass over a text and joined with the routes by
+    equality; a route fits if all its distinct keywords were found. A route without
+    keywords fits every text, as an empty conjunction does. Ids and priorities are unique.
     """
-    keyed = routes.withColumn("rarest", F.array_max(F.transform("keywords", lambda k: F.struct(F.length(k).alias("n"), k.alias("k"))))["k"])
-    fits = F.coalesce(F.contains(questions[text_col], keyed["rarest"]), F.lit(True)) & F.forall(keyed["keywords"], lambda k: F.contains(questions[text_col], k))
-    met = questions.join(small(keyed), fits)
-    best = F.min(F.struct(keyed["priority"], keyed["answer"]))
-    return met.groupBy(questions[id_col]).agg(best.alias("b")).select(id_col, F.col("b.priority").alias("priority"), F.col("b.answer").alias("answer"))
+    keyed = routes.select("priority", "answer", F.array_distinct("keywords").alias("ks"))
+    wanted = keyed.select("priority", "answer", F.size("ks").alias("n"), F.explode("ks").alias("keyword"))
+    held = with_hits(questions.select(id_col, F.col(text_col).alias("__text")), "__text", wanted.select("keyword"), "__hits")
+    met = held.select(id_col, F.explode("__hits").alias("keyword")).join(wanted, "keyword").groupBy(id_col, "priority", "answer", "n").agg(F.count(F.lit(1)).alias("m")).where("m = n")
+    # of the routes without keywords only the first can matter: one row
+    free = keyed.where(F.size("ks") == 0).agg(F.min(F.struct("priority", "answer")).alias("r")).where("r IS NOT NULL").select("r.*")
+    anywhere = questions.select(id_col).join(F.broadcast(free), F.lit(True))
+    both = met.select(id_col, "priority", "answer").unionByName(anywhere.select(id_col, "priority", "answer"))
+    return both.groupBy(id_col).agg(F.min(F.struct("priority", "answer")).alias("b")).select(id_col, F.col("b.priority").alias("priority"), F.col("b.answer").alias("answer"))
 
 
 def shadowed_routes(routes: DataFrame) -> DataFrame:
@@ -127,9 +127,16 @@ def shadowed_routes(routes: DataFrame) -> DataFrame:
 
 
 def either_contains(questions: DataFrame, answers: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, ord, answer): the first curated question that holds the text or is held by it."""
-    pairs = questions.join(small(answers), F.contains(questions[text_col], answers["question"]) | F.contains(answers["question"], questions[text_col]))
-    return pairs.groupBy(questions[id_col]).agg(F.min(F.struct(answers["ord"], answers["answer"])).alias("b")).select(id_col, F.col("b.ord").alias("ord"), F.col("b.answer").alias("answer"))
+    """(id_col, ord, answer): the first curated question that holds the text or is held by it.
+
+    Curated questions are looked for in the texts, and the texts in the curated
+    questions, each in one pass; both kinds of hits are joined by equality.
+    """
+    asked = questions.select(id_col, F.col(text_col).alias("__text"))
+    own = answers.select("ord", "question", "answer")
+    inside = with_hits(asked, "__text", own.select("question"), "__hits").select(id_col, F.explode("__hits").alias("question")).join(own, "question").select(id_col, "ord", "answer")
+    around = with_hits(own, "question", asked.select("__text"), "__hits").select("ord", "answer", F.explode("__hits").alias("__text")).join(asked, "__text").select(id_col, "ord", "answer")
+    return inside.unionByName(around).groupBy(id_col).agg(F.min(F.struct("ord", "answer")).alias("b")).select(id_col, F.col("b.ord").alias("ord"), F.col("b.answer").alias("answer"))
 
 
 def exact_answer(questions: DataFrame, answers: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.functions.rules import argmax_label, cascade, lexicon_scores, small
+from lodeline.functions.rules import argmax_label, cascade, lexicon_scores
 from lodeline.functions.text import any_in, normalise
 from lodeline.operators.classify import gram_counts, similarity
+from lodeline.operators.keywords import with_hits
 
 #: The weight of the centroid cosine beside keyword weights, and what a generic request adds to its label.
 COSINE, REQUEST = 8.0, 1.5
@@ -102,12 +103,17 @@ def department_of(text: Column, suffixes: Sequence[str] = ("융합학부", "학
 
 
 def department_pages(questions: DataFrame, docs: DataFrame, id_col: str, name: str, doc_id: str, title: str, order: str, prefix: str) -> DataFrame:
-    """(id_col, doc_id): the first document with the name in its title, those whose id begins with ``prefix`` first."""
+    """(id_col, doc_id): the first document with the name in its title, those whose id begins with ``prefix`` first.
+
+    The names that a title holds are found in one pass over it; the first document
+    of each name is found once, then joined with the questions that name it.
+    """
+    asked = questions.select(id_col, F.col(name).alias("__name")).where("__name IS NOT NULL")
     d = docs.select(F.col(doc_id).alias("__d"), F.col(title).alias("__t"), F.col(order).alias("__o"))
-    pairs = d.join(small(questions.select(id_col, name).where(F.col(name).isNotNull())), F.contains("__t", F.col(name)))
     tier = F.when(F.col("__d").cast("string").startswith(prefix), 0).otherwise(1)
-    w = Window.partitionBy(id_col).orderBy(tier, "__o")
-    return pairs.withColumn("__n", F.row_number().over(w)).where("__n = 1").select(id_col, F.col("__d").alias(doc_id))
+    held = with_hits(d, "__t", asked.select("__name"), "__held").select(F.explode("__held").alias("__name"), tier.alias("__r"), "__o", "__d")
+    first = held.groupBy("__name").agg(F.min(F.struct("__r", "__o", "__d")).alias("b")).select("__name", F.col("b.__d").alias(doc_id))
+    return asked.join(first, "__name").select(id_col, doc_id)
 
 
 #: Which entities filter documents of which category.

@@ -11,6 +11,7 @@ from lodeline.functions.rules import small
 from lodeline.functions.text import any_in, collapse, lines_without, strip, without
 from lodeline.operators.dedup import keep_first_content
 from lodeline.operators.html import host
+from lodeline.operators.keywords import with_hits
 
 
 def noise_density(content: Column, pattern: str) -> Column:
@@ -144,13 +145,22 @@ def page_scores(pages: DataFrame, specs: DataFrame, id_col: str, url: str, title
 
     ``specs`` has category, ord, keywords, priority. A keyword in the address
     brings 100, one in title or breadcrumb 50, each in the first 1000 characters
-    2, then the priority; of equals the first spec.
+    2, then the priority; of equals the first spec. Each field of a page is
+    searched once for all keywords. A category without a hit has its priority
+    alone, so of those only the first of the highest priority can win.
     """
-    s = small(specs)
+    wanted = specs.select("ord", "category", "priority", F.explode("keywords").alias("keyword"))
     meta = F.lower(F.concat_ws(" ", F.col(title), breadcrumb))
     rows = pages.select(id_col, F.lower(url).alias("__u"), meta.alias("__m"), F.lower(F.substring(content, 1, 1000)).alias("__c"))
-    paired = rows.join(s, F.size("keywords") >= 0)
-    has = lambda text: F.exists("keywords", lambda k: F.contains(F.col(text), k))
-    score = F.when(has("__u"), 100).otherwise(0) + F.when(has("__m"), 50).otherwise(0) + 2 * F.size(F.filter("keywords", lambda k: F.contains(F.col("__c"), k))) + F.col("priority")
-    best = F.max(F.struct(score.alias("score"), (-F.col("ord")).alias("o"), "category"))
-    return paired.groupBy(id_col).agg(best.alias("b")).select(id_col, F.col("b.category").alias("category"), F.col("b.score").cast("bigint").alias("score"))
+    for field in ("__u", "__m", "__c"):
+        rows = with_hits(rows, field, wanted.select("keyword"), f"{field}_held")
+    kind = lambda field: F.transform(F.coalesce(f"{field}_held", F.array().cast("array<string>")), lambda w: F.struct(w.alias("keyword"), F.lit(field).alias("at")))
+    found = rows.select(id_col, F.explode(F.concat(kind("__u"), kind("__m"), kind("__c"))).alias("h")).select(id_col, "h.keyword", "h.at")
+    any_of = lambda field: F.max((F.col("at") == field).cast("int"))
+    points = 100 * any_of("__u") + 50 * any_of("__m") + 2 * F.count(F.when(F.col("at") == "__c", 1)) + F.col("priority")
+    scored = found.join(wanted, "keyword").groupBy(id_col, "ord", "category", "priority").agg(points.alias("score")).select(id_col, "score", "ord", "category")
+    # one row
+    least = specs.agg(F.max(F.struct("priority", (-F.col("ord")).alias("o"), "category")).alias("b")).where("b IS NOT NULL").select(F.col("b.priority").alias("score"), (-F.col("b.o")).alias("ord"), "b.category")
+    without = pages.select(id_col).join(F.broadcast(least), F.lit(True))
+    best = F.max(F.struct(F.col("score").cast("bigint").alias("score"), (-F.col("ord")).alias("o"), "category"))
+    return scored.unionByName(without.select(id_col, "score", "ord", "category")).groupBy(id_col).agg(best.alias("b")).select(id_col, F.col("b.category").alias("category"), F.col("b.score").alias("score"))

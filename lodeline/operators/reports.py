@@ -6,9 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodeline.functions.rules import small
-
 from lodeline.functions.text import any_in, strip
+from lodeline.operators.keywords import with_hits
+from lodeline.session import checkpointed
 
 
 def latest_snapshot(items: DataFrame, day: str, today: str | None = None) -> DataFrame:
@@ -131,31 +131,23 @@ def keywords(question: Column, stop: Sequence[str], word: str = "[가-힣A-Za-z0
     return F.filter(F.regexp_extract_all(question, F.lit(f"{word}{{2,}}"), F.lit(0)), lambda w: ~w.isin(*stop))
 
 
-#: Keywords that are looked for in one pass over a text.
-WORDS = 10_000
-
-
 def topic_scores(questions: DataFrame, notices: DataFrame, question_id: str, words: str, notice_id: str, title: str, content: str) -> DataFrame:
     """(question_id, notice_id, score): 2 for each keyword in the title and 1 for each in the content, scores above 0 alone.
 
-    Each notice is searched once for every distinct keyword, WORDS of them at a
-    time, and the keywords it holds are joined with the questions that ask them.
+    Each notice is searched once for all keywords, and the keywords it holds are
+    joined with the questions that ask them, repeated ones counted each time.
     """
     asked = questions.select(F.col(question_id).alias("q"), F.explode(words).alias("word")).groupBy("q", "word").agg(F.count(F.lit(1)).alias("times"))
-    known = sorted(r.word for r in asked.select("word").distinct().collect())
+    asked = checkpointed(asked)
     text = notices.select(F.col(notice_id).alias("n"), F.col(title).alias("t"), F.col(content).alias("c"))
-    out = None
-    for at in range(0, max(len(known), 1), WORDS):
-        held = F.lit(known[at : at + WORDS]).cast("array<string>")
-        points = lambda w: 2 * F.contains("t", w).cast("int") + F.contains("c", w).cast("int")
-        found = F.filter(F.transform(held, lambda w: F.struct(w.alias("word"), points(w).alias("p"))), lambda x: x["p"] > 0)
-        part = text.select("n", F.explode(found).alias("f")).select("n", "f.word", "f.p")
-        out = part if out is None else out.unionByName(part)
-    scored = out.join(small(asked), "word").groupBy("q", "n").agg(F.sum(F.col("p") * F.col("times")).cast("bigint").alias("score"))
+    held = with_hits(with_hits(text, "t", asked.select("word"), "in_t"), "c", asked.select("word"), "in_c")
+    points = lambda words, p: F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(p).alias("p")))
+    found = held.select("n", F.explode(F.concat(points(F.col("in_t"), 2), points(F.col("in_c"), 1))).alias("f")).select("n", "f.word", "f.p")
+    scored = found.join(asked, "word").groupBy("q", "n").agg(F.sum(F.col("p") * F.col("times")).cast("bigint").alias("score"))
     return scored.select(F.col("q").alias(question_id), F.col("n").alias(notice_id), "score")
 
 
 def topic_best(scores: DataFrame, question_id: str, notice_id: str) -> DataFrame:
     """The best notice of each question, the first of equals."""
-    best = F.max(F.struct("score", (-F.col(notice_id)).alias("o")))
-    return scores.groupBy(question_id).agg(best.alias("b")).select(question_id, (-F.col("b.o")).alias(notice_id), F.col("b.score").alias("score"))
+    best = F.min(F.struct((-F.col("score")).alias("s"), F.col(notice_id).alias("o")))
+    return scores.groupBy(question_id).agg(best.alias("b")).select(question_id, F.col("b.o").alias(notice_id), (-F.col("b.s")).alias("score"))

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import WORD, tokens
+from lodeline.operators.keywords import with_hits
 from lodeline.session import checkpointed
 
 #: Constants of Okapi BM25 and of rank fusion.
@@ -96,19 +97,35 @@ def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
 def title_hits(docs: DataFrame, queries: DataFrame, id_col: str, title: str, query_id: str, query_text: str, least: int = 2, word: str = WORD, category: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, id, n): documents whose title holds so many of a query's terms, repeated terms counted each time.
 
-    Queries are a bounded set; with ``category``, the columns of documents and of
-    queries that must agree, each document meets the queries of its own alone.
+    With ``category``, the columns of documents and of queries that must agree,
+    documents meet the queries of their own alone. The terms that a title holds
+    anywhere in it, parts of words included, are found in one pass over the title.
+    If a query's terms in the order of how many titles hold them, the rarest
+    first, are left out one by one until fewer than ``least`` repeats are left, a
+    hit holds one of those: only titles that do are counted.
     """
     own = lambda c: (F.col(c) if c else F.lit(0)).alias("category")
-    mine, asked = category or (None, None)
-    q = queries.select(F.col(query_id).alias("query_id"), tokens(F.col(query_text), 2, word).alias("terms"), own(asked)).where(F.size("terms") >= least)
-    n = F.size(F.filter("terms", lambda t: F.contains(F.col("title"), t))).cast("bigint")
-    return docs.select(F.col(id_col).alias("id"), F.lower(title).alias("title"), own(mine)).join(small(q), "category").select("query_id", "id", n.alias("n")).where(F.col("n") >= least)
+    mine, wanted = category or (None, None)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text), 2, word)).alias("term"), own(wanted)).groupBy("query_id", "category", "term").agg(F.count(F.lit(1)).alias("times"))
+    asked = checkpointed(asked)
+    titles = with_hits(docs.select(F.col(id_col).alias("id"), F.lower(title).alias("title"), own(mine)), "title", asked.select("term"), "held").where(F.size("held") > 0)
+    titles = checkpointed(titles.select("id", "category", "held"))
+    postings = titles.select("id", "category", F.explode("held").alias("term"))
+    known = asked.join(postings.groupBy("category", "term").agg(F.count(F.lit(1)).alias("df")), ["category", "term"])
+    ordered = known.groupBy("query_id", "category").agg(F.sort_array(F.collect_list(F.struct("df", "term", "times"))).alias("terms")).where(F.aggregate("terms", F.lit(0).cast("bigint"), lambda n, t: n + t["times"]) >= least)
+    # a term is a candidate while it and the commoner ones after it have ``least`` repeats or more
+    after = lambda i: F.aggregate(F.slice("terms", i + 1, F.size("terms")), F.lit(0).cast("bigint"), lambda n, t: n + t["times"])
+    firsts = ordered.select("query_id", "category", "terms", F.explode(F.transform(F.filter("terms", lambda t, i: after(i) >= least), lambda t: t["term"])).alias("term"))
+    pairs = firsts.select("query_id", "category", "term").join(postings, ["category", "term"]).select("query_id", "category", "id").distinct()
+    n = F.aggregate(F.filter("terms", lambda t: F.array_contains("held", t["term"])), F.lit(0).cast("bigint"), lambda n, t: n + t["times"])
+    met = pairs.join(ordered.select("query_id", "terms"), "query_id").join(titles.select("id", "category", "held"), ["id", "category"])
+    return met.select("query_id", "id", n.alias("n")).where(F.col("n") >= least)
 
 
 def priority_hits(queries: DataFrame, priorities: DataFrame, docs: DataFrame, id_col: str, query_id: str, query_text: str) -> DataFrame:
     """(query_id, id): targets of the keywords (keyword, target) that a query holds, once for each, if they are documents at all."""
-    met = queries.join(small(priorities), F.contains(queries[query_text], priorities["keyword"])).select(queries[query_id].alias("query_id"), priorities["target"].alias("id"))
+    held = with_hits(queries.select(F.col(query_id).alias("query_id"), F.col(query_text).alias("text")), "text", priorities.select("keyword"), "held")
+    met = held.select("query_id", F.explode("held").alias("keyword")).join(priorities, "keyword").select("query_id", F.col("target").alias("id"))
     return met.join(docs.select(F.col(id_col).alias("id")), "id", "left_semi").select("query_id", "id")
 
 
