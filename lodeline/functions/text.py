@@ -160,6 +160,24 @@ def keyword_window(text: Column, keyword: str, before: int = 30, after: int = 30
     return F.when(at > 0, F.substr(text, low, at + after - low))
 
 
+def unique_snippets(snippets: Column, key: int = 80, most: int = 3) -> Column:
+    """The first ``most`` snippets of an array whose first ``key`` characters differ from those of all before them; nulls are left out."""
+    held = F.filter(snippets, lambda s: s.isNotNull())
+    keys = F.transform(held, lambda s: F.substring(s, 1, key))
+    return let(keys, lambda known: F.slice(F.filter(held, lambda s, i: F.array_position(known, F.substring(s, 1, key)) == i + 1), 1, most))
+
+
+def first_window(text: Column, keywords: Column, before: int = 30, after: int = 300, least: int = 50) -> Column:
+    """The stripped window around the first keyword of an array that the text holds with more than ``least`` characters; null if there is none."""
+
+    def window(word: Column) -> Column:
+        at = F.instr(text, word)
+        low = F.greatest(at - before, F.lit(1))
+        return F.when(at > 0, strip(F.substr(text, low, at + after - low)))
+
+    return F.get(F.filter(F.transform(keywords, window), lambda w: F.length(w) > least), F.lit(0))
+
+
 def year_of(text: Column) -> Column:
     """A year written as 20dd, else the year of a class written as two digits before a word for class."""
     full = F.regexp_extract(text, r"(20[0-9]{2})", 1)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.functions.rules import argmax_label, cascade, lexicon_scores
+from lodeline.functions.rules import DEPARTMENT_SUFFIXES, DEPARTMENT_WORDS, PARTICLES, argmax_label, cascade, lexicon_scores
 from lodeline.functions.text import any_in, normalise
 from lodeline.operators.classify import gram_counts, similarity
 from lodeline.operators.keywords import with_hits
@@ -69,7 +69,7 @@ class Gate:
 DORM, ADMIN = ("기숙사", "학생생활관"), ("신청", "입사", "비용", "가격", "조건", "선발", "연락처", "방법", "규정")
 MEAL_GATE = Gate("meal", (("학식", "메뉴", "식단", "식당", "학생식당", "오늘 밥", "점심 뭐", "저녁 뭐", "아침 뭐", "오늘 뭐 먹", "기숙사 식당", "기숙사 밥", "기숙사 뭐", "학생회관"),), (DORM, ADMIN))
 NOTICE_GATE = Gate("notice", (("최신 공지사항", "최근 공지사항", "공지사항 확인", "공지사항 알려", "오늘 공지", "이번 주 공지", "지금 공지", "최근 올라온", "올라온 공지", "최신 공지", "공지 목록", "공지사항 목록"),))
-DEPARTMENT_GATE = Gate("department", (("학과", "학부", "전공"), ("뭐야", "소개", "알려줘", "정보", "어떤", "설명", "배워", "진로", "취업", "커리큘럼")))
+DEPARTMENT_GATE = Gate("department", (tuple(x + p for x in DEPARTMENT_SUFFIXES for p in PARTICLES), DEPARTMENT_WORDS))
 
 
 def dispatched(questions: DataFrame, id_col: str, text_col: str, gates: Sequence[Gate], answers: Mapping[str, DataFrame], last: DataFrame) -> DataFrame:

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, HashingTF
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.functions.text import WORD, features, ngrams
+from lodeline.functions.text import WORD, features, let, normalise
+from lodeline.operators.ordinals import numbered, within_key
+from lodeline.session import checkpointed
 
 
 def gram_counts(docs: DataFrame, id_col: str, text_col: str, word: str = WORD) -> DataFrame:
@@ -63,26 +65,91 @@ def balanced_weight(rows: DataFrame, label: str) -> DataFrame:
     return rows.join(F.broadcast(n), label).withColumn("weight", F.lit(float(total[0] or 0)) / (F.lit(total[1]) * F.col("__n"))).drop("__n")
 
 
-def text_pipeline(rows: DataFrame, label: str, text_col: str, buckets: int = 1 << 16, c: float = 4.0, rounds: int = 100) -> PipelineModel:
-    """Hashed n-grams with inverse document frequencies and balanced logistic regression.
+def bounded_grams(text: Column, shortest: int = 2, longest: int = 5) -> Column:
+    """The substrings with ``shortest`` to ``longest`` characters of each word between two spaces, repeats included; they never cross words."""
+
+    def of(held: Column, n: int) -> Column:
+        gram = lambda i: F.concat(*[F.get(held, i + k) for k in range(n)])
+        return F.when(F.size(held) >= n, F.transform(F.sequence(F.lit(0), F.size(held) - n), gram)).otherwise(F.array().cast("array<string>"))
+
+    def of_word(word: Column) -> Column:
+        letters = F.filter(F.split(word, ""), lambda c: c != "")
+        return let(F.concat(F.array(F.lit(" ")), letters, F.array(F.lit(" "))), lambda held: F.concat(*[of(held, n) for n in range(shortest, longest + 1)]))
+
+    words = F.filter(F.split(normalise(text), " "), lambda w: w != "")
+    return F.flatten(F.transform(words, of_word))
+
+
+def bounded_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id_col, gram, n): how often each text holds each gram; ids are unique."""
+    return docs.select(id_col, F.explode(bounded_grams(F.col(text_col))).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inverse_frequencies(counts: DataFrame, documents: int) -> DataFrame:
+    """(gram, df, idf): the smoothed logarithm of documents over those with the gram, plus one."""
+    df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    return df.withColumn("idf", F.log((1.0 + F.lit(documents)) / (1.0 + F.col("df"))) + 1.0)
+
+
+def gram_weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
+    """(id_col, gram, weight): dampened counts by inverse frequency, of length one for each text; grams without a frequency are left out."""
+    raw = counts.join(idf, "gram").withColumn("raw", (1.0 + F.log("n")) * F.col("idf"))
+    size = raw.groupBy(id_col).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("__size"))
+    return raw.join(size, id_col).withColumn("weight", F.col("raw") / F.col("__size")).drop("raw", "n", "df", "idf", "__size")
 
-    Term counts are dampened by a logarithm; the penalty is that of a fit with
-    parameter ``c`` over these rows. Coefficients are Spark's own.
-    """
-    data = balanced_weight(_grams(rows, text_col), label)
-    count = max(data.count(), 1)
-    stages = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=buckets), IDF(inputCol="tf", outputCol="x"), LogisticRegression(featuresCol="x", labelCol=label, weightCol="weight", maxIter=rounds, regParam=1.0 / (c * count))]
-    return Pipeline(stages=stages).fit(data)
 
+@dataclass(frozen=True)
+class TextModel:
+    """A vocabulary (gram, i, idf), its size, and a fitted regression over it."""
 
-def text_predict(model: PipelineModel, rows: DataFrame, text_col: str) -> DataFrame:
-    """``rows`` with the columns probability and prediction."""
-    return model.transform(_grams(rows, text_col)).drop("grams", "tf", "x", "rawPrediction")
+    vocabulary: DataFrame
+    size: int
+    regression: LogisticRegressionModel
 
 
-def _grams(rows: DataFrame, text_col: str) -> DataFrame:
-    held = ngrams(F.coalesce(F.col(text_col), F.lit("")), 2, 5)
-    return rows.withColumn("grams", held)
+#: Grams of a vocabulary at most, the commonest: the regression's coefficients are in the driver, one for each and a class.
+VOCABULARY = 1 << 18
+
+
+@F.udf(VectorUDT())
+def _sparse(size: int, entries: list) -> SparseVector:
+    return SparseVector(size, [e[0] for e in entries], [e[1] for e in entries])
+
+
+def _vectors(rows: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame, size: int) -> DataFrame:
+    """(id_col, x): the weights of each text's grams as a sparse vector; a text without a known gram has a zero vector."""
+    weights = gram_weights(bounded_counts(rows, id_col, text_col), vocabulary, id_col)
+    held = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("e"))
+    none = F.array().cast("array<struct<i:int,weight:double>>")
+    return rows.select(id_col).join(held, id_col, "left").select(id_col, _sparse(F.lit(size), F.coalesce("e", none)).alias("x"))
+
+
+def text_pipeline(rows: DataFrame, label: str, id_col: str, text_col: str, c: float = 4.0, rounds: int = 1000, vocabulary: int = VOCABULARY) -> TextModel:
+    """Word-bounded n-grams weighed exactly, and a class-balanced logistic regression whose penalty is that of parameter ``c``.
+
+    The vocabulary is every gram of the rows, or the ``vocabulary`` commonest
+    (equals by name). The loss is summed over rows by class weight and half the
+    coefficients' squares added once over ``c``; the intercept isn't penalised and
+    nothing is scaled, so the optimum is that of the plain formula.
+    """
+    data = balanced_weight(rows.where(F.col(label).isNotNull()), label)
+    count = data.count()
+    counts = checkpointed(bounded_counts(data, id_col, text_col))
+    idf = inverse_frequencies(counts, count)
+    distinct = idf.count()
+    if distinct > vocabulary:
+        idf = idf.orderBy(F.desc("df"), "gram").limit(vocabulary)
+    held = numbered(idf.select("gram", "idf"), ["gram"], "i").withColumn("i", F.col("i").cast("int"))
+    size = max(min(distinct, vocabulary), 1)
+    x = checkpointed(data.select(id_col, F.col(label).cast("double").alias("label"), "weight").join(_vectors(data, id_col, text_col, held, size), id_col))
+    fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=rounds, tol=1e-8, regParam=1.0 / (c * max(count, 1)), standardization=False)
+    return TextModel(held, size, fit.fit(x))
+
+
+def text_predict(model: TextModel, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rows``, whose ids are unique, with the columns probability and prediction."""
+    said = model.regression.transform(_vectors(rows, id_col, text_col, model.vocabulary, model.size)).select(id_col, "probability", "prediction")
+    return rows.join(said, id_col)
 
 
 def grid_search(rows: DataFrame, label: str, id_col: str, text_col: str, choices: Sequence[float], held_out: float = 0.1, seed: int = 42, **fit) -> tuple[float, dict[float, float]]:
@@ -91,7 +158,7 @@ def grid_search(rows: DataFrame, label: str, id_col: str, text_col: str, choices
     told, asked = rows.where(F.col("__u") >= held_out), rows.where(F.col("__u") < held_out)
     found = {}
     for c in choices:
-        said = text_predict(text_pipeline(told, label, text_col, c=c, **fit), asked, text_col)
+        said = text_predict(text_pipeline(told, label, id_col, text_col, c=c, **fit), asked, id_col, text_col)
         found[c] = macro_f1(said, label, "prediction").agg(F.avg("f1")).first()[0] or 0.0
     return max(found, key=lambda c: (found[c], -choices.index(c))), found
 
@@ -101,26 +168,28 @@ def ensemble(rows: DataFrame, asked: DataFrame, label: str, id_col: str, text_co
     votes = None
     for seed in seeds:
         u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) * F.lit(2.0**-53)
-        said = text_predict(text_pipeline(rows.where(u < share), label, text_col, **fit), asked, text_col)
+        said = text_predict(text_pipeline(rows.where(u < share), label, id_col, text_col, **fit), asked, id_col, text_col)
         part = said.select(id_col, vector_to_array("probability").alias("p"))
         votes = part if votes is None else votes.unionByName(part)
     return soft_vote(votes, id_col, "p")
 
 
 def augment(rows: DataFrame, label: str, id_col: str, text_col: str, seed: int = 42) -> DataFrame:
-    """Rows of the smaller classes again, with two words swapped or one dropped, until each class is as large as the largest.
+    """Rows of the smaller classes again, with two words swapped or one dropped, until each class is exactly as large as the largest.
 
-    The copies and their words are drawn by hash, so the result can be repeated;
-    copies have a column copy from 1, the rows themselves 0.
+    Each row is repeated equally often, and what then lacks is made from the rows
+    of the class with the smallest hashes, ranked without gathering a class in a
+    task. Copies and their words are drawn by hash, so the result can be repeated;
+    copies have a column copy from 1, the rows themselves 0. A text of fewer than
+    two words is copied as it is; a null class is a class.
     """
-    n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
-    largest = n.agg(F.max("__n")).first()[0] or 0
-    held = rows.join(F.broadcast(n), label)
-    need = F.lit(largest) - F.col("__n")
-    base = F.floor(need / F.col("__n")).cast("int")
-    rest = (need % F.col("__n")) / F.col("__n")
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000)) / 1_000_000
-    times = base + F.when(draw < rest, 1).otherwise(0)
+    n = rows.groupBy(F.col(label).alias("__label")).agg(F.count(F.lit(1)).alias("__n"))
+    # a row for each class
+    sizes = n.crossJoin(F.broadcast(n.agg(F.max("__n").alias("__most")))).select("__label", "__n", (F.col("__most") - F.col("__n")).alias("__need"))
+    drawn = rows.withColumn("__u", F.xxhash64(F.lit(seed), F.col(id_col)))
+    placed = within_key(drawn, label, ["__u", id_col], "__place")
+    held = placed.join(sizes, F.col(label).eqNullSafe(F.col("__label")))
+    times = F.floor(F.col("__need") / F.col("__n")).cast("int") + F.when(F.col("__place") < F.col("__need") % F.col("__n"), 1).otherwise(0)
     words = F.split(text_col, " ")
     size = F.size(words)
     at = lambda salt, below: (F.pmod(F.xxhash64(F.lit(seed + salt), F.col(id_col), F.col("copy")), below) + 1).cast("int")
@@ -129,4 +198,5 @@ def augment(rows: DataFrame, label: str, id_col: str, text_col: str, seed: int =
     dropped = F.filter(words, lambda w, k: k + 1 != i)
     changed = F.when(size < 2, words).when(at(3, F.lit(2)) == 1, swapped).otherwise(dropped)
     copies = held.withColumn("copy", F.explode(F.sequence(F.lit(0), times)))
-    return copies.withColumn(text_col, F.when(F.col("copy") == 0, F.col(text_col)).otherwise(F.array_join(changed, " "))).drop("__n")
+    text = F.when(F.col("copy") == 0, F.col(text_col)).otherwise(F.array_join(changed, " "))
+    return copies.withColumn(text_col, text).drop("__n", "__need", "__label", "__u", "__place")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import any_in, collapse, lines_without, strip, without
-from lodeline.operators.dedup import keep_first_content
+from lodeline.operators.dedup import keep_first_content, suffix_repeats
 from lodeline.operators.html import host
 from lodeline.operators.keywords import with_hits
 
@@ -41,6 +41,25 @@ def pruned_urls(url: Column, category: Column, archive: str = "library", board:
     return ~((archived & ((category != open_to) | ~F.contains(url, F.lit(board)))) | any_in(url, foreign) | home)
 
 
+#: How a page of navigation alone begins, and the words one of which a page with news has.
+NAVIGATION = r"공과대학\s*\|\s*학과"
+NEWS = ("공지사항", "채용", "장학", "모집", "안내", "결과", "선발", "2025", "2026", "2024")
+
+
+def navigation_only(url: Column, content: Column, part: str, start: str = NAVIGATION, news: Sequence[str] = NEWS) -> Column:
+    """Whether a page whose address holds ``part`` is navigation alone: it begins like one and has no word of news. False where either is null."""
+    return F.coalesce(F.contains(url, F.lit(part)) & content.rlike(rf"\A(?:{start})") & ~any_in(content, news), F.lit(False))
+
+
+def mapped_category(docs: DataFrame, names: Mapping[int, str], default: str | None = None, id_col: str = "category_id", as_: str = "category") -> DataFrame:
+    """``docs`` with the name of each category number; one without a name goes, or gets ``default`` if there is one."""
+    name = F.lit(None).cast("string")
+    for number, text in names.items():
+        name = F.when(F.col(id_col) == number, text).otherwise(name)
+    held = docs.withColumn(as_, name)
+    return held.where(F.col(as_).isNotNull()) if default is None else held.withColumn(as_, F.coalesce(as_, F.lit(default)))
+
+
 @dataclass(frozen=True)
 class Cleaner:
     """Patterns by which boilerplate leaves a document: inline, whole lines, then footers."""
@@ -57,9 +76,14 @@ class Cleaner:
         return strip(F.regexp_replace(out, r"(?U)\s{2,}", " "))
 
 
-def cleaned_documents(docs: DataFrame, cleaner: Cleaner, garbage_title: str, least: int = 80, keywords: Mapping[str, Sequence[str]] | None = None, blocked: DataFrame | None = None, category: str = "category", url: str = "url") -> DataFrame:
-    """Documents that survive a rebuild, with clean content and title: host, title, length and keyword tests in this order."""
+def cleaned_documents(docs: DataFrame, cleaner: Cleaner, garbage_title: str, least: int = 80, keywords: Mapping[str, Sequence[str]] | None = None, blocked: DataFrame | None = None, category: str = "category", url: str = "url", navigation: str | None = None) -> DataFrame:
+    """Documents that survive a rebuild, with clean content and title: host, navigation, title, length and keyword tests in this order.
+
+    ``navigation`` is the part of an address in whose pages navigation alone is looked for.
+    """
     rows = blocked_hosts(docs, blocked, category, url) if blocked is not None else docs
+    if navigation:
+        rows = rows.where(~navigation_only(F.col(url), F.col("content"), navigation))
     rows = rows.withColumn("content", cleaner.clean(F.coalesce("content", F.lit("")))).withColumn("title", strip(F.coalesce("title", F.lit(""))))
     rows = rows.where(~F.col("title").rlike(garbage_title) & (F.length("content") >= least))
     both = F.lower(F.concat_ws(" ", "title", "content"))
@@ -100,16 +124,15 @@ def admitted(docs: DataFrame, layer: Layer, noise: Sequence[str] = (), density:
     rows = docs.where(extra) if extra is not None else docs
     if layer.clean:
         rows = rows.withColumn("content", collapse(without(F.coalesce("content", F.lit("")), noise)))
-    suffix = F.row_number().over(Window.partitionBy("id").orderBy("ord")) > 1
-    named = F.when(suffix, F.concat_ws("_", "id", F.col("ord").cast("string"))).otherwise(F.col("id"))
+    named = lambda df: suffix_repeats(df, "id", "ord", "__id").drop("id").withColumnRenamed("__id", "id")
     if layer.suffix_first:
-        rows = rows.withColumn("id", named)
+        rows = named(rows)
     rows = rows.where(F.length("content") >= layer.least)
     if density:
         rows = rows.where(noise_density(F.col("content"), density) <= 2.5)
     rows = rows.where(has_keyword(F.col("content"), F.col("category"), keywords or {}))
     if not layer.suffix_first:
-        rows = rows.withColumn("id", named)
+        rows = named(rows)
     return rows.select("ord", "id", "category", "title", "content", F.lit(layer.name).alias("layer"), F.lit(layer.rank).alias("layer_rank"), F.lit(layer.realtime).alias("is_realtime"))
 
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 from typing import Protocol
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.functions.rules import small, untrusted
-from lodeline.functions.text import count_of, deduplicated, sanitised, strip, without
+from lodeline.functions.rules import latin_words, small, untrusted
+from lodeline.functions.text import any_in, count_of, deduplicated, let, sanitised, strip, without
 
 
 class Generator(Protocol):
@@ -50,29 +51,85 @@ def prompts(questions: DataFrame, table: DataFrame, category: str, question: str
     return joined.withColumn("messages", F.array(F.struct(F.lit("system").alias("role"), F.coalesce("instructions", F.lit("")).alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))).drop("instructions")
 
 
-#: Phrases that leave an answer.
-STRIPS = (r"제공된\s*(문서|컨텍스트|자료)에\s*(따르면|의하면|서는)?", "안녕하세요[,! ]*", r"죄송합니다[,.]?\s*하지만 ", r"\[참고정보\]", r"\[질문\]", r"(?s)⚠️\s*규칙:.*")
+#: Phrases that leave an answer, in order.
+STRIPS = (
+    r"제공된\s*(문서|컨텍스트|자료)에\s*(따르면|의하면|서는)?",
+    "안녕하세요[,! ]*",
+    r"죄송합니다[,.]?\s*현재 실시간 데이터를 제공하는 기능이 없습니다[.!]?\s*",
+    r"죄송합니다[,.]?\s*하지만 ",
+    r"\[참고정보\]",
+    r"\[질문\]",
+    r"위 \[참고정보\]만 사용해서 한국어로만 답변하세요\.",
+    r"(?s)⚠️\s*규칙:.*",
+    r"\d+\.\s*(반드시|위 \[참고|대학 이름|정보가 부족)",
+)
 GENERAL_STRIPS = (r"(?s)⚠️\s*규칙:.*", r"(?s)\[검색 결과\].*", r"(?s)\[질문\].*")
 
 
-def post_processed(text: Column, category: Column, fallbacks: Mapping[str, str], other: str, strips: Sequence[str] = STRIPS, required: Mapping[str, tuple[str, str]] | None = None, until: Mapping[str, str] | None = None, **trust) -> Column:
-    """An answer fit to show: phrases out, foreign scripts out, lines once, emptied if untrusted, then the category's rules and fallback.
+@dataclass(frozen=True)
+class Shown:
+    """What a category's answers must be, tested in this order.
 
-    ``required``: a phrase that a category's answer must hold, and the sentence
-    put ahead of one that doesn't. ``until``: a closing after which an answer is
-    cut.
+    ``required``: a phrase, and the sentence put ahead of an answer without it.
+    ``until``: a closing after which an answer is cut. ``about``: words, and the
+    answer that replaces one with none of them. ``foreign``: whether an answer
+    goes that has more than two Latin words of five letters, or fewer blocks of
+    two Korean letters than twice its Latin words. ``stale``: words that an answer
+    holds all, one that it doesn't hold, and the answer that then replaces it.
+    ``dated``: whether it must hold a date (see rules.undated).
     """
-    out = deduplicated(sanitised(without(text, strips)))
-    out = F.when(untrusted(out, **trust), "").otherwise(out)
-    for name, (phrase, sentence) in (required or {}).items():
-        out = F.when((category == name) & ~F.contains(out, F.lit(phrase)), F.concat(F.lit(sentence), out)).otherwise(out)
-    for name, closing in (until or {}).items():
-        at = F.locate(closing, out)
-        out = F.when((category == name) & (at > 0), F.substr(out, F.lit(1), at + len(closing) - 1)).otherwise(out)
+
+    required: tuple[str, str] | None = None
+    until: str | None = None
+    about: tuple[tuple[str, ...], str] | None = None
+    foreign: bool = False
+    stale: tuple[tuple[str, ...], str, str] | None = None
+    dated: bool = False
+
+    def apply(self, text: Column) -> Column:
+        out = text
+        if self.required:
+            out = F.when(~F.contains(out, F.lit(self.required[0])), F.concat(F.lit(self.required[1]), out)).otherwise(out)
+        if self.until:
+            at = F.locate(self.until, out)
+            out = F.when(at > 0, F.substr(out, F.lit(1), at + len(self.until) - 1)).otherwise(out)
+        if self.about:
+            out = F.when((out != "") & ~any_in(out, self.about[0]), F.lit(self.about[1])).otherwise(out)
+        fresh = out
+        if self.stale:
+            held, missing, answer = self.stale
+            every = F.lit(True)
+            for word in held:
+                every = every & F.contains(out, F.lit(word))
+            fresh = F.when(every & ~F.contains(out, F.lit(missing)), F.lit(answer)).otherwise(out)
+        if self.foreign:
+            latin = F.size(latin_words(out, 5))
+            blocks = F.size(F.regexp_extract_all(out, F.lit("[가-힣]{2,}"), F.lit(0)))
+            fresh = F.when((latin > 2) | ((latin > 0) & (blocks < 2 * latin)), "").otherwise(fresh)
+        return fresh
+
+
+def post_processed(text: Column, category: Column, fallbacks: Mapping[str, str], other: str, strips: Sequence[str] = STRIPS, shown: Mapping[str, Shown] | None = None, **trust) -> Column:
+    """An answer fit to show: phrases out, foreign scripts out, lines once, emptied if untrusted, then the category's rules (``shown``) and fallback.
+
+    ``trust`` is passed to rules.untrusted(). A null answer counts as an empty one.
+    """
+    held = shown or {}
+    out = deduplicated(sanitised(without(F.coalesce(text, F.lit("")), strips)))
+    schedule = category.isin(*[name for name, s in held.items() if s.dated]) if any(s.dated for s in held.values()) else None
+    first = F.when(untrusted(out, schedule=schedule, **trust), "").otherwise(out)
+
+    def ruled(value: Column) -> Column:
+        done = value
+        for name, rules in held.items():
+            done = F.when(category == name, rules.apply(value)).otherwise(done)
+        return done
+
     last = F.lit(other)
     for name, answer in fallbacks.items():
         last = F.when(category == name, F.lit(answer)).otherwise(last)
-    return F.when(strip(out) == "", last).otherwise(strip(out))
+    # each value is bound once: the rules name it many times
+    return let(let(first, ruled), lambda value: F.when(strip(value) == "", last).otherwise(strip(value)))
 
 
 def post_processed_general(text: Column, has_web: Column, failed: str, empty: str, note: str) -> Column:

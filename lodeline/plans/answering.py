@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.functions import rules
-from lodeline.operators import answer, classify
+from lodeline.operators import answer, classify, output
 from lodeline.plans import learning, routing
 from lodeline.plans.registry import query
 from lodeline.session import table
@@ -67,3 +67,59 @@ def metadata_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def authority_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("p"), F.col("page_id").cast("string")).alias("id"), F.col("url").alias("title"), "url")
     return answer.authoritative(pages, "url", [("/fr/", "CALENDAR", "Calendar"), ("blog", "BLOG", "Blog")]).select("page_id", "id", "title")
+
+
+#: What is appended to every turn by its id, so that each pattern has hits and near misses.
+ENDINGS = (
+    "", " 축하합니다", " B. 6월", " 선택 문제", " 답안 :", " C. 다음", " 청계천 근처", " 관광객 안내", " 이 방법은 좋은 국제 교류", " 30% 응답", " 강남 캠퍼스", " 2호선과 연결", " 해당 학교 데이터베이스에 정보가 없습니다 https://www.",
+    " academic QUARTER", " Cal-리포트", " 분기 일정에 대한 정보", " 이번 quarter 일정", " 시즌 2", " 국제문화 회관 2024", " 근처이나 오랜만", " 축하 합니다", " E. 6월", " quarters", " 시즌", " 새 정 안내", " 6월 10일 시즌", " 분기 2026년 3월",
+)
+_ENDED = f"e AS (SELECT {routing.TURN} AS qid, lower(substr(text, 1, 40)) || ([{', '.join(repr(x) for x in ENDINGS)}])[({routing.TURN}) % {len(ENDINGS)} + 1] AS t FROM conversations)"
+
+
+def _ended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ENDINGS)), (F.expr(routing.TURN) % len(ENDINGS) + 1).cast("int"))
+    return table(spark, sf_dir, "conversations").select(F.expr(routing.TURN).alias("qid"), F.concat(F.lower(F.substring("text", 1, 40)), ending).alias("t"))
+
+
+@query(
+    f"""WITH {_ENDED} SELECT qid, (regexp_matches(t, '(?i)축하합니다') OR regexp_matches(t, '(?i)[A-D]\\.\\s+\\d+월') OR regexp_matches(t, '선택\\s*문제') OR regexp_matches(t, '답안\\s*:') OR regexp_matches(t, '(?i)[A-D]\\.\\s+[가-힣]') OR contains(t, '청계천') OR contains(t, '관광객')
+OR regexp_matches(t, '(이 방법|이 서비스).{{0,30}}국제') OR regexp_matches(t, '\\d+%\\s*(선택|응답|비율)') OR regexp_matches(t, '신안산|보수원|청계|한강|강남|강북|종로') OR regexp_matches(t, '(?i)(line|호선).{{0,20}}연결') OR regexp_matches(t, '해당.{{0,20}}데이터베이스.{{0,20}}없습니다.{{0,30}}www\\.')
+OR regexp_matches(t, '(?i)academic quarter') OR contains(t, 'Cal-리포트') OR regexp_matches(t, '분기.*대한 정보') OR regexp_matches(t, '(?i)(^|[^\\p{{L}}\\p{{N}}_])quarter($|[^\\p{{L}}\\p{{N}}_])') OR regexp_matches(t, '시즌 \\d') OR regexp_matches(t, '국제문화.*회관.*\\d{{4}}') OR regexp_matches(t, '근처이나.*오랜만')) AS junk,
+(NOT regexp_matches(t, '\\d{{4}}년\\s*\\d{{1,2}}월|\\d{{1,2}}월\\s*\\d{{1,2}}일|\\d{{2}}\\.\\d{{2}}') AND regexp_matches(t, '[A-Za-z]{{5,}}|시즌|새 정 |분기')) AS undated FROM e"""
+)
+def junk_and_undated_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ended(spark, sf_dir).select("qid", rules.untrusted(F.col("t"), most=10**6, least=0).alias("junk"), rules.undated(F.col("t")).alias("undated"))
+
+
+#: Rules of categories, with words that the turns have.
+SHOWN = {
+    "0": output.Shown(required=("the", "The rest: "), until="and"),
+    "1": output.Shown(dated=True),
+    "2": output.Shown(about=(("tion", "ing"), "Nothing is said.")),
+    "3": output.Shown(foreign=True, stale=(("on", "en"), "th", "No news.")),
+}
+
+
+@query(f"""WITH t AS (SELECT {routing.TURN} AS qid, (conv_id % 4)::VARCHAR AS c, substr(text, 1, conv_id % 90) || CASE WHEN conv_id % 3 = 0 THEN ' 안내 드립니다 확인 바랍니다 여기 저기' ELSE '' END AS t FROM conversations), r AS (SELECT *, CASE WHEN contains(t, 'the') THEN t ELSE 'The rest: ' || t END AS q FROM t),
+s AS (SELECT qid, CASE c WHEN '0' THEN CASE WHEN instr(q, 'and') > 0 THEN substr(q, 1, instr(q, 'and') + 2) ELSE q END WHEN '2' THEN CASE WHEN t <> '' AND NOT contains(t, 'tion') AND NOT contains(t, 'ing') THEN 'Nothing is said.' ELSE t END
+WHEN '3' THEN CASE WHEN len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{5,}}'))) > 2 OR (len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{5,}}'))) > 0 AND len(regexp_extract_all(t, '[가-힣]{{2,}}')) < 2 * len(list_filter(regexp_extract_all(t, '[\\p{{L}}\\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{5,}}')))) THEN '' WHEN contains(t, 'on') AND contains(t, 'en') AND NOT contains(t, 'th') THEN 'No news.' ELSE t END ELSE t END AS shown FROM r) SELECT qid, shown FROM s""")
+def category_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.concat(F.substr("text", F.lit(1), (F.col("conv_id") % 90).cast("int")), F.when(F.col("conv_id") % 3 == 0, " 안내 드립니다 확인 바랍니다 여기 저기").otherwise(""))
+    rows = table(spark, sf_dir, "conversations").select(F.expr(routing.TURN).alias("qid"), (F.col("conv_id") % 4).cast("string").alias("c"), said.alias("t"))
+    shown = F.col("t")
+    for name, held in SHOWN.items():
+        shown = F.when(F.col("c") == name, held.apply(F.col("t"))).otherwise(shown)
+    return rows.select("qid", shown.alias("shown"))
+
+
+ASKED = ("", " 수도는 어디야", " 인구", " 경영학과가 뭐야", " 전공 소개", " 학과", " 몇 층", " 뭐야", " 학부에서 배워", " 얼마")
+_ASKED = f"a AS (SELECT {routing.TURN} AS qid, text || ([{', '.join(repr(x) for x in ASKED)}])[({routing.TURN}) % {len(ASKED)} + 1] AS t FROM conversations WHERE role = 'user')"
+_ANY = lambda words: "(" + " OR ".join(f"contains(t, '{w}')" for w in words) + ")"
+
+
+@query(f"WITH {_ASKED} SELECT qid, {_ANY(rules.FACTUAL)} AS factual, {_ANY(rules.DEPARTMENT_SUFFIXES)} AND {_ANY(rules.DEPARTMENT_WORDS)} AS department FROM a")
+def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ending = F.element_at(F.array(*map(F.lit, ASKED)), (F.col("qid") % len(ASKED) + 1).cast("int"))
+    rows = routing.turns(spark, sf_dir).select("qid", F.concat("text", ending).alias("t"))
+    return rows.select("qid", rules.factual(F.col("t")).alias("factual"), rules.asks_department(F.col("t")).alias("department"))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.functions.text import collapse
-from lodeline.operators import dedup, html, kb
+from lodeline.operators import dedup, html, kb, ordinals
 from lodeline.plans.registry import query
 from lodeline.session import table
 
@@ -121,6 +121,16 @@ def dedup_key_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.keep_last(table(spark, sf_dir, "events").select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
+@query("SELECT doc_id, 'kb_' || (50000 + row_number() OVER (ORDER BY source, doc_id) - 1) AS id FROM documents")
+def sequential_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinals.sequential_ids(table(spark, sf_dir, "documents").select("doc_id", "source"), ["source", "doc_id"], 50_000, "kb_").select("doc_id", "id")
+
+
+@query("SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS place FROM documents")
+def ordinals_within_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinals.within_key(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", ["doc_id"], "place").select("doc_id", "place")
+
+
 @query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY source ORDER BY doc_id) > 1 THEN source || '_' || doc_id ELSE source END AS unique_id FROM documents")
 def duplicate_id_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.suffix_repeats(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", "doc_id").select("doc_id", "unique_id")
@@ -157,3 +167,21 @@ def page_category_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").withColumn("title", F.regexp_extract("html", "(?is)<title[^>]*>(.*?)</title>", 1))
     specs = spark.createDataFrame(SPECS, "category string, ord int, keywords array<string>, priority int")
     return kb.page_scores(pages, specs, "page_id", "url", "title", F.lit(None).cast("string"), "html")
+
+
+@query("""WITH p AS (SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'https://eng.example.org/' WHEN 1 THEN 'https://www.example.org/' END || page_id AS url, CASE page_id % 5 WHEN 0 THEN '공과대학 | 학과 ' WHEN 1 THEN ' 공과대학|학과 ' WHEN 2 THEN '공과대학|학과 2026 ' ELSE '' END || substr(html, 1, 200) AS c FROM pages)
+SELECT page_id FROM p WHERE NOT coalesce(contains(url, 'eng.example.org') AND regexp_matches(c, '^공과대학\\s*\\|\\s*학과') AND NOT (""" + " OR ".join(f"contains(c, '{w}')" for w in kb.NEWS) + "), false)")
+def navigation_pages_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = lambda n: F.col("page_id") % n
+    url = F.concat(F.when(at(3) == 0, "https://eng.example.org/").when(at(3) == 1, "https://www.example.org/"), F.col("page_id").cast("string"))
+    start = F.when(at(5) == 0, "공과대학 | 학과 ").when(at(5) == 1, " 공과대학|학과 ").when(at(5) == 2, "공과대학|학과 2026 ").otherwise("")
+    rows = table(spark, sf_dir, "pages").select("page_id", url.alias("url"), F.concat(start, F.substring("html", 1, 200)).alias("c"))
+    return rows.where(~kb.navigation_only(F.col("url"), F.col("c"), "eng.example.org")).select("page_id")
+
+
+@query("""WITH d AS (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'graduation' WHEN 1 THEN 'notice' END AS name FROM documents WHERE doc_id % 5 > 0) SELECT doc_id, 'dropped' AS rule, name AS category FROM d WHERE name IS NOT NULL UNION ALL SELECT doc_id, 'default', coalesce(CASE WHEN doc_id % 5 > 0 THEN CASE doc_id % 4 WHEN 0 THEN 'graduation' WHEN 1 THEN 'notice' END END, 'general') FROM documents""")
+def category_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 4).cast("int").alias("category_id"))
+    names = {0: "graduation", 1: "notice"}
+    told = lambda rule, default: kb.mapped_category(docs, names, default).select("doc_id", F.lit(rule).alias("rule"), "category")
+    return told("dropped", None).unionByName(told("default", "general"))

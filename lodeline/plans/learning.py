@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.operators import classify
 from lodeline.plans.registry import query
-from lodeline.session import spread, table
+from lodeline.session import checkpointed, spread, table
 
 _FLAT = "replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' ', '')"
 
@@ -71,8 +71,28 @@ def soft_voting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify.soft_vote(rows, "user_id", "probs")
 
 
+_WB = f"""t AS (SELECT conv_id * 1000 + turn AS tid, text FROM conversations), w AS (SELECT tid, ' ' || unnest(list_filter(string_split(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), ' '), lambda x: x <> '')) || ' ' AS w FROM t),
+g AS ({" UNION ALL ".join(f"SELECT tid, unnest(list_transform(generate_series(1, length(w) - {n - 1}), lambda i: substr(w, i, {n}))) AS gram FROM w" for n in (2, 3, 4, 5))}),
+c AS (SELECT tid, gram, count(*) AS n FROM g GROUP BY ALL), df AS (SELECT gram, count(*) AS df FROM c GROUP BY gram), idf AS (SELECT gram, df, ln((1.0 + (SELECT count(*) FROM t)) / (1.0 + df)) + 1.0 AS idf FROM df)"""
+
+
+@query(f"WITH {_WB}, r AS (SELECT tid, gram, (1.0 + ln(n)) * idf AS raw FROM c JOIN idf USING (gram)), s AS (SELECT tid, sqrt(sum(raw * raw)) AS size FROM r GROUP BY tid) SELECT tid, gram, round(raw / size, 9) AS weight FROM r JOIN s USING (tid)")
+def bounded_gram_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("tid"), "text")
+    counts = checkpointed(classify.bounded_counts(spread(turns), "tid", "text"))
+    return classify.gram_weights(counts, classify.inverse_frequencies(counts, turns.count()), "tid").select("tid", "gram", F.round("weight", 9).alias("weight"))
+
+
 @query()
 def tfidf_logreg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").withColumn("label", F.col("quality").cast("double"))
-    model = classify.text_pipeline(rows.select("doc_id", "text", "label"), "label", "text", 1 << 14, rounds=20)
-    return classify.text_predict(model, rows.select("doc_id", "text"), "text").select("doc_id", "prediction")
+    """The labelled documents' quality by a model of the whole labelled text; the optimum of a regression isn't SQL's."""
+    rows = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").cast("double").alias("label")), "doc_id")
+    rows = checkpointed(rows.select("doc_id", "text", "label"))
+    model = classify.text_pipeline(rows, "label", "doc_id", "text", rounds=50, vocabulary=1 << 16)
+    return classify.text_predict(model, rows.select("doc_id", "text"), "doc_id", "text").select("doc_id", "prediction")
+
+
+@query("""WITH n AS (SELECT source, count(*) AS n FROM documents GROUP BY source) SELECT n.source, n.n::BIGINT AS own, (max(n) OVER () - n.n)::BIGINT AS made FROM n""")
+def augmented_class_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grown = classify.augment(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "source", "doc_id", "text")
+    return grown.groupBy("source").agg(F.count(F.when(F.col("copy") == 0, 1)).alias("own"), F.count(F.when(F.col("copy") > 0, 1)).alias("made"))

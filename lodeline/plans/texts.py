@@ -155,3 +155,18 @@ def json_question_flatten(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = rows.select("conv_id", "turn", F.to_json(F.struct(F.when(F.col("turn") % 2 == 0, F.col("text")).alias("user"), F.when(F.col("turn") % 2 == 1, F.col("text")).alias("query"))).alias("j"))
     parsed = packed.select("conv_id", "turn", F.from_json("j", "question string, user string, text string, query string, input string, utterance string").alias("x")).select("conv_id", "turn", "x.*")
     return flat_questions(parsed, ["conv_id", "turn"])
+
+
+@query("""WITH w AS (SELECT conv_id, list_distinct(regexp_extract_all(text, '[A-Za-z]{7,}')) AS ks, text AS t FROM conversations WHERE turn = 0), o AS (SELECT conv_id, list_filter(regexp_extract_all(t, '[A-Za-z]{7,}'), lambda k: length(trim(substr(t, greatest(instr(t, k) - 30, 1), instr(t, k) + 300 - greatest(instr(t, k) - 30, 1)), ' ' || chr(10))) > 50)[1] AS k, t FROM w)
+SELECT conv_id, CASE WHEN k IS NOT NULL THEN trim(substr(t, greatest(instr(t, k) - 30, 1), instr(t, k) + 300 - greatest(instr(t, k) - 30, 1)), ' ' || chr(10)) END AS snippet FROM o""")
+def first_keyword_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").where("turn = 0")
+    return rows.select("conv_id", text.first_window(F.col("text"), F.regexp_extract_all("text", F.lit("[A-Za-z]{7,}"), F.lit(0))).alias("snippet"))
+
+
+@query("""WITH s AS (SELECT conv_id, min(turn) AS turn, substr(text, 1, 12) AS k, arg_min(text, turn) AS t FROM conversations GROUP BY conv_id, substr(text, 1, 12)), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM s)
+SELECT conv_id, string_agg(t, chr(10) || chr(10) ORDER BY n) AS joined FROM r WHERE n <= 3 GROUP BY conv_id""")
+def snippets_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(held.alias("s"))
+    return rows.select("conv_id", F.array_join(text.unique_snippets(F.col("s"), 12), "\n\n").alias("joined"))

@@ -110,7 +110,7 @@ def test_notice_report(spark):
 
 def test_post_processing(spark):
     rows = spark.createDataFrame([("안녕하세요! 졸업에는 학점이 많이 필요하니 꼭 확인하시기 바랍니다", "0"), ("짧다", "1"), ("짧다", "9")], "t string, c string")
-    found = [r.x for r in rows.select(output.post_processed(F.col("t"), F.col("c"), {"1": "fallback"}, "other", required={"0": ("130학점", "130학점이 필요합니다. ")}).alias("x")).collect()]
+    found = [r.x for r in rows.select(output.post_processed(F.col("t"), F.col("c"), {"1": "fallback"}, "other", shown={"0": output.Shown(required=("130학점", "130학점이 필요합니다. "))}).alias("x")).collect()]
     assert found == ["130학점이 필요합니다. 졸업에는 학점이 많이 필요하니 꼭 확인하시기 바랍니다", "fallback", "other"]
     general = spark.createDataFrame([("답변입니다",), ("only english words in this text",), ("",)], "t string").select(output.post_processed_general(F.col("t"), F.lit(False), "bad", "none", "!").alias("x"))
     assert [r.x for r in general.collect()] == ["답변입니다!", "bad", "none"]
@@ -162,8 +162,8 @@ def test_embedding_and_classifier(spark):
     assert [sum(r.embedding) for r in vectors] == [3.0, 2.0, 4.0]
     grown = classify.augment(docs, "label", "id", "t")
     assert {r.label: r["count"] for r in grown.groupBy("label").count().collect()}[1.0] == 2
-    model = classify.text_pipeline(docs, "label", "t", 256, rounds=5)
-    assert classify.text_predict(model, docs, "t").count() == 3
+    model = classify.text_pipeline(docs, "label", "id", "t", rounds=5)
+    assert classify.text_predict(model, docs, "id", "t").count() == 3
 
 
 def test_write_json_to_any_folder(spark, tmp_path):
@@ -196,7 +196,7 @@ def test_registered_functions(spark):
 
 def test_grid_search_and_ensemble(spark):
     rows = spark.createDataFrame([(i, "aa bb" if i % 2 else "cc dd", float(i % 2)) for i in range(40)], "id int, t string, label double")
-    best, scores = classify.grid_search(rows, "label", "id", "t", [1.0, 4.0], held_out=0.4, buckets=256, rounds=5)
+    best, scores = classify.grid_search(rows, "label", "id", "t", [1.0, 4.0], held_out=0.4, rounds=5)
     assert best in scores and max(scores.values()) == 1.0
-    said = {r.id: r.label for r in classify.ensemble(rows, rows.select("id", "t"), "label", "id", "t", (1, 2), buckets=256, rounds=5).collect()}
+    said = {r.id: r.label for r in classify.ensemble(rows, rows.select("id", "t"), "label", "id", "t", (1, 2), rounds=5).collect()}
     assert all(said[i] == i % 2 for i in range(40))
