@@ -60,25 +60,49 @@ def host(url: Column) -> Column:
     return F.regexp_extract(url, r"^https?://([^/]+)", 1)
 
 
-def resolve(href: Column, base: Column) -> Column:
-    """An absolute address without fragment and trailing slashes: as it is, by the base's scheme, by its host, or beside its last path part."""
-    scheme = F.regexp_extract(base, "^(https?):", 1)
-    root = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_extract(F.regexp_replace(base, "[?#].*$", ""), r"^(https?://[^/]+(?:/.*)?/)[^/]*$", 1)
-    folder = F.when(folder == "", F.concat(root, F.lit("/"))).otherwise(folder)
-    page = F.regexp_replace(base, "[?#].*$", "")
-    full = (
-        F.when(href.rlike("(?i)^https?://"), href)
-        .when(href.startswith("//"), F.concat(scheme, F.lit(":"), href))
-        .when(href.startswith("/"), F.concat(root, href))
-        .when(href.startswith("?"), F.concat(page, href))
-        .when(href.startswith("#") | (href == ""), page)
-        .otherwise(F.concat(folder, href))
+def without_dots(path: Column) -> Column:
+    """A path without dot segments, however many: its segments are folded over a stack from which each ``..`` takes the last."""
+    parts = F.split(path, "/")
+    start = F.struct(F.array().cast("array<string>").alias("kept"), F.lit(False).alias("folder"))
+
+    def step(state: Column, part: Column) -> Column:
+        # the empty segment ahead of the first slash stays
+        shorter = F.when(F.size(state["kept"]) > 1, F.slice(state["kept"], F.lit(1), F.size(state["kept"]) - 1)).otherwise(state["kept"])
+        kept = F.when(part == "..", shorter).when(part == ".", state["kept"]).otherwise(F.concat(state["kept"], F.array(part)))
+        return F.struct(kept.alias("kept"), part.isin("..", ".").alias("folder"))
+
+    # a path that ends in dots is a folder
+    joined = lambda state: F.array_join(F.when(state["folder"], F.concat(state["kept"], F.array(F.lit("")))).otherwise(state["kept"]), "/")
+    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), F.aggregate(parts, start, step, joined)).otherwise(path)
+
+
+#: The parts of an address: scheme, authority, path, query and fragment (the standard's expression for them).
+PARTS = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
+
+
+def resolved(href: Column, base: Column) -> Column:
+    """The address that a reference means on a page, by the rules of the standard: scheme, authority, path, query and fragment in turn."""
+    part = lambda address, i: F.regexp_extract(address, PARTS, i)
+    has_host = lambda address: address.rlike("^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//")
+    scheme, path, query, fragment = part(href, 1), part(href, 3), part(href, 4), part(href, 5)
+    own_scheme, own_host, own_path, own_query = (part(base, i) for i in (1, 2, 3, 4))
+    root = F.concat(own_scheme, F.lit("://"), own_host)
+    folder = F.when((own_path == ""), F.lit("/")).otherwise(F.regexp_replace(own_path, "[^/]*$", ""))
+    beside = F.concat(root, without_dots(F.concat(folder, path)), query, fragment)
+    with_host = F.concat(F.lit("//"), part(href, 2), without_dots(path), query, fragment)
+    return (
+        F.when((scheme != "") & has_host(href), F.concat(scheme, F.lit(":"), with_host))
+        .when(scheme != "", F.concat(scheme, F.lit(":"), without_dots(path), query, fragment))
+        .when(has_host(href), F.concat(own_scheme, F.lit(":"), with_host))
+        .when(path == "", F.concat(root, own_path, F.when(query != "", query).otherwise(own_query), fragment))
+        .when(path.startswith("/"), F.concat(root, without_dots(path), query, fragment))
+        .otherwise(beside)
     )
-    # dot segments are folded a few times; deeper ones stay as they are
-    for _ in range(4):
-        full = F.regexp_replace(full, r"(?<!/)/(?!\.\.(?:/|$))[^/?#]+/\.\.(?=/|$)", "")
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(full, r"/\.(?=/)", ""), "#.*$", ""), "/+$", "")
+
+
+def resolve(href: Column, base: Column) -> Column:
+    """resolved() without fragment and trailing slashes."""
+    return F.regexp_replace(F.regexp_replace(resolved(href, base), "#.*$", ""), "/+$", "")
 
 
 def links(pages: DataFrame, url: str, html: str, scope: str = "", excluded: Sequence[str] = ("login",), keep: Sequence[str] = ()) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window, functions as F
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import any_in, collapse, lines_without, strip, without
@@ -141,8 +141,25 @@ def layered(layers: Sequence[DataFrame], key: str = "id") -> DataFrame:
     rows = layers[0]
     for layer in layers[1:]:
         rows = rows.unionByName(layer, allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.col("layer_rank").desc(), F.col("ord").desc())
-    return rows.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+    # each task keeps its best row of an id before anything is shuffled
+    best = F.max_by(F.struct(*rows.columns), F.struct("layer_rank", "ord")).alias("r")
+    return rows.groupBy(F.col(key).alias("__key")).agg(best).select("r.*")
+
+
+def run_report(rows: DataFrame, by: str, names: Sequence[str], write: Callable[[DataFrame], object]) -> DataFrame:
+    """Write rows, and report (by, n, n_chars) for each of some values of a column, and in the end for all rows (null).
+
+    The counts are observed as the rows pass on their way to be written: neither
+    they nor what was written is read again for it. ``write`` runs one action.
+    """
+    seen = Observation()
+    chars = F.coalesce(F.length("content"), F.lit(0)).cast("bigint")
+    kinds = [*names, None]
+    own = [F.lit(True) if name is None else F.col(by).eqNullSafe(F.lit(name)) for name in kinds]
+    metrics = [m for i, c in enumerate(own) for m in (F.count(F.when(c, 1)).alias(f"n{i}"), F.coalesce(F.sum(F.when(c, chars)), F.lit(0)).cast("bigint").alias(f"c{i}"))]
+    write(rows.observe(seen, *metrics))
+    held = seen.get
+    return rows.sparkSession.createDataFrame([(name, held[f"n{i}"], held[f"c{i}"]) for i, name in enumerate(kinds)], f"{by} string, n bigint, n_chars bigint")
 
 
 def merged(existing: DataFrame, fresh: DataFrame, key: str, order: str) -> DataFrame:

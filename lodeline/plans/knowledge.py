@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodeline.functions.text import collapse
 from lodeline.operators import dedup, html, kb, ordinals
 from lodeline.plans.registry import query
-from lodeline.session import table
+from lodeline.session import scratch, table
+from lodeline.sources.documents import Versions
 
 KEYWORDS = {"en": ["worthless", "token", "thinner"], "fr": ["dans", "avec"], "de": ["nicht", "auf"], "es": []}
 DENSITY = r"[#$%&*]{3}|!!"
@@ -97,6 +98,12 @@ def host_blocklist_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kb.blocked_hosts(pages, blocked, "cat", "url").select("page_id", F.col("cat").cast("bigint").alias("cat"), html.host(F.col("url")).alias("host"))
 
 
+@query(f"WITH {_DOCS}, u AS ({_STATIC} UNION ALL {_LEGACY} UNION ALL {_CURATED} UNION ALL {_REAL}), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY layer_rank DESC, ord DESC) AS n FROM u), k AS (SELECT * FROM r WHERE n = 1) SELECT l.layer, count(k.id)::BIGINT AS n, coalesce(sum(length(k.content)), 0)::BIGINT AS n_chars FROM (SELECT unnest(['static', 'legacy', 'curated', 'realtime', 'none']) AS layer) l LEFT JOIN k USING (layer) GROUP BY l.layer UNION ALL SELECT NULL, count(*)::BIGINT, coalesce(sum(length(content)), 0)::BIGINT FROM k")
+def rebuild_run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scratch(spark) as path:
+        return kb.run_report(kb.layered(_layers(spark, sf_dir)), "layer", ["static", "legacy", "curated", "realtime", "none"], Versions(spark, path).write)
+
+
 @query("SELECT page_id, url FROM pages WHERE ends_with(regexp_extract(url, '^https?://([^/]+)', 1), 'example.org') AND NOT contains(url, 'login') AND NOT contains(url, 'utm_source') AND NOT regexp_matches(regexp_replace(url, '[?#].*$', ''), '(?i)\\.(jpg|png|pdf)$')")
 def url_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").where(html.valid_url(F.col("url"), "example.org", ("login", "utm_source"), r"(?i)\.(jpg|png|pdf)$")).select("page_id", "url")

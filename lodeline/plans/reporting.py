@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodeline.functions.text import snippet
 from lodeline.operators import reports
 from lodeline.plans.registry import query
-from lodeline.session import checkpointed, spread, table
+from lodeline.session import checkpointed, scratch, spread, table
 
 TYPES = ("click", "error", "purchase", "signup", "view")
 
@@ -80,23 +80,31 @@ def stream_watermark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     schema = table(spark, sf_dir, "events").schema
     stream = updates.event_time(updates.files(spark, sf_dir, schema, names="events.parquet"))
-    counted = updates.windowed_counts(stream, "ts", ["event_type"], late="60 days")
-    held = updates.run_available(counted, f"counts_{abs(hash(sf_dir)) % 10**8}")
-    return held.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n")
+    with scratch(spark) as root:
+        updates.counted(updates.windowed_counts(stream, "ts", ["event_type"], late="60 days"), f"{root}/counts", f"{root}/progress").awaitTermination()
+        held = updates.counts_so_far(spark, f"{root}/counts", f"{root}/progress", ["event_type"])
+        return checkpointed(held.select("event_type", F.date_format("window_start", "yyyy-MM-dd").alias("day"), "n"))
+
+
+@query("""WITH a AS (SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role <> 'user'), p AS (SELECT id, unnest(generate_series(0, ceil(length(text) / 500.0)::INT)) AS ord, text, ceil(length(text) / 500.0)::INT AS n FROM a)
+SELECT id, ord::INT AS ord, CASE WHEN ord < n THEN substr(text, ord * 500 + 1, 500) ELSE '' END AS token, ord = n AS done FROM p""")
+def stream_pieces_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lodeline.streaming import sink, updates
+
+    stream = updates.files(spark, sf_dir, table(spark, sf_dir, "conversations").schema, names="conversations.parquet").where("role <> 'user'")
+    rows = updates.pieces(stream.select(F.expr("conv_id * 1000 + turn").alias("id"), "text"), "id", "text", 500)
+    with scratch(spark) as root:
+        sink.send(rows, f"{root}/sent", f"{root}/progress").awaitTermination()
+        return checkpointed(sink.sent(spark, f"{root}/sent", "id bigint, ord int, token string, done boolean").select("id", "ord", "token", "done"))
 
 
 @query("SELECT user_id, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY user_id")
 def stream_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
-    from lodeline.session import shared_folder
     from lodeline.sources.documents import Versions
     from lodeline.streaming import updates
 
-    root = f"{shared_folder(spark)}/upsert-{uuid.uuid4().hex}"
-    store = Versions(spark, f"{root}/store")
-    stream = updates.files(spark, sf_dir, table(spark, sf_dir, "events").schema, names="events.parquet").select("user_id", "event_id", "event_type", "value")
-    updates.upserts(stream, store, "user_id", "event_id", f"{root}/progress").awaitTermination()
-    return store.current()
-
-
+    with scratch(spark) as root:
+        store = Versions(spark, f"{root}/store")
+        stream = updates.files(spark, sf_dir, table(spark, sf_dir, "events").schema, names="events.parquet").select("user_id", "event_id", "event_type", "value")
+        updates.upserts(stream, store, "user_id", "event_id", f"{root}/progress").awaitTermination()
+        return checkpointed(store.current())

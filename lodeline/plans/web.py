@@ -51,3 +51,12 @@ def bfs_depth_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     node = lambda c: F.concat(F.lit("n"), (c % 200).cast("string"))
     edges = rows.select(node(F.col("o_custkey")).alias("url"), node(F.col("o_orderkey") * 7).alias("link")).distinct()
     return crawl.walk(edges, spark.createDataFrame([("n1",)], "url string"), 3)
+
+
+@query("""WITH p AS (SELECT page_id, (page_id % 9)::INT AS m, (page_id % 13)::INT AS k FROM pages), s AS (SELECT *, list_slice(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], 1, greatest(m - k, 0)) AS kept FROM p)
+SELECT page_id, 'http://h.example/' || array_to_string(kept, '/') || CASE WHEN len(kept) > 0 THEN '/' ELSE '' END || 'x' || page_id || '?q=../' AS address FROM s""")
+def resolved_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, k = F.col("page_id") % 9, F.col("page_id") % 13
+    base = F.concat(F.lit("http://h.example/"), F.array_join(F.transform(F.slice(F.array(*map(F.lit, "abcdefgh")), F.lit(1), m.cast("int")), lambda x: F.concat(x, F.lit("/"))), ""), F.lit("page"))
+    href = F.concat(F.repeat(F.lit("../"), k.cast("int")), F.lit("./x"), F.col("page_id").cast("string"), F.lit("?q=../#part"))
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(html.resolved(href, base), "#.*$", "").alias("address"))

@@ -1,4 +1,4 @@
-"""Structured Streaming: keep a store current, count events, replay answers in pieces."""
+"""Structured Streaming: keep a store current, count events, replay answers in pieces (sent by ``sink``)."""
 
 from __future__ import annotations
 
@@ -60,8 +60,15 @@ def once_a_day(exists: Callable[[str], bool], today: str, crawl: Callable[[str],
     return True
 
 
-def run_available(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """What a streaming aggregation holds after all that is there: the table of a memory sink, for tests."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def counted(stream: DataFrame, path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Write windowed counts to files once their window is closed: all that is there if ``interval`` is None, else for ever at that pace."""
+    writer = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def counts_so_far(spark: SparkSession, path: str, checkpoint: str, keys: list[str]) -> DataFrame:
+    """(window_start, keys, n, closed): the closed windows from counted()'s files, and the open ones from its state, read where it lies."""
+    closed = spark.read.schema(", ".join(["window_start timestamp", *[f"{k} string" for k in keys], "n bigint"])).parquet(path).withColumn("closed", F.lit(True))
+    held = spark.read.format("statestore").load(checkpoint)
+    still = held.select(F.col("key.window.start").alias("window_start"), *[F.col(f"key.{k}").cast("string").alias(k) for k in keys], F.col("value.count").alias("n"), F.lit(False).alias("closed"))
+    return closed.unionByName(still)
