@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodeline.plans import answering, knowledge, learning, reporting, routing, search, texts, web  # noqa: F401 - they register their queries
+from lodeline.plans import answering, knowledge, learning, pages, reporting, routing, search, sourcing, texts, web  # noqa: F401 - they register their queries
 from lodeline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

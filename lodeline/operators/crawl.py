@@ -29,4 +29,4 @@ def walk(edges: DataFrame, seeds: DataFrame, depth: int, limit: int | None = Non
         if frontier.isEmpty():
             break
         visited = checkpointed(visited.unionByName(frontier))
-    return visited.limit(limit) if limit is not None and limit < visited.count() else visited
+    return visited.orderBy("depth", "url").limit(limit) if limit is not None and limit < visited.count() else visited

@@ -35,15 +35,25 @@ def first_existing(spark: SparkSession, paths: Sequence[str], required: bool = T
     return None
 
 
-def documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT) -> DataFrame:
-    """A file or folder of JSON arrays of documents; empty if there is none. ``doc_id`` stands in for a missing ``id``."""
+#: A labelled question, for training or testing; the label may be a number or its text.
+LABELLED = T.StructType([T.StructField(n, T.StringType()) for n in ("question", "label")])
+
+
+def labelled(spark: SparkSession, path: str, labels: Sequence[int]) -> DataFrame:
+    """(question, label) of a file or folder of JSON arrays; a question that is empty or whose label is none of ``labels`` is left out."""
+    rows = spark.read.schema(LABELLED).option("multiLine", True).json(path).select(strip(F.col("question")).alias("question"), F.col("label").try_cast("int").alias("label"))
+    return rows.where((F.col("question") != "") & F.col("label").isin(*labels))
+
+
+def documents(spark: SparkSession, path: str, schema: T.StructType = DOCUMENT, multiline: bool = True) -> DataFrame:
+    """A file or folder of JSON arrays of documents (or one a line); empty if there is none. ``doc_id`` stands in for a missing ``id``."""
     if not exists(spark, path):
         return spark.createDataFrame([], schema)
     wide = T.StructType([*schema.fields, T.StructField("doc_id", T.StringType())])
-    return spark.read.schema(wide).option("multiLine", True).json(path).withColumn("id", F.coalesce("id", "doc_id")).drop("doc_id")
+    return spark.read.schema(wide).option("multiLine", multiline).json(path).withColumn("id", F.coalesce("id", "doc_id")).drop("doc_id")
 
 
-#: Keys of containers and of texts in a list of questions, in the order in which they are tried.
+#: Keys of containers and of texts in a list of questions, in the order in which they are tried.
 CONTAINERS = ("data", "questions", "items", "test", "examples")
 TEXTS = ("question", "user", "text", "query", "input", "utterance")
 
