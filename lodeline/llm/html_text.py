@@ -2,8 +2,10 @@
 
 Tags build a tree: void elements never open, elements whose end tag may be left
 out are closed by what follows, and stray end tags close only what is open.
-Elements that don't show (by kind, ``hidden``, ``aria-hidden`` or an inline
-style) give nothing. The tree is then rendered: runs of white space become one
+Elements that don't show (by kind, ``hidden``, an inline style, a simple rule of
+the page's own style sheets, or as the inside of closed details) give nothing;
+what is invisible keeps its place, and what is visible within it shows. Of a
+drop-down list the chosen option shows. The tree is then rendered: runs of white space become one
 space except in preformatted text, blocks stand on lines of their own,
 paragraphs and headings keep a blank line between them, list items get their
 bullets or numbers and their depth, and table cells are padded to columns.
@@ -25,7 +27,7 @@ from lodeline.llm.arrow import by_text
 #: Fixed values, as HTML has them: elements without content, with raw text, that aren't shown, and blocks with and without margins.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg math datalist title textarea select option".split())
+UNSEEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas math datalist title desc metadata".split())
 MARGIN = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table figure hr fieldset".split())
 BLOCK = MARGIN | frozenset("html body div section article aside header footer main nav address form li dt dd tr caption thead tbody tfoot details summary figcaption legend center hgroup search menu dir".split())
 #: An opening tag first closes these open elements, up to the given boundaries.
@@ -47,9 +49,16 @@ UNBOUND = frozenset("table tr tbody thead tfoot html body".split())
 #: Levels by which a list's items are moved in, at most; deeper ones stand as far in as this.
 INDENTED = 50
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.DOTALL)
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
-_HIDES = re.compile(r"(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.IGNORECASE)
+#: An attribute: any name, and a value up to its quote or, without one, to white space or the tag's end, whatever quotes are in it.
+_VALUE = r"\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>\"'][^\s>]*))"
+_ATTRIBUTE = re.compile(rf"([^\s/>][^\s/>=]*)(?:{_VALUE})?")
+_ATTRIBUTES = rf"(?:[\s/]+|[^\s/>][^\s/>=]*(?:{re.sub(r'[(](?![?])', '(?:', _VALUE)})?)*+"
+_TAG = re.compile(rf"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][^\s/>]*)({_ATTRIBUTES})(?:>|\Z)", re.DOTALL)
+_GONE = re.compile(r"display\s*:\s*none", re.IGNORECASE)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(hidden|collapse|visible)", re.IGNORECASE)
+#: A rule of a style sheet; rules within others, as of media, are left alone.
+_RULE = re.compile(r"([^{}]*)\{([^{}]*)\}")
+_SIMPLE = re.compile(r"([A-Za-z][\w-]*)?((?:[.#][\w-]+)*)\Z")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -61,6 +70,7 @@ class Node:
     attributes: dict[str, str] = field(default_factory=dict)
     children: list = field(default_factory=list)
     seen: bool = True
+    shown: bool = True
 
 
 def _attributes(source: str) -> dict[str, str]:
@@ -70,8 +80,37 @@ def _attributes(source: str) -> dict[str, str]:
     return out
 
 
+def _hiding(sheets: list[str]) -> list[tuple[str, frozenset[str], str]]:
+    """(tag, classes, id) of the simple selectors by which style sheets leave elements out."""
+    out = []
+    for sheet in sheets:
+        flat = re.sub(r"/\*.*?(?:\*/|\Z)", "", sheet, flags=re.DOTALL)
+        # what stands inside a rule in braces of its own is no rule of the page's
+        flat = re.sub(r"@[^{};]*\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}", "", flat)
+        for selectors, body in _RULE.findall(flat):
+            if _GONE.search(body):
+                for selector in selectors.split(","):
+                    if (m := _SIMPLE.match(selector.strip())) and m[0]:
+                        ids = re.findall(r"#([\w-]+)", m[2])
+                        if len(ids) < 2:
+                            out.append(((m[1] or "").lower(), frozenset(re.findall(r"\.([\w-]+)", m[2])), ids[0] if ids else ""))
+    return out
+
+
+def _leave_out(root: Node, rules: list[tuple[str, frozenset[str], str]]) -> None:
+    stack = [root]
+    while stack:
+        now = stack.pop()
+        held = frozenset(now.attributes.get("class", "").split())
+        if any((not tag or tag == now.tag) and classes <= held and (not own or own == now.attributes.get("id")) for tag, classes, own in rules):
+            now.seen = False
+        stack.extend(c for c in now.children if isinstance(c, Node))
+
+
 def parse(source: str) -> Node:
     """The tree of a page; anything parses, and nothing but comments and tags is lost."""
+    source = source.replace("\r\n", "\n").replace("\r", "\n")
+    sheets: list[str] = []
     root = Node("#root")
     stack = [root]
     places: dict[str, list[int]] = {}  # where in the stack each kind of element is open, so that no tag walks the stack
@@ -130,20 +169,27 @@ def parse(source: str) -> Node:
         if stack[-1].tag == "head" and tag not in ("meta", "title", "link", "style", "script", "base", "template", "noscript"):
             cut(len(stack) - 1)
         for implied in IMPLIES.get(tag, {}).get(stack[-1].tag, ()):
-            stack[-1].children.append(Node(implied))
+            stack[-1].children.append(Node(implied, shown=stack[-1].shown))
             push(stack[-1].children[-1])
         attributes = _attributes(m[3]) if m[3] and not m[3].isspace() else {}
         node = Node(tag, attributes)
-        node.seen = tag not in UNSEEN and not ("hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or _HIDES.search(attributes.get("style", "")) or (tag == "input"))
+        style = attributes.get("style", "")
+        node.seen = tag not in UNSEEN and not ("hidden" in attributes or _GONE.search(style) or tag == "input")
+        visible = _VISIBILITY.search(style)
+        node.shown = visible[1].lower() == "visible" if visible else stack[-1].shown
         stack[-1].children.append(node)
         if tag in RAW and not m[3].rstrip().endswith("/"):
             end = re.compile(f"</{tag}(?=[\\s/>])|\\Z", re.IGNORECASE).search(source, at)
+            if tag == "style":
+                sheets.append(source[at : end.start()])
             node.children.append(source[at : end.start()] if tag not in ("title", "textarea") else html.unescape(source[at : end.start()]))
             close = source.find(">", end.end())
             at = len(source) if close < 0 else close + 1
         elif tag not in VOID:
             push(node)
     add(source[at:])
+    if rules := _hiding(sheets):
+        _leave_out(root, rules)
     return root
 
 
@@ -162,8 +208,11 @@ class Writer:
             parts = value.split("\n")
             for i, part in enumerate(parts):
                 if i:
-                    self._end()
-                    self.margin = max(self.margin, 0)
+                    # a line that is empty is a line
+                    if self.line:
+                        self._end()
+                    elif self.lines:
+                        self.margin += 1
                 if part:
                     self._put(part)
             return
@@ -239,7 +288,37 @@ def _loose(table: Node) -> list[list]:
 
 
 def _number(value: str, least: int, most: int) -> int:
-    return min(max(int(value), least), most) if value.isdigit() else least
+    return min(max(int(value), least), most) if value.isascii() and value.isdigit() else least
+
+
+def _signed(value: str | None, other: int) -> int:
+    """A whole number of an attribute, of at most nine digits."""
+    return int(value) if value and re.fullmatch(r"\s*-?[0-9]{1,9}\s*", value, re.ASCII) else other
+
+
+def _options(node: Node) -> list[Node]:
+    """The options of a list that show: all if it is open, else the last that is selected or the first."""
+    found, stack = [], [node]
+    while stack:
+        now = stack.pop()
+        if now.tag == "option":
+            found.append(now)
+        stack.extend(c for c in reversed(now.children) if isinstance(c, Node) and c.seen)
+    if "multiple" in node.attributes or _number(node.attributes.get("size", ""), 1, 1000) > 1:
+        return found
+    return ([o for o in found if "selected" in o.attributes] or found[:1])[-1:]
+
+
+def _drawn(node: Node) -> list[Node]:
+    """The texts of a drawing."""
+    found, stack = [], [node]
+    while stack:
+        now = stack.pop()
+        if now.tag in ("text", "foreignobject"):
+            found.append(now)
+        else:
+            stack.extend(c for c in reversed(now.children) if isinstance(c, Node) and c.seen)
+    return found
 
 
 def _table(node: Node) -> Generator:
@@ -260,6 +339,9 @@ def _table(node: Node) -> Generator:
             for c in range(column, column + span):
                 held[c] = down - 1
             column += span
+        for c, left in held.items():
+            if c >= column and left:
+                held[c] = left - 1
         grid.append(out)
     widths: dict[int, int] = {}
     for out in grid:
@@ -300,10 +382,17 @@ def _rendered(node: Node) -> Generator:
 
 
 def _render(node: Node, out: Writer, pre: bool, lists: int) -> Generator:
-    number = _number(node.attributes.get("start", "1"), 0, 10**9)
-    for child in node.children:
+    down = node.tag == "ol" and "reversed" in node.attributes
+    number = _signed(node.attributes.get("start"), sum(1 for c in node.children if isinstance(c, Node) and c.tag == "li" and c.seen) if down else 1)
+    children = node.children
+    if node.tag == "pre" and children and isinstance(children[0], str) and children[0].startswith("\n"):
+        children = [children[0][1:], *children[1:]]
+    if node.tag == "details" and "open" not in node.attributes:
+        children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
+    for child in children:
         if isinstance(child, str):
-            out.text(child, pre)
+            if node.shown:
+                out.text(child, pre)
             continue
         if not child.seen:
             continue
@@ -312,7 +401,7 @@ def _render(node: Node, out: Writer, pre: bool, lists: int) -> Generator:
             out.broken()
             continue
         if tag == "img":
-            if child.attributes.get("alt", "").strip():
+            if child.shown and child.attributes.get("alt", "").strip():
                 out.text(child.attributes["alt"], False)
             continue
         margin = 1 if tag in MARGIN and not (lists and tag in ("ul", "ol")) else 0
@@ -328,8 +417,9 @@ def _render(node: Node, out: Writer, pre: bool, lists: int) -> Generator:
                 out.block(0)
                 out._put(line)
         elif tag == "li":
+            number = _signed(child.attributes.get("value"), number) if node.tag == "ol" else number
             bullet = f"{number}. " if node.tag == "ol" else "* "
-            number += 1
+            number += -1 if down else 1
             out.lead = "  " * min(max(lists - 1, 0), INDENTED) + bullet
             yield _render(child, out, pre, lists)
             out.lead = ""
@@ -339,10 +429,15 @@ def _render(node: Node, out: Writer, pre: bool, lists: int) -> Generator:
             out.space = True
             yield _render(child, out, pre, lists)
             out.space = True
+        elif tag in ("select", "svg"):
+            for part in _options(child) if tag == "select" else _drawn(child):
+                out.space = out.space or bool(out.line)
+                yield _render(part, out, False, lists)
+                out.space = bool(out.line)
         else:
             if tag == "dd":
                 out.lead = "  "
-            yield _render(child, out, pre or tag == "pre", lists)
+            yield _render(child, out, pre or tag in ("pre", "textarea"), lists)
         if tag in BLOCK:
             out.block(margin)
 

@@ -35,7 +35,7 @@ def test_all_visible_text_of_a_table(page, lines):
 class Plain(HTMLParser):
     """Visible words in order, and of each table its rows of cell texts, read with the standard library."""
 
-    UNSEEN = {"head", "script", "style", "template", "noscript", "iframe", "object", "audio", "video", "canvas", "svg", "math", "title", "textarea", "select"}
+    UNSEEN = {"head", "script", "style", "template", "noscript", "iframe", "object", "audio", "video", "canvas", "math", "title"}
     VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
     def __init__(self):
@@ -46,7 +46,7 @@ class Plain(HTMLParser):
         if tag in self.VOID:
             return
         held = dict(attrs)
-        hidden = tag in self.UNSEEN or "hidden" in held or held.get("aria-hidden") == "true" or "none" in (held.get("style") or "") or "hidden" in (held.get("style") or "")
+        hidden = tag in self.UNSEEN or "hidden" in held or "none" in (held.get("style") or "") or "hidden" in (held.get("style") or "")
         self.stack.append((tag, hidden))
         if not any(h for _, h in self.stack):
             if tag == "tr":
@@ -126,3 +126,46 @@ def test_rows_that_repeat_and_empty_tables(spark):
     found = sorted((r.page_id or 0, (r.text or "-")[:1], r.n_lines) for r in html_text.extracted(pages).collect())
     assert found == [(0, "a", 1), (1, "a", 1), (1, "a", 1), (2, "-", 0), (3, "-", 0), (4, "w", 399_999)]
     assert html_text.extracted(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # an attribute's value ends where HTML ends it
+        ("<p title=it's>Hello</p> <p>we don't</p><p>end</p>", "Hello\n\nwe don't\n\nend"),
+        ('<p class="a"">Lost text</p>', "Lost text"),
+        ("<p a=\"1\"b='2'c=3 d>t</p>", "t"),
+        ("<a href=/x/y/>z</a><b x=>y</b><i =a>w</i>", "zyw"),
+        ('<p a="x>y</p>', ""),
+        # rows and lines
+        ("<table><tr><td>a<td rowspan=2>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd  e"),
+        ("<pre>\na\n\nb\n\n\nc</pre>", "a\n\nb\n\n\nc"),
+        ("<p>x<pre>one\r\n\r\n  two</pre>y", "x\n\none\n\n  two\n\ny"),
+        ("<ol reversed><li>a<li>b</ol>", "2. a\n1. b"),
+        ("<ol start=5><li>a<li value=9>b<li>c</ol>", "5. a\n9. b\n10. c"),
+        ("<ol start=-1><li>a<li>b</ol>", "-1. a\n0. b"),
+        # what shows and what doesn't
+        ("<span aria-hidden=true>seen</span>", "seen"),
+        ("<textarea>\nq  r</textarea>", "q  r"),
+        ("<select><option>a<option selected>b</select> c", "b c"),
+        ("<select><option>a<option>b</select>", "a"),
+        ("<select multiple><option>a<option>b</select>", "a b"),
+        ("<svg><title>t</title><text>in</text><path/></svg>", "in"),
+        ("<p style='visibility:hidden'>no <b style='visibility: visible'>yes</b> no</p>", "yes"),
+        ("<style>.ad, p#x {display:none} /* .m {display:none} */ @media print {.m{display:none}}</style><p class='ad b'>no</p><p id=x>no</p><p class=m>m</p><div id=x>d</div>", "m\n\nd"),
+        ("<details><summary>s</summary>body</details><details open><summary>s2</summary>body2</details>", "s\ns2\nbody2"),
+    ],
+)
+def test_quotes_lines_and_visibility(page, text):
+    assert extract(page) == text
+
+
+@pytest.mark.parametrize("part", ["<p a", "<p a=b'", "<p a=' ", '<p "', "<p a=b c ", "<style>a{"])
+def test_broken_tags_take_linear_time(part):
+    def took(n):
+        start = time.process_time()
+        html_text.extract(part * n)
+        return time.process_time() - start
+
+    took(100)
+    assert took(40_000) < 12 * max(took(10_000), 0.05)
