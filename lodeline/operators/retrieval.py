@@ -24,23 +24,29 @@ DECIMALS = 6
 
 @dataclass
 class Index:
-    """An inverted index: documents with their length, and postings; both by category."""
+    """The tokens of documents: held (category, id, terms) has them in order."""
 
-    stats: DataFrame
-    postings: DataFrame
+    held: DataFrame
+
+    @property
+    def stats(self) -> DataFrame:
+        """(category, id, dl): how many tokens each document has."""
+        return self.held.select("category", "id", F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("dl"))
+
+    def postings(self, terms: DataFrame) -> DataFrame:
+        """(category, term, id, tf) for some terms (term) alone: others are left out before anything is shuffled."""
+        rows = self.held.select("category", "id", F.explode("terms").alias("term")).join(terms, "term", "left_semi")
+        return rows.groupBy("category", "term", "id").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def index(docs: DataFrame, id_col: str, text_col: str, category: str, word: str = WORD, least: int = 2) -> Index:
-    """stats (category, id, dl) and postings (category, term, id, tf) of the tokens of each document."""
-    held = docs.select(F.col(category).alias("category"), F.col(id_col).alias("id"), tokens(F.col(text_col), least, word).alias("terms"))
-    stats = held.select("category", "id", F.coalesce(F.size("terms"), F.lit(0)).cast("bigint").alias("dl"))
-    postings = held.select("category", "id", F.explode("terms").alias("term")).groupBy("category", "term", "id").agg(F.count(F.lit(1)).alias("tf"))
-    return Index(stats, postings)
+    """The inverted index of a table of documents, by category."""
+    return Index(docs.select(F.col(category).alias("category"), F.col(id_col).alias("id"), tokens(F.col(text_col), least, word).alias("terms")))
 
 
 def term_frequencies(found: Index) -> DataFrame:
-    """(category, term, df): in how many documents of its category each term is."""
-    return found.postings.groupBy("category", "term").agg(F.count(F.lit(1)).alias("df"))
+    """(category, term, df): in how many documents of its category each term is; each task adds up its own documents first."""
+    return found.held.select("category", F.explode(F.array_distinct("terms")).alias("term")).groupBy("category", "term").agg(F.count(F.lit(1)).alias("df"))
 
 
 def collection(found: Index) -> DataFrame:
@@ -49,8 +55,11 @@ def collection(found: Index) -> DataFrame:
 
 
 def inverse_frequencies(found: Index) -> DataFrame:
-    """(category, term, idf); a negative value is replaced by a share of the category's mean over its vocabulary."""
-    raw = term_frequencies(found).join(F.broadcast(collection(found)), "category").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    """(category, term, idf); a negative value is replaced by a share of the category's mean over its vocabulary.
+
+    The vocabulary's counts are written once; the two tables with a row for each category are broadcast.
+    """
+    raw = checkpointed(term_frequencies(found)).join(F.broadcast(collection(found)), "category").withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.groupBy("category").agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean), "category").select("category", "term", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
@@ -64,10 +73,11 @@ def ranked(df: DataFrame, group: str | list[str], score: str, tie: str, most: in
 def bm25(found: Index, queries: DataFrame, query_id: str, query_text: str, most: int = 15, word: str = WORD, least: int = 2) -> DataFrame:
     """(query_id, category, id, score, rank): the best documents of each category for each query, those that score above 0."""
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text), least, word)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    asked = small(asked)
-    met = found.postings.join(small(asked.select("term").distinct()), "term", "left_semi")
+    asked = small(checkpointed(asked))
+    terms = small(asked.select("term").distinct())
     weighed = (
-        met.join(inverse_frequencies(found).join(small(asked.select("term").distinct()), "term", "left_semi"), ["category", "term"])
+        found.postings(terms)
+        .join(inverse_frequencies(found).join(terms, "term", "left_semi"), ["category", "term"])
         .join(found.stats, ["category", "id"])
         .join(F.broadcast(collection(found).select("category", "avgdl")), "category")
     )

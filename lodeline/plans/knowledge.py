@@ -19,11 +19,11 @@ DENSITY = r"[#$%&*]{3}|!!"
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table in the shape of a knowledge base."""
     return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("ord"), F.concat(F.lit("d"), (F.col("doc_id") % 400).cast("string")).alias("id"), F.col("lang").alias("category"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "source"
+        F.col("doc_id").alias("ord"), F.concat(F.lit("d"), F.floor(F.col("doc_id") / 3).cast("string")).alias("id"), F.col("lang").alias("category"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"), "source"
     )
 
 
-_DOCS = "d AS (SELECT doc_id AS ord, 'd' || (doc_id % 400) AS id, lang AS category, string_split(text, chr(10))[1] AS title, text AS content, source FROM documents)"
+_DOCS = "d AS (SELECT doc_id AS ord, 'd' || floor(doc_id / 3)::BIGINT AS id, lang AS category, string_split(text, chr(10))[1] AS title, text AS content, source FROM documents)"
 _KEY = "CASE category WHEN 'en' THEN contains(content, 'worthless') OR contains(content, 'token') OR contains(content, 'thinner') WHEN 'fr' THEN contains(content, 'dans') OR contains(content, 'avec') WHEN 'de' THEN contains(content, 'nicht') OR contains(content, 'auf') ELSE true END"
 _CLEAN = "trim(regexp_replace(regexp_replace(content, 'Licensed under[^\\n]*', '', 'g'), '\\s+', ' ', 'g'))"
 

@@ -32,8 +32,6 @@ def title(text: Column) -> Column:
 
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.index(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang")
-    # the postings are read for frequencies, lengths and scores, so they are written once
-    found = retrieval.Index(checkpointed(found.stats), checkpointed(found.postings))
     q = questions(spark, sf_dir)
     own = q.select(F.col("item_id").alias("query_id"), "category")
     return retrieval.bm25(found, q, "item_id", "text").join(F.broadcast(own), ["query_id", "category"])

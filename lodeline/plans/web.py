@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.operators import crawl, html
 from lodeline.plans.registry import query
-from lodeline.session import table
+from lodeline.session import checkpointed, table
 
 
 def _text(sql: str) -> str:
@@ -44,13 +44,15 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.links(table(spark, sf_dir, "pages"), "url", "html", "example", keep=["page_id"])
 
 
-@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'n' || o_custkey % 200 AS url, 'n' || (o_orderkey * 7) % 200 AS link FROM orders),
-w AS (SELECT 'n1' AS url, 0 AS depth UNION SELECT e.link, depth + 1 FROM w JOIN e USING (url) WHERE depth < 3) SELECT url, min(depth)::INT AS depth FROM w GROUP BY url""")
+@query("""WITH RECURSIVE e AS (SELECT DISTINCT 'c' || o_custkey AS url, 'o' || o_orderkey AS link FROM orders UNION SELECT DISTINCT 'o' || l_orderkey, 'p' || l_partkey FROM lineitem UNION SELECT DISTINCT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+w AS (SELECT DISTINCT 'c' || o_custkey AS url, 0 AS depth FROM orders WHERE o_custkey % 20 = 1 UNION SELECT e.link, depth + 1 FROM w JOIN e USING (url) WHERE depth < 3) SELECT url, min(depth)::INT AS depth FROM w GROUP BY url""")
 def bfs_depth_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "orders")
-    node = lambda c: F.concat(F.lit("n"), (c % 200).cast("string"))
-    edges = rows.select(node(F.col("o_custkey")).alias("url"), node(F.col("o_orderkey") * 7).alias("link")).distinct()
-    return crawl.walk(edges, spark.createDataFrame([("n1",)], "url string"), 3)
+    """From every twentieth customer to their orders, the parts in these and the parts' suppliers."""
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    edge = lambda df, a, x, b, y: df.select(F.concat(F.lit(a), F.col(x).cast("string")).alias("url"), F.concat(F.lit(b), F.col(y).cast("string")).alias("link"))
+    edges = edge(orders, "c", "o_custkey", "o", "o_orderkey").unionByName(edge(lines, "o", "l_orderkey", "p", "l_partkey")).unionByName(edge(lines, "p", "l_partkey", "s", "l_suppkey")).distinct()
+    seeds = orders.where("o_custkey % 20 = 1").select(F.concat(F.lit("c"), F.col("o_custkey").cast("string")).alias("url"))
+    return crawl.walk(checkpointed(edges), seeds, 3)
 
 
 @query("""WITH p AS (SELECT page_id, (page_id % 9)::INT AS m, (page_id % 13)::INT AS k FROM pages), s AS (SELECT *, list_slice(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h'], 1, greatest(m - k, 0)) AS kept FROM p)
