@@ -35,6 +35,8 @@ MATCHED = 13
 COST = 4
 #: Items with at most so many tokens must lie in the text whole, and from how many on one token may differ.
 SHORT, TOLERANT = 13, 8
+#: Tokens after which a text may repeat so that the inner windows of the run are left out.
+PERIOD = 16
 #: Bits of the bitmap as powers of two: the least, the most (64 MB), and how many for each benchmark window between them.
 LEAST_BITS, MOST_BITS, SPARSE = 25, 29, 6
 #: Texts that a task remembers in order not to look up their copies, and found rows that are broadcast; more are joined by a shuffle.
@@ -68,11 +70,18 @@ def item_masks(n: int) -> list[tuple[str, int | None]]:
     return [("1" * n, 0)]
 
 
-def edges_of_runs(h: np.ndarray) -> np.ndarray:
-    """Which windows begin or end a run of equal hashes: a repeated token has one hash at every place, and an alignment of two runs inside them matches no more than those at their ends."""
-    out = np.ones(len(h), bool)
-    if len(h) > 2:
-        out[1:-1] = (h[1:-1] != h[:-2]) | (h[1:-1] != h[2:])
+def edges_of_runs(h: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Which of the windows ``at`` are no inner ones of a run of some period; ``low`` and ``high`` bound the windows of each one's own text.
+
+    Text that repeats every q tokens has the same hash at every qth window. Of a
+    run the first and the last q windows stay, which have all its hashes: an
+    alignment of two runs inside them matches no more than those at their ends.
+    """
+    out = np.ones(len(at), bool)
+    for q in range(1, PERIOD + 1):
+        some = np.flatnonzero(out & (at - q >= low) & (at + q < high))
+        own = h[at[some]]
+        out[some[(h[at[some] - q] == own) & (h[at[some] + q] == own)]] = False
     return out
 
 
@@ -82,7 +91,8 @@ def item_windows(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     h, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for mask, place in item_masks(len(hashes)) if len(hashes) else []:
         own = window_hashes(hashes, mask)
-        keep = np.flatnonzero(edges_of_runs(own)) if place is None else np.array([place])
+        every = np.arange(len(own))
+        keep = every[edges_of_runs(own, every, np.zeros_like(every), np.full_like(every, len(own)))] if place is None else np.array([place])
         h.append(own[keep])
         at.append(keep)
     return np.concatenate(h), np.concatenate(at)
@@ -177,11 +187,7 @@ def _found(docs: DataFrame, benchmark: DataFrame, text_col: str, item_text: str,
             inside = at + len(mask) <= before[text + 1]
             at, text = at[inside], text[inside]
             if len(at):
-                # runs end where texts do
-                run = np.ones(len(at), bool)
-                if len(at) > 2:
-                    joined = (h[at[1:]] == h[at[:-1]]) & (at[1:] == at[:-1] + 1) & (text[1:] == text[:-1])
-                    run[1:-1] = ~(joined[:-1] & joined[1:])
+                run = edges_of_runs(h, at, before[text], before[text + 1] - len(mask) + 1)
                 at, text = at[run], text[run]
                 out.append((h[at].view(np.int64), nodes[text], at - before[text]))
         return [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
