@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodeline.functions import register, rules
-from lodeline.operators import answer, crawl, output, reports
+from lodeline.operators import answer, crawl, dedup, output, reports
 from lodeline.plans.registry import query
 from lodeline.plans.routing import TURN
+from lodeline.plans.search import LETTERS, letters
 from lodeline.session import checkpointed, scratch, table
 from lodeline.sources import documents as sources
 
@@ -166,3 +167,22 @@ def gated_walk(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = rows.select(name(F.col("o_custkey")).alias("url"), name(F.col("o_custkey") + 1 + F.col("o_orderkey") % 3).alias("link")).distinct()
     number = F.substring("url", 2, 20).cast("bigint")
     return crawl.walk(edges, edges.where(number % 50 == 1), 2, kept=edges.where(number % 2 == 0).select("url").distinct()).select("url", "depth")
+
+
+SEEDS = [{"title": "Routes", "content": "The shuttle runs on weekdays.", "category_id": 4}, {"id": "hours", "title": "Hours", "content": "Open from nine.", "date": "2026-01-02"}, {"id": "again", "title": "Hours", "content": "Open from nine."}]
+
+
+@query("""WITH s AS (SELECT 'static_' || substr(md5('Routes' || chr(10) || 'The shuttle runs on weekdays.'), 1, 12) AS id, 'The shuttle runs on weekdays.' AS content, '2026-06-10' AS date, 0 AS k UNION ALL SELECT 'hours', 'Open from nine.', '2026-01-02', 1 UNION ALL SELECT 'd' || doc_id, text, '', doc_id + 10 FROM documents),
+r AS (SELECT *, row_number() OVER (PARTITION BY substr(md5(content), 1, 12) ORDER BY k) AS n FROM s) SELECT id, date FROM r WHERE n = 1""")
+def seeded_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents after some that are written by hand; of equal contents the first stays."""
+    seeds = sources.static_documents(spark, SEEDS, "2026-06-10").select("id", "content", "date", F.when(F.col("id") == "hours", 1).when(F.col("id") == "again", 2).otherwise(0).cast("bigint").alias("k"))
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("id"), F.col("text").alias("content"), F.lit("").alias("date"), (F.col("doc_id") + 10).alias("k"))
+    return dedup.keep_first_content(seeds.unionByName(docs), "content", ["k"]).select("id", "date")
+
+
+@query("SELECT doc_id, " + " || ',' || ".join(f"(length(lower(text)) - length(replace(lower(text), '{c}', '')))" for c in LETTERS) + " AS vector FROM documents")
+def letter_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors by a pluggable function of the text."""
+    found = sources.with_embedding(table(spark, sf_dir, "documents").select("doc_id", "text"), letters, "text")
+    return found.select("doc_id", F.array_join(F.transform("embedding", lambda x: x.cast("int").cast("string")), ",").alias("vector"))

@@ -35,6 +35,16 @@ def first_existing(spark: SparkSession, paths: Sequence[str], required: bool = T
     return None
 
 
+def static_documents(spark: SparkSession, rows: Sequence[dict[str, Any]], date: str | None = None, schema: T.StructType = DOCUMENT) -> DataFrame:
+    """Documents that are written by hand, as seeds or for a service that isn't crawled: a few rows with the fields of DOCUMENT.
+
+    Fields that a row lacks are null, ``date`` stands in for a missing date, and a row without an id gets one of its title and content.
+    """
+    held = spark.createDataFrame([tuple(row.get(n) for n in schema.fieldNames()) for row in rows], schema)
+    own = F.concat(F.lit("static_"), F.substring(F.md5(F.concat_ws("\n", "title", "content")), 1, 12))
+    return held.withColumn("id", F.coalesce("id", own)).withColumn("date", F.coalesce("date", F.lit(date).cast("string")))
+
+
 #: A labelled question, for training or testing; the label may be a number or its text.
 LABELLED = T.StructType([T.StructField(n, T.StringType()) for n in ("question", "label")])
 
