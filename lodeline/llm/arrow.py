@@ -94,6 +94,18 @@ def free(name: str, df: DataFrame) -> str:
     return name
 
 
+def spans(texts: list[bytes | None]) -> Iterator[tuple[int, int]]:
+    """Consecutive ranges of texts of about BLOCK_BYTES; a longer text is a range of its own."""
+    low, held = 0, 0
+    for i, text in enumerate(texts):
+        if i > low and held + len(text or b"") > BLOCK_BYTES:
+            yield low, i
+            low, held = i, 0
+        held += len(text or b"")
+    if texts:
+        yield low, len(texts)
+
+
 def by_text(
     df: DataFrame,
     columns: list[str],

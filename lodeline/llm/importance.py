@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.llm.arrow import bound_batches, by_text, free, materialise
+from lodeline.llm.arrow import bound_batches, by_text, free, materialise, spans
 from lodeline.llm.kernels import SPACE, Block, combine, fold, hash_runs
 from lodeline.llm.sampling import least_by_hash
 
@@ -54,10 +54,10 @@ def counts(docs: DataFrame, target_col: str, text_col: str) -> tuple[np.ndarray,
         raw, target = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
         for batch in batches:
             texts, wanted = batch.column(0).to_pylist(), batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
-            for at in range(0, len(texts), 100):
-                bucket, owner = buckets(texts[at : at + 100])
+            for low, high in spans(texts):
+                bucket, owner = buckets(texts[low:high])
                 raw += np.bincount(bucket, minlength=1 << BITS)
-                target += np.bincount(bucket[wanted[at : at + 100][owner]], minlength=1 << BITS)
+                target += np.bincount(bucket[wanted[low:high][owner]], minlength=1 << BITS)
         met = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(met), pa.array(raw[met]), pa.array(target[met])], ["bucket", "raw", "target"])
 
