@@ -19,7 +19,8 @@ from lodeline.functions.text import any_in, clipped, let, strip
 
 #: Elements without content; elements that open where one of the same group is open close it, up to a limit.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "p": ("p", "div td li section article")}
+CLOSES = {"li": ("li", "ul ol"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
+CLOSES |= {block: ("p", "table td th caption") for block in "p ul ol dl div table section article aside main nav header footer form pre blockquote hr h1 h2 h3 h4 h5 h6".split()}
 #: Elements whose text doesn't show.
 DROPPED = ("script", "style", "nav", "header", "footer")
 

@@ -24,7 +24,7 @@ def test_selectors_and_implied_ends(spark):
     found = asked(
         spark, PAGE, texts("p"), texts("li"), texts("td, th"), texts("div.b"), texts(".a .x"), texts("#top td.x"), texts("div.a li li"), texts(".xy"), texts("title", ""), lambda t: pagetree.whole_text(t, "|")
     )
-    assert found[0] == ["one", "two bold l1 l2 deep l3 c1 c2 h c3", "open"] or found[0][:2] == ["one", "two bold"]
+    assert found[0] == ["one", "two bold", "open"]
     assert found[1] == ["l1", "l2 deep", "deep", "l3"] and found[2] == ["c1", "c2", "h", "c3"]
     assert found[3][-1] == "tail" and found[3][0].startswith("one") and found[3][0].endswith("c3")
     assert found[4][-1] == "c3" and found[5] == ["c3"] and found[6] == ["deep"] and found[7] == [] and found[8] == ["T & U"]
@@ -44,7 +44,7 @@ POST = """<div class="board_viewTit"> 공지 <b>제목</b></div><div class="boar
 def test_posts(spark):
     files = "".join(f"<a href=x>f{i}.hwp</a><a></a>" for i in range(7))
     cut = lambda t: pagetree.post_page(t, cut=12)
-    assert asked(spark, POST % files, pagetree.post_page, cut) == ["[제목] 공지제목\n첫째 줄\n둘째\n줄\n[첨부파일] f0.hwp, f1.hwp, f2.hwp, f3.hwp, f4.hwp", "[제목] 공지제목\n첫..."]
+    assert asked(spark, POST % files, pagetree.post_page, cut) == ["[제목] 공지제목\n첫째 줄\n둘째\n줄\n[첨부파일] f0.hwp, f1.hwp, f2.hwp, f3.hwp, f4.hwp", "[제목] 공지제목\n첫째..."]
     assert asked(spark, POST % "", pagetree.post_page) == ["[제목] 공지제목\n첫째 줄\n둘째\n줄"]
     assert asked(spark, "<p>nothing of a post</p>", pagetree.post_page) == [""]
 
