@@ -40,9 +40,14 @@ NAMES = {
     ("m", "latin"): "Adam Albert Anton Ben Carl Cyril David Dirk Edgar Emil Erik Felix Frank Georg Hugo Igor Ivan Jakob Jan Jonas Karl Kurt Leo Lukas Marc Max Milan Nils Oscar Otto Paul Peter Ralf Rene Samuel Simon Theo Tom Viktor Walter",
     ("f", "cyrillic"): "Анна Вера Галина Дарья Ева Елена Зоя Инна Ирина Лидия Мария Нина Ольга Раиса София Тамара",
     ("m", "cyrillic"): "Антон Борис Виктор Глеб Денис Егор Иван Игорь Кирилл Лев Максим Олег Павел Роман Сергей Юрий",
+    ("f", "greek"): "Άννα Βασιλική Γεωργία Δήμητρα Ειρήνη Ελένη Ζωή Θεοδώρα Ιωάννα Κατερίνα Μαρία Νίκη Παρασκευή Σοφία Χριστίνα",
+    ("m", "greek"): "Αλέξανδρος Βασίλης Γιώργος Δημήτρης Ηλίας Θωμάς Κώστας Λεωνίδας Μιχάλης Νίκος Παύλος Πέτρος Σπύρος Στέφανος Χρήστος",
     ("n", "latin"): "Abel Bauer Blanc Borg Castel Conti Dahl Dorn Duran Egger Falk Ferro Frey Gallo Haas Holm Jansen Keller Lang Leroy Lind Marek Meier Molina Moreau Nagel Novak Olsen Perrin Petit Pohl Rossi Roux Sander Silva Stark Steiner Torres Vidal Wolff",
     ("n", "cyrillic"): "Белов Волков Громов Зимин Котов Лебедев Морозов Орлов Петров Седов Титов Фролов",
+    ("n", "greek"): "Αθανασίου Αντωνίου Βασιλείου Γεωργίου Δημητρίου Ιωάννου Κωνσταντίνου Νικολάου Οικονόμου Παναγιώτου Στεφάνου Χριστοδούλου",
 }
+#: Endings of Cyrillic family names, a man's and a woman's; the Greek ones of the lists serve both.
+ENDINGS = (("(ов|ев|ёв|ин|ын)", "", "а"), ("(ск|цк)", "ий", "ая"))
 #: Overrides that are broadcast; more are joined by a shuffle on the hash of the text.
 BROADCAST_ROWS = 20_000
 ROUNDS = 40
@@ -84,14 +89,26 @@ def canonical(mention: Column, kind: Column | None = None) -> Column:
     )
 
 
+def gendered(family: Column, female: bool) -> Column:
+    """A Cyrillic family name, or each part of a compound one, in the form for a woman or for a man; other names as they are."""
+    for stem, man, woman in ENDINGS:
+        old, new = (man, woman) if female else (woman, man)
+        family = F.regexp_replace(family, f"{stem}{old}(?=-|$)", f"$1{new}")
+    return family
+
+
 def parts(mention: Column) -> Column:
-    """The entities (kind, canon) of a mention: of a person the family name and, if there are two names, the gender and the given name; of all else one."""
+    """The entities (kind, canon) of a mention: of a person the family name and, if there are two names, the gender and the given name; of all else one.
+
+    A woman's family name is the same entity as a man's in its other form.
+    """
     one = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
     gender = F.when(mention.rlike(FEMALE), "f ").otherwise("m ")
 
     def of(held: Column) -> Column:
         kind, canon = held["kind"], held["canon"]
-        family = one(F.lit("family"), F.substring_index(canon, " ", -1))
+        name = F.substring_index(canon, " ", -1)
+        family = one(F.lit("family"), F.when(mention.rlike(FEMALE), gendered(name, False)).otherwise(name))
         given = one(F.lit("given"), F.concat(gender, F.substring_index(canon, " ", 1)))
         return F.when(kind != "person", F.array(one(kind, canon))).when(F.contains(canon, F.lit(" ")), F.array(family, given)).otherwise(F.array(family))
 
@@ -170,7 +187,7 @@ def _surrogate(kind: Column, canon: Column, attempt: Column, h: Column) -> Colum
     check = F.when(_luhn(canon) == 0, right).otherwise((right + 1 + _number(h, 8, 9)) % 10)
     kept = F.when(F.length(canon) > 10, F.length(canon) - 10).otherwise(F.lit(1))
     phone = F.concat(F.substr(canon, F.lit(1), kept), F.substr(_draw(h, 30), F.lit(1), F.length(canon) - kept))
-    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
+    script = F.when(canon.rlike(r"\p{IsCyrillic}"), "cyrillic").when(canon.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
     role = F.when(kind == "family", "n").otherwise(F.substring(canon, 1, 1))
     nothing = F.lit("")
 
@@ -204,10 +221,15 @@ def render(mention: Column, replaced: Column, kind: Column | None = None) -> Col
     numbers = F.array_join(
         F.transform(at, lambda i: F.when(F.substr(mention, i, F.lit(1)).rlike(_DIGITS), F.substr(replaced, place(i), F.lit(1))).otherwise(F.substr(mention, i, F.lit(1)))), ""
     )
-    titled = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.initcap(replaced))
+    # every part of a compound name begins with a capital
+    raised = F.replace(F.initcap(F.replace(replaced, F.lit("-"), F.lit("- "))), F.lit("- "), F.lit("-"))
+    titled = F.concat(F.regexp_extract(mention, r"^\S+ ", 0), raised)
+    # letters before the @ have the case of those they stand for
+    letters = lambda t: F.split(F.substring_index(t, "@", 1), "")
+    cased = F.array_join(F.zip_with(letters(mention), letters(replaced), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
     shouted = mention.rlike(r"\p{Lu}") & ~mention.rlike(r"\p{Ll}")
     return (
-        F.when(kind == "email", F.when(shouted, F.upper(replaced)).otherwise(replaced))
+        F.when(kind == "email", F.when(shouted, F.upper(replaced)).otherwise(F.concat(cased, F.lit("@"), F.substring_index(replaced, "@", -1))))
         .when(kind == "ip", replaced)
         .when(kind == "person", F.when(F.regexp_replace(mention, r"^\S+ ", "").rlike(r"^[^\p{Ll}]+$"), F.concat(F.regexp_extract(mention, r"^\S+ ", 0), F.upper(replaced))).otherwise(titled))
         .otherwise(numbers)
@@ -257,7 +279,8 @@ def _replace(text: Column, found: Column, overrides: Column | None, key: str) ->
     def one(m: Column) -> Column:
         made = lambda e: F.struct(e["kind"].alias("kind"), surrogate(e["kind"], e["canon"], attempt(e), key).alias("s"))
         # a given name comes with its gender and stands before the family name
-        whole = lambda found: F.when(F.size(found) > 1, F.concat(F.substring(found[1]["s"], 3, 1 << 20), F.lit(" "), found[0]["s"])).otherwise(found[0]["s"])
+        named = lambda found: F.when((found[0]["kind"] == "family") & m.rlike(FEMALE), gendered(found[0]["s"], True)).otherwise(found[0]["s"])
+        whole = lambda found: F.when(F.size(found) > 1, F.concat(F.substring(found[1]["s"], 3, 1 << 20), F.lit(" "), named(found))).otherwise(named(found))
         kind = lambda found: F.when(found[0]["kind"] == "family", "person").otherwise(found[0]["kind"])
         joined = lambda found: F.struct(whole(found).alias("s"), kind(found).alias("kind"))
         return let(F.transform(parts(m), made), lambda found: let(joined(found), lambda g: render(m, g["s"], g["kind"])))

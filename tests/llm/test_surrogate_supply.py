@@ -44,3 +44,22 @@ def test_a_key_is_needed(spark):
 
     with pytest.raises(ValueError):
         surrogates.pseudonymise(spark.createDataFrame([(1, "x")], "doc_id long, text string"), "")
+
+
+def test_gender_script_and_case_are_kept(spark):
+    texts = [
+        "г-жа Иванова и г-н Иванов, г-жа Достоевская",
+        "г-жа Анна Иванова-Петрова",
+        "Mr Παπαδόπουλος met Mrs Ελένη Παπαδοπούλου",
+        "John.Smith@Example.com and john.smith@example.com and JOHN.SMITH@EXAMPLE.COM",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r.text for r in surrogates.pseudonymise(docs, "key").orderBy("doc_id").collect()]
+    her, him, other = re.fullmatch(r"г-жа ([А-Яа-я-]+) и г-н ([А-Яа-я-]+), г-жа ([А-Яа-я-]+)", out[0]).groups()
+    assert her == him + "а" and her.endswith("а") and not him.endswith("а") and other.endswith("а") and other != her
+    first, family = re.fullmatch(r"г-жа (\S+) (\S+)", out[1]).groups()
+    assert first in surrogates.NAMES["f", "cyrillic"].split() and all(p.endswith("а") and p[0].isupper() for p in family.split("-"))
+    man, given, woman = re.fullmatch(r"Mr (\S+) met Mrs (\S+) (\S+)", out[2]).groups()
+    assert {man, woman} <= set(surrogates.NAMES["n", "greek"].split()) and given in surrogates.NAMES["f", "greek"].split()
+    a, b, c = out[3].split(" and ")
+    assert a.lower() == b and c == b.upper() and [x.isupper() for x in a.split("@")[0]] == [x.isupper() for x in "John.Smith"] and a != b
