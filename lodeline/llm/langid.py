@@ -31,8 +31,10 @@ MARK = "▁"
 #: Documents of each language from which the probabilities are learned, at most.
 DOCS_PER_LANGUAGE = 400
 SEED = 5
-#: A longer run of letters teaches nothing (learning is from a sample anyway); it is scored whole, but apart from the others.
-LONGEST = 40
+#: A longer run of letters is scored whole, but apart from the others, and teaches by its pieces of so many letters; up to FAR letters such runs are scored in step.
+LONGEST, FAR = 40, 4096
+#: Letters after which numbers that grow ever smaller are scaled.
+SCALED = 16
 #: Words whose scores a worker keeps; the memory is cleared beyond it.
 MEMORY = 400_000
 #: Probability of a letter that no piece covers.
@@ -170,6 +172,35 @@ class Model:
                 factor += np.log(most)
         return np.log(np.maximum(alpha[n], 1e-300)) + factor
 
+    def score_far(self, words: list[str]) -> np.ndarray:
+        """score() of long words: those up to FAR letters all in step, with a running factor for each, longer ones one by one."""
+        out = np.zeros((len(words), len(self.languages)))
+        near = [i for i, w in enumerate(words) if len(w) <= FAR]
+        for i in sorted(set(range(len(words))) - set(near)):
+            out[i] = self.score_long(words[i])
+        if not near:
+            return out
+        lattice = self.lattice()
+        nodes, ends, groups = lattice.arcs([words[i] for i in near])
+        reach = np.arange(lattice.longest + 1)
+        alpha, factor, scaled = np.zeros((int(ends[-1]) + 1, len(self.languages))), np.zeros((len(near), len(self.languages))), 0
+        alpha[nodes] = 1
+        for start, end, piece in groups:
+            depth = int(start[0] - nodes[np.searchsorted(nodes, start[0], "right") - 1])
+            if depth >= scaled + SCALED:
+                # all arcs from nodes before this depth are in, and none has gone further than the longest piece
+                live = np.flatnonzero(nodes + depth <= ends)
+                at = nodes[live][:, None] + depth + reach[None, :]
+                inside = at <= ends[live][:, None]
+                ahead = alpha[np.minimum(at, ends[live][:, None])]
+                most = np.maximum(np.where(inside[:, :, None], ahead, 0).max(axis=1), 1e-300)
+                alpha[at[inside]] = (ahead / most[:, None, :])[inside]
+                factor[live] += np.log(most)
+                scaled = depth
+            alpha[end] += alpha[start] * self.table[piece]
+        out[near] = np.log(np.maximum(alpha[ends], 1e-300)) + factor
+        return out
+
     def score(self, words: list[str]) -> np.ndarray:
         """The logarithm of each word's probability in each language, over all its segmentations."""
         far = [i for i, w in enumerate(words) if len(w) > LONGEST]
@@ -178,8 +209,7 @@ class Model:
             near = np.ones(len(words), bool)
             near[far] = False
             out[near] = self.score([w for w in words if len(w) <= LONGEST])
-            for i in far:
-                out[i] = self.score_long(words[i])
+            out[far] = self.score_far([words[i] for i in far])
             return out
         if not words:
             return np.zeros((0, len(self.languages)))
@@ -250,7 +280,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         held: dict[str, Counter] = {}
         for batch in batches:
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                held.setdefault(lang, Counter()).update(w for w in words_of(text or "") if len(w) <= LONGEST)
+                held.setdefault(lang, Counter()).update(w[i : i + LONGEST] for w in words_of(text or "") for i in range(0, len(w), LONGEST))
         out = [(lang, w, n) for lang, c in held.items() for w, n in c.items()]
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["lang", "word", "n"])
 
@@ -275,7 +305,8 @@ class Scorer:
         found = [words_of(t.decode("utf-8", "replace")) if t else [] for t in texts]
         if not self.model.languages:
             return [("und", 0.0, 0.0)] * len(found)
-        long = {w: self.model.score_long(w) for words in found for w in words if len(w) > LONGEST}
+        far = sorted({w for words in found for w in words if len(w) > LONGEST})
+        long = dict(zip(far, self.model.score_far(far), strict=True))
         if long:
             rest = [[w for w in words if len(w) <= LONGEST] for words in found]
             more = [sum((long[w] for w in words if len(w) > LONGEST), np.zeros(len(self.model.languages))) for words in found]

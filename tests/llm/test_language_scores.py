@@ -1,6 +1,7 @@
 """Language scores against a plain forward pass over every segmentation."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -64,6 +65,21 @@ def test_long_runs_are_summed_whole():
     assert model.score_long(words[1]) == pytest.approx(np.array(truth[1]))
 
 
+def test_runs_in_step_are_those_one_by_one():
+    r = np.random.default_rng(2)
+    letters = list("abcdefghijklmnopqrstuvwxyzäéñ漢字")
+    pieces = sorted({"".join(r.choice(letters[:-1], n)) for n in (1, 1, 2, 2, 3, 5, 9, 16) for _ in range(200)} | {langid.MARK, "wordsofa", "words"})
+    model = langid.Model(["x", "y", "z"], pieces, r.dirichlet(np.ones(len(pieces) + 1), 3).T)
+    words = ["".join(r.choice(letters, n)) for n in (41, 42, 57, 64, 100, 101, 333, 1000, 4096, 4097)] + ["wordsofaword" * 30]
+    one_by_one = np.array([model.score_long(w) for w in words])
+    assert np.allclose(model.score_far(words), one_by_one, rtol=1e-9) and np.allclose(model.score(words), one_by_one, rtol=1e-9)
+    many = ["".join(r.choice(letters, 200)) for _ in range(500)]
+    start = time.process_time()
+    model.score_far(many)
+    # a hundred thousand letters; one by one they take some two seconds
+    assert time.process_time() - start < 1
+
+
 def test_every_score_of_the_table(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     model = langid.train(docs)
