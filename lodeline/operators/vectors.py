@@ -182,10 +182,11 @@ def train_cells(vectors: DataFrame, id_col: str, vector: str, cells: int | None
     if not count:
         return np.zeros((0, lengths["d"]))
     k = max(1, min(cells or int(n**0.5), CELLS, count))
-    told = held.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("x"))
     if k == 1:
-        centres = [np.mean(told.toPandas()["x"].map(lambda x: x.toArray()).tolist(), axis=0)] if count <= SAMPLE * 2 else []
+        means = held.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("m")).orderBy("i").collect()
+        centres = [[r.m for r in means]]
     else:
+        told = held.select(array_to_vector(F.transform(vector, lambda x: x.cast("double"))).alias("x"))
         centres = KMeans(k=k, seed=seed, maxIter=15, distanceMeasure="cosine", featuresCol="x").fit(told).clusterCenters()
     rows = np.array(centres)
     return rows / np.maximum(np.sqrt((rows * rows).sum(axis=1)), 1e-300)[:, None]
