@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodeline.functions.text import any_in, normalise
 from lodeline.operators.keywords import with_hits
+from lodeline.session import checkpointed
 
 #: Rows up to which a rule table is broadcast; a larger one is left to the planner.
 BROADCAST_ROWS = 100_000
@@ -120,10 +121,25 @@ def first_route(questions: DataFrame, routes: DataFrame, id_col: str, text_col:
 
 
 def shadowed_routes(routes: DataFrame) -> DataFrame:
-    """(priority, blocked_by): routes that an earlier one always precedes, because its keywords are substrings of theirs."""
-    a, b = routes.alias("a"), small(routes).alias("b")
-    covers = F.forall("b.keywords", lambda k: F.exists("a.keywords", lambda own: F.contains(own, k)))
-    return a.join(b, (F.col("b.priority") < F.col("a.priority")) & covers).groupBy(F.col("a.priority").alias("priority")).agg(F.min("b.priority").alias("blocked_by"))
+    """(priority, blocked_by): routes that an earlier one always precedes, because its keywords are substrings of theirs; the first such route.
+
+    Of routes with the same keywords the first stands for all. The keywords that
+    a route's own hold are found in one pass, and only routes whose rarest keyword
+    is among them are looked at further. A route without keywords precedes all later ones.
+    """
+    own = routes.select("priority", F.array_sort(F.array_distinct("keywords")).alias("ks"))
+    own = checkpointed(own)
+    words = own.select(F.explode("ks").alias("keyword")).distinct()
+    # no keyword reaches over the mark between two of them
+    held = checkpointed(with_hits(own.select("priority", F.array_join("ks", "\x01").alias("__text")), "__text", words, "__hits").drop("__text"))
+    often = held.select(F.explode("__hits").alias("keyword")).groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
+    firsts = own.groupBy("ks").agg(F.min("priority").alias("blocked_by"))
+    keyed = firsts.select("ks", "blocked_by", F.explode("ks").alias("keyword")).join(often, "keyword").groupBy("ks", "blocked_by").agg(F.min(F.struct("n", "keyword"))["keyword"].alias("keyword"))
+    met = held.select("priority", "__hits", F.explode("__hits").alias("keyword")).join(keyed, "keyword").where((F.col("blocked_by") < F.col("priority")) & (F.size(F.array_except("ks", "__hits")) == 0)).select("priority", "blocked_by")
+    # one row
+    free = firsts.where(F.size("ks") == 0).select(F.col("blocked_by").alias("blocked_by"))
+    anywhere = own.select("priority").join(F.broadcast(free), F.col("priority") > F.col("blocked_by"))
+    return met.unionByName(anywhere).groupBy("priority").agg(F.min("blocked_by").alias("blocked_by"))
 
 
 def either_contains(questions: DataFrame, answers: DataFrame, id_col: str, text_col: str) -> DataFrame:

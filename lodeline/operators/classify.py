@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.functions.text import WORD, features, let, normalise
 from lodeline.operators.ordinals import numbered, within_key
-from lodeline.session import checkpointed
+from lodeline.session import checkpointed, scratch
 
 
 def gram_counts(docs: DataFrame, id_col: str, text_col: str, word: str = WORD) -> DataFrame:
@@ -143,7 +143,10 @@ def text_pipeline(rows: DataFrame, label: str, id_col: str, text_col: str, c: fl
     size = max(min(distinct, vocabulary), 1)
     x = checkpointed(data.select(id_col, F.col(label).cast("double").alias("label"), "weight").join(_vectors(data, id_col, text_col, held, size), id_col))
     fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=rounds, tol=1e-8, regParam=1.0 / (c * max(count, 1)), standardization=False)
-    return TextModel(held, size, fit.fit(x))
+    # the fitted object holds a summary and through it the session, which tasks can't be sent once it has observed metrics; what is saved and read again doesn't
+    with scratch(rows.sparkSession) as path:
+        fit.fit(x).save(path)
+        return TextModel(held, size, LogisticRegressionModel.load(path))
 
 
 def text_predict(model: TextModel, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
