@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -46,7 +47,7 @@ def held_keywords(spark: SparkSession, words: list[str], text: Column) -> Column
     built: list[Automaton] = []
 
     @F.pandas_udf("array<string>")
-    def held(texts):  # noqa: ANN001, ANN202 - a series of texts to a series of lists
+    def held(texts: pd.Series) -> pd.Series:
         if not built:
             built.append(Automaton(shared.value))
         return texts.map(built[0].held)
