@@ -12,6 +12,13 @@ from lodeline.session import checkpointed, scratch, spread, table
 TYPES = ("click", "error", "purchase", "signup", "view")
 
 
+def streamed(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table as a stream. A pattern finds a table that is one file and one that is a folder of files alike, which a plain path or a name in the folder above doesn't."""
+    from lodeline.streaming import updates
+
+    return updates.files(spark, f"{sf_dir}/[{name[0]}]{name[1:]}.parquet", table(spark, sf_dir, name).schema)
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").withColumn("day", F.to_date("ts"))
 
@@ -78,8 +85,7 @@ def topic_snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_watermark_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeline.streaming import updates
 
-    schema = table(spark, sf_dir, "events").schema
-    stream = updates.event_time(updates.files(spark, sf_dir, schema, names="events.parquet"))
+    stream = updates.event_time(streamed(spark, sf_dir, "events"))
     with scratch(spark) as root:
         updates.counted(updates.windowed_counts(stream, "ts", ["event_type"], late="60 days"), f"{root}/counts", f"{root}/progress").awaitTermination()
         held = updates.counts_so_far(spark, f"{root}/counts", f"{root}/progress", ["event_type"])
@@ -91,7 +97,7 @@ SELECT id, ord::INT AS ord, CASE WHEN ord < n THEN substr(text, ord * 500 + 1, 5
 def stream_pieces_sent(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lodeline.streaming import sink, updates
 
-    stream = updates.files(spark, sf_dir, table(spark, sf_dir, "conversations").schema, names="conversations.parquet").where("role <> 'user'")
+    stream = streamed(spark, sf_dir, "conversations").where("role <> 'user'")
     rows = updates.pieces(stream.select(F.expr("conv_id * 1000 + turn").alias("id"), "text"), "id", "text", 500)
     with scratch(spark) as root:
         sink.send(rows, f"{root}/sent", f"{root}/progress").awaitTermination()
@@ -105,6 +111,6 @@ def stream_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with scratch(spark) as root:
         store = Versions(spark, f"{root}/store")
-        stream = updates.files(spark, sf_dir, table(spark, sf_dir, "events").schema, names="events.parquet").select("user_id", "event_id", "event_type", "value")
+        stream = streamed(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
         updates.upserts(stream, store, "user_id", "event_id", f"{root}/progress").awaitTermination()
         return checkpointed(store.current())

@@ -1,4 +1,4 @@
-"""A sink for answers in pieces: one file a task, and a manifest a batch by which it counts.
+"""A sink for answers in pieces: files of bounded size from each task, and a manifest a batch by which they count.
 
 A batch is seen when its manifest is written, which names its files in the order
 of its partitions. A batch that is run again after a failure writes a new manifest
@@ -12,7 +12,6 @@ import json
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain
 from typing import Any
 
 from pyarrow import fs
@@ -27,12 +26,20 @@ def _store(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+#: Bytes after which a task begins another file: one is read as a whole.
+FILE_BYTES = 4 << 20
+
+
 @dataclass
 class Written(WriterCommitMessage):
-    """A task's file, without a row None."""
+    """A task's first file, without a row None, and those after it."""
 
     partition: int
     name: str | None
+    more: tuple[str, ...] = ()
+
+    def names(self) -> list[str]:
+        return [self.name, *self.more] if self.name else []
 
 
 class EventWriter(DataSourceStreamWriter):
@@ -45,16 +52,21 @@ class EventWriter(DataSourceStreamWriter):
         from pyspark import TaskContext
 
         partition = TaskContext.get().partitionId()
-        first = next(iterator, None)
-        if first is None:
-            return Written(partition, None)
         store, root = _store(self.path)
-        store.create_dir(f"{root}/files")
-        name = f"{partition:06d}-{uuid.uuid4().hex}.events"
-        with store.open_output_stream(f"{root}/files/{name}") as out:
-            for row in chain([first], iterator):
-                out.write(self._line(row))
-        return Written(partition, name)
+        names: list[str] = []
+        row = next(iterator, None)
+        while row is not None:
+            if not names:
+                store.create_dir(f"{root}/files")
+            names.append(f"{partition:06d}-{uuid.uuid4().hex}.events")
+            with store.open_output_stream(f"{root}/files/{names[-1]}") as out:
+                size = 0
+                while row is not None and size < FILE_BYTES:
+                    line = self._line(row)
+                    out.write(line)
+                    size += len(line)
+                    row = next(iterator, None)
+        return Written(partition, names[0] if names else None, tuple(names[1:]))
 
     def _line(self, row: Any) -> bytes:
         return f"data: {json.dumps({c: row[c] for c in self.columns}, ensure_ascii=False, default=str)}\n\n".encode()
@@ -62,7 +74,7 @@ class EventWriter(DataSourceStreamWriter):
     def commit(self, messages: list, batchId: int) -> None:  # noqa: N803 - the interface's name
         store, root = _store(self.path)
         store.create_dir(f"{root}/batches")
-        names = [m.name for m in sorted((m for m in messages if m is not None), key=lambda m: m.partition) if m.name]
+        names = [name for m in sorted((m for m in messages if m is not None), key=lambda m: m.partition) for name in m.names()]
         # written whole under another name, then moved
         fresh = f"{root}/batches/.{uuid.uuid4().hex}"
         with store.open_output_stream(fresh) as out:
@@ -72,8 +84,8 @@ class EventWriter(DataSourceStreamWriter):
     def abort(self, messages: list, batchId: int) -> None:  # noqa: N803 - the interface's name
         store, root = _store(self.path)
         for m in messages:
-            if m is not None and m.name:
-                store.delete_file(f"{root}/files/{m.name}")
+            for name in m.names() if m is not None else ():
+                store.delete_file(f"{root}/files/{name}")
 
 
 class EventSink(DataSource):
@@ -102,7 +114,7 @@ def sent(spark: SparkSession, path: str, schema: str) -> DataFrame:
     from pyspark.sql import functions as F
 
     name = lambda n: F.regexp_extract("_metadata.file_path", r"([^/]+)$", n)
-    batches = spark.read.schema("value string").option("wholetext", True).option("pathGlobFilter", "*.json").text(f"{path}/batches")
+    batches = spark.read.schema("value string").option("pathGlobFilter", "*.json").text(f"{path}/batches", wholetext=True)
     files = batches.select(F.regexp_extract("_metadata.file_path", r"([0-9]+)\.json$", 1).cast("bigint").alias("batch"), F.posexplode(F.from_json("value", "array<string>")).alias("file", "name"))
-    events = spark.read.option("wholetext", True).option("pathGlobFilter", "*.events").text(f"{path}/files").select(name(1).alias("name"), F.posexplode(F.filter(F.split("value", "\n\n"), lambda x: x != "")).alias("line", "event"))
+    events = spark.read.option("pathGlobFilter", "*.events").text(f"{path}/files", wholetext=True).select(name(1).alias("name"), F.posexplode(F.filter(F.split("value", "\n\n"), lambda x: x != "")).alias("line", "event"))
     return files.join(events, "name").select("batch", "file", "line", F.from_json(F.substring("event", 7, 1 << 30), schema).alias("e")).select("batch", "file", "line", "e.*")

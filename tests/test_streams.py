@@ -107,3 +107,28 @@ def test_their_queries_leave_nothing_behind(spark, sf_dir, name):
     folder = Path(shared_folder(spark))
     assert catalog.QUERIES[name](spark, sf_dir).count() > 0
     assert not [p for p in folder.glob("scratch-*")]
+
+
+def test_streams_read_tables_that_are_folders(spark, sf_dir, tmp_path):
+    from lodeline import catalog
+
+    for name in ("conversations", "events"):
+        spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(3).write.parquet(str(tmp_path / f"{name}.parquet"))
+    for name in ("stream_pieces_sent", "stream_watermark_counts", "stream_upsert_latest"):
+        of = lambda folder: sorted(map(tuple, catalog.QUERIES[name](spark, folder).collect()), key=repr)  # noqa: B023, E731
+        assert of(str(tmp_path)) == of(sf_dir)
+
+
+def test_a_task_begins_new_files_and_their_order_is_kept(spark, tmp_path, monkeypatch):
+    from pyspark import TaskContext
+
+    monkeypatch.setattr(sink, "FILE_BYTES", 20)
+    monkeypatch.setattr(TaskContext, "get", staticmethod(lambda: type("Task", (), {"partitionId": lambda self: 3})()))
+    out = sink.EventWriter(str(tmp_path), ["i"])
+    told = out.write(iter([{"i": i} for i in range(7)]))
+    assert len(told.names()) > 1 and out.write(iter([])).names() == []
+    out.commit([told], 0)
+    rows = sink.sent(spark, str(tmp_path), "i int").orderBy("batch", "file", "line").collect()
+    assert [r.i for r in rows] == list(range(7))
+    out.abort([told], 0)
+    assert not list((tmp_path / "files").glob("*.events"))
