@@ -303,18 +303,18 @@ def undated(text: Column, dated: str = DATED, garbage: str = UNDATED) -> Column:
     return ~text.rlike(dated) & text.rlike(garbage)
 
 
-def untrusted(text: Column, junk: Sequence[str] = (*JUNK, *JARGON), wrong: Sequence[str] = (), right: str = "", long_word: int = 6, allowed: Sequence[str] = LATIN, most: int = 3, script: str = "가-힣", least: int = 15, schedule: Column | None = None) -> Column:
+def untrusted(text: Column, junk: Sequence[str] = (*JUNK, *JARGON), wrong: Sequence[str] = (), right: str = "", long_word: int = 6, allowed: Sequence[str] = LATIN, most: int = 3, script: str = "가-힣", least: int = 15, schedule: Column | None = None, beside: str = r"\p{L}\p{N}_") -> Column:
     """Whether generated text can't be shown.
 
     It shows a junk pattern, a wrong name without the right one, ``most`` long
-    Latin words that aren't ``allowed``, too few characters of its script, or,
+    Latin words (see latin_words(), as for ``beside``) that aren't ``allowed``, too few characters of its script, or,
     where ``schedule`` is true, no date but signs of invention. All patterns
     are alternatives of one expression, so a text is searched once for them.
     """
     out = text.rlike("(?i)" + "|".join(f"(?:{p})" for p in junk)) if junk else F.lit(False)
     if wrong:
         out = out | (any_in(text, wrong) & ~F.contains(text, F.lit(right)))
-    words = latin_words(text, long_word)
+    words = latin_words(text, long_word, beside)
     foreign = F.filter(words, lambda w: ~F.lower(w).isin(*allowed)) if allowed else words
     short = F.length(F.regexp_replace(text, f"[^{script}]", "")) < least
     if schedule is not None:

@@ -109,3 +109,11 @@ def test_untrusted(spark):
 def test_short_override_rules(spark):
     ask = lambda q: one(spark, q, lambda t: rules.cascade(F.lower(t), rules.short_override_rules()))
     assert ask("밥 몇시") == 3 and ask("식당 운영") is None and ask("기숙사 신청") == 1
+
+
+def test_accented_letters_end_latin_words_where_sql_says_so(spark):
+    from lodeline.functions import rules, text
+
+    rows = spark.createDataFrame([("éabcdefé", "Lesé x"), ("xabcdefx9", "Lest")], "t string, title string")
+    found = rows.select(F.size(rules.latin_words(F.col("t"), 6)), F.size(rules.latin_words(F.col("t"), 6, "0-9A-Za-z_")), F.col("title").rlike(f"(?i)^(The|Les){text.WORD_END}")).collect()
+    assert [tuple(r) for r in found] == [(0, 1, True), (0, 0, False)]
