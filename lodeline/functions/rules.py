@@ -142,16 +142,28 @@ def shadowed_routes(routes: DataFrame) -> DataFrame:
     return met.unionByName(anywhere).groupBy("priority").agg(F.min("blocked_by").alias("blocked_by"))
 
 
+#: Characters at the beginning of a text, at most, that a question has to hold so that the whole text is looked for in it.
+BEGINS = 8
+
+
 def either_contains(questions: DataFrame, answers: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id_col, ord, answer): the first curated question that holds the text or is held by it.
 
     Curated questions are looked for in the texts, and the texts in the curated
-    questions, each in one pass; both kinds of hits are joined by equality.
+    questions, each in one pass; both kinds of hits are joined by equality. A text
+    in a question is no longer than the longest of them, and begins like some
+    piece of one: all other texts are left out before they are looked for, so that
+    what is looked for grows with the curated questions and not with the texts.
     """
     asked = questions.select(id_col, F.col(text_col).alias("__text"))
     own = answers.select("ord", "question", "answer")
     inside = with_hits(asked, "__text", own.select("question"), "__hits").select(id_col, F.explode("__hits").alias("question")).join(own, "question").select(id_col, "ord", "answer")
-    around = with_hits(own, "question", asked.select("__text"), "__hits").select("ord", "answer", F.explode("__hits").alias("__text")).join(asked, "__text").select(id_col, "ord", "answer")
+    longest = own.agg(F.max(F.length("question"))).first()[0] or 0
+    pieces = F.transform(F.sequence(F.lit(1), F.length("question")), lambda i: F.transform(F.sequence(F.lit(1), F.lit(BEGINS)), lambda n: F.substr("question", i, n)))
+    begins = own.where(F.length("question") > 0).select(F.explode(F.flatten(pieces)).alias("__begin")).distinct()
+    short = asked.where(F.length("__text") <= longest).withColumn("__begin", F.substring("__text", 1, BEGINS))
+    held = short.join(small(checkpointed(begins)), "__begin", "left_semi").unionByName(short.where("__begin = ''")).drop("__begin")
+    around = with_hits(own, "question", held.select("__text"), "__hits").select("ord", "answer", F.explode("__hits").alias("__text")).join(held, "__text").select(id_col, "ord", "answer")
     return inside.unionByName(around).groupBy(id_col).agg(F.min(F.struct("ord", "answer")).alias("b")).select(id_col, F.col("b.ord").alias("ord"), F.col("b.answer").alias("answer"))
 
 
@@ -293,9 +305,9 @@ DATED = r"\d{4}년\s*\d{1,2}월|\d{1,2}월\s*\d{1,2}일|\d{2}\.\d{2}"
 UNDATED = "[A-Za-z]{5,}|시즌|새 정 |분기"
 
 
-def latin_words(text: Column, least: int) -> Column:
-    """The runs of ``least`` Latin letters or more that no other letter, digit or underscore adjoins."""
-    return F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}_])[A-Za-z]{{{least},}}(?![\p{{L}}\p{{N}}_])"), F.lit(0))
+def latin_words(text: Column, least: int, beside: str = r"\p{L}\p{N}_") -> Column:
+    """The runs of ``least`` Latin letters or more that no character of ``beside``, any letter, digit or underscore, adjoins."""
+    return F.regexp_extract_all(text, F.lit(f"(?<![{beside}])[A-Za-z]{{{least},}}(?![{beside}])"), F.lit(0))
 
 
 def undated(text: Column, dated: str = DATED, garbage: str = UNDATED) -> Column:

@@ -60,3 +60,18 @@ def test_no_query_pairs_texts_with_rules(spark, sf_dir, name):
     # what is left without a key is one broadcast row
     assert "CartesianProduct" not in frame._jdf.queryExecution().executedPlan().toString() and len(loops) <= 1, plan
     assert frame.select(F.count(F.lit(1))).first()[0] > 0
+
+
+def test_texts_that_no_curated_question_can_hold_are_not_looked_for(spark, monkeypatch):
+    from lodeline.functions import rules
+
+    looked = []
+    real = rules.with_hits
+    monkeypatch.setattr(rules, "with_hits", lambda t, c, k, a: (looked.append(k), real(t, c, k, a))[1])
+    answers = spark.createDataFrame([(0, "what is the name of it", "a"), (1, "x", "b"), (2, "", "c"), (3, None, "d")], "ord int, question string, answer string")
+    texts = ["is the name", "name of us", "the", "it", "", None, "x" * 40, "thename of", "zzz", "is the nape", "what is the name of it"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    found = {r.i: r.ord for r in rules.either_contains(asked, answers, "i", "t").collect()}
+    held = [(o, q) for o, q in ((0, "what is the name of it"), (1, "x"), (2, "")) ]
+    assert found == {i: min(o for o, q in held if q in t or t in q) for i, t in enumerate(texts) if t is not None}
+    assert sorted(r[0] for r in looked[1].distinct().collect()) == ["", "is the name", "is the nape", "it", "name of us", "the", "what is the name of it"]
