@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodeline.functions.text import WORD, features, let, normalise
+from lodeline.functions.rules import small
+from lodeline.functions.text import WORD, compact, features, let, normalise, tokens
 from lodeline.operators.ordinals import numbered, within_key
 from lodeline.session import checkpointed, scratch
 
@@ -20,9 +25,67 @@ def gram_counts(docs: DataFrame, id_col: str, text_col: str, word: str = WORD) -
     return docs.select(id_col, F.explode(features(F.col(text_col), word)).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Characters whose grams a task sorts at once.
+BLOCK = 1 << 22
+
+
+def gram_totals(texts: list[str], shortest: int = 2, longest: int = 4) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Grams and how often they occur in all of some texts, for each length; grams don't cross texts."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+    known = np.zeros(0x110000, bool)
+    known[codes] = True
+    letters = np.flatnonzero(known).astype("<u4")
+    if not len(letters) or len(letters) ** longest >= 1 << 62:  # too many letters for one number a gram
+        for n in range(shortest, longest + 1):
+            held = Counter(t[i : i + n] for t in texts for i in range(len(t) - n + 1))
+            yield list(held), np.array(list(held.values()), np.int64)
+        return
+    place = np.zeros(0x110000, np.int64)
+    place[letters] = np.arange(len(letters))
+    own = place[codes]
+    lengths = np.fromiter(map(len, texts), np.int64, len(texts))
+    left = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(codes))
+    keys = own
+    for n in range(2, longest + 1):
+        keys = keys[:-1] * len(letters) + own[n - 1 :]
+        if n < shortest or not len(keys):
+            continue
+        found, counts = np.unique(keys[left[: len(keys)] >= n], return_counts=True)
+        digits = np.stack([found // len(letters) ** (n - 1 - k) % len(letters) for k in range(n)], axis=1) if len(found) else np.zeros((0, n), np.int64)
+        yield [b.decode("utf-32-le", "surrogatepass") for b in np.ascontiguousarray(letters[digits]).view(f"V{4 * n}").ravel().tolist()] if len(found) else [], counts
+
+
+def _label_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: dict = {}
+    size, kind = 0, None
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        for label, texts in held.items():
+            for grams, counts in gram_totals(texts):
+                yield pa.RecordBatch.from_arrays([pa.array([label] * len(grams), kind), pa.array(grams, pa.string()), pa.array(counts, pa.float64())], ["label", "gram", "w"])
+        held.clear()
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            held.setdefault(label, []).append(text)
+            size += len(text)
+            if size >= BLOCK:
+                yield from flush()
+                size = 0
+    yield from flush()
+
+
 def profiles(examples: DataFrame, label: str, id_col: str, text_col: str, lexicon: DataFrame | None = None, word: str = WORD) -> DataFrame:
-    """(label, gram, weight): the grams of a label's examples and, by weight, of its keywords (label, keyword, weight)."""
-    own = examples.select(F.col(label).alias("label"), F.explode(features(F.col(text_col), word)).alias("gram"), F.lit(1.0).alias("w"))
+    """(label, gram, weight): the grams of a label's examples and, by weight, of its keywords (label, keyword, weight).
+
+    The n-grams of blocks of texts are counted before a row is made of them; tokens, which count twice, are one row each.
+    """
+    kind = dict(examples.dtypes)[label]
+    texts = examples.select(F.col(label).alias("label"), compact(F.col(text_col)).alias("t")).where("t <> ''")
+    counted = texts.mapInArrow(_label_grams, f"label {kind}, gram string, w double")
+    words = examples.select(F.col(label).alias("label"), F.explode(tokens(normalise(F.col(text_col)), 1, word)).alias("gram"), F.lit(2.0).alias("w"))
+    own = counted.unionByName(words)
     if lexicon is not None:
         own = own.unionByName(lexicon.select("label", F.explode(features(F.col("keyword"), word)).alias("gram"), F.col("weight").alias("w")))
     return own.groupBy("label", "gram").agg(F.sum("w").alias("weight"))
@@ -30,9 +93,10 @@ def profiles(examples: DataFrame, label: str, id_col: str, text_col: str, lexico
 
 def similarity(grams: DataFrame, centroids: DataFrame, id_col: str) -> DataFrame:
     """(id_col, label, cosine) of documents' grams (id_col, gram, n) and profiles (label, gram, weight); pairs without a common gram are left out."""
+    centroids = checkpointed(centroids)
     own = grams.groupBy(id_col).agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("__a"))
     norm = centroids.groupBy("label").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("__b"))
-    dot = grams.join(centroids, "gram").groupBy(id_col, "label").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
+    dot = small(grams).join(centroids, "gram").groupBy(id_col, "label").agg(F.sum(F.col("n") * F.col("weight")).alias("dot"))
     return dot.join(own, id_col).join(F.broadcast(norm), "label").select(id_col, "label", (F.col("dot") / (F.col("__a") * F.col("__b"))).alias("cosine"))
 
 
@@ -80,14 +144,81 @@ def bounded_grams(text: Column, shortest: int = 2, longest: int = 5) -> Column:
     return F.flatten(F.transform(words, of_word))
 
 
+@lru_cache(1 << 15)
+def word_grams(word: str, shortest: int = 2, longest: int = 5) -> tuple[str, ...]:
+    """The substrings with ``shortest`` to ``longest`` characters of a word between two spaces, repeats included."""
+    held = f" {word} "
+    return tuple(held[i : i + n] for n in range(shortest, longest + 1) for i in range(len(held) - n + 1))
+
+
+def grams_of(text: str) -> dict[str, int]:
+    """How often a normalised text holds each gram of its words; grams never cross words."""
+    found: dict[str, int] = {}
+    for word, times in Counter(text.split(" ")).items():
+        for gram in word_grams(word) if word else ():
+            found[gram] = found.get(gram, 0) + times
+    return found
+
+
+#: Entries in an Arrow batch, and grams whose documents a task counts before it hands them on.
+ENTRIES, COUNTED = 200_000, 1 << 19
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(id_col, normalise(F.col(text_col)).alias("t")).where("t IS NOT NULL")
+
+
+def _rows(batches: Iterator[pa.RecordBatch], entries, names: list[str], kinds: list) -> Iterator[pa.RecordBatch]:
+    """Each text's id beside its entries: ``entries`` of its counts gives a list for each further column."""
+    ids, columns, kind = [], [[] for _ in kinds], None
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(ids, kind), *[pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]], names)
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for one, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = entries(grams_of(text))
+            ids += [one] * len(found[0])
+            for column, values in zip(columns, found, strict=True):
+                column += values
+            if len(ids) >= ENTRIES:
+                yield out()
+                ids, columns = [], [[] for _ in kinds]
+    if ids:
+        yield out()
+
+
 def bounded_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id_col, gram, n): how often each text holds each gram; ids are unique."""
-    return docs.select(id_col, F.explode(bounded_grams(F.col(text_col))).alias("gram")).groupBy(id_col, "gram").agg(F.count(F.lit(1)).alias("n"))
+    """(id_col, gram, n): how often each text holds each gram; ids are unique, so a text's grams are counted where it lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(batches, lambda c: (list(c), list(c.values())), [id_col, "gram", "n"], [pa.string(), pa.int64()])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, gram string, n bigint")
+
+
+def document_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(gram, df): in how many texts each gram is; each task adds up its own texts first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
+        for batch in batches:
+            for text in batch.column(1).to_pylist():
+                for gram in grams_of(text):
+                    held[gram] = held.get(gram, 0) + 1
+                if len(held) >= COUNTED:
+                    yield out()
+                    held = {}
+        yield out()
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("df"))
 
 
 def inverse_frequencies(counts: DataFrame, documents: int) -> DataFrame:
-    """(gram, df, idf): the smoothed logarithm of documents over those with the gram, plus one."""
-    df = counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    """(gram, df, idf) of counts (id, gram, n) or of frequencies (gram, df): the smoothed logarithm of documents over those with the gram, plus one."""
+    df = counts if "df" in counts.columns else counts.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
     return df.withColumn("idf", F.log((1.0 + F.lit(documents)) / (1.0 + F.col("df"))) + 1.0)
 
 
@@ -98,6 +229,28 @@ def gram_weights(counts: DataFrame, idf: DataFrame, id_col: str) -> DataFrame:
     return raw.join(size, id_col).withColumn("weight", F.col("raw") / F.col("__size")).drop("raw", "n", "df", "idf", "__size")
 
 
+#: Grams of a vocabulary that each task may hold; the texts of a larger one meet it by joins.
+HELD = 1 << 19
+
+
+def text_weights(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame) -> DataFrame:
+    """As gram_weights() of the texts' counts, but of a vocabulary of at most HELD grams in one pass over the texts, without a shuffle."""
+    idf = checkpointed(idf.select("gram", "idf"))
+    if idf.count() > HELD:
+        return gram_weights(checkpointed(bounded_counts(docs, id_col, text_col)), idf, id_col)
+    known = docs.sparkSession.sparkContext.broadcast({r.gram: r.idf for r in idf.collect()})
+
+    def weighed(counts: dict[str, int]) -> tuple[list, list]:
+        grams = [g for g in counts if g in known.value]
+        raw = np.array([(1.0 + np.log(counts[g])) * known.value[g] for g in grams])
+        return grams, (raw / np.sqrt((raw * raw).sum())).tolist() if grams else []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _rows(batches, weighed, [id_col, "gram", "weight"], [pa.string(), pa.float64()])
+
+    return _texts(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {dict(docs.dtypes)[id_col]}, gram string, weight double")
+
+
 @dataclass(frozen=True)
 class TextModel:
     """A vocabulary (gram, i, idf), its size, and a fitted regression over it."""
@@ -111,17 +264,21 @@ class TextModel:
 VOCABULARY = 1 << 18
 
 
-@F.udf(VectorUDT())
-def _sparse(size: int, entries: list) -> SparseVector:
-    return SparseVector(size, [e[0] for e in entries], [e[1] for e in entries])
+def _vectors(rows: DataFrame, text_col: str, vocabulary: DataFrame, size: int) -> DataFrame:
+    """``rows`` with x: the weights of each text's grams as a sparse vector; a text without a known gram has a zero vector.
+
+    The vocabulary, which is bounded as the coefficients are, goes to every task, and a text's vector is made where it lies.
+    """
+    known = rows.sparkSession.sparkContext.broadcast({r.gram: (r.i, r.idf) for r in vocabulary.select("gram", "i", "idf").collect()})
 
+    @F.udf(VectorUDT())
+    def vector(text: str | None) -> SparseVector:
+        counts = grams_of(text or "")
+        found = sorted((known.value[g][0], (1.0 + np.log(n)) * known.value[g][1]) for g, n in counts.items() if g in known.value)
+        raw = np.array([w for _, w in found])
+        return SparseVector(size, [i for i, _ in found], raw / np.sqrt((raw * raw).sum()) if found else raw)
 
-def _vectors(rows: DataFrame, id_col: str, text_col: str, vocabulary: DataFrame, size: int) -> DataFrame:
-    """(id_col, x): the weights of each text's grams as a sparse vector; a text without a known gram has a zero vector."""
-    weights = gram_weights(bounded_counts(rows, id_col, text_col), vocabulary, id_col)
-    held = weights.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("i", "weight"))).alias("e"))
-    none = F.array().cast("array<struct<i:int,weight:double>>")
-    return rows.select(id_col).join(held, id_col, "left").select(id_col, _sparse(F.lit(size), F.coalesce("e", none)).alias("x"))
+    return rows.withColumn("x", vector(normalise(F.col(text_col))))
 
 
 def text_pipeline(rows: DataFrame, label: str, id_col: str, text_col: str, c: float = 4.0, rounds: int = 1000, vocabulary: int = VOCABULARY) -> TextModel:
@@ -134,25 +291,25 @@ def text_pipeline(rows: DataFrame, label: str, id_col: str, text_col: str, c: fl
     """
     data = balanced_weight(rows.where(F.col(label).isNotNull()), label)
     count = data.count()
-    counts = checkpointed(bounded_counts(data, id_col, text_col))
-    idf = inverse_frequencies(counts, count)
+    idf = checkpointed(inverse_frequencies(document_frequencies(data, id_col, text_col), count))
     distinct = idf.count()
     if distinct > vocabulary:
         idf = idf.orderBy(F.desc("df"), "gram").limit(vocabulary)
     held = numbered(idf.select("gram", "idf"), ["gram"], "i").withColumn("i", F.col("i").cast("int"))
     size = max(min(distinct, vocabulary), 1)
-    x = checkpointed(data.select(id_col, F.col(label).cast("double").alias("label"), "weight").join(_vectors(data, id_col, text_col, held, size), id_col))
+    # the regression holds the vectors itself, so they aren't written
+    x = _vectors(data.select(F.col(label).cast("double").alias("label"), "weight", F.col(text_col).alias("__text")), "__text", held, size).select("label", "weight", "x")
     fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=rounds, tol=1e-8, regParam=1.0 / (c * max(count, 1)), standardization=False)
     # the fitted object holds a summary and through it the session, which tasks can't be sent once it has observed metrics; what is saved and read again doesn't
     with scratch(rows.sparkSession) as path:
         fit.fit(x).save(path)
-        return TextModel(held, size, LogisticRegressionModel.load(path))
+        regression = LogisticRegressionModel.load(path)
+        return TextModel(held, size, regression)
 
 
 def text_predict(model: TextModel, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``rows``, whose ids are unique, with the columns probability and prediction."""
-    said = model.regression.transform(_vectors(rows, id_col, text_col, model.vocabulary, model.size)).select(id_col, "probability", "prediction")
-    return rows.join(said, id_col)
+    return model.regression.transform(_vectors(rows, text_col, model.vocabulary, model.size)).select(*rows.columns, "probability", "prediction")
 
 
 def grid_search(rows: DataFrame, label: str, id_col: str, text_col: str, choices: Sequence[float], held_out: float = 0.1, seed: int = 42, **fit) -> tuple[float, dict[float, float]]:

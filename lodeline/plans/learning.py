@@ -79,8 +79,9 @@ c AS (SELECT tid, gram, count(*) AS n FROM g GROUP BY ALL), df AS (SELECT gram,
 @query(f"WITH {_WB}, r AS (SELECT tid, gram, (1.0 + ln(n)) * idf AS raw FROM c JOIN idf USING (gram)), s AS (SELECT tid, sqrt(sum(raw * raw)) AS size FROM r GROUP BY tid) SELECT tid, gram, round(raw / size, 9) AS weight FROM r JOIN s USING (tid)")
 def bounded_gram_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.expr("conv_id * 1000 + turn").alias("tid"), "text")
-    counts = checkpointed(classify.bounded_counts(spread(turns), "tid", "text"))
-    return classify.gram_weights(counts, classify.inverse_frequencies(counts, turns.count()), "tid").select("tid", "gram", F.round("weight", 9).alias("weight"))
+    turns = spread(turns)
+    idf = classify.inverse_frequencies(classify.document_frequencies(turns, "tid", "text"), turns.count())
+    return classify.text_weights(turns, "tid", "text", idf).select("tid", "gram", F.round("weight", 9).alias("weight"))
 
 
 @query()

@@ -123,3 +123,30 @@ def test_ordinals_of_a_crowded_key(spark):
     assert "Window" not in plan
     ids = ordinals.sequential_ids(df.limit(0), ["o"], 5, "x")
     assert ids.count() == 0 and ids.columns == ["k", "o", "id"]
+
+
+def test_grams_of_blocks_of_texts(spark):
+    rng = random.Random(5)
+    texts = ["".join(rng.choices("abcé가😀", k=n)) for n in (0, 1, 2, 3, 4, 50)]
+    wide = ["".join(map(chr, range(0x4E00, 0x4E00 + 20_000))) + "".join(map(chr, range(0xAC00, 0xAC00 + 11_000))) + "".join(map(chr, range(0x20000, 0x20000 + 10_000)))]
+    for held in (texts, wide):
+        found = {}
+        for grams, counts in classify.gram_totals(held):
+            assert len(set(grams)) == len(grams)
+            found |= dict(zip(grams, counts.tolist(), strict=True))
+        assert found == Counter(t[i : i + n] for t in held for n in (2, 3, 4) for i in range(len(t) - n + 1))
+    rows = spark.createDataFrame([("x", 1, "Ab ab"), (None, 2, "ab"), ("x", 3, None), ("x", 4, "  ")], "label string, id int, t string")
+    found = {(r.label, r.gram): r.weight for r in classify.profiles(rows, "label", "id", "t").collect()}
+    assert found == {("x", "ab"): 6.0, ("x", "ba"): 1.0, ("x", "aba"): 1.0, ("x", "bab"): 1.0, ("x", "abab"): 1.0, (None, "ab"): 3.0}
+
+
+def test_weights_in_one_pass_and_by_joins_agree(spark, monkeypatch):
+    rows = spark.createDataFrame([(1, "ab  AB cde"), (2, "cde 가나"), (3, ""), (4, None), (5, "😀x x")], "id int, t string")
+    told = lambda: {(r.id, r.gram): round(r.weight, 9) for r in classify.text_weights(rows, "id", "t", idf).collect()}
+    idf = classify.inverse_frequencies(classify.document_frequencies(rows, "id", "t"), 5)
+    plan = classify.text_weights(rows, "id", "t", idf)._jdf.queryExecution().toString()
+    held = told()
+    monkeypatch.setattr(classify, "HELD", 0)
+    assert held and held == told() and "Exchange" not in plan
+    counts = rows.select("id", F.explode(classify.bounded_grams(F.col("t"))).alias("gram")).groupBy("id", "gram").count()
+    assert sorted(map(tuple, classify.bounded_counts(rows, "id", "t").collect())) == sorted(map(tuple, counts.collect()))
