@@ -7,9 +7,14 @@ limit, so that each task keeps no more than the best rows of each query.
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import WORD, tokens
@@ -70,19 +75,131 @@ def ranked(df: DataFrame, group: str | list[str], score: str, tie: str, most: in
     return df.withColumn(as_, F.row_number().over(w) - 1).where(F.col(as_) < most)
 
 
-def bm25(found: Index, queries: DataFrame, query_id: str, query_text: str, most: int = 15, word: str = WORD, least: int = 2) -> DataFrame:
-    """(query_id, category, id, score, rank): the best documents of each category for each query, those that score above 0."""
-    asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text), least, word)).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("times"))
+#: Terms by queries of a category, at most, whose weights a task holds; more are joined. Documents scored at once.
+WEIGHTS, DOCUMENTS = 1 << 23, 1024
+
+
+@dataclass(frozen=True)
+class Asked:
+    """What a category's documents are asked: the weight of each term in each query, and the category's mean length."""
+
+    queries: list
+    terms: dict[str, int]
+    weights: np.ndarray
+    avgdl: float
+
+    def scores(self, documents: list[list[str] | None]) -> np.ndarray:
+        """The score of each document for each query."""
+        out = np.zeros((len(documents), len(self.queries)))
+        for i, held in enumerate(documents):
+            counts = Counter(map(self.terms.get, held or ()))
+            counts.pop(None, None)
+            if counts:
+                at, tf = np.fromiter(counts, np.int64, len(counts)), np.fromiter(counts.values(), np.float64, len(counts))
+                out[i] = (tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(held) / self.avgdl))) @ self.weights[at]
+        return out
+
+
+class Top:
+    """Of scores that come document by document those that may be among the ``most`` best of their query, equals after rounding included."""
+
+    def __init__(self, queries: int, most: int):
+        self.best = np.zeros((queries, most))
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.ids: list = []
+        self.kept = 0
+
+    def floor(self) -> np.ndarray:
+        return self.best.min(axis=1) - 10.0**-DECIMALS
+
+    def see(self, scores: np.ndarray, ids: list) -> None:
+        most = self.best.shape[1]
+        self.best = -np.partition(-np.concatenate((self.best, scores.T), axis=1), most - 1, axis=1)[:, :most]
+        at, query = np.nonzero((scores > 0) & (scores >= self.floor()))
+        self.held.append((query, at + len(self.ids), scores[at, query]))
+        self.ids += ids
+        if len(self.ids) >= 2 * self.kept + 20_000:
+            self.prune()
+
+    def prune(self) -> tuple[np.ndarray, np.ndarray]:
+        query, at, score = map(np.concatenate, zip(*self.held, strict=True))
+        ok = score >= self.floor()[query]
+        used, at = np.unique(at[ok], return_inverse=True)
+        self.ids, self.held, self.kept = [self.ids[i] for i in used.tolist()], [(query[ok], at, score[ok])], len(used)
+        return self.held[0]
+
+
+def _best_scored(found: Index, asked: DataFrame, idf: DataFrame, most: int) -> DataFrame | None:
+    """(query_id, category, id, score) of what may be among the best, from one pass over the documents; None if the weights are more than a task is to hold.
+
+    ``asked`` is (query_id, category, term, times), a null category standing for
+    every one, ``idf`` (category, term, idf) of the terms asked: both grow with the queries.
+    """
+    if asked.count() > WEIGHTS:
+        return None
+    lines, lengths = asked.collect(), {r.category: r.avgdl for r in collection(found).collect()}
+    known = {(r.category, r.term): r.idf for r in idf.collect()}
+    shared: dict = {}
+    for category, avgdl in lengths.items():
+        own = [r for r in lines if r.category in (None, category) and (category, r.term) in known]
+        queries, terms = ({v: i for i, v in enumerate(dict.fromkeys(values))} for values in ((r.query_id for r in own), (r.term for r in own)))
+        if len(queries) * len(terms) > WEIGHTS:
+            return None
+        weights = np.zeros((len(terms), len(queries)))
+        for r in own:
+            weights[terms[r.term], queries[r.query_id]] = known[category, r.term] * r.times
+        if own:
+            shared[category] = Asked(list(queries), terms, weights, avgdl)
+    sent = found.held.sparkSession.sparkContext.broadcast(shared)
+    kinds = dict(asked.dtypes)["query_id"], dict(found.held.dtypes)["category"], dict(found.held.dtypes)["id"]
+    query_kind = to_arrow_type(asked.schema["query_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops: dict = {}
+        types: list = []
+        for batch in batches:
+            types = [f.type for f in batch.schema]
+            for low in range(0, batch.num_rows, DOCUMENTS):
+                part = batch.slice(low, DOCUMENTS)
+                rows: dict = {}
+                for i, category in enumerate(part.column(0).to_pylist()):
+                    if category in sent.value:
+                        rows.setdefault(category, []).append(i)
+                for category, at in rows.items():
+                    own = part.take(pa.array(at))
+                    top = tops.setdefault(category, Top(len(sent.value[category].queries), most))
+                    top.see(sent.value[category].scores(own.column(2).to_pylist()), own.column(1).to_pylist())
+        for category, top in tops.items():
+            query, at, score = top.prune()
+            names = sent.value[category].queries
+            yield pa.RecordBatch.from_arrays([pa.array([names[q] for q in query.tolist()], query_kind), pa.array([category] * len(query), types[0]), pa.array([top.ids[i] for i in at.tolist()], types[1]), pa.array(score)], ["query_id", "category", "id", "score"])
+
+    return found.held.where("category IS NOT NULL").select("category", "id", "terms").mapInArrow(run, f"query_id {kinds[0]}, category {kinds[1]}, id {kinds[2]}, score double")
+
+
+def bm25(found: Index, queries: DataFrame, query_id: str, query_text: str, most: int = 15, word: str = WORD, least: int = 2, category: str | None = None) -> DataFrame:
+    """(query_id, category, id, score, rank): the best documents of each category for each query, those that score above 0.
+
+    With ``category``, a column of the queries, the documents of a query's own
+    category alone are scored. A task scores its documents for all queries and
+    hands on those that may be among the best, so that no posting is shuffled.
+    """
+    mine = (F.col(category) if category else F.lit(None)).cast(dict(found.held.dtypes)["category"]).alias("category")
+    asked = queries.where(F.col(category).isNotNull() if category else F.lit(True)).select(F.col(query_id).alias("query_id"), mine, F.explode(tokens(F.col(query_text), least, word)).alias("term")).groupBy("query_id", "category", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = small(checkpointed(asked))
     terms = small(asked.select("term").distinct())
+    idf = checkpointed(inverse_frequencies(found).join(terms, "term", "left_semi"))
+    best = _best_scored(found, asked, idf, most)
+    if best is not None:
+        return ranked(best.withColumn("score", F.round("score", DECIMALS)), ["query_id", "category"], "score", "id", most).where("score > 0")
     weighed = (
         found.postings(terms)
-        .join(inverse_frequencies(found).join(terms, "term", "left_semi"), ["category", "term"])
+        .join(idf, ["category", "term"])
         .join(found.stats, ["category", "id"])
         .join(F.broadcast(collection(found).select("category", "avgdl")), "category")
     )
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    scored = weighed.select("category", "id", "term", part.alias("part")).join(asked, "term").groupBy("query_id", "category", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), DECIMALS).alias("score"))
+    scored = weighed.select("category", "id", "term", part.alias("part")).join(asked.withColumnRenamed("category", "__own"), "term").where("__own IS NULL OR __own = category").groupBy("query_id", "category", "id").agg(F.round(F.sum(F.col("part") * F.col("times")), DECIMALS).alias("score"))
     return ranked(scored, ["query_id", "category"], "score", "id", most).where("score > 0")
 
 

@@ -33,8 +33,7 @@ def title(text: Column) -> Column:
 def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.index(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "lang")
     q = questions(spark, sf_dir)
-    own = q.select(F.col("item_id").alias("query_id"), "category")
-    return retrieval.bm25(found, q, "item_id", "text").join(F.broadcast(own), ["query_id", "category"])
+    return retrieval.bm25(found, q, "item_id", "text", category="category")
 
 
 def _dense(spark: SparkSession, sf_dir: str) -> DataFrame:

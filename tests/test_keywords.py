@@ -75,3 +75,33 @@ def test_texts_that_no_curated_question_can_hold_are_not_looked_for(spark, monke
     held = [(o, q) for o, q in ((0, "what is the name of it"), (1, "x"), (2, "")) ]
     assert found == {i: min(o for o, q in held if q in t or t in q) for i, t in enumerate(texts) if t is not None}
     assert sorted(r[0] for r in looked[1].distinct().collect()) == ["", "is the name", "is the nape", "it", "name of us", "the", "what is the name of it"]
+
+
+def test_documents_are_scored_in_their_tasks_as_by_joins(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(30)]
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(words, k=rng.randint(0, 12))) if i % 9 else None, rng.choice(["a", "b", None])) for i in range(400)], "i int, t string, c string").repartition(5)
+    asked = spark.createDataFrame([(q, " ".join(rng.choices(words, k=4)), rng.choice(["a", "b", None, "z"])) for q in range(20)], "q int, t string, c string")
+    found = retrieval.index(docs, "i", "t", "c")
+
+    def told(category):
+        rows = retrieval.bm25(found, asked, "q", "t", 3, category=category)
+        return sorted((r.query_id, r.category, r.id, round(r.score, 5), r["rank"]) for r in rows.collect())
+
+    monkeypatch.setattr(retrieval, "DOCUMENTS", 7)
+    here = told(None), told("c")
+    plan = retrieval.bm25(found, asked, "q", "t", 3, category="c")._jdf.queryExecution().toString()
+    monkeypatch.setattr(retrieval, "WEIGHTS", 0)
+    assert here == (told(None), told("c")) and here[1] and "MapInArrow" in plan
+    category = {r.q: r.c for r in asked.collect()}
+    assert here[1] == [r for r in here[0] if r[1] == category[r[0]]]
+
+
+def test_scores_that_are_no_longer_among_the_best_go():
+    import numpy as np
+
+    top = retrieval.Top(1, 2)
+    for i in range(100_000 // 1000):
+        top.see(np.full((1000, 1), float(i % 7)), list(range(1000 * i, 1000 * i + 1000)))
+    query, at, score = top.prune()
+    assert set(score.tolist()) == {6.0} and len(at) == len(top.ids) == 14_000
