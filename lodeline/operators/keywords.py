@@ -15,7 +15,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lodeline.session import checkpointed
+from lodeline.session import bounded_batches, checkpointed
 
 #: Bytes of keywords in one automaton, a few dozen times as much when it is built, and texts that meet it in one task.
 MOST_BYTES, TEXTS = 4 << 20, 10_000
@@ -92,6 +92,7 @@ def with_hits(texts: DataFrame, text_col: str, keywords: DataFrame, as_: str = "
     has null, null keywords are left out, an empty keyword is in every text, and
     repeated rows each have their hits.
     """
+    bounded_batches(texts.sparkSession)
     words = keywords.select(F.col(keywords.columns[0]).alias("k")).where("k IS NOT NULL").distinct()
     # the size is taken first: a table of any size is read for it, but none is collected above the bound
     size, count = words.agg(F.sum(F.octet_length("k") + 8), F.count(F.lit(1))).first()

@@ -16,6 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.functions.text import any_in, clipped, let, strip
+from lodeline.session import bounded_batches
 
 #: Elements without content; elements that open where one of the same group is open close it, up to a limit.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -85,6 +86,7 @@ class _Builder(HTMLParser):
 
 def with_tree(pages: DataFrame, html: str, as_: str = "tree", dropped: Sequence[str] = DROPPED) -> DataFrame:
     """``pages`` with the tree of a column, without the texts of some elements; a null or empty page has an empty tree."""
+    bounded_batches(pages.sparkSession)
     names, hidden = [p.split(" ")[0] for p in TREE.split(", ")], tuple(dropped)
 
     @F.pandas_udf(TREE)

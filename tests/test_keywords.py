@@ -105,3 +105,16 @@ def test_scores_that_are_no_longer_among_the_best_go():
         top.see(np.full((1000, 1), float(i % 7)), list(range(1000 * i, 1000 * i + 1000)))
     query, at, score = top.prune()
     assert set(score.tolist()) == {6.0} and len(at) == len(top.ids) == 14_000
+
+
+def test_texts_meet_python_in_bounded_batches(spark, monkeypatch):
+    from lodeline import session
+    from lodeline.operators import pagetree
+
+    words, texts = spark.createDataFrame([("a",)], "k string"), spark.createDataFrame([("a",)], "t string")
+    for make in (lambda: keywords.with_hits(texts, "t", words), lambda: pagetree.with_tree(texts, "t")):
+        for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"):
+            spark.conf.unset(key)
+        make()
+        sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 0) if b.num_rows <= session.BATCH_ROWS else b for b in batches), "id long")
+        assert sizes.count() == 0
