@@ -8,9 +8,11 @@ chunk once, and no task and no driver holds more than one chunk.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import ahocorasick
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -19,6 +21,8 @@ from lodeline.session import bounded_batches, checkpointed
 
 #: Bytes of keywords in one automaton, a few dozen times as much when it is built, and texts that meet it in one task.
 MOST_BYTES, TEXTS = 4 << 20, 10_000
+#: Words by queries, at most, whose times a task holds; more are joined. Texts by words, at most, that are summed up at once.
+TIMES, CELLS = 1 << 22, 1 << 20
 
 
 class Automaton:
@@ -100,3 +104,36 @@ def with_hits(texts: DataFrame, text_col: str, keywords: DataFrame, as_: str = "
         held = sorted(r.k for r in words.limit(count).collect())
         return texts.withColumn(as_, held_keywords(texts.sparkSession, held, F.col(text_col)))
     return _in_chunks(texts, text_col, words, -(-size // MOST_BYTES), as_)
+
+
+@dataclass(frozen=True)
+class Times:
+    """How often each query asks each word, so that a text's hits give its sum for every query in one product."""
+
+    queries: list
+    words: dict[str, int]
+    times: np.ndarray
+
+    @classmethod
+    def of(cls, asked: Iterable[tuple]) -> Times:
+        """The times of (query, word, times)."""
+        asked = list(asked)
+        queries, words = ({v: i for i, v in enumerate(dict.fromkeys(row[at] for row in asked))} for at in (0, 1))
+        times = np.zeros((len(words), len(queries)))
+        for query, word, n in asked:
+            times[words[word], queries[query]] += n
+        return cls(list(queries), words, times)
+
+    @property
+    def texts(self) -> int:
+        """How many texts are summed up at once."""
+        return max(1, CELLS // max(1, len(self.words)))
+
+    def sums(self, *weighed: tuple[int, list[list[str] | None]]) -> np.ndarray:
+        """For texts and queries the sum of the times of the words held, those of each list of hits with its weight."""
+        held = np.zeros((len(weighed[0][1]), len(self.words)))
+        for weight, hits in weighed:
+            for i, own in enumerate(hits):
+                at = [j for j in map(self.words.get, own or ()) if j is not None]
+                held[i, at] += weight
+        return held @ self.times

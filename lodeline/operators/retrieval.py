@@ -18,7 +18,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import WORD, tokens
-from lodeline.operators.keywords import with_hits
+from lodeline.operators import keywords
+from lodeline.operators.keywords import Times, with_hits
 from lodeline.session import checkpointed
 
 #: Constants of Okapi BM25 and of rank fusion.
@@ -221,22 +222,61 @@ def fuse(dense: DataFrame, sparse: DataFrame) -> DataFrame:
     return part(dense, DENSE).unionByName(part(sparse, SPARSE)).groupBy("query_id", "id").agg(F.sum("part").alias("score"))
 
 
+def _titles_counted(titles: DataFrame, asked: DataFrame, least: int) -> DataFrame | None:
+    """(query_id, id, n) of title_hits from one pass over the titles (id, category, held); None if the times asked are more than a task is to hold."""
+    known = asked.where("category IS NOT NULL")
+    # the terms by the queries of every category, before anything is collected
+    sizes = known.groupBy("category").agg((F.count_distinct("term") * F.count_distinct(F.struct("query_id"))).alias("cells"))
+    if (sizes.agg(F.sum("cells")).first()[0] or 0) > keywords.TIMES:
+        return None
+    lines: dict = {}
+    for r in known.collect():
+        lines.setdefault(r.category, []).append((r.query_id, r.term, r.times))
+    sent = titles.sparkSession.sparkContext.broadcast({category: Times.of(own) for category, own in lines.items()})
+    kinds = dict(asked.dtypes)["query_id"], dict(titles.dtypes)["id"]
+    query_kind = to_arrow_type(asked.schema["query_id"].dataType)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: dict = {}
+            for i, category in enumerate(batch.column(0).to_pylist()):
+                if category in sent.value:
+                    rows.setdefault(category, []).append(i)
+            for category, at in rows.items():
+                wanted = sent.value[category]
+                for low in range(0, len(at), wanted.texts):
+                    part = batch.take(pa.array(at[low : low + wanted.texts]))
+                    n = wanted.sums((1, part.column(2).to_pylist()))
+                    text, query = np.nonzero(n >= max(least, 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(wanted.queries, query_kind).take(pa.array(query)), part.column(1).take(pa.array(text)), pa.array(n[text, query].astype(np.int64))], ["query_id", "id", "n"])
+
+    return titles.select("category", "id", "held").mapInArrow(run, f"query_id {kinds[0]}, id {kinds[1]}, n bigint")
+
+
 def title_hits(docs: DataFrame, queries: DataFrame, id_col: str, title: str, query_id: str, query_text: str, least: int = 2, word: str = WORD, category: tuple[str, str] | None = None) -> DataFrame:
     """(query_id, id, n): documents whose title holds so many of a query's terms, repeated terms counted each time.
 
     With ``category``, the columns of documents and of queries that must agree,
     documents meet the queries of their own alone. The terms that a title holds
-    anywhere in it, parts of words included, are found in one pass over the title.
-    If a query's terms in the order of how many titles hold them, the rarest
-    first, are left out one by one until fewer than ``least`` repeats are left, a
-    hit holds one of those: only titles that do are counted.
+    anywhere in it, parts of words included, are found in one pass over the title,
+    and a task counts them for all queries at once.
     """
     own = lambda c: (F.col(c) if c else F.lit(0)).alias("category")
     mine, wanted = category or (None, None)
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(tokens(F.col(query_text), 2, word)).alias("term"), own(wanted)).groupBy("query_id", "category", "term").agg(F.count(F.lit(1)).alias("times"))
     asked = checkpointed(asked)
-    titles = with_hits(docs.select(F.col(id_col).alias("id"), F.lower(title).alias("title"), own(mine)), "title", asked.select("term"), "held").where(F.size("held") > 0)
-    titles = checkpointed(titles.select("id", "category", "held"))
+    titles = with_hits(docs.select(F.col(id_col).alias("id"), F.lower(title).alias("title"), own(mine)), "title", asked.select("term"), "held").select("id", "category", "held")
+    counted = _titles_counted(titles, asked, least)
+    return _titles_joined(checkpointed(titles.where(F.size("held") > 0)), asked, least) if counted is None else counted
+
+
+def _titles_joined(titles: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """As _titles_counted, for more queries than a task is to hold.
+
+    If a query's terms in the order of how many titles hold them, the rarest
+    first, are left out one by one until fewer than ``least`` repeats are left, a
+    hit holds one of those: only titles that do are counted.
+    """
     postings = titles.select("id", "category", F.explode("held").alias("term"))
     known = asked.join(postings.groupBy("category", "term").agg(F.count(F.lit(1)).alias("df")), ["category", "term"])
     ordered = known.groupBy("query_id", "category").agg(F.sort_array(F.collect_list(F.struct("df", "term", "times"))).alias("terms")).where(F.aggregate("terms", F.lit(0).cast("bigint"), lambda n, t: n + t["times"]) >= least)

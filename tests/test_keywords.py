@@ -118,3 +118,19 @@ def test_texts_meet_python_in_bounded_batches(spark, monkeypatch):
         make()
         sizes = spark.range(0, 3000, 1, 1).mapInArrow(lambda batches: (b.slice(0, 0) if b.num_rows <= session.BATCH_ROWS else b for b in batches), "id long")
         assert sizes.count() == 0
+
+
+def test_titles_are_counted_in_their_tasks_as_by_joins(spark, monkeypatch):
+    rng = random.Random(6)
+    terms = [f"t{i}" for i in range(12)]
+    docs = spark.createDataFrame([(i % 180, " ".join(rng.choices(terms, k=rng.randint(0, 9))) if i % 7 else None, rng.choice(["x", "y", None])) for i in range(200)], "id int, title string, kind string").repartition(3)
+    asked = spark.createDataFrame([(i, " ".join(rng.choices(terms, k=rng.randint(0, 12))), rng.choice(["x", "y", None, "z"])) for i in range(40)], "qid int, text string, cat string")
+    of = lambda least: retrieval.title_hits(docs, asked, "id", "title", "qid", "text", least, category=("kind", "cat"))
+    told = lambda: [sorted(map(tuple, of(least).collect())) for least in (1, 2, 3)]
+    monkeypatch.setattr(keywords, "CELLS", 40)
+    here = told()
+    # no title meets a candidate query in a row of its own
+    assert "Join" not in of(3)._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(keywords, "TIMES", 0)
+    assert here == told() and here[2]
+    assert retrieval.title_hits(docs, asked.limit(0), "id", "title", "qid", "text").count() == 0
