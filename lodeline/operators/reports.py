@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lodeline.functions.text import any_in, strip
-from lodeline.operators.keywords import with_hits
+from lodeline.operators import keywords as hits
+from lodeline.operators.keywords import Times, with_hits
 from lodeline.session import checkpointed
 
 
@@ -131,22 +135,73 @@ def keywords(question: Column, stop: Sequence[str], word: str = "[가-힣A-Za-z0
     return F.filter(F.regexp_extract_all(question, F.lit(f"{word}{{2,}}"), F.lit(0)), lambda w: ~w.isin(*stop))
 
 
+def _topics(questions: DataFrame, notices: DataFrame, question_id: str, words: str, notice_id: str, title: str, content: str) -> tuple[DataFrame, DataFrame]:
+    """How often each question asks each word (q, word, times), and the words that each notice holds (n, in_t, in_c)."""
+    asked = questions.select(F.col(question_id).alias("q"), F.explode(words).alias("word")).groupBy("q", "word").agg(F.count(F.lit(1)).alias("times"))
+    asked = checkpointed(asked)
+    text = notices.select(F.col(notice_id).alias("n"), F.col(title).alias("t"), F.col(content).alias("c"))
+    return asked, with_hits(with_hits(text, "t", asked.select("word"), "in_t"), "c", asked.select("word"), "in_c").select("n", "in_t", "in_c")
+
+
+def _topic_joined(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(q, n, score) of all questions and notices that score above 0."""
+    points = lambda words, p: F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(p).alias("p")))
+    found = held.select("n", F.explode(F.concat(points(F.col("in_t"), 2), points(F.col("in_c"), 1))).alias("f")).select("n", "f.word", "f.p")
+    return found.join(asked, "word").groupBy("q", "n").agg(F.sum(F.col("p") * F.col("times")).cast("bigint").alias("score"))
+
+
 def topic_scores(questions: DataFrame, notices: DataFrame, question_id: str, words: str, notice_id: str, title: str, content: str) -> DataFrame:
     """(question_id, notice_id, score): 2 for each keyword in the title and 1 for each in the content, scores above 0 alone.
 
     Each notice is searched once for all keywords, and the keywords it holds are
     joined with the questions that ask them, repeated ones counted each time.
     """
-    asked = questions.select(F.col(question_id).alias("q"), F.explode(words).alias("word")).groupBy("q", "word").agg(F.count(F.lit(1)).alias("times"))
-    asked = checkpointed(asked)
-    text = notices.select(F.col(notice_id).alias("n"), F.col(title).alias("t"), F.col(content).alias("c"))
-    held = with_hits(with_hits(text, "t", asked.select("word"), "in_t"), "c", asked.select("word"), "in_c")
-    points = lambda words, p: F.transform(F.coalesce(words, F.array().cast("array<string>")), lambda w: F.struct(w.alias("word"), F.lit(p).alias("p")))
-    found = held.select("n", F.explode(F.concat(points(F.col("in_t"), 2), points(F.col("in_c"), 1))).alias("f")).select("n", "f.word", "f.p")
-    scored = found.join(asked, "word").groupBy("q", "n").agg(F.sum(F.col("p") * F.col("times")).cast("bigint").alias("score"))
+    scored = _topic_joined(*_topics(questions, notices, question_id, words, notice_id, title, content))
     return scored.select(F.col("q").alias(question_id), F.col("n").alias(notice_id), "score")
 
 
+def topic_search(questions: DataFrame, notices: DataFrame, question_id: str, words: str, notice_id: str, title: str, content: str) -> DataFrame:
+    """(question_id, notice_id, score): topic_best of topic_scores, for notices with distinct ids.
+
+    A task scores its notices for all questions, keeps the best of each question
+    and hands on these alone: neither its memory nor what is shuffled grows with
+    the notices. Questions of more than keywords.TIMES words by questions go by joins.
+    """
+    asked, held = _topics(questions, notices, question_id, words, notice_id, title, content)
+    asked = asked.where("word IS NOT NULL")
+    cells = asked.agg(F.count_distinct("word") * F.count_distinct(F.struct("q"))).first()[0]
+    scored = _topic_joined(asked, held) if cells > hits.TIMES else _best_in_tasks(asked, held)
+    return topic_best(scored.select(F.col("q").alias(question_id), F.col("n").alias(notice_id), "score"), question_id, notice_id)
+
+
+def _best_in_tasks(asked: DataFrame, held: DataFrame) -> DataFrame:
+    """(q, n, score): of each task's notices (n, in_t, in_c) the best for each question, of equals the first."""
+    wanted = Times.of(asked.select("q", "word", "times").collect())
+    sent = held.sparkSession.sparkContext.broadcast(wanted)
+    kinds = dict(asked.dtypes)["q"], dict(held.dtypes)["n"]
+    arrow = to_arrow_type(asked.schema["q"].dataType), to_arrow_type(held.schema["n"].dataType)
+    place = lambda n: (n is not None, n)  # noqa: E731 - nulls first, as Spark orders them
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        best, first = np.zeros(len(wanted.queries)), [None] * len(wanted.queries)
+        for batch in batches:
+            for low in range(0, batch.num_rows, wanted.texts):
+                ids, in_t, in_c = (column.to_pylist() for column in batch.slice(low, wanted.texts).columns)
+                order = sorted(range(len(ids)), key=lambda i: place(ids[i]))
+                scores = wanted.sums((2, [in_t[i] for i in order]), (1, [in_c[i] for i in order]))
+                at = scores.argmax(axis=0)
+                top = scores[at, np.arange(len(best))]
+                for q in np.nonzero((top > 0) & (top >= best))[0].tolist():
+                    mine = ids[order[at[q]]]
+                    if top[q] > best[q] or place(mine) < place(first[q]):
+                        best[q], first[q] = top[q], mine
+        found = np.nonzero(best)[0].tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([wanted.queries[q] for q in found], arrow[0]), pa.array([first[q] for q in found], arrow[1]), pa.array(best[found].astype(np.int64))], ["q", "n", "score"])
+
+    return held.mapInArrow(run, f"q {kinds[0]}, n {kinds[1]}, score bigint")
+
+
 def topic_best(scores: DataFrame, question_id: str, notice_id: str) -> DataFrame:
     """The best notice of each question, the first of equals."""
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col(notice_id).alias("o")))

@@ -67,7 +67,7 @@ _SC = f"WITH q AS ({_KW}), n AS (SELECT doc_id, string_split(text, chr(10))[1] A
 def _topic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     q = table(spark, sf_dir, "benchmark").select("item_id", reports.keywords(F.col("text"), STOP, "[a-zA-Z]").alias("kw"))
     n = spread(table(spark, sf_dir, "documents")).select("doc_id", F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("content"))
-    return q, n, checkpointed(reports.topic_best(reports.topic_scores(q, n, "item_id", "kw", "doc_id", "title", "content"), "item_id", "doc_id"))
+    return q, n, checkpointed(reports.topic_search(q, n, "item_id", "kw", "doc_id", "title", "content"))
 
 
 @query(f"{_SC} SELECT item_id, doc_id, score::BIGINT AS score FROM b")

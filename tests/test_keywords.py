@@ -134,3 +134,22 @@ def test_titles_are_counted_in_their_tasks_as_by_joins(spark, monkeypatch):
     monkeypatch.setattr(keywords, "TIMES", 0)
     assert here == told() and here[2]
     assert retrieval.title_hits(docs, asked.limit(0), "id", "title", "qid", "text").count() == 0
+
+
+def test_topics_are_scored_in_their_tasks_as_by_joins(spark, monkeypatch):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(15)]
+    said = lambda: rng.choice([None, " ".join(rng.choices(words, k=rng.randint(0, 6)))])
+    notices = spark.createDataFrame([(rng.choice("ab") + str(i), said(), said()) for i in range(150)] + [(None, "w1", "w1")], "id string, title string, content string").repartition(4)
+    questions = spark.createDataFrame([(q, rng.choices(words, k=rng.randint(0, 5))) for q in range(30)] + [(99, ["none"]), (98, None)], "q int, words array<string>")
+    args = (questions, notices, "q", "words", "id", "title", "content")
+    monkeypatch.setattr(keywords, "CELLS", 60)
+    frame = reports.topic_search(*args)
+    # a task hands on the best of each question: words held meet no question in rows
+    assert "Generate" not in frame._jdf.queryExecution().executedPlan().toString()
+    here = sorted(map(tuple, frame.collect()), key=repr)
+    assert here == sorted(map(tuple, reports.topic_best(reports.topic_scores(*args), "q", "id").collect()), key=repr) and here
+    monkeypatch.setattr(keywords, "TIMES", 0)
+    assert here == sorted(map(tuple, reports.topic_search(*args).collect()), key=repr)
+    monkeypatch.undo()
+    assert reports.topic_search(questions.limit(0), *args[1:]).count() == 0 == reports.topic_search(questions, notices.limit(0), *args[2:]).count()
