@@ -38,6 +38,33 @@ def test_layers_last_wins_and_suffix_order(spark):
     assert {r.id: r.layer for r in both.collect()} == {"p": "realtime", "p_1": "realtime", "p_2": "realtime"}
 
 
+def test_a_text_is_cleaned_once(spark):
+    texts = ["note x\n " + "a  b\t" * 60, "token " * 40, "auf " * 50, "note x", "", None, "token" + "!! " * 60, "token!! " * 3 + "z" * 150, " token" + "q" * 145, "token" + "q" * 144]
+    docs = [(i, f"k{i // 2}", (None, "en", "de", "es")[i % 4], "t", t) for i, t in enumerate(texts * 4)]
+    passes = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            passes.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame(docs, "ord int, id string, category string, title string, content string").repartition(3)
+    words = {"en": ["token"], "de": ["auf"], "es": []}
+    found = kb.admitted(rows.mapInArrow(counted, rows.schema), kb.STATIC, ["note[^\n]*"], "!!", words).collect()
+
+    def clean(text):
+        return " ".join("".join(line + "\n" for line in ("" if line.startswith("note") else line for line in (text or "").split("\n"))).split())
+
+    held = [(i, k, c, clean(t)) for i, k, c, _, t in docs]
+    held = [(i, k, c, t) for i, k, c, t in held if len(t) >= 150 and t.count("!!") / max(len(t) / 1000, 1) <= 2.5 and (not words.get(c) or any(w in t for w in words[c]))]
+    first = {k: min(i for i, own, _, _ in held if own == k) for _, k, _, _ in held}
+    assert sorted((r.ord, r.id, r.category, r.content) for r in found) == [(i, k if first[k] == i else f"{k}_{i}", c, t) for i, k, c, t in held] and held
+    assert passes.value == len(docs)
+    # one expression for what is inline, one for white space
+    plan = kb.admitted(rows, kb.CURATED, ["note[^\n]*"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") == 2
+
+
 def test_merge_keeps_places(spark):
     old = spark.createDataFrame([("a", 0, 1), ("b", 1, 1)], "url string, ord int, v int")
     new = spark.createDataFrame([("b", 0, 2), ("c", 1, 2)], "url string, ord int, v int")
