@@ -1,9 +1,9 @@
-"""Pages as trees: elements and texts with their places, so that containers are ranges and parsers are expressions.
+"""Pages as trees: elements and texts in their order, so that containers are ranges and parsers are expressions.
 
-An element's place is where it opens and where it closes in the page's order of
-events; it holds the texts and elements whose places lie between. A page's tree
-is one struct of arrays, made in Arrow batches; all that is asked of it is done
-by column functions.
+Elements are numbered as they open. Those that an element holds follow it
+without a gap, and so do its texts among all texts; the tree has where both end,
+and what an element holds is a slice. A page's tree is one struct of arrays, made
+in Arrow batches; all that is asked of it is done by column functions.
 """
 
 from __future__ import annotations
@@ -25,23 +25,23 @@ CLOSES |= {block: ("p", "table td th caption") for block in "p ul ol dl div tabl
 #: Elements whose text doesn't show.
 DROPPED = ("script", "style", "nav", "header", "footer")
 
-TREE = "tag array<string>, cls array<string>, id array<string>, open array<int>, close array<int>, at array<int>, text array<string>"
+#: ``last`` is the number of the last element that an element holds, its own if it holds none; of the texts it holds those from ``head`` to before ``tail``.
+TREE = "tag array<string>, cls array<string>, id array<string>, last array<int>, head array<int>, tail array<int>, text array<string>"
 
 
 class _Builder(HTMLParser):
     def __init__(self, dropped: Sequence[str]):
         super().__init__(convert_charrefs=True)
-        self.dropped, self.place, self.hidden = frozenset(dropped), 0, 0
-        self.tag, self.cls, self.id, self.open, self.close_, self.at, self.text = [], [], [], [], [], [], []
+        self.dropped, self.hidden = frozenset(dropped), 0
+        self.tag, self.cls, self.id, self.last, self.head, self.tail, self.text = [], [], [], [], [], [], []
         self.stack: list[int] = []
 
     def _pop(self) -> None:
         i = self.stack.pop()
-        self.close_[i] = self.place
+        self.last[i], self.tail[i] = len(self.tag) - 1, len(self.text)
         self.hidden -= self.tag[i] in self.dropped
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        self.place += 1
         if tag in CLOSES:
             same, limit = (set(x.split()) for x in CLOSES[tag])
             for k in range(len(self.stack) - 1, -1, -1):
@@ -56,14 +56,14 @@ class _Builder(HTMLParser):
         self.tag.append(tag)
         self.cls.append(" ".join((held.get("class") or "").split()))
         self.id.append(held.get("id") or "")
-        self.open.append(self.place)
-        self.close_.append(self.place)
+        self.last.append(len(self.tag) - 1)
+        self.head.append(len(self.text))
+        self.tail.append(len(self.text))
         if tag not in VOID:
             self.stack.append(len(self.tag) - 1)
             self.hidden += tag in self.dropped
 
     def handle_endtag(self, tag: str) -> None:
-        self.place += 1
         if any(self.tag[i] == tag for i in self.stack):
             while self.tag[self.stack[-1]] != tag:
                 self._pop()
@@ -71,17 +71,14 @@ class _Builder(HTMLParser):
 
     def handle_data(self, data: str) -> None:
         if (bare := data.strip()) and not self.hidden:
-            self.place += 1
-            self.at.append(self.place)
             self.text.append(bare)
 
     def row(self, page: str | None) -> tuple:
         self.feed(page or "")
         self.close()
-        self.place += 1
         while self.stack:
             self._pop()
-        return self.tag, self.cls, self.id, self.open, self.close_, self.at, self.text
+        return self.tag, self.cls, self.id, self.last, self.head, self.tail, self.text
 
 
 def with_tree(pages: DataFrame, html: str, as_: str = "tree", dropped: Sequence[str] = DROPPED) -> DataFrame:
@@ -114,15 +111,13 @@ def _simple(tree: Column, part: str) -> Callable[[Column], Column]:
 
 def holds(tree: Column, i: Column, j: Column) -> Column:
     """Whether element i holds element j, another one."""
-    return (F.get(tree["open"], i) < F.get(tree["open"], j)) & (F.get(tree["close"], i) >= F.get(tree["close"], j))
+    return (i < j) & (j <= F.get(tree["last"], i))
 
 
 def select(tree: Column, selector: str, inside: Column | None = None) -> Column:
     """The numbers of the elements, in order, that fit a selector: tags, classes and ids, after one another for descent, between commas for alternatives."""
-    n = F.size(tree["tag"])
-    every = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    if inside is not None:
-        every = F.filter(every, lambda j: holds(tree, inside, j))
+    span = lambda low, high: F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    every = span(F.lit(0), F.size(tree["tag"]) - 1) if inside is None else let(inside, lambda i: span(i + 1, F.get(tree["last"], i)))
 
     def chain(parts: list[str], pool: Column) -> Column:
         found = F.filter(pool, _simple(tree, parts[-1]))
@@ -140,8 +135,12 @@ def first(tree: Column, selector: str, inside: Column | None = None) -> Column:
 
 def text(tree: Column, i: Column, separator: str = " ") -> Column:
     """The stripped texts in element i, joined; null if i is null."""
-    held = F.filter(F.arrays_zip(tree["at"], tree["text"]), lambda x: (x["at"] > F.get(tree["open"], i)) & (x["at"] <= F.get(tree["close"], i)))
-    return F.when(i.isNotNull(), F.array_join(F.transform(held, lambda x: x["text"]), separator))
+
+    def held(i: Column) -> Column:
+        low = F.get(tree["head"], i)
+        return F.when(i.isNotNull(), F.array_join(F.slice(tree["text"], low + 1, F.get(tree["tail"], i) - low), separator))
+
+    return let(i, held)
 
 
 def whole_text(tree: Column, separator: str = " ") -> Column:
@@ -182,8 +181,7 @@ def calendar(tree: Column, keywords: Sequence[str], year: str = ".calen_year", b
     """
 
     def lines(b: Column) -> Column:
-        label = text(tree, first(tree, month, b), "")
-        head = F.when(F.coalesce(label, F.lit("")) != "", F.array(F.concat(F.lit("\n▶ "), label))).otherwise(F.array().cast("array<string>"))
+        head = let(text(tree, first(tree, month, b), ""), lambda label: F.when(F.coalesce(label, F.lit("")) != "", F.array(F.concat(F.lit("\n▶ "), label))).otherwise(F.array().cast("array<string>")))
         entry = lambda li: F.concat(F.lit("  "), text(tree, first(tree, day, li), ""), F.lit(": "), text(tree, first(tree, event, li), ""))
         return F.concat(head, F.filter(F.transform(select(tree, "li", b), entry), lambda e: e.isNotNull()))
 

@@ -1,5 +1,7 @@
 """Trees of pages: implied ends, selectors, ranges of texts, and the parsers on pages as they are found."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from lodeline.functions.text import collapse
@@ -60,6 +62,22 @@ def test_calendars(spark):
     assert asked(spark, "<div class=calen_box></div>", read(["수강신청"])) == [None]
 
 
+def test_a_year_of_days_is_read_in_proportion_to_them(spark):
+    box = "<div class=calen_box><div class=fl_month><strong>{0}월</strong></div><ul>{1}</ul></div>"
+    made = "<div class=calen_year>2026</div>" + "".join(box.format(m, "".join(f"<li><strong>{d}일</strong><span class=list>수강신청 {m * d}</span>" for d in range(1, 32))) for m in range(1, 13))
+    start = time.monotonic()
+    (found,) = asked(spark, made, lambda t: pagetree.calendar(t, ["수강신청"]))
+    # every text of the page was looked at for every element of a day: minutes
+    assert time.monotonic() - start < 60
+    lines = ["[ 2026 학년도 학사일정 ]"] + [line for m in range(1, 13) for line in (f"\n▶ {m}월", *(f"  {d}일: 수강신청 {m * d}" for d in range(1, 32)))]
+    assert found == "\n".join(lines)
+
+
+def test_an_element_does_not_hold_the_one_that_closes_it(spark):
+    size = lambda selector: lambda t: F.size(pagetree.select(t, selector))
+    assert asked(spark, "<div><p>a<hr>b<p>c<i>d</i></div>e", size("p hr"), size("div hr"), size("p i"), size("div p"), texts("p"), texts("div")) == [0, 1, 1, 2, ["a", "c d"], ["a b c d"]]
+
+
 def test_routes_and_contents(spark):
     long = "셔틀 노선 " * 40
     page = f"<header>h</header><div class=con_wrap>{long[:100]}</div><div id=content>{long}</div>"
