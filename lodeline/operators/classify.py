@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -11,13 +11,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lodeline.functions.rules import small
 from lodeline.functions.text import WORD, compact, features, let, normalise, tokens
 from lodeline.operators.ordinals import numbered, within_key
-from lodeline.session import checkpointed, scratch
+from lodeline.session import bounded_batches, checkpointed, scratch
 
 
 def gram_counts(docs: DataFrame, id_col: str, text_col: str, word: str = WORD) -> DataFrame:
@@ -160,11 +160,114 @@ def grams_of(text: str) -> dict[str, int]:
     return found
 
 
-#: Entries in an Arrow batch, and grams whose documents a task counts before it hands them on.
-ENTRIES, COUNTED = 200_000, 1 << 19
+#: Characters of whole texts whose word-bounded grams a task sorts at once.
+SORTED = 1 << 20
+
+
+def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
+    """Consecutive texts, of SORTED characters or a little more in all."""
+    held, size = [], 0
+    for text in texts:
+        held.append(text)
+        size += len(text)
+        if size >= SORTED:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The code points of texts, each between two spaces, and the number of the text of each."""
+    codes = np.frombuffer((" " + "  ".join(texts) + " ").encode("utf-32-le"), "<u4")
+    return codes, np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
+
+
+def text_frequencies(texts: list[str], shortest: int = 2, longest: int = 5) -> Iterator[tuple[list[str], np.ndarray]]:
+    """Word-bounded grams and in how many of some normalised texts each is, for each length."""
+    codes, of = _codes([" ".join(set(t.split(" "))) for t in texts])
+    letters, own = np.unique(codes, return_inverse=True)
+    base = len(letters)
+    if base**longest >= 1 << 62:  # too many letters for one number a gram
+        held = Counter(g for t in texts for g in grams_of(t))
+        yield list(held), np.array(list(held.values()), np.int64)
+        return
+    space = codes == 32
+    keys, within = own, np.ones(len(codes), bool)
+    for n in range(2, longest + 1):
+        keys = keys[:-1] * base + own[n - 1 :]
+        # spaces are at a gram's ends alone, and not at both of two characters
+        within = within[:-1] & (~space[n - 2 : -1] if n > 2 else ~(space[:-1] & space[1:]))
+        if n < shortest or not within.any():
+            continue
+        grams, at = keys[within], of[: len(keys)][within]
+        names = None
+        if base**n * len(texts) >= 1 << 62:  # nor for one number a gram and text
+            names, grams = np.unique(grams, return_inverse=True)
+        pairs = np.sort(grams * len(texts) + at)
+        found, counts = np.unique(pairs[np.diff(pairs, prepend=-1) > 0] // len(texts), return_counts=True)
+        if names is not None:
+            found = names[found]
+        digits = np.stack([found // base ** (n - 1 - k) % base for k in range(n)], axis=1)
+        joined = letters[digits].tobytes().decode("utf-32-le")
+        yield [joined[i : i + n] for i in range(0, len(joined), n)], counts
+
+
+@dataclass(frozen=True)
+class GramTable:
+    """A vocabulary in which all grams of texts are looked up at once, letter by letter.
+
+    ``letters`` are its code points in order. Of each length from two on,
+    ``keys`` has the beginnings of grams, as the number of the beginning that is
+    a letter shorter by the letters plus the last letter, and ``grams`` the number
+    of the gram that a beginning is, -1 if it is none.
+    """
+
+    letters: np.ndarray
+    keys: list[np.ndarray]
+    grams: list[np.ndarray]
+
+    @staticmethod
+    def of(numbers: dict[str, int]) -> GramTable:
+        letters = sorted(set("".join(numbers)))
+        place = {c: k for k, c in enumerate(letters)}
+        table, before = GramTable(np.array([ord(c) for c in letters], "<u4"), [], []), place
+        for n in range(2, max(map(len, numbers), default=0) + 1):
+            held = sorted((before[g[:-1]] * len(letters) + place[g[-1]], g) for g in {g[:n] for g in numbers if len(g) >= n})
+            table.keys.append(np.array([k for k, _ in held], np.int64))
+            table.grams.append(np.array([numbers.get(g, -1) for _, g in held], np.int64))
+            before = {g: k for k, (_, g) in enumerate(held)}
+        return table
+
+    def counts(self, texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Where each text's grams begin and the last ones end, the grams' numbers (below ``size``) in order, and how often the text holds each."""
+        codes, of = _codes(texts)
+        place = np.full(0x110000, -1, np.int64)
+        place[self.letters] = np.arange(len(self.letters))
+        own = place[codes]
+        at = np.flatnonzero(own >= 0)
+        node, found = own[at], [np.zeros(0, np.int64)]
+        # no gram has a space inside, so none is found across words or texts
+        for n, (keys, grams) in enumerate(zip(self.keys, self.grams, strict=True), 2):
+            inside = at < len(codes) - n + 1
+            at, node = at[inside], node[inside]
+            letter = own[at + n - 1]
+            key = node * len(self.letters) + letter
+            node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            met = (keys[node] == key) & (letter >= 0)
+            at, node = at[met], node[met]
+            gram = grams[node]
+            found.append((of[at] * size + gram)[gram >= 0])
+        held, n = np.unique(np.concatenate(found), return_counts=True)
+        return np.searchsorted(held, np.arange(len(texts) + 1) * size), held % size, n
+
+
+#: Entries in an Arrow batch.
+ENTRIES = 200_000
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.select(id_col, normalise(F.col(text_col)).alias("t")).where("t IS NOT NULL")
 
 
@@ -199,19 +302,12 @@ def bounded_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def document_frequencies(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(gram, df): in how many texts each gram is; each task adds up its own texts first."""
+    """(gram, df): in how many texts each gram is; each task adds up blocks of its own texts first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, int] = {}
-        out = lambda: pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["gram", "n"])
-        for batch in batches:
-            for text in batch.column(1).to_pylist():
-                for gram in grams_of(text):
-                    held[gram] = held.get(gram, 0) + 1
-                if len(held) >= COUNTED:
-                    yield out()
-                    held = {}
-        yield out()
+        for texts in _blocks(text for batch in batches for text in batch.column(1).to_pylist()):
+            for grams, counts in text_frequencies(texts):
+                yield pa.RecordBatch.from_arrays([pa.array(grams, pa.string()), pa.array(counts, pa.int64())], ["gram", "n"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, "gram string, n bigint").groupBy("gram").agg(F.sum("n").alias("df"))
 
@@ -242,7 +338,7 @@ def text_weights(docs: DataFrame, id_col: str, text_col: str, idf: DataFrame) ->
 
     def weighed(counts: dict[str, int]) -> tuple[list, list]:
         grams = [g for g in counts if g in known.value]
-        raw = np.array([(1.0 + np.log(counts[g])) * known.value[g] for g in grams])
+        raw = (1.0 + np.log([counts[g] for g in grams])) * np.array([known.value[g] for g in grams])
         return grams, (raw / np.sqrt((raw * raw).sum())).tolist() if grams else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -269,16 +365,31 @@ def _vectors(rows: DataFrame, text_col: str, vocabulary: DataFrame, size: int) -
 
     The vocabulary, which is bounded as the coefficients are, goes to every task, and a text's vector is made where it lies.
     """
-    known = rows.sparkSession.sparkContext.broadcast({r.gram: (r.i, r.idf) for r in vocabulary.select("gram", "i", "idf").collect()})
-
-    @F.udf(VectorUDT())
-    def vector(text: str | None) -> SparseVector:
-        counts = grams_of(text or "")
-        found = sorted((known.value[g][0], (1.0 + np.log(n)) * known.value[g][1]) for g, n in counts.items() if g in known.value)
-        raw = np.array([w for _, w in found])
-        return SparseVector(size, [i for i, _ in found], raw / np.sqrt((raw * raw).sum()) if found else raw)
-
-    return rows.withColumn("x", vector(normalise(F.col(text_col))))
+    bounded_batches(rows.sparkSession)
+    held = vocabulary.select("gram", "i", "idf").collect()
+    idf = np.zeros(size)
+    idf[[r.i for r in held]] = [r.idf for r in held]
+    known = rows.sparkSession.sparkContext.broadcast((GramTable.of({r.gram: r.i for r in held}), idf))
+
+    @F.arrow_udf(VectorUDT())
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        table, idf = known.value
+        for batch in batches:
+            sizes, numbers, weights = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+            for texts in _blocks(text or "" for text in batch.to_pylist()):
+                ends, grams, n = table.counts(texts, size)
+                raw = (1.0 + np.log(n)) * idf[grams]
+                for i, j in zip(ends, ends[1:]):
+                    raw[i:j] /= np.sqrt((raw[i:j] * raw[i:j]).sum())
+                sizes.append(np.diff(ends))
+                numbers.append(grams)
+                weights.append(raw)
+            ends = pa.array(np.cumsum(np.concatenate(sizes)), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(np.concatenate(x), kind)) for x, kind in ((numbers, pa.int32()), (weights, pa.float64()))]
+            # sparse vectors as their type's columns
+            yield pa.StructArray.from_arrays([pa.array(np.zeros(len(batch)), pa.int8()), pa.array(np.full(len(batch), size), pa.int32()), *lists], VectorUDT.sqlType().names)
+
+    return rows.withColumn("x", vectors(normalise(F.col(text_col))))
 
 
 def text_pipeline(rows: DataFrame, label: str, id_col: str, text_col: str, c: float = 4.0, rounds: int = 1000, vocabulary: int = VOCABULARY) -> TextModel:

@@ -150,3 +150,50 @@ def test_weights_in_one_pass_and_by_joins_agree(spark, monkeypatch):
     assert held and held == told() and "Exchange" not in plan
     counts = rows.select("id", F.explode(classify.bounded_grams(F.col("t"))).alias("gram")).groupBy("id", "gram").count()
     assert sorted(map(tuple, classify.bounded_counts(rows, "id", "t").collect())) == sorted(map(tuple, counts.collect()))
+
+
+WORDY = ["ab  AB cde", "cde 가나 ab", "", "x", "😀x x 😀", "a\0b \0", "nicht " * 30 + "q" * 200, " ".join(f"w{i}" for i in range(300))]
+
+
+def wide_texts():
+    """More letters than one number a gram and text has room for, and than one number a gram has."""
+    return [[chr(0x4E00 + (i * k + i) % m) * 2 + chr(0x4E00 + i) + (" " if i % 3 else "") for i in range(m)] for m in (3000, 6000) for k in (1, 7)]
+
+
+def test_frequencies_of_blocks_of_texts(monkeypatch):
+    normal = [" ".join(t.lower().split()) for t in WORDY]
+    wide = ["".join(t) for t in wide_texts()]
+    for texts in (normal, wide[:2] * 3, wide[2:], ["", ""]):
+        found = {}
+        for grams, counts in classify.text_frequencies(texts):
+            assert not found.keys() & set(grams)
+            found |= dict(zip(grams, counts.tolist(), strict=True))
+        assert found == Counter(g for t in texts for g in set(plain_grams(t)))
+    monkeypatch.setattr(classify, "SORTED", 10)
+    blocks = list(classify._blocks(iter(normal)))
+    assert len(blocks) > 2 and sum(blocks, []) == normal and all(blocks)
+
+
+def test_grams_of_a_vocabulary_are_looked_up_at_once():
+    texts = [" ".join(t.lower().split()) for t in WORDY] + ["".join(t) for t in wide_texts()]
+    every = sorted({g for t in texts for g in plain_grams(t)})
+    for chosen in (every, every[::7], [" a", "ab ", "nicht", "cht "], []):
+        numbers = {g: i for i, g in enumerate(chosen)}
+        ends, grams, n = classify.GramTable.of(numbers).counts([*texts, "zzz ßß"], max(len(numbers), 1))
+        for k, text in enumerate([*texts, "zzz ßß"]):
+            expected = Counter(numbers[g] for g in plain_grams(text) if g in numbers)
+            assert list(zip(grams[ends[k] : ends[k + 1]].tolist(), n[ends[k] : ends[k + 1]].tolist())) == sorted(expected.items())
+
+
+def test_vectors_are_made_in_columns(spark):
+    docs = spark.createDataFrame(list(enumerate([*WORDY, None])), "id int, t string")
+    idf = classify.inverse_frequencies(classify.document_frequencies(docs, "id", "t"), len(WORDY) + 1)
+    known = {r.gram: (i, r.idf) for i, r in enumerate(idf.orderBy("gram").collect())}
+    vocabulary = spark.createDataFrame([(g, i, w) for g, (i, w) in known.items()], "gram string, i int, idf double")
+    made = classify._vectors(docs, "t", vocabulary, len(known))
+    # a Python object for every gram took nine tenths of the time
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "BatchEvalPython" not in plan
+    for r, expected in zip(made.orderBy("id").collect(), plain_weights([*WORDY, None]), strict=True):
+        assert r.x.size == len(known) and r.x.indices.tolist() == sorted(known[g][0] for g in expected)
+        assert dict(zip(r.x.indices.tolist(), r.x.values.tolist())) == pytest.approx({known[g][0]: w for g, w in expected.items()}, abs=1e-12)
