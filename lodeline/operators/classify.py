@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -161,7 +161,7 @@ def grams_of(text: str) -> dict[str, int]:
 
 
 #: Characters of whole texts whose word-bounded grams a task sorts at once.
-SORTED = 1 << 20
+SORTED = 1 << 19
 
 
 def _blocks(texts: Iterable[str]) -> Iterator[list[str]]:
@@ -213,6 +213,10 @@ def text_frequencies(texts: list[str], shortest: int = 2, longest: int = 5) -> I
         yield [joined[i : i + n] for i in range(0, len(joined), n)], counts
 
 
+#: Beginnings of grams by letters that a table has a place each for; in a larger one they are searched.
+PLACES = 1 << 22
+
+
 @dataclass(frozen=True)
 class GramTable:
     """A vocabulary in which all grams of texts are looked up at once, letter by letter.
@@ -239,27 +243,40 @@ class GramTable:
             before = {g: k for k, (_, g) in enumerate(held)}
         return table
 
-    def counts(self, texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Where each text's grams begin and the last ones end, the grams' numbers (below ``size``) in order, and how often the text holds each."""
-        codes, of = _codes(texts)
-        place = np.full(0x110000, -1, np.int64)
-        place[self.letters] = np.arange(len(self.letters))
-        own = place[codes]
-        at = np.flatnonzero(own >= 0)
-        node, found = own[at], [np.zeros(0, np.int64)]
-        # no gram has a space inside, so none is found across words or texts
-        for n, (keys, grams) in enumerate(zip(self.keys, self.grams, strict=True), 2):
-            inside = at < len(codes) - n + 1
-            at, node = at[inside], node[inside]
-            letter = own[at + n - 1]
-            key = node * len(self.letters) + letter
+    def counter(self, size: int) -> Callable[[list[str]], tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """A function that says of texts where the grams of each begin and the last ones end, the grams' numbers (below ``size``) in order, and how often the text holds each."""
+        place, base = np.full(0x110000, -1, np.int32), len(self.letters)
+        place[self.letters] = np.arange(base)
+        above, places = base, []
+        for keys in self.keys:
+            places.append(np.full(above * base, -1, np.int32) if above * base <= PLACES else None)
+            if places[-1] is not None:
+                places[-1][keys] = np.arange(len(keys))
+            above = len(keys)
+
+        def found(keys: np.ndarray, direct: np.ndarray | None, key: np.ndarray) -> np.ndarray:
+            if direct is not None:
+                return direct[key]
             node = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            met = (keys[node] == key) & (letter >= 0)
-            at, node = at[met], node[met]
-            gram = grams[node]
-            found.append((of[at] * size + gram)[gram >= 0])
-        held, n = np.unique(np.concatenate(found), return_counts=True)
-        return np.searchsorted(held, np.arange(len(texts) + 1) * size), held % size, n
+            return np.where(keys[node] == key, node, -1)
+
+        def counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            codes, of = _codes(texts)
+            own = place[codes]
+            at = np.flatnonzero(own >= 0)
+            node, held = own[at].astype(np.int64), [np.zeros(0, np.int64)]
+            # no gram has a space inside, so none is found across words or texts
+            for n, (keys, grams, direct) in enumerate(zip(self.keys, self.grams, places, strict=True), 2):
+                letter = own[np.minimum(at + n - 1, len(codes) - 1)]
+                on = (letter >= 0) & (at < len(codes) - n + 1)
+                at, node = at[on], found(keys, direct, node[on] * base + letter[on])
+                at, node = at[node >= 0], node[node >= 0].astype(np.int64)
+                gram = grams[node]
+                held.append((of[at] * size + gram)[gram >= 0])
+            ids, n = np.unique(np.concatenate(held), return_counts=True)
+            return np.searchsorted(ids, np.arange(len(texts) + 1) * size), ids % size, n
+
+        return counts
 
 
 #: Entries in an Arrow batch.
@@ -358,6 +375,8 @@ class TextModel:
 
 #: Grams of a vocabulary at most, the commonest: the regression's coefficients are in the driver, one for each and a class.
 VOCABULARY = 1 << 18
+#: Partitions of the regression's rows at most, for each core.
+ROUND_TASKS = 2
 
 
 def _vectors(rows: DataFrame, text_col: str, vocabulary: DataFrame, size: int) -> DataFrame:
@@ -374,10 +393,11 @@ def _vectors(rows: DataFrame, text_col: str, vocabulary: DataFrame, size: int) -
     @F.arrow_udf(VectorUDT())
     def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, idf = known.value
+        counts = table.counter(size)
         for batch in batches:
             sizes, numbers, weights = [np.zeros(1, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             for texts in _blocks(text or "" for text in batch.to_pylist()):
-                ends, grams, n = table.counts(texts, size)
+                ends, grams, n = counts(texts)
                 raw = (1.0 + np.log(n)) * idf[grams]
                 for i, j in zip(ends, ends[1:]):
                     raw[i:j] /= np.sqrt((raw[i:j] * raw[i:j]).sum())
@@ -410,6 +430,8 @@ def text_pipeline(rows: DataFrame, label: str, id_col: str, text_col: str, c: fl
     size = max(min(distinct, vocabulary), 1)
     # the regression holds the vectors itself, so they aren't written
     x = _vectors(data.select(F.col(label).cast("double").alias("label"), "weight", F.col(text_col).alias("__text")), "__text", held, size).select("label", "weight", "x")
+    # every round moves the coefficients once a partition
+    x = x.coalesce(ROUND_TASKS * rows.sparkSession.sparkContext.defaultParallelism)
     fit = LogisticRegression(featuresCol="x", labelCol="label", weightCol="weight", maxIter=rounds, tol=1e-8, regParam=1.0 / (c * max(count, 1)), standardization=False)
     # the fitted object holds a summary and through it the session, which tasks can't be sent once it has observed metrics; what is saved and read again doesn't
     with scratch(rows.sparkSession) as path:

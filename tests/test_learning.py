@@ -174,12 +174,14 @@ def test_frequencies_of_blocks_of_texts(monkeypatch):
     assert len(blocks) > 2 and sum(blocks, []) == normal and all(blocks)
 
 
-def test_grams_of_a_vocabulary_are_looked_up_at_once():
+@pytest.mark.parametrize("places", [1 << 22, 1 << 12, 0])
+def test_grams_of_a_vocabulary_are_looked_up_at_once(monkeypatch, places):
+    monkeypatch.setattr(classify, "PLACES", places)
     texts = [" ".join(t.lower().split()) for t in WORDY] + ["".join(t) for t in wide_texts()]
     every = sorted({g for t in texts for g in plain_grams(t)})
     for chosen in (every, every[::7], [" a", "ab ", "nicht", "cht "], []):
         numbers = {g: i for i, g in enumerate(chosen)}
-        ends, grams, n = classify.GramTable.of(numbers).counts([*texts, "zzz ßß"], max(len(numbers), 1))
+        ends, grams, n = classify.GramTable.of(numbers).counter(max(len(numbers), 1))([*texts, "zzz ßß"])
         for k, text in enumerate([*texts, "zzz ßß"]):
             expected = Counter(numbers[g] for g in plain_grams(text) if g in numbers)
             assert list(zip(grams[ends[k] : ends[k + 1]].tolist(), n[ends[k] : ends[k + 1]].tolist())) == sorted(expected.items())
