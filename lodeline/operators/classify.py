@@ -6,6 +6,7 @@ from collections import Counter
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -399,7 +400,7 @@ def _vectors(rows: DataFrame, text_col: str, vocabulary: DataFrame, size: int) -
             for texts in _blocks(text or "" for text in batch.to_pylist()):
                 ends, grams, n = counts(texts)
                 raw = (1.0 + np.log(n)) * idf[grams]
-                for i, j in zip(ends, ends[1:]):
+                for i, j in pairwise(ends):
                     raw[i:j] /= np.sqrt((raw[i:j] * raw[i:j]).sum())
                 sizes.append(np.diff(ends))
                 numbers.append(grams)
